@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, app: str = "tessera", **conf: str) -> Sp
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "6g",
         "spark.sql.adaptive.enabled": "true",
     } | conf
