@@ -7,13 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, quality_rules, simhash
+from tessera.llm import byte_bpe, quality_rules, simhash, suffix_dedup
+from tessera.session import ship
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality_rules.quality_scores(_documents(spark, sf_dir))
     return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -30,7 +36,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op8_byte_bpe, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_quality_rules, op8_byte_bpe, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
