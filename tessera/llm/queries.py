@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, quality_rules, simhash, suffix_dedup
+from tessera.llm import byte_bpe, quality_rules, simhash, suffix_dedup, token_frames
 from tessera.session import ship
 
 
@@ -25,6 +25,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_frames.write_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, token_frames.new_folder(spark))
+    return token_frames.digests(token_frames.read_tokens(spark, files))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode_documents(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
@@ -36,7 +41,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_dedup, op4_quality_rules, op8_byte_bpe, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_quality_rules, op7_token_frames, op8_byte_bpe, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
