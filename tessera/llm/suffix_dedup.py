@@ -34,7 +34,9 @@ WIDTH = BACK + SPAN
 #: Bytes of text in a part, and in the pieces whose hashes are worked out at once.
 PART_BYTES = 12_000_000
 PIECE = 1 << 16
-#: Entries of an anchor beyond which the windows around it are dealt on their own.
+#: Contexts that are spelt out at once.
+ROWS = 50_000
+#: Distinct contexts of an anchor (counted by part) beyond which the windows around it are dealt on their own.
 CROWDED = 20_000
 #: The depth in bytes from which blind tries sort.
 SHALLOW = 24
@@ -85,28 +87,37 @@ class Part:
         self.starts = SPAN + np.cumsum(self.sizes + SPAN) - self.sizes - SPAN
         self.ends = self.starts + self.sizes
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in the buffer) of anchors, and their hashes."""
-        places, hashes = [], []
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (in the buffer) of anchors, their hashes, and hashes of the WIDTH bytes around them."""
+        places, hashes, around = [], [], []
         window = np.zeros(len(self.text), bool)  # does a window begin here?
         for s, e in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
             if e - s >= SPAN:
                 window[s : e - SPAN + 1] = True
+        gap = np.zeros(PLACES - 1, np.uint64)
         for at in range(0, len(self.text) - SPAN + 1, PIECE):
             ok = window[at : at + PIECE]
             if not ok.any():
                 continue
-            h = _rolled(self.text[at : at + PIECE + SPAN - 1], K)
-            least = np.where(ok[: len(h) - PLACES + 1], _sliding(h, PLACES, np.minimum), 0)
-            gap = np.zeros(PLACES - 1, np.uint64)
+            low = max(0, at - BACK)
+            every = _rolled(self.text[low : at + PIECE + 2 * SPAN], K)
+            h = every[at - low : at - low + PIECE + PLACES - 1]
+            least = _sliding(h, PLACES, np.minimum)
+            least = np.where(ok[: len(least)], least, 0)
             best = _sliding(np.concatenate([gap, least, gap]), PLACES, np.maximum)
-            found = np.flatnonzero(best == h)
+            found = np.flatnonzero(best == h[: len(best)])
             places.append(found + at)
             hashes.append(h[found])
+            name = np.zeros(len(found), np.uint64)
+            for k in (-BACK, -BACK + 2, K, SPAN - K):
+                beside = np.clip(found + at - low + k, 0, len(every) - 1)
+                name = (name ^ every[beside]) * np.uint64(0x9E3779B97F4A7C15)
+                name ^= name >> np.uint64(31)
+            around.append(name)
         if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         places, first = np.unique(np.concatenate(places), return_index=True)  # pieces overlap
-        return places, np.concatenate(hashes)[first]
+        return places, np.concatenate(hashes)[first], np.concatenate(around)[first]
 
     def document(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, "right") - 1
@@ -135,18 +146,19 @@ def _offer(buckets: int):
 
     def offer(key: tuple, table: pa.Table) -> pa.Table:
         part = Part(table)
-        places, h = part.anchors()
+        places, h, around = part.anchors()
         bucket, name = _split(h, buckets)
         ids = part.ids[part.document(places)] if len(places) else np.zeros(0, np.int64)
         both = bucket << 32 | name
-        order = np.argsort(both, kind="stable")
-        both, ids = both[order], ids[order]
+        order = np.lexsort((around, both))
+        both, ids, around = both[order], ids[order], around[order]
         cuts = _groups(both)
         if len(both):
-            low, high, count = np.minimum.reduceat(ids, cuts[:-1]), np.maximum.reduceat(ids, cuts[:-1]), np.diff(cuts)
+            low, high = np.minimum.reduceat(ids, cuts[:-1]), np.maximum.reduceat(ids, cuts[:-1])
+            count = np.add.reduceat(np.append(True, (around[1:] != around[:-1]) | (both[1:] != both[:-1])).astype(np.int64), cuts[:-1])
             both = both[cuts[:-1]]
-            # 0: one document; else the logarithm of the number of entries, 1 at least
-            weight = np.where(low < high, 1 + np.log2(count), 0).astype(np.uint8)
+            # Twice the logarithm of the number of distinct contexts, and 1 more for two documents or more.
+            weight = (2 * np.log2(count).astype(int) + (low < high)).astype(np.uint8)
         else:
             weight = np.zeros(0, np.uint8)
         at = _groups(both >> 32)
@@ -172,7 +184,7 @@ def _shared(table: pa.Table) -> pa.Table:
     order = np.argsort(every, kind="stable")
     cuts = _groups(every[order])[:-1]
     w = w[order].astype(np.int64)
-    parts, own, entries = np.diff(np.append(cuts, len(w))), np.maximum.reduceat(w, cuts), np.add.reduceat(1 << np.maximum(w - 1, 0), cuts)
+    parts, own, entries = np.diff(np.append(cuts, len(w))), np.maximum.reduceat(w & 1, cuts), np.add.reduceat(1 << (w >> 1), cuts)
     kind = np.where((parts > 1) | (own > 0), 1 + (entries > CROWDED), 0).astype(np.uint8)
     verdict = np.empty(len(every), np.uint8)
     verdict[order] = np.repeat(kind, parts)
@@ -196,7 +208,7 @@ class Contexts:
     """A part's shared anchors with the bytes around them: BACK before, SPAN from it, and how many of each are text."""
 
     def __init__(self, part: Part, verdict: pa.Table, buckets: int) -> None:
-        places, h = part.anchors()
+        places, h, _ = part.anchors()
         bucket, name = _split(h, buckets)
         known, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
         for b, a, k in zip(*(verdict.column(c).to_pylist() for c in ("bucket", "a", "b")), strict=True):
@@ -212,29 +224,41 @@ class Contexts:
         kind = np.where(known[at] == key, kinds[at], 0) if len(known) else np.zeros(len(key), np.uint8)
         single, crowd = places[kind == 1], places[kind == 2]
         # Crowded anchors give way to each window around them.
-        crowd = np.unique((crowd[:, None] - np.arange(PLACES)).ravel())
-        crowd = crowd[crowd >= SPAN]
+        extra = [np.zeros(0, np.int64)]
+        for k in range(0, len(crowd), ROWS):
+            extra.append(np.unique((crowd[k : k + ROWS, None] - np.arange(PLACES)).ravel()))
+        crowd = np.unique(np.concatenate(extra))
         document = part.document(crowd)
-        crowd = crowd[(crowd < part.ends[document] - SPAN + 1) & (crowd >= part.starts[document])]
-        self.places = np.concatenate([single, crowd])
-        self.document = part.document(self.places) if len(self.places) else np.zeros(0, np.int64)
-        back = np.minimum(BACK, self.places - part.starts[self.document])
-        ahead = np.minimum(SPAN, part.ends[self.document] - self.places)
+        crowd = crowd[(document >= 0) & (crowd >= part.starts[document]) & (crowd <= part.ends[document] - SPAN)] if len(crowd) else crowd
         whole = len(single)
-        back[whole:] = 0
-        bucket = np.concatenate([bucket[kind == 1], (_rolled(part.text, SPAN)[crowd] & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets if len(crowd) else np.zeros(0, np.int64)])
-        self.back, self.ahead = back, ahead
-        view = np.lib.stride_tricks.sliding_window_view(part.text, WIDTH) if len(part.text) >= WIDTH else None
-        n = len(self.places)
-        rows = np.zeros((n, 4 + WIDTH + 2), np.uint8)
-        rows[:, :4] = bucket.astype(">u4").view(np.uint8).reshape(n, 4) if n else 0
-        if n:
-            # The text's end is padded by SPAN bytes, so that a view from BACK before a place always exists.
-            rows[:, 4 : 4 + WIDTH] = view[self.places - BACK]
-        rows[whole:, 4 : 4 + BACK] = 0
-        rows[:, -2], rows[:, -1] = back, ahead
-        distinct, self.number = np.unique(rows.view(f"S{rows.shape[1]}").ravel(), return_inverse=True)
-        self.rows = np.frombuffer(distinct.tobytes(), np.uint8).reshape(len(distinct), rows.shape[1])
+        self.places = np.concatenate([single, crowd])
+        self.document = part.document(self.places).astype(np.int32) if len(self.places) else np.zeros(0, np.int32)
+        self.back = np.minimum(BACK, self.places - part.starts[self.document]).astype(np.uint8)
+        self.ahead = np.minimum(SPAN, part.ends[self.document] - self.places).astype(np.uint8)
+        self.back[whole:] = 0
+        bucket = bucket[kind == 1]
+        width = 4 + WIDTH + 2
+        kinds_of, numbers, at = [np.zeros(0, f"S{width}")], [np.zeros(0, np.int64)], 0
+        for k in range(0, len(self.places), ROWS):
+            places = self.places[k : k + ROWS]
+            rows = np.zeros((len(places), width), np.uint8)
+            # SPAN bytes of padding on either side, so that these bytes always exist.
+            rows[:, 4 : 4 + WIDTH] = np.lib.stride_tricks.sliding_window_view(part.text, WIDTH)[places - BACK]
+            alone = max(0, whole - k)  # rows from here on are windows
+            rows[alone:, 4 : 4 + BACK] = 0
+            own = bucket[k : k + ROWS]
+            if alone < len(places):
+                h = _rolled(np.ascontiguousarray(rows[alone:, 4 + BACK : 4 + WIDTH]).ravel(), SPAN)[::SPAN]
+                own = np.concatenate([own, (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets])
+            rows[:, :4] = own.astype(">u4").view(np.uint8).reshape(len(places), 4)
+            rows[:, -2], rows[:, -1] = self.back[k : k + ROWS], self.ahead[k : k + ROWS]
+            distinct, number = np.unique(rows.view(f"S{width}").ravel(), return_inverse=True)
+            kinds_of.append(distinct)
+            numbers.append(number + at)
+            at += len(distinct)
+        distinct, number = np.unique(np.concatenate(kinds_of), return_inverse=True)
+        self.number = number[np.concatenate(numbers)]
+        self.rows = np.frombuffer(distinct.tobytes(), np.uint8).reshape(len(distinct), width)
         self.least = np.full(len(distinct), _LAST)
         np.minimum.at(self.least, self.number, part.ids[self.document])
         self.bucket = np.frombuffer(np.ascontiguousarray(self.rows[:, :4]).tobytes(), ">u4").astype(np.int64)
@@ -380,13 +404,13 @@ def _apply(buckets: int, names: list[str], binary: bool):
             i, j = at[b]
             least[i:j], low[i:j], high[i:j] = _unpack(blobs[0], np.int64), _unpack(blobs[1], np.uint8), _unpack(blobs[2], np.uint8)
         later = part.ids[c.document] > least[c.number]
-        first = np.where(later, np.maximum(0, SPAN - c.ahead), low[c.number])
-        last = np.where(later, c.back, high[c.number])
+        first = np.where(later, SPAN - c.ahead, low[c.number]).astype(np.int64)
+        last = np.where(later, c.back, high[c.number]).astype(np.int64)
         hit = (first <= last) & (first < PLACES)
         change = np.zeros(len(part.text) + 1, np.int32)
         np.add.at(change, c.places[hit] - last[hit], 1)
         np.add.at(change, c.places[hit] - first[hit] + SPAN, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         kept, removed, spans = [], [], []
         for s, e in zip(part.starts.tolist(), part.ends.tolist(), strict=True):
             g = gone[s:e]
