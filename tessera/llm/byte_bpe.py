@@ -13,6 +13,7 @@ import functools
 import heapq
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,14 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they turn up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     """Encodes texts, chunk by chunk, remembering the words that it has replayed."""
 
@@ -148,13 +157,12 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = Numbers()
         self.ids: list[list[int]] = []
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         numbers = self.numbers
-        number = numbers.setdefault
-        spelt = [array("I", [number(w, len(numbers)) for w in self.find(t)]) if t else array("I") for t in texts]
+        spelt = [array("I", map(numbers.__getitem__, self.find(t))) if t else array("I") for t in texts]
         new = [w.encode() for w in list(numbers)[len(self.ids) :]] if len(numbers) > len(self.ids) else []
         at, size = 0, 0
         for i, w in enumerate(new):
@@ -165,10 +173,7 @@ class Encoder:
         ids = self.ids
         out = []
         for words in spelt:
-            flat: list[int] = []
-            for w in words:
-                flat += ids[w]
-            out.append(np.array(flat, np.int32))
+            out.append(np.array(list(chain.from_iterable(map(ids.__getitem__, words))), np.int32))
         if len(numbers) > REMEMBERED:
             self.forget()
         return out
@@ -209,11 +214,14 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = ranks(ranks_path).tokens.__getitem__
+        known = ranks(ranks_path).tokens
+        token = np.array([known.get(k) for k in range(max(known) + 1)], object)
         for b in batches:
             for k in range(0, len(b), 1024):
                 part = b.slice(k, 1024)
-                texts = [b"".join(map(token, x)) for x in ([] if v is None else v for v in part.column(1).to_pylist())]
+                ids = part.column(1)
+                values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+                texts = [b"".join(token[values[i:j]].tolist()) for i, j in zip(offsets, offsets[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded binary")
