@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, mixing, quality_rules, simhash, suffix_dedup, token_frames
+from tessera.llm import byte_bpe, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity
 from tessera.session import ship
 
 
@@ -16,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.mixing_rates(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rates.select("doc_id", *mixing.ADDED)
@@ -46,7 +50,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_suffix_dedup, op4_quality_rules, op7_token_frames, op8_byte_bpe, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op7_token_frames, op8_byte_bpe, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
