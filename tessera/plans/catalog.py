@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_oracles: dict[str, str] = {}
+from tessera.plans import graphs, relational, scalar
+from tessera.plans.sql import ORACLE, SPARK, Text, run
+
+_TEXTS = scalar.QUERIES | relational.QUERIES
+
+
+def _runner(text: Text) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(spark, sf_dir, text(SPARK))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _queries
+    return {name: _runner(text) for name, text in _TEXTS.items()} | graphs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracles
+    return {name: text(ORACLE) for name, text in _TEXTS.items()} | {name: text(ORACLE) for name, text in graphs.ORACLES.items()}
