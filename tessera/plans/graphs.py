@@ -1,4 +1,290 @@
-"""Queries that iterate."""
+"""Queries that iterate over the grid, with recursive oracles."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import grid
+from tessera.operators.graph import connected_components
+from tessera.plans.relational import edges, flow_sql, territories
+from tessera.plans.sql import ORACLE, SPARK, Dialect, cells, run, smooth, stencil4
+from tessera.session import cut
+
+WIDTH = 100
 QUERIES = {}
 ORACLES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def oracle(f):
+    ORACLES[f.__name__] = f
+    return f
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return cut(run(spark, sf_dir, text))
+
+
+def fnv_bytes(d: Dialect, items: list[str]) -> str:
+    """FNV-1a 64 of a list of byte expressions, top bit cleared."""
+    if d.spark:
+        low = "CAST(a % 256 AS INT)"
+        step = f"CAST(((a - {low} + ({low} ^ b)) * CAST(1099511628211 AS DECIMAL(13, 0))) % CAST(18446744073709551616 AS DECIMAL(20, 0)) AS DECIMAL(20, 0))"
+        h = f"aggregate(array({', '.join(f'CAST({i} AS INT)' for i in items)}), CAST(14695981039346656037 AS DECIMAL(20, 0)), (a, b) -> {step})"
+        return f"CAST({h} % CAST(9223372036854775808 AS DECIMAL(20, 0)) AS BIGINT)"
+    step = "((a - a % 256 + xor(CAST(a % 256 AS INT), CAST(b AS INT))) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT"
+    h = f"list_reduce([14695981039346656037::HUGEINT, {', '.join(f'CAST({i} AS HUGEINT)' for i in items)}], lambda a, b: {step})"
+    return f"CAST({h} % 9223372036854775808::HUGEINT AS BIGINT)"
+
+
+def anchored_id(d: Dialect, kind: int, x: str, y: str, attributes: list[str], probe: str) -> str:
+    """Identifier of an entity: its kind, anchor, attributes and probe, little-endian, hashed."""
+    whole = lambda v, n: [f"({d.shr(f'CAST({v} AS BIGINT)', str(8 * k))} & 255)" for k in range(n)]
+    return fnv_bytes(d, ["1", str(kind), *whole(x, 8), *whole(y, 8), *attributes, *whole(probe, 4)])
+
+
+def stable_ids_text(d: Dialect) -> str:
+    probe = "(row_number() OVER (PARTITION BY ax, ay ORDER BY pos) - 1)"
+    return f"WITH {cells(d)}, {territories(d)}, p AS (SELECT pos, ax, ay, {probe} AS probe FROM terr) SELECT pos, {anchored_id(d, 1, 'ax', 'ay', ['0'], 'probe')} AS id FROM p"
+
+
+@query
+def stable_ids(spark, sf_dir):
+    return run(spark, sf_dir, stable_ids_text(SPARK))
+
+
+ORACLES["stable_ids"] = stable_ids_text
+
+# Components
+
+
+def land(spark, sf_dir, where="NOT is_water"):
+    return sql(spark, sf_dir, f"WITH {cells(SPARK)} SELECT cell_id, x, y, height_m FROM cells WHERE {where}")
+
+
+def closure(where: str) -> str:
+    d = ORACLE
+    return f"""{cells(d)}, s AS (SELECT cell_id, x, y FROM cells WHERE {where}), {stencil4(d, 's')}, e AS (SELECT st4.cell_id AS a, st4.nid AS b FROM st4 JOIN s ON s.cell_id = st4.nid),
+    r(cell_id, lab) AS (SELECT cell_id, cell_id FROM s UNION SELECT e.b, r.lab FROM r JOIN e ON e.a = r.cell_id WHERE r.lab < e.b),
+    comp AS (SELECT cell_id, min(lab) AS component FROM r GROUP BY cell_id)"""
+
+
+@query
+def cell_components(spark, sf_dir):
+    return grid.components(land(spark, sf_dir), WIDTH)
+
+
+ORACLES["cell_components"] = lambda d: f"WITH RECURSIVE {closure('NOT is_water')} SELECT cell_id, component FROM comp"
+
+
+@query
+def water_body_kind(spark, sf_dir):
+    """Water bodies with size, anchor and kind: ocean at the north pole row, sea from 200 cells, else lake."""
+    water = land(spark, sf_dir, "is_water")
+    return (
+        water.join(grid.components(water, WIDTH), "cell_id")
+        .groupBy("component")
+        .agg(F.count("*").alias("n"), F.expr("sum(x) div count(*)").alias("anchor_x"), F.expr("sum(y) div count(*)").alias("anchor_y"), F.expr("CASE WHEN bool_or(y = 0) THEN 0 WHEN count(*) >= 200 THEN 1 ELSE 2 END").alias("kind"))
+    )
+
+
+ORACLES["water_body_kind"] = lambda d: f"""WITH RECURSIVE {closure('is_water')} SELECT component, count(*) AS n, CAST(sum(x) // count(*) AS BIGINT) AS anchor_x, CAST(sum(y) // count(*) AS BIGINT) AS anchor_y,
+  CASE WHEN bool_or(y = 0) THEN 0 WHEN count(*) >= 200 THEN 1 ELSE 2 END AS kind FROM comp JOIN cells USING (cell_id) GROUP BY component"""
+
+
+def territory_components(spark, sf_dir) -> DataFrame:
+    e = sql(spark, sf_dir, f"WITH {cells(SPARK)}, {edges(SPARK)} SELECT a, b FROM edges")
+    t = sql(spark, sf_dir, f"WITH {cells(SPARK)}, {territories(SPARK)} SELECT pos, ax, ay FROM terr")
+    found = connected_components(e).withColumnRenamed("node", "pos")
+    return t.join(found, "pos", "left").withColumn("component", F.coalesce("component", "pos"))
+
+
+TERRITORY_CLOSURE = f"""{cells(ORACLE)}, {edges(ORACLE)}, {territories(ORACLE)}, ee AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+  r(pos, lab) AS (SELECT pos, pos FROM terr UNION SELECT ee.b, r.lab FROM r JOIN ee ON ee.a = r.pos WHERE r.lab < ee.b), comp AS (SELECT pos, min(lab) AS component FROM r GROUP BY pos)"""
+
+
+@query
+def land_components(spark, sf_dir):
+    """Sizes of land components in territories."""
+    return territory_components(spark, sf_dir).groupBy("component").agg(F.count("*").alias("territories"))
+
+
+ORACLES["land_components"] = lambda d: f"WITH RECURSIVE {TERRITORY_CLOSURE} SELECT component, count(*) AS territories FROM comp GROUP BY component"
+
+
+@query
+def regions(spark, sf_dir):
+    """The region of each territory, by the smallest member anchor."""
+    t = territory_components(spark, sf_dir)
+    least = t.groupBy("component").agg(F.min(F.struct("ay", "ax")).alias("m"))
+    named = least.select("component", F.expr(anchored_id(SPARK, 4, "m.ax", "m.ay", [], "0")).alias("region"))
+    return t.join(named, "component").select("pos", "region")
+
+
+ORACLES["regions"] = lambda d: f"""WITH RECURSIVE {TERRITORY_CLOSURE}, m AS (SELECT component, min(ay) AS my, arg_min(ax, (ay, ax)) AS mx FROM comp JOIN terr USING (pos) GROUP BY component)
+  SELECT pos, {anchored_id(d, 4, 'mx', 'my', [], '0')} AS region FROM comp JOIN m USING (component)"""
+
+# Growth
+
+REACH = 12
+
+
+@query
+def bfs_territories(spark, sf_dir):
+    """Land within 12 steps of seeds (every 37th cell), each to the nearest."""
+    surface = land(spark, sf_dir)
+    seeds = surface.where("cell_id % 37 = 0").select("cell_id", F.expr("cell_id div 37").alias("seed"))
+    return grid.grow(surface, seeds, WIDTH, REACH).select("cell_id", F.col("dist").cast("long").alias("dist"), "seed")
+
+
+ORACLES["bfs_territories"] = lambda d: f"""WITH RECURSIVE {cells(d)}, s AS (SELECT cell_id, x, y FROM cells WHERE NOT is_water), {stencil4(d, 's')}, e AS (SELECT st4.cell_id AS a, st4.nid AS b FROM st4 JOIN s ON s.cell_id = st4.nid),
+  r(cell_id, dist, seed) AS (SELECT cell_id, 0, cell_id // 37 FROM s WHERE cell_id % 37 = 0 UNION SELECT e.b, r.dist + 1, r.seed FROM r JOIN e ON e.a = r.cell_id WHERE r.dist < {REACH})
+  SELECT cell_id, CAST(min(dist) AS BIGINT) AS dist, arg_min(seed, (dist, seed)) AS seed FROM r GROUP BY cell_id"""
+
+
+@query
+def lloyd_two_pass(spark, sf_dir):
+    """Seeds, then twice: grow, and move each seed to the member next to its territory's seam-aware mean."""
+    surface = land(spark, sf_dir)
+    seeds = surface.where("cell_id % 37 = 0").select("cell_id", F.expr("cell_id div 37").alias("seed"))
+    for _ in range(2):
+        own = grid.grow(surface, seeds, WIDTH, REACH).join(surface.select("cell_id", "x", "y"), "cell_id")
+        at = seeds.select("seed", (F.col("cell_id") % WIDTH).alias("fx"))
+        own = cut(own.join(at, "seed").withColumn("rx", F.expr("pmod(x - fx + 50, 100) - 50")))
+        mean = own.groupBy("seed").agg(F.expr("sum(rx) div count(*)").alias("mx"), F.expr("sum(y) div count(*)").alias("my"))
+        near = own.join(mean, "seed").groupBy("seed").agg(F.expr("min_by(cell_id, struct((rx - mx) * (rx - mx) + (y - my) * (y - my), cell_id))").alias("cell_id"))
+        seeds = cut(near.select("cell_id", "seed"))
+    return grid.grow(surface, seeds, WIDTH, REACH).select("cell_id", F.col("dist").cast("long").alias("dist"), "seed")
+
+
+# Flow, over heights summed in 5 x 5 windows
+
+ICE, DESERT = "cell_id % 97 = 5", "cell_id % 11 = 3"
+SHARE = 8
+
+
+def smooth_cells(spark, sf_dir) -> DataFrame:
+    return sql(spark, sf_dir, f"WITH {cells(SPARK)}, {smooth(SPARK)} SELECT cell_id, height_m, height_m <= 0 AS is_water, {ICE} AS ice, {DESERT} AS desert FROM smooth")
+
+
+def flowing(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, targets (ice has none) and flow."""
+    base = smooth_cells(spark, sf_dir)
+    targets = cut(grid.flow_targets(base, WIDTH).join(base.where("NOT ice").select("cell_id"), "cell_id"))
+    return base, targets, grid.accumulate(base, targets)
+
+
+def flow_oracle(d: Dialect) -> str:
+    """RECURSIVE: tgt without ice, and every way down with what is left of a unit."""
+    return f"""{cells(d)}, {smooth(d)}, {flow_sql(d)}, tgt AS (SELECT cell_id, target FROM target WHERE NOT ({ICE})),
+    way(src, cell_id, amount) AS (SELECT cell_id, cell_id, CASE WHEN {ICE} THEN 0E0 ELSE 1E0 END FROM smooth
+      UNION ALL SELECT w.src, t.target, w.amount * CASE WHEN w.cell_id % 11 = 3 THEN 5E-1 ELSE 1E0 END FROM way w JOIN tgt t ON t.cell_id = w.cell_id),
+    flow AS (SELECT cell_id, CASE WHEN {ICE} THEN 0E0 ELSE sum(amount) END AS flow FROM way GROUP BY cell_id),
+    river AS (SELECT f.cell_id, f.flow FROM flow f JOIN smooth s USING (cell_id) WHERE s.height_m > 0 AND f.flow >= {SHARE}),
+    source AS (SELECT cell_id FROM river WHERE cell_id NOT IN (SELECT t.target FROM tgt t JOIN river r ON r.cell_id = t.cell_id)),
+    steps(start, ord, cell_id) AS (SELECT cell_id, 0, cell_id FROM source UNION ALL
+      SELECT s.start, s.ord + 1, t.target FROM steps s JOIN tgt t ON t.cell_id = s.cell_id JOIN smooth h ON h.cell_id = s.cell_id WHERE h.height_m > 0),
+    ended AS (SELECT s.start, s.ord FROM steps s JOIN smooth h ON h.cell_id = s.cell_id WHERE h.height_m <= 0),
+    path AS (SELECT s.start, s.ord, s.cell_id FROM steps s JOIN ended e ON e.start = s.start AND s.ord < e.ord),
+    mouth AS (SELECT start, arg_max(cell_id, ord) AS mouth, count(*) AS n FROM path GROUP BY start)"""
+
+
+@query
+def flow_accumulation(spark, sf_dir):
+    return flowing(spark, sf_dir)[2]
+
+
+ORACLES["flow_accumulation"] = lambda d: f"WITH RECURSIVE {flow_oracle(d)} SELECT cell_id, flow FROM flow"
+
+
+def rivers(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    base, targets, flow = flowing(spark, sf_dir)
+    return base, targets, cut(flow.join(base.where("NOT is_water").select("cell_id"), "cell_id").where(F.col("flow") >= SHARE))
+
+
+@query
+def river_cells(spark, sf_dir):
+    return rivers(spark, sf_dir)[2]
+
+
+ORACLES["river_cells"] = lambda d: f"WITH RECURSIVE {flow_oracle(d)} SELECT cell_id, flow FROM river"
+
+
+def sources(targets: DataFrame, river: DataFrame) -> DataFrame:
+    fed = targets.join(river.select("cell_id"), "cell_id").select(F.col("target").alias("cell_id"))
+    return river.select("cell_id").join(fed, "cell_id", "left_anti")
+
+
+@query
+def river_sources(spark, sf_dir):
+    _, targets, river = rivers(spark, sf_dir)
+    return sources(targets, river)
+
+
+ORACLES["river_sources"] = lambda d: f"WITH RECURSIVE {flow_oracle(d)} SELECT cell_id FROM source"
+
+
+def paths(spark, sf_dir) -> DataFrame:
+    """(start, ord, cell_id) of land cells of rivers that reach water."""
+    base, targets, river = rivers(spark, sf_dir)
+    way = grid.walks(sources(targets, river), targets).join(base.select("cell_id", "is_water"), "cell_id")
+    end = way.where("is_water").groupBy("start").agg(F.min("ord").alias("end"))
+    return cut(way.join(end, "start").where("ord < end").select("start", "ord", "cell_id"))
+
+
+@query
+def river_paths(spark, sf_dir):
+    return paths(spark, sf_dir).select("start", F.col("ord").cast("long").alias("ord"), "cell_id")
+
+
+ORACLES["river_paths"] = lambda d: f"WITH RECURSIVE {flow_oracle(d)} SELECT start, CAST(ord AS BIGINT) AS ord, cell_id FROM path"
+
+
+@query
+def river_cell_set(spark, sf_dir):
+    return paths(spark, sf_dir).select("cell_id").distinct()
+
+
+ORACLES["river_cell_set"] = lambda d: f"WITH RECURSIVE {flow_oracle(d)} SELECT DISTINCT cell_id FROM path"
+
+
+@query
+def river_ids(spark, sf_dir):
+    """Rivers with their mouths; rivers of one mouth take successive probes in the order of their sources."""
+    m = paths(spark, sf_dir).groupBy("start").agg(F.max_by("cell_id", "ord").alias("mouth"), F.count("*").alias("n"))
+    m = m.withColumn("probe", F.expr("row_number() OVER (PARTITION BY mouth ORDER BY start) - 1"))
+    return m.select("start", "mouth", "n", F.expr(anchored_id(SPARK, 3, "mouth % 100", "mouth div 100", [], "probe")).alias("id"))
+
+
+ORACLES["river_ids"] = lambda d: f"""WITH RECURSIVE {flow_oracle(d)}, p AS (SELECT *, row_number() OVER (PARTITION BY mouth ORDER BY start) - 1 AS probe FROM mouth)
+  SELECT start, mouth, n, {anchored_id(d, 3, 'mouth % 100', 'mouth // 100', [], 'probe')} AS id FROM p"""
+
+# A recurrence along rows
+
+
+@query
+def moisture_march(spark, sf_dir):
+    """Moisture carried east along each row: the sea fills it, land takes rain by the rise of the ground."""
+    step = """CASE WHEN c.is_water THEN named_struct('m', least(1E0, a.m + 1.8E-1), 'h', 1E0, 'prev', c.height_m, 'out', array_append(a.out, named_struct('cell_id', c.cell_id, 'h', 1E0)))
+      ELSE named_struct('m', a.m - least(a.m * (2E-2 + 8E0 * greatest((c.height_m - coalesce(a.prev, c.height_m)) / 1.2E4, 0E0)), a.m),
+        'h', greatest(2E1 * least(a.m * (2E-2 + 8E0 * greatest((c.height_m - coalesce(a.prev, c.height_m)) / 1.2E4, 0E0)), a.m) + 3E-1, 0E0), 'prev', c.height_m,
+        'out', array_append(a.out, named_struct('cell_id', c.cell_id, 'h', greatest(2E1 * least(a.m * (2E-2 + 8E0 * greatest((c.height_m - coalesce(a.prev, c.height_m)) / 1.2E4, 0E0)), a.m) + 3E-1, 0E0)))) END"""
+    text = f"""WITH {cells(SPARK)}, rows AS (SELECT y, array_sort(collect_list(named_struct('x', x, 'cell_id', cell_id, 'height_m', height_m, 'is_water', is_water))) AS row FROM cells GROUP BY y)
+      SELECT inline(aggregate(row, named_struct('m', 0E0, 'h', 0E0, 'prev', CAST(NULL AS BIGINT), 'out', CAST(array() AS array<struct<cell_id: bigint, h: double>>)), (a, c) -> {step}, a -> a.out)) FROM rows"""
+    return run(spark, sf_dir, text).select("cell_id", F.expr(f"{SPARK.whole('h * 1E6')}").alias("humidity_micro"))
+
+
+def _march(d: Dialect) -> str:
+    rain = "least(r.m * (2E-2 + 8E0 * greatest((c.height_m - coalesce(r.prev, c.height_m)) / 1.2E4, 0E0)), r.m)"
+    return f"""WITH RECURSIVE {cells(d)}, r(x, y, m, h, prev) AS (SELECT -1::BIGINT, y, 0E0, 0E0, NULL::BIGINT FROM cells WHERE x = 0 UNION ALL
+      SELECT c.x, c.y, CASE WHEN c.is_water THEN least(1E0, r.m + 1.8E-1) ELSE r.m - {rain} END, CASE WHEN c.is_water THEN 1E0 ELSE greatest(2E1 * {rain} + 3E-1, 0E0) END, c.height_m
+      FROM r JOIN cells c ON c.y = r.y AND c.x = r.x + 1)
+    SELECT y * 100 + x AS cell_id, {d.whole('h * 1E6')} AS humidity_micro FROM r WHERE x >= 0"""
+
+
+ORACLES["moisture_march"] = _march
