@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity
+from tessera.llm import byte_bpe, licenses, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity
 from tessera.session import ship
 
 
@@ -34,6 +34,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir)).select("doc_id", *licenses.ADDED)
+
+
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_frames.write_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, token_frames.new_folder(spark))
     return token_frames.digests(token_frames.read_tokens(spark, files))
@@ -50,8 +54,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op7_token_frames, op8_byte_bpe, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op6_license_scan, op7_token_frames, op8_byte_bpe, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.oracle_sql()}
+    return {"op4_quality_rules": quality_rules.oracle_sql(), "op6_license_scan": licenses.oracle_sql()}
