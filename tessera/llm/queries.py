@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, licenses, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity
+from tessera.llm import byte_bpe, licenses, masked_lm, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity
 from tessera.session import ship
 
 
@@ -49,12 +49,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode_documents(encoded, ranks))
 
 
+def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score_documents(_documents(spark, sf_dir))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op6_license_scan, op7_token_frames, op8_byte_bpe, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op6_license_scan, op7_token_frames, op8_byte_bpe, op9_masked_lm, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
