@@ -73,6 +73,17 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
+def fenced(df: DataFrame, name: str = "_fence") -> DataFrame:
+    """df with a column of numbers of 0 or more that no filter is pushed through.
+
+    Spark moves filters below projections by putting the projections' expressions into them, even
+    costly ones that are used many times. A filter that also asks for fence >= 0 stays above.
+    """
+    from pyspark.sql import functions as F
+
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the table behind a DataFrame that cut() returned and that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)
