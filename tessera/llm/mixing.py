@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.quality_rules import words_of
-from tessera.session import cut
+from tessera.session import cut, fenced
 
 DOMAINS = ("high", "low", "toxic")
 #: Target shares of tokens by domain.
-TARGETS = {"high": 0.75, "low": 0.22, "toxic": 0.03}
+TARGETS = {"high": 0.86, "low": 0.07, "toxic": 0.07}
 
 #: Labelled rows that the classifier is fitted on at most: those whose ids hash lowest.
 TRAIN_ROWS = 4000
@@ -73,15 +73,15 @@ def _sum_of(table: Column, numbers: Column) -> Column:
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with _n (words) and the posteriors _p0, _p1 ...
 
-    The evidence of a text of m distinct words counts for the square root of m of them, which keeps
-    posteriors soft for long texts.
+    The evidence of a text of m distinct words is divided by the fourth root of m, which keeps the
+    posteriors of long texts soft.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumns({"_n": F.size(words_of(text)).cast("long"), "_f": _features(text)})
     # A text literal keeps the plan small; it is turned into an array once, when the plan is optimised.
     table = [F.split(F.lit(",".join(map(str, w))), ",").cast("array<int>") for w in model.weights]
     sums = [_sum_of(t, F.col("_f")) for t in table]
-    evidence = [F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), (p + s / F.greatest(F.lit(1.0), F.sqrt(F.size("_f")))) / STEPS))) for p, s in zip(model.prior.tolist(), sums, strict=True)]
+    evidence = [F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), (p + s / F.greatest(F.lit(1.0), F.pow(F.size("_f"), F.lit(0.25)))) / STEPS))) for p, s in zip(model.prior.tolist(), sums, strict=True)]
     df = df.withColumns({f"_e{k + 1}": e for k, e in enumerate(evidence)}).withColumn("_e0", F.lit(1.0))
     every = [F.col(f"_e{k}") for k in range(len(DOMAINS))]
     return df.withColumns({f"_p{k}": e / sum(every[1:], every[0]) for k, e in enumerate(every)}).drop("_f", *[f"_e{k}" for k in range(len(DOMAINS))])
@@ -153,6 +153,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     model = fit(docs, labels)
     scored = cut(_scored(docs, model).select("_n", *[f"_p{k}" for k in range(len(DOMAINS))]))
     steps = fit_rates(scored, targets or TARGETS)
-    again = _scored(docs, model)
-    many = again.withColumn("_copies", _copies(F.round(_rate(steps), 6), F.col("doc_id"))).where("_copies > 0")
+    again = fenced(_scored(docs, model))
+    many = fenced(again.withColumn("_copies", _copies(F.round(_rate(steps), 6), F.col("doc_id"))), "_fence2").where("_copies > 0 AND _fence >= 0 AND _fence2 >= 0")
     return many.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, fenced
 
 #: ASCII white space, as a regex class body and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -240,7 +240,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     clash = [c for c in columns if c in ADDED]
     plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
     stats = cut(_keyed(plain).select("lang", "source", "_lang", "_group", "base_failed", *FEATURES))
-    kept = _judged(_keyed(plain), cut(_chosen(stats))).where("kept")
+    kept = _judged(fenced(_keyed(plain)), cut(_chosen(stats))).where("kept AND _fence >= 0")
     return kept.drop(*ADDED).withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*columns)
 
 
