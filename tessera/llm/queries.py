@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, licenses, masked_lm, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity
+from tessera.llm import bm25, byte_bpe, licenses, masked_lm, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity
 from tessera.session import ship
 
 
@@ -34,6 +34,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search_documents(_documents(spark, sf_dir))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_documents(spark, sf_dir)).select("doc_id", *licenses.ADDED)
 
@@ -58,7 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op6_license_scan, op7_token_frames, op8_byte_bpe, op9_masked_lm, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op5_bm25_top_k, op6_license_scan, op7_token_frames, op8_byte_bpe, op9_masked_lm, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
