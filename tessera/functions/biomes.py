@@ -59,7 +59,7 @@ def case_sql(height: str, temperature: str, dithered_t: str, dithered_h: str) ->
     for tier, over, t, h, biome in RULES:
         tests = [(f"{height} <= 0", f"{height} > 2500", f"{height} > 0 AND {height} <= 2500")[tier]]
         if tier == 0 and over >= 0:
-            tests.append(f"-{height} > {over}")
+            tests.append(f"-({height}) > {over}")
         if tier == 1:
             tests.append(f"{height} > {over}")
         if t < ANY:
