@@ -304,3 +304,49 @@ def zoom(d):
     return f"""WITH {cells(d)}, wide AS (SELECT x, y, height_m, {d.explode(d.numbers('0', '1'))} AS i FROM cells),
     tall AS (SELECT *, {d.explode(d.numbers('0', '1'))} AS j FROM wide)
     SELECT CAST((2 * y + j) * 200 + 2 * x + i AS BIGINT) AS pixel, height_m FROM tall"""
+
+
+@query
+def synthetic_island(d):
+    """The synthetic island of seed 42: a paraboloid whose center and amplitude come from named bytes."""
+    from tessera.sources.world_file import HEIGHT, WIDTH, island_shape
+
+    cx, cy, amplitude, _ = island_shape(42)
+    h = f"({amplitude!r}E0 - 9E-1 * ((x - {cx}) * (x - {cx}) + (y - {cy}) * (y - {cy})))"
+    return f"""WITH ids AS (SELECT {d.explode(d.numbers('0', str(WIDTH * HEIGHT - 1)))} AS id),
+    xy AS (SELECT CAST(id AS BIGINT) AS cell_id, CAST(id AS BIGINT) % {WIDTH} AS x, {d.div('CAST(id AS BIGINT)', str(WIDTH))} AS y FROM ids)
+    SELECT cell_id, {d.whole(h)} AS height_m, {h} <= 0 AS is_water FROM xy"""
+
+
+@query
+def raster_precipitation(d):
+    return over_cells(d, gradient("(humidity_dp * 3E0)", PRECIPITATION_STOPS))
+
+
+@query
+def raster_potential(d):
+    return f"""WITH {cells(d)}, p AS (SELECT territory, {d.whole(f'avg({SCORE}) / 1E-3')} AS potential FROM cells WHERE territory IS NOT NULL GROUP BY territory)
+      SELECT territory, {gradient('(potential * 1E0)', POTENTIAL_STOPS)} FROM p"""
+
+
+@query
+def raster_height(d):
+    """Grey by height, 40 for the lowest and 235 for the highest cell."""
+    return f"""WITH {cells(d)}, m AS (SELECT min(height_m) AS lo, max(height_m) AS hi FROM cells)
+      SELECT cell_id, CAST(CASE WHEN hi > lo THEN round(4E1 + 1.95E2 * ((height_m - lo) * 1E0 / (hi - lo))) ELSE 40 END AS INT) AS grey FROM cells CROSS JOIN m"""
+
+
+@query
+def raster_biome(d):
+    """The registry's colour of each cell's biome."""
+    return f"""WITH {cells(d)}, {dithered(d)}, b AS (SELECT cell_id, {biomes.case_sql('height_m', 'temperature_dc', 't', 'h')} AS biome FROM dith),
+    reg AS (SELECT * FROM (VALUES {biomes.registry_sql()}) AS r(id, name, category, r, g, b, deprecated))
+    SELECT b.cell_id, reg.r, reg.g, reg.b FROM b JOIN reg ON reg.id = b.biome"""
+
+
+@query
+def raster_territory(d):
+    """Land cells by territory (golden-ratio hue in thousandths), others in the colour of none."""
+    hue = "(territory * 6.180339887498949E-1 - floor(territory * 6.180339887498949E-1))"
+    none = NO_TERRITORY_COLOR[0] * 65536 + NO_TERRITORY_COLOR[1] * 256 + NO_TERRITORY_COLOR[2]
+    return over_cells(d, f"{d.whole(f'{hue} * 1E3')} AS hue_milli, CASE WHEN territory IS NULL THEN {none} END AS plain")
