@@ -233,7 +233,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     signed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
     fps = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     n = fps.count()
-    joined = connected_components(_links(fps, n))
+    joined = connected_components(cut(_links(fps, n)))
     of = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = of.select("fp", "component").join(least, "component").select("fp", "component_id")
