@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _dealt(split: dict[int, int], blocks: int, buckets: int):
-    """Batches of fingerprints to rows (bucket, keys, fps, home flags), packed."""
+    """Batches of fingerprints to rows (bucket, keys, fps, home flags); keys are sorted and sent as packed differences."""
     names, counts = (np.array(x, np.int64) for x in (sorted(split), [split[k] for k in sorted(split)]))
 
     def parts_of(anchor: np.ndarray) -> np.ndarray:
@@ -149,6 +150,9 @@ def _dealt(split: dict[int, int], blocks: int, buckets: int):
         at = np.minimum(np.searchsorted(names, anchor), len(names) - 1)
         return np.where(names[at] == anchor, counts[at], 1)
 
+    def squeeze(x: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = b.column(0).to_numpy().view(np.uint64)
@@ -165,11 +169,12 @@ def _dealt(split: dict[int, int], blocks: int, buckets: int):
                     part = np.zeros(len(anchors), np.int64)
                 key = (part << 24) | anchors
                 bucket = (_mixed(key) >> np.uint64(20)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((key, bucket))
                 first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
                 cuts = [*first, len(order)]
                 key, out, home = key[order], fp[rows[order]], home[order]
-                pieces = [[x[i:j].tobytes() for i, j in itertools.pairwise(cuts)] for x in (key, out, home)]
+                runs = list(itertools.pairwise(cuts))
+                pieces = [[squeeze(np.diff(key[i:j], prepend=0)) for i, j in runs], [out[i:j].tobytes() for i, j in runs], [squeeze(np.packbits(home[i:j])) for i, j in runs]]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), *[pa.array(p, pa.binary()) for p in pieces]], ["bucket", "keys", "fps", "home"])
 
     return deal
@@ -194,7 +199,11 @@ def _forest(own: np.ndarray, all_: np.ndarray, out: list[np.ndarray]) -> None:
 
 def _compare(table: pa.Table) -> pa.Table:
     """Links of one bucket, as a spanning forest for each anchor."""
-    key, fp, home = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.int64), ("fps", np.uint64), ("home", bool)))
+    opened = zstandard.ZstdDecompressor().decompress
+    key = np.concatenate([np.cumsum(np.frombuffer(opened(x), np.int64)) for x in table.column("keys").to_pylist()])
+    each = [np.frombuffer(x, np.uint64) for x in table.column("fps").to_pylist()]
+    fp = np.concatenate(each)
+    home = np.concatenate([np.unpackbits(np.frombuffer(opened(x), np.uint8), count=len(e)).astype(bool) for x, e in zip(table.column("home").to_pylist(), each, strict=True)])
     order = np.lexsort((fp, key))
     key, fp, home = key[order], fp[order], home[order]
     edges: list[np.ndarray] = []
