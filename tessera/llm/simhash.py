@@ -257,7 +257,8 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     """
     comp = cut(simhash_components(docs))
     keep = comp.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).count()
-    kept = docs.join(keep.select("_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    # As many ids as documents stay: never broadcast, however few they are here.
+    kept = docs.join(keep.select("_keep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
     if keep.where("_keep IS NOT NULL AND count > 1").isEmpty():
         return kept
     named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
