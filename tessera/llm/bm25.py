@@ -31,6 +31,8 @@ K1, B = 1.2, 0.75
 TOP, EVERY = 10, 100
 #: Queries in a block, documents and text characters in a shard, documents in a block of it.
 QUERY_BLOCK, SHARD_DOCS, SHARD_CHARS, BLOCK = 2048, 8192, 32_000_000, 64
+#: Files that a block's frequencies are spread over.
+FILES = 8
 #: A term in over 1/DENSE of a shard's documents is kept as a row of impacts rather than as postings.
 DENSE = 16
 #: Blocks opened first, for a threshold.
@@ -206,7 +208,7 @@ def search_documents(docs: DataFrame) -> DataFrame:
     blocked = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).cast("int").alias("block"), "query_id", "text")
     queries = cut(blocked.mapInArrow(_terms, "block int, query_id long, terms array<string>, tfs array<int>"), "block")
     counted = plain.mapInArrow(_frequencies(_folder(queries), blocks), "block int, term string, df long, length long")
-    frequencies = cut(counted.groupBy("block", "term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).repartition(F.col("block")), "block")
+    frequencies = cut(counted.groupBy("block", "term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).repartition(F.col("block"), F.pmod(F.xxhash64("term"), F.lit(FILES))), "block")
     total = frequencies.where("block = -1").first()
     n, mean = (total.df, total.length / total.df) if total else (0, 1.0)
     found = plain.mapInArrow(_search(_folder(queries), _folder(frequencies), blocks, n, mean), "query_id long, doc_id long, score double")
