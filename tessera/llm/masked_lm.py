@@ -1,18 +1,21 @@
 """Masked pseudo-likelihood of documents by a small bidirectional window network, trained in numpy.
 
 Tokens are lower-case words, hashed to VOCABULARY numbers. The network sees the WINDOW tokens on either
-side of a masked one: each place has its own embedding table, their sum goes through tanh, and the token
-is predicted in two steps, its group of GROUP numbers and its place in the group. A document's score is
-the sum of the log-probabilities of all its tokens, each from both sides.
-
-Training covers every document: each task starts from the same weights, learns from one in STRIDE of the
-positions of each of its documents, and the tasks' weights are averaged by the tokens learned from, in
-three combining steps of blocks, so that no task gathers all weights.
+side of a masked one: each place has its own embedding table, their sum goes through tanh, and the number
+is predicted in two steps, its group of GROUP numbers and its place in the group. Which of the words of
+that number it is comes from counts over the whole corpus: the most frequent ones (WORDS at most) have
+their share of the number's count each, all others share what is left and are spelled by pairs of bytes.
+A document's score is the sum of the log-probabilities of all its words, each from both sides.
+
+Training covers every position of every document: each task starts from the same weights, learns from
+its documents, and the tasks' weights are averaged by the tokens learned from, in three combining steps
+of blocks, so that no task gathers all weights.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +24,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 VOCABULARY, GROUP = 4096, 64
 GROUPS = VOCABULARY // GROUP
 WINDOW, WIDTH = 2, 16
-STRIDE = 8
 #: Steps: tokens in one, Adagrad's rate; tokens scored at once.
 BATCH, RATE, AT_ONCE = 2048, 0.15, 16384
 #: Blocks of weights that are averaged apart, and tasks whose weights are added first.
 BLOCKS, FAN = 16, 32
 SEED = 7
-#: Words whose numbers are remembered.
+#: Words whose numbers are remembered, or that a task counts before it hands them on.
 REMEMBERED = 300_000
+#: Words with counts of their own at most, and the bytes that such a word has at most; the others are spelled.
+WORDS, LONGEST = 65536, 64
 
 SHAPES = {"embed": (2 * WINDOW, VOCABULARY + 1, WIDTH), "bias": (WIDTH,), "group": (GROUPS, WIDTH), "group_bias": (GROUPS,), "inner": (GROUPS, GROUP, WIDTH), "inner_bias": (GROUPS, GROUP)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -101,9 +107,17 @@ class Network:
             by = np.argsort(context[:, k], kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(context[by, k]) != 0))
             grad.embed[k][context[by[first], k]] = np.add.reduceat(dh[by], first)
-        step = grad.flat / np.float32(n)
-        squares.flat += step * step
-        self.flat -= np.float32(RATE) * step / (np.sqrt(squares.flat) + np.float32(1e-6))
+            self._step(self.embed[k], grad.embed[k], squares.embed[k], n, context[by[first], k])
+        rest = slice(self.embed.size, None)
+        self._step(self.flat, grad.flat, squares.flat, n, rest)
+
+    @staticmethod
+    def _step(weights: np.ndarray, grad: np.ndarray, squares: np.ndarray, n: int, at: np.ndarray | slice) -> None:
+        """Adagrad where the gradient may differ from 0; elsewhere a step changes nothing."""
+        step = grad[at] / np.float32(n)
+        total = squares[at] + step * step
+        squares[at] = total
+        weights[at] -= np.float32(RATE) * step / (np.sqrt(total) + np.float32(1e-6))
 
 
 class Numbers(dict):
@@ -118,10 +132,102 @@ class Numbers(dict):
 
 def tokens(text: str | None, numbers: Numbers) -> np.ndarray:
     """The numbers of a text's words."""
-    words = (text or "").lower().encode().split()
+    return _numbered(words_of(text), numbers)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().split()
+
+
+def _numbered(words: list[bytes], numbers: Numbers) -> np.ndarray:
     return np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
 
 
+def _pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of bytes of words, as 256 * first + second, and how many each word has; a blank stands before and after a word."""
+    line = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int32)
+    return line[:-1] * 256 + line[1:], np.fromiter(map(len, words), np.int64, len(words)) + 1
+
+
+class Counts:
+    """Log-probabilities of words given their numbers, from counts of the corpus.
+
+    Spellings are not held to the words that a number has left, so what they get is a lower bound.
+    """
+
+    def __init__(self, words: dict[bytes, int], total: np.ndarray, rest: np.ndarray, pairs: np.ndarray) -> None:
+        log = np.log(np.maximum(total, 1))
+        self.words = {w: float(np.log(n) - log[zlib.crc32(w) % VOCABULARY]) for w, n in words.items()}
+        self.rest = np.log(np.maximum(rest, 1)) - log
+        pairs = pairs.reshape(256, 256) + 1.0
+        self.spelled = np.log(pairs / pairs.sum(1, keepdims=True)).ravel()
+
+    def log_probabilities(self, words: list[bytes], token: np.ndarray) -> np.ndarray:
+        get = self.words.get
+        out = np.fromiter((get(w, 1.0) for w in words), np.float64, len(words))
+        rare = np.flatnonzero(out > 0)
+        if len(rare):
+            pair, size = _pairs([words[k] for k in rare.tolist()])
+            out[rare] = self.rest[token[rare]] + np.add.reduceat(self.spelled[pair], np.cumsum(size) - size)
+        return out
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (word, n), a word once or more."""
+    seen: Counter[bytes] = Counter()
+    for b in batches:
+        for text in b.column(0):
+            seen.update(words_of(text.as_py()))
+            if len(seen) > REMEMBERED:
+                yield from _counted(seen)
+                seen.clear()
+    yield from _counted(seen)
+
+
+def _counted(seen: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+    words, n = list(seen), list(seen.values())
+    for k in range(0, len(words), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 10_000], pa.binary()), pa.array(n[k : k + 10_000], pa.int64())], ["word", "n"])
+
+
+def _tally(known: set[bytes]):
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, n) to (kind, key, n): 0 for all words of a number, 1 for those that are spelled, 2 for their pairs of bytes."""
+        sums = [np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64), np.zeros(65536, np.int64)]
+        for b in batches:
+            words, n = b.column(0).to_pylist(), np.asarray(b.column(1))
+            token = np.fromiter((zlib.crc32(w) % VOCABULARY for w in words), np.int64, len(words))
+            np.add.at(sums[0], token, n)
+            rare = np.array([k for k, w in enumerate(words) if w not in known], np.int64)
+            if len(rare):
+                np.add.at(sums[1], token[rare], n[rare])
+                pair, size = _pairs([words[k] for k in rare.tolist()])
+                np.add.at(sums[2], pair, np.repeat(n[rare], size))
+        for kind, x in enumerate(sums):
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["kind", "key", "n"])
+
+    return tally
+
+
+def count(docs: DataFrame) -> Counts:
+    """Counts of all words. The driver gets WORDS words at most, how many words have each count, and sums by number and by pair of bytes."""
+    every = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "word binary, n long")
+    every = cut(every.groupBy("word").agg(F.sum("n").alias("n")))
+    short = every.where(F.length("word") <= LONGEST)
+    least, have = 1 << 62, 0
+    for r in sorted(short.groupBy("n").count().collect(), key=lambda r: -r.n):  # words of one count are in or out together
+        have += r["count"]
+        if have > WORDS:
+            break
+        least = r.n
+    words = {bytes(r.word): r.n for r in short.where(F.col("n") >= least).collect()}
+    sums = [np.zeros(k, np.int64) for k in (VOCABULARY, VOCABULARY, 65536)]
+    for r in every.mapInArrow(_tally(set(words)), "kind int, key int, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():
+        sums[r.kind][r.key] = r.n
+    return Counts(words, *sums)
+
+
 def contexts(token: np.ndarray) -> np.ndarray:
     """The WINDOW tokens before and after each; VOCABULARY stands for none."""
     pad = np.full(WINDOW, VOCABULARY, np.int32)
@@ -147,10 +253,9 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text in b.column(0):
             t = tokens(text.as_py(), numbers)
-            at = np.arange((len(t) % STRIDE) // 2, len(t), STRIDE)
-            if len(at):
-                have.append((contexts(t)[at], t[at]))
-                size += len(at)
+            if len(t):
+                have.append((contexts(t), t))
+                size += len(t)
                 if size >= 32 * BATCH:
                     flush()
     if size:
@@ -188,20 +293,22 @@ def train(docs: DataFrame) -> Network:
     return Network(np.concatenate([np.frombuffer(r.weights) / r.learned for r in sorted(rows, key=lambda r: r.block)]).astype(np.float32))
 
 
-def _scorer(flat: np.ndarray):
+def _scorer(flat: np.ndarray, counts: Counts):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, numbers = Network(flat), Numbers()
         for b in batches:
             texts, at = b.column(1), 0
             while at < len(texts):
-                own, size, start = [], 0, at
-                while at < len(texts) and size < 8 * AT_ONCE:
-                    own.append(tokens(texts[at].as_py(), numbers))
-                    size += len(own[-1])
+                own, words, start = [], [], at
+                while at < len(texts) and len(words) < 8 * AT_ONCE:
+                    plain = words_of(texts[at].as_py())
+                    own.append(_numbered(plain, numbers))
+                    words += plain
                     at += 1
                 token = np.concatenate(own)
                 context = np.concatenate([contexts(t) for t in own])
                 p = np.concatenate([net.log_probabilities(context[k : k + AT_ONCE], token[k : k + AT_ONCE]) for k in range(0, len(token), AT_ONCE)] or [np.zeros(0, np.float32)]).astype(np.float64)
+                p += counts.log_probabilities(words, token)
                 n = np.array([len(t) for t in own], np.int64)
                 ends = np.cumsum(n)
                 total = np.append(0.0, np.cumsum(p))
@@ -216,7 +323,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     Null and empty texts have no tokens, a sum of 0 and no mean. Repeated rows score alike; an empty
     table gives no rows. Beyond either end of a text stands a number of its own.
     """
-    flat = train(docs).flat
+    flat, counts = train(docs).flat, count(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = plain.mapInArrow(_scorer(flat), "doc_id long, n_tokens long, log_likelihood double")
+    out = plain.mapInArrow(_scorer(flat, counts), "doc_id long, n_tokens long, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import masked_lm as m
@@ -62,3 +63,20 @@ def test_scores_equal_plain_sums_and_prefer_real_order(spark, docs):
 
 def test_empty(docs):
     assert m.score_documents(docs.limit(0)).count() == 0
+
+
+def test_every_position_is_learned_from():
+    texts = [sentence(random.Random(k)) for k in range(5)] + [None, "one", ""]
+    (rows,) = m._train(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert set(rows.column("learned").to_pylist()) == {sum(len((t or "").split()) for t in texts)}
+
+
+def test_words_of_one_number_have_their_own_probabilities(spark, monkeypatch):
+    same = [w for w in (f"w{k}" for k in range(40000)) if m.Numbers()[w.encode()] == 7][:3]
+    rows = [(k, f"red {same[0]} runs") for k in range(90)] + [(100 + k, f"red {same[1]} runs") for k in range(10)] + [(200, f"red {same[2]} runs")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.log_likelihood for r in m.score_documents(docs).collect()}
+    assert abs(got[0] - got[100] - np.log(9)) < 1e-5 and abs(got[0] - got[200] - np.log(90)) < 1e-5
+    monkeypatch.setattr(m, "WORDS", 4)  # the third word is spelled
+    fewer = {r.doc_id: r.log_likelihood for r in m.score_documents(docs).collect()}
+    assert abs(fewer[0] - fewer[100] - np.log(9)) < 1e-4 and fewer[200] < fewer[0] - np.log(90)
