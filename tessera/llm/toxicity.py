@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded sample of labelled rows gives the examples, and the terms whose presence tells the classes
-apart (chi-square). Each text is compared with the examples by exact TF-IDF cosine: an inverted index
-holds the postings of a term by blocks of examples, with the largest weight of each block, and blocks
-are opened in order of their bounds until none can reach the nearest examples found. The neighbours'
-votes, weighted by similarity, are turned into a probability by a logistic curve that is fitted on the
-examples themselves, each left out of its own neighbours.
+A bounded sample of labelled rows gives the examples. Each text is compared with them by exact TF-IDF
+cosine over all their terms, with document counts from the whole corpus: an inverted index holds the
+postings of each term, and all postings of a text's terms are added up. The neighbours are the evidence.
+The terms whose presence tells the classes apart (chi-square) have a second index of blocks of examples
+with the largest weight of each block; blocks are opened in order of their bounds until none can reach
+the nearest examples found. Both indexes' votes, weighted by similarity, are turned into a probability by
+a logistic curve that is fitted on the examples themselves, each left out of its own neighbours.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from tessera.session import cut
 
 #: Labelled rows of each class that become examples at most: those whose ids hash lowest.
 EXAMPLES = 2000
-#: Terms kept at most, and the chi-square value from which a term tells the classes apart.
+#: Terms of the second index at most, and the chi-square value from which a term tells the classes apart.
 TERMS, CHI_SQUARE = 2000, 20.0
 #: Terms of a training text that are counted at most once each; neighbours that vote; examples in a block.
 NEIGHBOURS, BLOCK = 15, 64
@@ -47,33 +48,38 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array([x] * n, pa.int32()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["doc_id", "toxic", "term", "tf"])
 
 
-class Model:
-    """Examples as a block-max inverted index, and the curve from votes to scores."""
+def _frequencies(terms: dict[str, int]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts to (term, n): a task's texts with each of the terms."""
+        df = np.zeros(len(terms), np.int64)
+        get = terms.get
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                df[[k for k in map(get, set(_words((t or "").lower()))) if k is not None]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
 
-    def __init__(self, terms: list[str], vectors: list[dict[int, int]], ids: list[int], toxic: np.ndarray, share: float) -> None:
-        n = len(ids)
-        self.term = {t: k for k, t in enumerate(terms)}
-        self.ids, self.toxic = np.array(ids, np.int64), toxic
-        df = np.zeros(len(terms))
-        for v in vectors:
-            df[list(v)] += 1
-        self.idf = np.log((1 + n) / (1 + df)) + 1
-        posts: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for e, v in enumerate(vectors):
-            for k, w in zip(*self.weigh(v), strict=True):
-                posts[k].append((e, w))
-        #: By term: the examples, their weights, where each block begins; and the largest weight by term and block.
-        self.blocks = -(-n // BLOCK)
-        edge = np.arange(self.blocks + 1) * BLOCK
-        self.examples = [np.array([e for e, _ in p], np.int64) for p in posts]
-        self.weights = [np.array([w for _, w in p]) for p in posts]
-        self.begins = [np.searchsorted(e, edge).tolist() for e in self.examples]
-        self.bound = np.zeros((len(terms), self.blocks))
-        for k, (e, w) in enumerate(zip(self.examples, self.weights, strict=True)):
-            np.maximum.at(self.bound[k], e // BLOCK, w)
-        self.curve = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0])
-        if n and 0 < toxic.sum() < n:
-            self._calibrate(vectors, share)
+    return count
+
+
+class Index:
+    """Postings of examples by term: (example, term) pairs without repeats, tf of each, and the terms' IDF."""
+
+    def __init__(self, term: dict[str, int], example: np.ndarray, at: np.ndarray, tf: np.ndarray, n: int, idf: np.ndarray) -> None:
+        self.term, self.idf, self.n = term, idf, n
+        w = (1 + np.log(tf)) * idf[at]
+        w = w / np.sqrt(np.bincount(example, w * w, n))[example]
+        order = np.lexsort((example, at))
+        self.example, self.weight = example[order].astype(np.int32), w[order]
+        self.start = np.searchsorted(at[order], np.arange(len(term) + 1))
+
+    @property
+    def examples(self) -> list[np.ndarray]:
+        return np.split(self.example, self.start[1:-1]) if self.term else []
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return np.split(self.weight, self.start[1:-1]) if self.term else []
 
     def weigh(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
         """Terms and their weights: 1 + ln(tf) times idf, to length 1."""
@@ -85,6 +91,34 @@ class Model:
         get = self.term.get
         return Counter(k for k in map(get, _words((text or "").lower())) if k is not None)
 
+    def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The NEIGHBOURS examples of largest cosine over 0, and the cosines; ties go to the lower number."""
+        at, w = self.weigh(counts)
+        score = np.zeros(self.n)
+        for k, x in zip(at, w.tolist(), strict=True):
+            i, j = self.start[k], self.start[k + 1]
+            score[self.example[i:j]] += x * self.weight[i:j]
+        if without >= 0:
+            score[without] = 0
+        near = np.round(score, 12)
+        least = np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] if self.n > NEIGHBOURS else 0.0
+        found = np.flatnonzero((near >= least) & (near > 0))
+        best = np.lexsort((found, -near[found]))[:NEIGHBOURS]
+        return found[best], near[found[best]]
+
+
+class Markers(Index):
+    """Postings with the largest weight of each block of examples, for few terms."""
+
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self.blocks = -(-self.n // BLOCK)
+        edge = np.arange(self.blocks + 1) * BLOCK
+        self.begins = [(np.searchsorted(e, edge) + i).tolist() for e, i in zip(self.examples, self.start.tolist(), strict=False)]
+        self.bound = np.zeros((len(self.term), self.blocks))
+        for k, (e, w) in enumerate(zip(self.examples, self.weights, strict=True)):
+            np.maximum.at(self.bound[k], e // BLOCK, w)
+
     def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The NEIGHBOURS examples of largest cosine over 0, and the cosines; ties go to the lower number."""
         at, w = self.weigh(counts)
@@ -100,7 +134,7 @@ class Model:
             for k, x in zip(at, w, strict=True):
                 i, j = self.begins[k][b], self.begins[k][b + 1]
                 if i < j:
-                    score[self.examples[k][i:j] - b * BLOCK] += x * self.weights[k][i:j]
+                    score[self.example[i:j] - b * BLOCK] += x * self.weight[i:j]
             if 0 <= without - b * BLOCK < BLOCK:
                 score[without - b * BLOCK] = 0
             hit = np.flatnonzero(score > 0)
@@ -113,34 +147,58 @@ class Model:
         best = np.lexsort((found, -near))
         return found[best], near[best]
 
+
+class Model(Index):
+    """The index of all terms, that of the markers, and the curve from their votes to scores."""
+
+    def __init__(self, index: tuple, markers: tuple, ids: list[int], toxic: np.ndarray, share: float) -> None:
+        super().__init__(*index)
+        self.markers = Markers(*markers)
+        self.ids, self.toxic = np.array(ids, np.int64), toxic
+        self.curve = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0, 0.0, 0.0])
+        if self.n and 0 < toxic.sum() < self.n:
+            self._calibrate(index, markers, share)
+
     def votes(self, found: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Share of the votes for toxic, each neighbour's being its squared cosine, and that share times the largest cosine."""
         if not len(found):
-            return np.array([1.0, 0.0, 0.0])
+            return np.zeros(2)
         weight = near**2
         vote = (weight * self.toxic[found]).sum() / weight.sum()
-        return np.array([1.0, vote, vote * near[0]])
+        return np.array([vote, vote * near[0]])
 
-    def _calibrate(self, vectors: list[dict[int, int]], share: float) -> None:
+    def features(self, near: tuple, marked: tuple) -> np.ndarray:
+        return np.concatenate([[1.0], self.votes(*near), self.votes(*marked)])
+
+    def _calibrate(self, index: tuple, markers: tuple, share: float) -> None:
         """Logistic regression by Newton steps; classes count as they do among all labelled rows."""
-        x = np.array([self.votes(*self.nearest(v, e)) for e, v in enumerate(vectors)])
+        x = np.array([self.features(self.nearest(v, e), self.markers.nearest(m, e)) for e, (v, m) in enumerate(zip(_vectors(index, self.n), _vectors(markers, self.n), strict=True))])
         y = self.toxic.astype(float)
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-        beta = np.zeros(3)
+        beta = np.zeros(5)
         for _ in range(50):
             p = 1 / (1 + np.exp(-x @ beta))
-            slope = x.T @ (weight * (p - y)) + 0.1 * beta * [0, 1, 1]
-            curve = (x.T * (weight * p * (1 - p))) @ x + 0.1 * np.diag([1e-3, 1, 1])
+            slope = x.T @ (weight * (p - y)) + 0.1 * beta * [0, 1, 1, 1, 1]
+            curve = (x.T * (weight * p * (1 - p))) @ x + 0.1 * np.diag([1e-3, 1, 1, 1, 1])
             beta = beta - np.linalg.solve(curve, slope)
         self.curve = beta
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
         found, near = self.nearest(self.count(text))
-        return float(1 / (1 + np.exp(-self.votes(found, near) @ self.curve))), found, near
+        x = self.features((found, near), self.markers.nearest(self.markers.count(text)))
+        return float(1 / (1 + np.exp(-x @ self.curve))), found, near
+
+
+def _vectors(index: tuple, n: int) -> list[dict[int, int]]:
+    """(term: tf) of each example."""
+    out: list[dict[int, int]] = [{} for _ in range(n)]
+    for e, k, tf in zip(*(x.tolist() for x in index[1:4]), strict=True):
+        out[e][k] = tf
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model, from labelled rows that are not held out. Only terms that it keeps come to the driver."""
+    """The model, from labelled rows that are not held out. The driver gets the terms of the examples."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = [known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for x in (0, 1)]
@@ -155,22 +213,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = by.where(F.col("a") + F.col("b") < n).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
     terms = [r.term for r in chosen.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
     at = {t: k for k, t in enumerate(terms)}
-    vectors: dict[int, dict[int, int]] = {}
-    toxic = {}
-    for r in sample.collect():
-        vectors[r.doc_id], toxic[r.doc_id] = {}, r.toxic
-    kept = rows.join(F.broadcast(chosen.select("term").orderBy(F.desc("chi"), "term").limit(TERMS)), "term", "left_semi")
-    for r in kept.groupBy("doc_id", "term").agg(F.max("tf").alias("tf")).collect():  # examples x TERMS at most
-        vectors[r.doc_id][at[r.term]] = r.tf
-    ids = sorted(vectors)
+    toxic = {r.doc_id: r.toxic for r in sample.collect()}
+    ids = sorted(toxic)
+    got = rows.groupBy("doc_id", "term").agg(F.max("tf").alias("tf")).toArrow()
+    coded = got.column("term").combine_chunks().dictionary_encode()
+    every = {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
+    example, term, tf = np.searchsorted(ids, got.column("doc_id").to_numpy()), coded.indices.to_numpy().astype(np.int64), got.column("tf").to_numpy()
+    df, size = np.zeros(len(every)), docs.count()
+    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(every), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+        df[r["term"]] = r["n"]
+    idf = np.log((1 + size) / (1 + df)) + 1
+    marker = np.full(len(every) + 1, -1)
+    marker[[every[t] for t in terms]] = np.arange(len(terms))
+    kept = marker[term] >= 0
+    own = np.array([idf[every[t]] for t in terms])
     share = total.get(1, 0) / max(1, sum(total.values()))
-    return Model(terms, [vectors[i] for i in ids], ids, np.array([toxic[i] for i in ids], int), share)
+    n = len(ids)
+    return Model((every, example, term, tf, n, idf), (at, example[kept], marker[term[kept]], tf[kept], n, own), ids, np.array([toxic[i] for i in ids], int), share)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, neighbours, similarities) for every row of docs (doc_id, text; more columns are ignored).
 
-    Null and empty texts, and texts without any term of the model, have no neighbours and the score of
+    Null and empty texts, and texts without any term of the examples, have no neighbours and the score of
     no votes. Repeated rows score alike; an empty table gives no rows. Without labels of both classes
     every score is the share of toxic rows. neighbours are the examples' doc_ids, the evidence of a score.
     """

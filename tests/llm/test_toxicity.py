@@ -60,3 +60,15 @@ def test_without_labels(tables):
     docs, labels, rows = tables
     assert {r.predicted for r in t.toxicity(docs, labels.limit(0)).collect()} == {0}
     assert t.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_every_term_of_the_examples_counts(tables):
+    docs, labels, rows = tables
+    model = t.fit(docs, labels)
+    texts = {i: text for i, text, *_ in rows if i is not None}
+    words = lambda text: set(t._words((text or "").lower()))
+    assert set(model.term) == set().union(*(words(texts[i]) for i in model.ids.tolist()))
+    df = sum("word1" in words(text) for _, text, *_ in rows)  # over all documents, not the examples
+    assert abs(model.idf[model.term["word1"]] - np.log((1 + len(rows)) / (1 + df)) - 1) < 1e-12
+    found, _ = model.nearest(model.count("word17 word18"))
+    assert len(found) and all(words(texts[model.ids[f]]) & {"word17", "word18"} for f in found.tolist())
