@@ -153,13 +153,13 @@ def lloyd_two_pass(spark, sf_dir):
     surface = land(spark, sf_dir)
     seeds = surface.where("cell_id % 37 = 0").select("cell_id", F.expr("cell_id div 37").alias("seed"))
     for _ in range(2):
-        own = grid.grow(surface, seeds, WIDTH, REACH).join(surface.select("cell_id", "x", "y"), "cell_id")
+        own = grid.grow(surface, seeds, WIDTH).join(surface.select("cell_id", "x", "y"), "cell_id")
         at = seeds.select("seed", (F.col("cell_id") % WIDTH).alias("fx"))
         own = cut(own.join(at, "seed").withColumn("rx", F.expr("pmod(x - fx + 50, 100) - 50")))
         mean = own.groupBy("seed").agg(F.expr("sum(rx) div count(*)").alias("mx"), F.expr("sum(y) div count(*)").alias("my"))
         near = own.join(mean, "seed").groupBy("seed").agg(F.expr("min_by(cell_id, struct((rx - mx) * (rx - mx) + (y - my) * (y - my), cell_id))").alias("cell_id"))
         seeds = cut(near.select("cell_id", "seed"))
-    return grid.grow(surface, seeds, WIDTH, REACH).select("cell_id", F.col("dist").cast("long").alias("dist"), "seed")
+    return grid.grow(surface, seeds, WIDTH).select("cell_id", F.col("dist").cast("long").alias("dist"), "seed")
 
 
 # Flow, over heights summed in 5 x 5 windows

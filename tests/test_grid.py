@@ -8,6 +8,7 @@ import pytest
 from tessera.functions import biomes
 from tessera.operators import grid
 from tessera.operators.graph import connected_components
+from tessera.plans import graphs
 
 
 def cells(spark, rows, want="~"):
@@ -100,3 +101,10 @@ def test_biome_cases(spark, t, h, biome):
 def test_dithered_biomes(spark):
     case = lambda t, h: spark.range(1).selectExpr(f"{biomes.case_sql('100', '0', str(t), str(h))} AS b").first().b
     assert [case(-1, 500), case(19, 500), case(-1, 410), case(-1, 390)] == [7, 8, 7, 6]
+
+
+def test_lloyd_passes_reach_all_land_from_a_seed(spark, monkeypatch):
+    surface = spark.createDataFrame([(k, k % 100, 0, 1) for k in range(37)], "cell_id long, x long, y long, height_m int")
+    monkeypatch.setattr(graphs, "land", lambda *_: surface)  # one seed, at 0
+    got = {r.cell_id: (r.dist, r.seed) for r in graphs.lloyd_two_pass(spark, "").collect()}
+    assert got == {k: (abs(k - 18), 0) for k in range(37)}
