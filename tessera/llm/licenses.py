@@ -1,8 +1,9 @@
 """Licences by recognised sentences.
 
-Texts are cut into sentences, sentences are normalised and looked up among known licence sentences, and
-the sequence of their identifiers is matched against ordered rules; a rule takes the identifiers that it
-matches. Column expressions only.
+Texts are normalised, with breaks at sentence marks and at lines, and known licence sentences are found
+between breaks; a sentence may go over lines, not over a mark or a blank line. The sequence of their
+identifiers is matched against ordered rules; a rule takes the identifiers that it matches. Column
+expressions only.
 """
 
 from __future__ import annotations
@@ -49,6 +50,9 @@ RULES = (
     (("AllRights",), "Proprietary"),
 )
 
+#: A title is a known one where it begins a paragraph.
+TITLES = {"mit license": "MITTitle"}
+
 #: Where sentences end: a mark before white space or the end, or a line's end.
 ENDS = r"[.!?;:][\x20\x09-\x0D]+|[.!?;:]$|\n"
 
@@ -57,8 +61,16 @@ def _rule(sequence: tuple[str, ...]) -> str:
     return "".join(f"(<{x[:-1]}>)?" if x.endswith("?") else f"<{x}>" for x in sequence)
 
 
-def _normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def _normalised(text: Column) -> Column:
+    """Words by single blanks; a line feed where a line ends, two or more where a mark or a blank line (of decoration, too) is."""
+    marked = F.regexp_replace(F.lower(text), r"[.!?;:][\x20\x09-\x0D]+", "\n\n")
+    return F.trim(F.regexp_replace(F.regexp_replace(marked, r"[^a-z0-9\n]+", " "), " ?\n ?", "\n"))
+
+
+def _known() -> str:
+    """Known sentences between breaks, the longest first; a line may end at any blank of them."""
+    wrapped = lambda names: "|".join(n.replace(" ", "[ \n]") for n in sorted(names, key=lambda n: (-len(n), n)))
+    return f"(?<![^\n])(?:{wrapped(SENTENCES)})(?![^\n])|(?<![^\n])(?<![^\n]\n)(?:{wrapped(TITLES)})(?![^\n])"
 
 
 #: Columns that the operator adds; columns of the input with these names are replaced.
@@ -70,13 +82,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     sentence_ids are the identifiers of known sentences in their order, by commas; licenses those of the
     rules that match, each once, in the order of the rules; unmatched the number of identifiers that no
-    rule took. Null and empty texts have no identifiers. Only sentences of at most 400 characters can be
-    known; longer ones are none. Repeated rows give equal results, an empty table none.
+    rule took. Null and empty texts have no identifiers. Repeated rows give equal results, an empty table none.
     """
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | TITLES).items() for x in pair])
     plain = docs.drop(*ADDED)
-    sentences = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), ENDS), lambda s: (F.length(s) <= 400) & F.lower(s).rlike("licen|copyright|software|redistribution|rights reserved"))
-    ids = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, _normalised(s))), lambda s: s.isNotNull())
+    text = F.when(F.lower("text").rlike("licen|copyright|software|redistribution|reserved"), F.col("text")).otherwise("")
+    found = F.regexp_extract_all(_normalised(text), F.lit(_known()), F.lit(0))
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     df = plain.withColumn("_ids", ids).drop("text")
     df = df.withColumn("_left", F.concat(F.lit(""), F.array_join(F.transform("_ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")))
     found = []

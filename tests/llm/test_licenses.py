@@ -47,3 +47,19 @@ def test_against_plain_python(spark):
     docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], SCHEMA)
     for r in l.license_scan(docs).collect():
         assert (r.sentence_ids, r.licenses, r.unmatched) == plain(texts[r.doc_id])
+
+
+def test_sentences_over_lines(spark):
+    bsd = [
+        "Redistributions of source code must retain the above copyright notice, this",
+        "list of conditions and the following disclaimer.",
+        "",
+        "2. Redistributions in binary form must reproduce the above copyright",
+        "   notice, this list of conditions and the following disclaimer in the",
+        "   documentation and/or other materials provided with the distribution.",
+    ]
+    mit = "MIT License\r\n\r\nCopyright (c) 2020\n\nThe above copyright notice and this permission\nnotice shall be included in all copies or substantial portions of the Software.\n"
+    texts = ["\n".join(bsd), "\n".join(f" * {x}" + " " * 300 + "*" for x in bsd), mit, "released under\n\nthe mit\n\nlicense", "Released under the" + " " * 500 + "MIT License", "given under the\nMIT License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.licenses for r in l.license_scan(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == ["BSD-2-Clause", "BSD-2-Clause", "MIT", "", "MIT", ""]
