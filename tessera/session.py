@@ -39,7 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tessera-')}")
         found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    return _whole_path(spark, found).rstrip("/")
+
+
+def _whole_path(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system, as Spark understands it; file:/x is file:///x."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file:///") else whole
+
+
+def open_folder(path: str):
+    """The file system of a shared folder's path and the path within it, for tasks that read and write files themselves."""
+    import pyarrow.fs
+
+    return pyarrow.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 _shipped: set[str] = set()
