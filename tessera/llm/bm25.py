@@ -1,17 +1,19 @@
 """Exact BM25 top-k by inverted indexes with block-max WAND, run per shard and merged.
 
-A shard is a run of documents with its own inverted index. Its documents stand in blocks, and each term
-has its largest impact in each block. For a query the blocks are taken in the order of the summed maxima
-of its terms; as in WAND, a block whose sum can't beat the k-th score so far is skipped, with all after
-it. Document frequencies and lengths are those of all documents, so shards score alike and their lists
-merge exactly.
-
-Queries lie in the shared folder in blocks of bounded size, with the frequencies of their terms; every
-task reads them block by block. No set of queries, terms or results comes to the driver.
+A shard is a run of documents with its own inverted index (blockmax.py), built once and written to the
+shared folder. Document frequencies and lengths are those of all documents, so shards score alike and
+their lists merge exactly.
+
+Queries lie in the shared folder in blocks of bounded size, with weights for their terms. A block is
+searched in rounds, each over SPREAD times the shards of all before; what a round finds gives each query
+a bound (its k-th score so far) from which all pruning of the next round starts, and rows below it are
+never sent. So a query's results that leave the shards grow with the logarithm of their number. No set of
+queries, terms or results comes to the driver.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,27 +22,76 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.session import cut
+from tessera.llm.blockmax import BlockMax
+from tessera.session import cut, drop_cut, open_folder
 
 K1, B = 1.2, 0.75
 #: Results of a query; rows whose id this divides are queries.
 TOP, EVERY = 10, 100
-#: Queries in a block, documents and text characters in a shard, documents in a block of it.
-QUERY_BLOCK, SHARD_DOCS, SHARD_CHARS, BLOCK = 2048, 8192, 32_000_000, 64
-#: Files that a block's frequencies are spread over.
-FILES = 8
-#: A term in over 1/DENSE of a shard's documents is kept as a row of impacts rather than as postings.
-DENSE = 16
-#: Blocks opened first, for a threshold.
-FIRST = 4
-DECIMALS = 8
+#: Queries in a block, about; documents and text characters in a shard.
+QUERY_BLOCK, SHARD_DOCS, SHARD_CHARS = 512, 8192, 32_000_000
+#: Shards of a block's first round, and how many times as many are done after each later one.
+START, SPREAD = 2, 4
+#: The place of documents without an id among equal scores.
+LAST = (1 << 63) - 1
 
 _words = re.compile(r"\w+").findall
 
+INDEX = "place double, n_docs long, n_words long, ids array<long>, sizes binary, terms array<string>, dfs array<int>, rows binary, tfs binary"
+FOUND = "block int, query_id long, doc_id long, score double"
+
+
+class Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _shard(place: float, ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
+    """A row of INDEX: documents with postings by term."""
+    number = Numbers()
+    found = [np.fromiter(map(number.__getitem__, _words((t or "").lower())), np.int64) for t in texts]
+    size = np.array([len(x) for x in found], np.int64)
+    every = np.concatenate(found) if found else np.zeros(0, np.int64)
+    every *= len(ids)
+    every += np.repeat(np.arange(len(ids)), size)
+    pair, tf = np.unique(every, return_counts=True)
+    term = pair // max(1, len(ids))
+    df = np.bincount(term, minlength=len(number)) if len(number) else np.zeros(0, np.int64)
+    rows = (pair - term * len(ids)).astype("<i4")
+    row = [place, len(ids), int(size.sum()), ids, size.astype("<i8").tobytes(), list(number), df.astype(np.int32), rows.tobytes(), tf.astype("<i4").tobytes()]
+    kinds = [pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in INDEX.split(", ")])
+
+
+def _index(shard_docs: int):
+    """(doc_id, text) to shards; their places in [0, 1) are spread evenly by the golden ratio."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part, ids, texts, chars, k = task.partitionId() if task else 0, [], [], 0, 0
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(d)
+                texts.append(t)
+                chars += len(t or "")
+                if len(ids) >= shard_docs or chars >= SHARD_CHARS:
+                    yield _shard(_spread(part, k), ids, texts)
+                    ids, texts, chars, k = [], [], 0, k + 1
+        if ids:
+            yield _shard(_spread(part, k), ids, texts)
+
+    return index
+
+
+def _spread(part: int, k: int = 0) -> float:
+    return math.fmod(part * 0.6180339887498949 + k * 0.7548776662466927, 1.0)
+
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, query_id, text) to the terms of each query and how often they stand in it."""
@@ -57,143 +108,75 @@ def _folder(df: DataFrame) -> str:
 
 def _block(path: str, block: int, columns: list[str]) -> pa.Table:
     """A block of a table that cut() wrote by blocks."""
-    fs, base = pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    fs, base = open_folder(path)
     folder = f"{base}/block={block}"
     if fs.get_file_info(folder).type == pa.fs.FileType.NotFound:
         return pa.table({c: [] for c in columns})
     return pa.dataset.dataset(folder, filesystem=fs, format="parquet").to_table(columns=columns)
 
 
-class Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def _open(shard: dict, mean: float) -> tuple[BlockMax, dict[str, int]]:
+    """The index of a shard, with impacts by the mean length of all documents, and its terms' numbers."""
+    size, rows, tf = np.frombuffer(shard["sizes"], "<i8"), np.frombuffer(shard["rows"], "<i4"), np.frombuffer(shard["tfs"], "<i4")
+    norm = K1 * (1 - B + B * size / max(mean, 1e-9))
+    begin = np.append(0, np.cumsum(np.array(shard["dfs"], np.int64)))
+    return BlockMax(len(size), begin, rows, tf * (K1 + 1) / (tf + norm[rows])), {t: k for k, t in enumerate(shard["terms"])}
 
 
-class Shard:
-    """Documents with postings by term: rows (documents) and term frequencies."""
-
-    def __init__(self, ids: list[int | None], texts: list[str | None]) -> None:
-        self.ids = ids
-        self.number = Numbers()
-        at, rows, tfs, size = [], [], [], []
-        for d, t in enumerate(texts):
-            found = np.fromiter(map(self.number.__getitem__, _words((t or "").lower())), np.int64)
-            size.append(len(found))
-            term, tf = np.unique(found, return_counts=True)
-            at.append(term)
-            tfs.append(tf)
-            rows.append(np.full(len(term), d))
-        self.size = np.array(size, np.int64)
-        term, rows, tfs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, rows, tfs))
-        order = np.argsort(term, kind="stable")
-        self.rows, self.tfs = rows[order].astype(np.int32), tfs[order].astype(np.int32)
-        self.begin = np.searchsorted(term[order], np.arange(len(self.number) + 1))
-        self.df = np.diff(self.begin)
-
-    def prepare(self, mean: float) -> None:
-        """Impacts, with the mean length of all documents; dense rows; and block maxima of those."""
-        norm = K1 * (1 - B + B * self.size / max(mean, 1e-9))
-        self.impact = self.tfs * (K1 + 1) / (self.tfs + norm[self.rows])
-        self.blocks = -(-len(self.ids) // BLOCK)
-        common = np.flatnonzero(self.df * DENSE > len(self.ids))
-        self.place = np.full(len(self.number), -1)
-        self.place[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.blocks * BLOCK))
-        for k, t in enumerate(common.tolist()):
-            i, j = self.begin[t], self.begin[t + 1]
-            self.dense[k, self.rows[i:j]] = self.impact[i:j]
-        self.most = self.dense.reshape(len(common), self.blocks, BLOCK).max(2) if len(common) else np.zeros((0, self.blocks))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The TOP rows of largest score over 0 and their scores, for numbers of terms and their weights."""
-        place = self.place[terms]
-        at, w = place[place >= 0], weights[place >= 0]
-        rare = np.zeros(self.blocks * BLOCK)
-        few = place < 0
-        if few.any():
-            i, j = self.begin[terms[few]], self.begin[terms[few] + 1]
-            n = j - i
-            every = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - i, n)
-            rare = np.bincount(self.rows[every], np.repeat(weights[few], n) * self.impact[every], len(rare))
-        bound = w @ self.most[at] + rare.reshape(self.blocks, BLOCK).max(1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, score, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for some in (order[:FIRST], order[FIRST:]):
-            some = some[bound[some] >= least - 1e-6]  # the pivot: blocks before it can still beat the least score
-            if not len(some):
-                break
-            some = np.sort(some)
-            row = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            own = rare[row]
-            if len(at):
-                tiles = self.dense.reshape(len(self.dense), self.blocks, BLOCK)
-                own = own + (np.tensordot(w, tiles[at][:, some], 1) if len(some) < self.blocks // 2 else (w @ self.dense[at])[row].reshape(len(some), BLOCK)).ravel()
-            found, score = np.append(found, row), np.append(score, np.round(own, DECIMALS))
-            good = score > 0
-            found, score = found[good], score[good]
-            if len(found) > TOP:
-                cut_at = np.partition(score, len(score) - TOP)[len(score) - TOP]
-                good = score >= cut_at
-                found, score, least = found[good], score[good], cut_at
-        return found, score
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    ids, texts, chars = [], [], 0
-    for b in batches:
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(d)
-            texts.append(t)
-            chars += len(t or "")
-            if len(ids) >= SHARD_DOCS or chars >= SHARD_CHARS:
-                yield Shard(ids, texts)
-                ids, texts, chars = [], [], 0
-    if ids:
-        yield Shard(ids, texts)
-
-
-def _frequencies(queries: str, blocks: int):
-    """(block, term, df) of each shard for the terms of each block; and its documents and their lengths as block -1."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "term", "df", "length"]
-        for shard in _shards(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.string()), pa.array([len(shard.ids)], pa.int64()), pa.array([int(shard.size.sum())], pa.int64())], names)
-            for k in range(blocks):
-                terms = pa.compute.unique(pa.compute.list_flatten(_block(queries, k, ["terms"]).column("terms").combine_chunks())).to_pylist() if blocks else []
-                have = [(t, int(shard.df[n])) for t in terms if (n := shard.number.get(t)) is not None]
-                if have:
-                    term, df = zip(*have, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(have), pa.int32()), pa.array(term, pa.string()), pa.array(df, pa.int64()), pa.array([0] * len(have), pa.int64())], names)
-
-    return count
-
-
-def _search(queries: str, frequencies: str, blocks: int, n: int, mean: float):
+def _search(queries: str, best: str | None, blocks: int, mean: float, low: float, high: float):
+    """Shards to what their documents score, for the blocks whose places are low to high before the shard's."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            shard.prepare(mean)
-            for k in range(blocks):
-                known = _block(frequencies, k, ["term", "df"])
-                idf = {t: np.log(1 + (n - df + 0.5) / (df + 0.5)) for t, df in zip(known.column("term").to_pylist(), known.column("df").to_pylist(), strict=True) if t in shard.number}
-                asked = _block(queries, k, ["query_id", "terms", "tfs"])
-                out: list[tuple[int, int | None, float]] = []
-                for at in range(0, len(asked), 256):
-                    for q, terms, tfs in zip(*(asked.slice(at, 256).column(c).to_pylist() for c in ("query_id", "terms", "tfs")), strict=True):
-                        have = [(shard.number[t], f * idf[t]) for t, f in zip(terms, tfs, strict=True) if t in idf]
-                        if have:
-                            numbers, weights = zip(*have, strict=True)
-                            out += [(q, shard.ids[r], s) for r, s in zip(*(x.tolist() for x in shard.search(np.array(numbers), np.array(weights))), strict=True)]
-                if out:
-                    qs, ds, ss = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(ds, pa.int64()), pa.array(ss, pa.float64())], ["query_id", "doc_id", "score"])
+        for b in batches:
+            for r in range(len(b)):
+                place = b.column(0)[r].as_py()
+                todo = [k for k in range(blocks) if low <= (place - _spread(k)) % 1.0 < high]
+                if not todo:
+                    continue
+                shard = {c: b.column(c)[r].as_py() for c in ("ids", "sizes", "terms", "dfs", "rows", "tfs")}
+                index, number = _open(shard, mean)
+                order = np.array([LAST if d is None else d for d in shard["ids"]], np.int64)
+                for k in todo:
+                    least = {}
+                    if best:
+                        known = _block(best, k, ["query_id", "score", "doc_id", "rank"])
+                        least = {q: (s, LAST if d is None else d) for q, s, d, n in zip(*(known.column(c).to_pylist() for c in ("query_id", "score", "doc_id", "rank")), strict=True) if n == TOP}
+                    asked = _block(queries, k, ["query_id", "terms", "weights"]).combine_chunks()
+                    if not len(asked):
+                        continue
+                    terms = pa.compute.list_flatten(asked.column("terms")).combine_chunks().dictionary_encode()
+                    known = np.array([number.get(t, -1) for t in terms.dictionary.to_pylist()], np.int64)
+                    terms, weights = known[terms.indices.to_numpy()], pa.compute.list_flatten(asked.column("weights")).to_numpy()
+                    ends = np.cumsum(pa.compute.list_value_length(asked.column("terms")).to_numpy())
+                    out: list[tuple[int, int | None, float]] = []
+                    for q, i, j in zip(asked.column("query_id").to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                        have = terms[i:j] >= 0
+                        bound, last = least.get(q, (0.0, LAST))
+                        rows, scores = index.search(terms[i:j][have], weights[i:j][have], TOP, bound)
+                        if len(rows):  # of equal scores the smaller ids stay
+                            own = order[rows]
+                            first = np.lexsort((own, -scores))[:TOP]
+                            first = first[(scores[first] > bound) | (own[first] <= last)]
+                            out += [(q, shard["ids"][d], s) for d, s in zip(rows[first].tolist(), scores[first].tolist(), strict=True)]
+                    if out:
+                        qs, ds, ss = zip(*out, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(out), pa.int32()), pa.array(qs, pa.int64()), pa.array(ds, pa.int64()), pa.array(ss, pa.float64())], ["block", "query_id", "doc_id", "score"])
 
     return search
 
 
-def search_documents(docs: DataFrame) -> DataFrame:
+def _weighted(plain: DataFrame, index: DataFrame, n: int, blocks: int) -> DataFrame:
+    """(block, query_id, terms, weights) of the queries, one file a block; a weight is a term's count in the query times its IDF."""
+    asked = plain.where(f"doc_id % {EVERY} = 0 AND text IS NOT NULL").groupBy(F.col("doc_id").alias("query_id")).agg(F.min("text").alias("text"))
+    blocked = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).cast("int").alias("block"), "query_id", "text")
+    terms = blocked.mapInArrow(_terms, "block int, query_id long, terms array<string>, tfs array<int>").select("block", "query_id", F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
+    df = index.select(F.inline(F.arrays_zip("terms", "dfs")).alias("term", "df")).groupBy("term").agg(F.sum("df").alias("df"))
+    weight = F.col("tf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    listed = terms.join(df, "term").groupBy("block", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
+    return cut(listed.select("block", "query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")).repartition("block"), "block")
+
+
+def search_documents(docs: DataFrame, shard_docs: int = SHARD_DOCS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, doc_id, score): the TOP documents for every document whose id EVERY divides, as a query.
 
     docs has doc_id and text; more columns are ignored. A query's terms are the lower-case words of its
@@ -202,15 +185,24 @@ def search_documents(docs: DataFrame) -> DataFrame:
     smallest text, but documents of their own. Null and empty texts are found by nothing and find nothing.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = plain.where(f"doc_id % {EVERY} = 0 AND text IS NOT NULL").groupBy(F.col("doc_id").alias("query_id")).agg(F.min("text").alias("text"))
+    index = cut(plain.mapInArrow(_index(shard_docs), INDEX))
     count = plain.where(f"doc_id % {EVERY} = 0 AND text IS NOT NULL").select("doc_id").distinct().count()
-    blocks = -(-count // QUERY_BLOCK)
-    blocked = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).cast("int").alias("block"), "query_id", "text")
-    queries = cut(blocked.mapInArrow(_terms, "block int, query_id long, terms array<string>, tfs array<int>"), "block")
-    counted = plain.mapInArrow(_frequencies(_folder(queries), blocks), "block int, term string, df long, length long")
-    frequencies = cut(counted.groupBy("block", "term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).repartition(F.col("block"), F.pmod(F.xxhash64("term"), F.lit(FILES))), "block")
-    total = frequencies.where("block = -1").first()
-    n, mean = (total.df, total.length / total.df) if total else (0, 1.0)
-    found = plain.mapInArrow(_search(_folder(queries), _folder(frequencies), blocks, n, mean), "query_id long, doc_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())))
-    return ranked.where(F.col("rank") <= TOP).select("query_id", "rank", "doc_id", "score")
+    blocks = -(-count // query_block)
+    total = index.agg(F.count("*").alias("shards"), F.sum("n_docs").alias("n"), F.sum("n_words").alias("words")).first()
+    queries = _weighted(plain, index, total.n or 0, blocks)
+    mean = (total.words or 0) / (total.n or 1)
+    by = W.Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    best, low, high = None, 0.0, min(1.0, START / max(1, total.shards))
+    while True:
+        found = index.mapInArrow(_search(_folder(queries), _folder(best) if best else None, blocks, mean, low, high), FOUND)
+        if best:
+            found = found.unionByName(best.drop("rank").select("block", "query_id", "doc_id", "score"))
+        ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= TOP)
+        done, best = best, cut(ranked.repartition("block"), "block")
+        if done:
+            drop_cut(done)
+        if high >= 1:
+            drop_cut(index)
+            drop_cut(queries)
+            return best.select("query_id", "rank", "doc_id", "score")
+        low, high = high, min(1.0, high * SPREAD)

@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
+from tessera.llm import blockmax
 from tessera.llm import bm25 as m
 
 SCHEMA = "doc_id long, text string, score string, rank int"
@@ -31,17 +34,15 @@ def plain(rows):
     return out
 
 
-def test_against_all_documents(spark, monkeypatch):
-    monkeypatch.setattr(m, "SHARD_DOCS", 150)
-    monkeypatch.setattr(m, "QUERY_BLOCK", 5)
-    monkeypatch.setattr(m, "BLOCK", 8)
+def test_against_all_documents(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     rows = [(i * 10, " ".join(rng.choices(words, [1 / (k + 1) for k in range(300)], k=rng.randint(3, 60)))) for i in range(400)]
     rows += [(None, "w1 w2 w3"), (800, None), (2200, ""), rows[10], (1000, "w250 again"), (7, "w1 " * 30000)]
+    rows += [(20000 + k, "same words w3 w8 w8") for k in range(60)]  # ties at the cut
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)
     got = {}
-    for r in m.search_documents(docs).collect():
+    for r in m.search_documents(docs, shard_docs=40, query_block=5).collect():
         got.setdefault(r.query_id, []).append((r["rank"], -round(r.score, 6), r.doc_id is None, r.doc_id))
     want = {q: [(k + 1, *x) for k, x in enumerate(v)] for q, v in plain(rows).items() if v}
     got = {q: sorted(v) for q, v in got.items()}
@@ -52,6 +53,25 @@ def test_against_all_documents(spark, monkeypatch):
         last = want[q][-1][1]
         top = lambda v: sorted(str(x[2:]) for x in v if abs(x[1] - last) > 1e-4)  # noqa: E731, B023
         assert top(got[q]) == top(want[q])
+    assert [x[3] for x in got[20000]] == [20000 + k for k in range(10)]
+
+
+def test_block_max_against_all_rows(monkeypatch):
+    monkeypatch.setattr(blockmax, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    for n, most in ((200, 12_000_000), (203, 1000), (1, 100)):
+        monkeypatch.setattr(blockmax, "MOST_NUMBERS", most)
+        dense = np.round(rng.random((60, n)), 2) * (rng.random((60, n)) < 1 / (1 + np.arange(60)[:, None]))
+        dense[:, -1] += dense.sum(1) == 0
+        term, rows = np.nonzero(dense)
+        index = blockmax.BlockMax(n, np.searchsorted(term, np.arange(61)), rows, dense[term, rows])
+        for size in (1, 5, 40):
+            terms, weights = rng.choice(60, size, replace=False), rng.random(size)
+            every = np.round(weights @ dense[terms], blockmax.DECIMALS)
+            for least in (0.0, float(np.sort(every)[-3:][0]), 1e9):
+                want = np.flatnonzero((every > 0) & (every >= least - 1e-9) & (every >= np.sort(every)[-4:][0] - 1e-9))
+                found, score = index.search(terms, weights, 4, least - 1e-9)
+                assert found.tolist() == want.tolist() and np.allclose(score, every[want], atol=1e-7)
 
 
 def test_empty(spark):
