@@ -1,12 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled rows gives the examples. Each text is compared with them by exact TF-IDF
-cosine over all their terms, with document counts from the whole corpus: an inverted index holds the
-postings of each term, and all postings of a text's terms are added up. The neighbours are the evidence.
-The terms whose presence tells the classes apart (chi-square) have a second index of blocks of examples
-with the largest weight of each block; blocks are opened in order of their bounds until none can reach
-the nearest examples found. Both indexes' votes, weighted by similarity, are turned into a probability by
-a logistic curve that is fitted on the examples themselves, each left out of its own neighbours.
+cosine over all their terms, with document counts from the whole corpus, through an inverted index with
+block maxima (blockmax.py): only examples whose bound can reach the nearest ones found are opened. The
+neighbours are the evidence. The terms whose presence tells the classes apart (chi-square) have a second
+index of the same kind. Both indexes' votes, weighted by similarity, are turned into a probability by a
+logistic curve that is fitted on the examples themselves, each left out of its own neighbours.
 """
 
 from __future__ import annotations
@@ -14,20 +13,22 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.blockmax import BlockMax
 from tessera.session import cut
 
 #: Labelled rows of each class that become examples at most: those whose ids hash lowest.
 EXAMPLES = 2000
 #: Terms of the second index at most, and the chi-square value from which a term tells the classes apart.
 TERMS, CHI_SQUARE = 2000, 20.0
-#: Terms of a training text that are counted at most once each; neighbours that vote; examples in a block.
-NEIGHBOURS, BLOCK = 15, 64
+#: Neighbours that vote.
+NEIGHBOURS = 15
 THRESHOLD = 0.7
 
 _words = re.compile(r"\w+").findall
@@ -55,7 +56,9 @@ def _frequencies(terms: dict[str, int]):
         get = terms.get
         for b in batches:
             for t in b.column(0).to_pylist():
-                df[[k for k in map(get, set(_words((t or "").lower()))) if k is not None]] += 1
+                words = set(_words((t or "").lower()))
+                found = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+                df[found[found >= 0]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
 
@@ -63,97 +66,50 @@ def _frequencies(terms: dict[str, int]):
 
 
 class Index:
-    """Postings of examples by term: (example, term) pairs without repeats, tf of each, and the terms' IDF."""
+    """Examples by term: (example, term) pairs without repeats, tf of each, and the terms' IDF."""
 
     def __init__(self, term: dict[str, int], example: np.ndarray, at: np.ndarray, tf: np.ndarray, n: int, idf: np.ndarray) -> None:
         self.term, self.idf, self.n = term, idf, n
         w = (1 + np.log(tf)) * idf[at]
         w = w / np.sqrt(np.bincount(example, w * w, n))[example]
         order = np.lexsort((example, at))
-        self.example, self.weight = example[order].astype(np.int32), w[order]
-        self.start = np.searchsorted(at[order], np.arange(len(term) + 1))
+        self.postings = BlockMax(n, np.searchsorted(at[order], np.arange(len(term) + 1)), example[order].astype(np.int32), w[order])
 
     @property
     def examples(self) -> list[np.ndarray]:
-        return np.split(self.example, self.start[1:-1]) if self.term else []
+        return np.split(self.postings.rows, self.postings.begin[1:-1]) if self.term else []
 
     @property
     def weights(self) -> list[np.ndarray]:
-        return np.split(self.weight, self.start[1:-1]) if self.term else []
+        return np.split(self.postings.impact, self.postings.begin[1:-1]) if self.term else []
 
-    def weigh(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        """Terms and their weights: 1 + ln(tf) times idf, to length 1."""
-        at = sorted(counts)
-        w = (1 + np.log([counts[k] for k in at])) * self.idf[at] if at else np.zeros(0)
-        return at, w / np.sqrt((w * w).sum()) if at else w
+    def weigh(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """Terms' weights: 1 + ln(tf) times idf, to length 1."""
+        w = (1 + np.log(tf)) * self.idf[at]
+        return w / np.sqrt((w * w).sum()) if len(at) else w
 
-    def count(self, text: str | None) -> dict[int, int]:
-        get = self.term.get
-        return Counter(k for k in map(get, _words((text or "").lower())) if k is not None)
+    def count(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known terms among words, and how often they stand there."""
+        found = np.fromiter(map(self.term.get, words, repeat(-1)), np.int64, len(words))
+        return np.unique(found[found >= 0], return_counts=True)
 
-    def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, at: np.ndarray, tf: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The NEIGHBOURS examples of largest cosine over 0, and the cosines; ties go to the lower number."""
-        at, w = self.weigh(counts)
-        score = np.zeros(self.n)
-        for k, x in zip(at, w.tolist(), strict=True):
-            i, j = self.start[k], self.start[k + 1]
-            score[self.example[i:j]] += x * self.weight[i:j]
-        if without >= 0:
-            score[without] = 0
-        near = np.round(score, 12)
-        least = np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] if self.n > NEIGHBOURS else 0.0
-        found = np.flatnonzero((near >= least) & (near > 0))
-        best = np.lexsort((found, -near[found]))[:NEIGHBOURS]
-        return found[best], near[found[best]]
-
-
-class Markers(Index):
-    """Postings with the largest weight of each block of examples, for few terms."""
-
-    def __init__(self, *args) -> None:
-        super().__init__(*args)
-        self.blocks = -(-self.n // BLOCK)
-        edge = np.arange(self.blocks + 1) * BLOCK
-        self.begins = [(np.searchsorted(e, edge) + i).tolist() for e, i in zip(self.examples, self.start.tolist(), strict=False)]
-        self.bound = np.zeros((len(self.term), self.blocks))
-        for k, (e, w) in enumerate(zip(self.examples, self.weights, strict=True)):
-            np.maximum.at(self.bound[k], e // BLOCK, w)
-
-    def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The NEIGHBOURS examples of largest cosine over 0, and the cosines; ties go to the lower number."""
-        at, w = self.weigh(counts)
-        if not at or not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.bound[at]
-        order = np.argsort(-bound, kind="stable")
-        found, near, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for k, x in zip(at, w, strict=True):
-                i, j = self.begins[k][b], self.begins[k][b + 1]
-                if i < j:
-                    score[self.example[i:j] - b * BLOCK] += x * self.weight[i:j]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            found, near = np.append(found, hit + b * BLOCK), np.append(near, np.round(score[hit], 12))
-            if len(found) > NEIGHBOURS:
-                best = np.lexsort((found, -near))[:NEIGHBOURS]
-                found, near = found[best], near[best]
-            if len(found) == NEIGHBOURS:
-                least = near.min()
-        best = np.lexsort((found, -near))
+        found, near = self.postings.search(at, self.weigh(at, tf), NEIGHBOURS, without=without)
+        best = np.lexsort((found, -near))[:NEIGHBOURS]
         return found[best], near[best]
 
 
+def words_of(text: str | None) -> list[str]:
+    return _words((text or "").lower())
+
+
 class Model(Index):
     """The index of all terms, that of the markers, and the curve from their votes to scores."""
 
     def __init__(self, index: tuple, markers: tuple, ids: list[int], toxic: np.ndarray, share: float) -> None:
         super().__init__(*index)
-        self.markers = Markers(*markers)
+        self.markers = Index(*markers)
         self.ids, self.toxic = np.array(ids, np.int64), toxic
         self.curve = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0, 0.0, 0.0])
         if self.n and 0 < toxic.sum() < self.n:
@@ -172,7 +128,7 @@ class Model(Index):
 
     def _calibrate(self, index: tuple, markers: tuple, share: float) -> None:
         """Logistic regression by Newton steps; classes count as they do among all labelled rows."""
-        x = np.array([self.features(self.nearest(v, e), self.markers.nearest(m, e)) for e, (v, m) in enumerate(zip(_vectors(index, self.n), _vectors(markers, self.n), strict=True))])
+        x = np.array([self.features(self.nearest(*v, e), self.markers.nearest(*m, e)) for e, (v, m) in enumerate(zip(_vectors(index, self.n), _vectors(markers, self.n), strict=True))])
         y = self.toxic.astype(float)
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         beta = np.zeros(5)
@@ -184,17 +140,17 @@ class Model(Index):
         self.curve = beta
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        found, near = self.nearest(self.count(text))
-        x = self.features((found, near), self.markers.nearest(self.markers.count(text)))
+        words = words_of(text)
+        found, near = self.nearest(*self.count(words))
+        x = self.features((found, near), self.markers.nearest(*self.markers.count(words)))
         return float(1 / (1 + np.exp(-x @ self.curve))), found, near
 
 
-def _vectors(index: tuple, n: int) -> list[dict[int, int]]:
-    """(term: tf) of each example."""
-    out: list[dict[int, int]] = [{} for _ in range(n)]
-    for e, k, tf in zip(*(x.tolist() for x in index[1:4]), strict=True):
-        out[e][k] = tf
-    return out
+def _vectors(index: tuple, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, tf) of each example."""
+    order = np.lexsort((index[2], index[1]))
+    cuts = np.searchsorted(index[1][order], np.arange(1, n))
+    return list(zip(np.split(index[2][order], cuts), np.split(index[3][order], cuts), strict=True)) if n else []
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
