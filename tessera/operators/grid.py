@@ -5,11 +5,16 @@ A grid is a DataFrame of cells numbered y * width + x; x wraps, y ends at the po
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
-from tessera.session import cut
+from tessera.session import cut, drop_cut
+
+#: Rows of a grid that a task takes together.
+BAND = 64
 
 #: Offsets (dy, dx) in the order that decides ties.
 FOUR = ((0, -1), (0, 1), (-1, 0), (1, 0))
@@ -24,31 +29,138 @@ def neighbours(cells: DataFrame, width: int, offsets: tuple[tuple[int, int], ...
     return cells.select("cell_id", *keep, F.inline(F.array(*each))).where("nid IS NOT NULL")
 
 
+def banded(cells: DataFrame, halo: int, band: int = BAND) -> DataFrame:
+    """Each row of cells (with y) in its band of rows, and in those on either side that need it within halo rows (own is false there)."""
+    b = F.expr(f"y div {band}")
+    up = F.when((F.col("y") % band < halo) & (F.col("y") >= band), b - 1)
+    down = F.when(F.col("y") % band >= band - halo, b + 1)
+    every = cells.withColumn("band", F.explode(F.array_compact(F.array(up, b, down))))
+    return every.withColumn("own", F.col("band") == b)
+
+
+def _linked(ids: np.ndarray, width: int) -> np.ndarray:
+    """The least cell reachable from each of ids (ascending) over edges of the grid, by hooking and jumping whole arrays."""
+    x = ids % width
+    right, down = np.where(x == width - 1, ids - width + 1, ids + 1), ids + width
+    a, b = [], []
+    for to in (right, down):
+        at = np.searchsorted(ids, to)
+        ok = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == to)
+        a.append(np.flatnonzero(ok))
+        b.append(at[ok])
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        while not np.array_equal(jump := root[root], root):
+            root = jump
+        if (root == before).all():
+            return ids[root]
+
+
 def components(cells: DataFrame, width: int) -> DataFrame:
-    """(cell_id, component) of cells that touch by an edge; the label is the smallest cell of a component."""
-    ids = cells.select("cell_id")
-    edges = neighbours(ids, width, HALF).join(ids.withColumnRenamed("cell_id", "nid"), "nid").select(F.col("cell_id").alias("a"), F.col("nid").alias("b"))
-    found = connected_components(edges).withColumnRenamed("node", "cell_id")
-    return ids.join(found, "cell_id", "left").select("cell_id", F.coalesce("component", "cell_id").alias("component"))
+    """(cell_id, component) of cells that touch by an edge; the label is the smallest cell of a component.
+
+    Each band of rows is labelled inside one task; only labels that touch across the borders of bands go
+    into the iteration over edges.
+    """
+
+    def label(band: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(band["cell_id"].to_numpy())
+        return pd.DataFrame({"cell_id": ids, "label": _linked(ids, width)})
+
+    within = cells.select("cell_id", F.expr(f"cell_id div {width * BAND}").alias("band"))
+    labels = cut(within.groupBy("band").applyInPandas(label, "cell_id long, label long"))
+    last = labels.where(F.expr(f"cell_id div {width} % {BAND} = {BAND - 1}")).select((F.col("cell_id") + width).alias("cell_id"), F.col("label").alias("a"))
+    border = labels.where(F.expr(f"cell_id div {width} % {BAND} = 0")).join(last, "cell_id").select("a", F.col("label").alias("b")).distinct()
+    joined = connected_components(border).select(F.col("node").alias("label"), "component")
+    return labels.join(joined, "label", "left").select("cell_id", F.coalesce("component", "label").alias("component"))
+
+
+def _flood(key: np.ndarray, width: int) -> np.ndarray:
+    """Keys (steps * STEP + seed, FREE where no seed has come yet, WALL off the surface) after all growth within rows."""
+    wall = key == WALL
+    while True:
+        near = np.minimum(np.roll(key, 1, 1), np.roll(key, -1, 1))
+        near[1:] = np.minimum(near[1:], key[:-1])
+        near[:-1] = np.minimum(near[:-1], key[1:])
+        grown = np.where(wall, WALL, np.minimum(key, np.where(near >= FREE, FREE, near + STEP)))
+        if (grown == key).all():
+            return key
+        key = grown
+
+
+#: Growth of a cell in one number: steps in the high bits, the seed in the low ones.
+STEP = 1 << 36
+FREE, WALL = (1 << 62) - 1, 1 << 62
+
+
+def grow(cells: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
+    """(cell_id, dist, seed): each cell of the surface that seeds reach goes to the nearest over edges, ties to the lower seed.
+
+    seeds has (cell_id, seed), seeds from 0 to 2^36. A queue that starts in seed order claims cells in
+    just this order of (distance, seed), so growth is a least fixed point: each band of rows is grown to
+    its end inside one task, then bands take over their neighbours' border rows, until no border changes.
+    """
+    start = seeds.select("cell_id", F.col("seed").cast("long").alias("key"))
+    state = cells.select("cell_id").join(start, "cell_id", "left").select("cell_id", F.expr(f"cell_id div {width}").alias("y"), F.coalesce("key", F.lit(FREE)).alias("key"))
+
+    def spread(band: pd.DataFrame) -> pd.DataFrame:
+        low, ids = int(band["y"].min()), band["cell_id"].to_numpy()
+        at = ids - low * width
+        key = np.full((int(band["y"].max()) - low + 1) * width, WALL)
+        key[at] = band["key"].to_numpy()
+        grown = _flood(key.reshape(-1, width), width).ravel()[at]
+        own = band["own"].to_numpy()
+        return pd.DataFrame({"cell_id": ids, "y": band["y"].to_numpy(), "key": grown, "old": band["key"].to_numpy()})[own]
+
+    done = None
+    while True:
+        state = cut(banded(state, 1).groupBy("band").applyInPandas(spread, "cell_id long, y long, key long, old long"))
+        if done is not None:
+            drop_cut(done)
+        done = state
+        edge = F.expr(f"key < old AND y % {BAND} IN (0, {BAND - 1})")
+        if state.where(edge).isEmpty():
+            return state.where(F.col("key") < FREE).select("cell_id", F.shiftright("key", 36).cast("int").alias("dist"), F.col("key").bitwiseAND(F.lit(STEP - 1)).alias("seed"))
+        state = state.drop("old")
 
 
-def grow(cells: DataFrame, seeds: DataFrame, width: int, steps: int | None = None) -> DataFrame:
-    """(cell_id, dist, seed): each cell of the surface goes to the nearest seed over edges, ties to the lower seed.
+def nearest(cells: DataFrame, centers: DataFrame, square: int = 10) -> DataFrame:
+    """(cell_id, owner): the center next to each cell (cell_id, x, y), without regard to the seam; ties to the lower position.
 
-    seeds has (cell_id, seed). A queue that starts in seed order claims cells in just this order of
-    (distance, seed), so each round needs only the least seed among the claims of new cells.
+    centers has (pos, ax, ay). Each square of cells asks only the squares within reach of a bound: the
+    distance from its furthest corner to the center next to its own middle, found by widening rings.
     """
-    owned = cut(seeds.select("cell_id", F.lit(0).alias("dist"), "seed"))
-    front, parts, k = owned, [owned], 0
-    surface = cells.select(F.col("cell_id").alias("nid"))
-    while (steps is None or k < steps) and not front.isEmpty():
-        k += 1
-        claims = neighbours(front, width, FOUR, "seed").join(surface, "nid").groupBy("nid").agg(F.min("seed").alias("seed"))
-        claims = claims.withColumnRenamed("nid", "cell_id").join(owned.select("cell_id"), "cell_id", "left_anti")
-        front = cut(claims.select("cell_id", F.lit(k).alias("dist"), "seed"))
-        parts.append(front)
-        owned = owned.unionByName(front)
-    return owned
+    sx, sy = F.expr(f"x div {square}"), F.expr(f"y div {square}")
+    squares = cells.select(sx.alias("sx"), sy.alias("sy")).distinct()
+    held = centers.select("pos", "ax", "ay", F.expr(f"ax div {square}").alias("cx"), F.expr(f"ay div {square}").alias("cy"))
+    size = held.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    if size[0] is None:
+        return cells.select("cell_id", F.lit(None).cast("long").alias("owner")).limit(0)
+    left, found, ring = cut(squares), None, 1
+    widest = squares.agg(F.max(F.greatest(F.abs(F.col("sx") - size[0]), F.abs(F.col("sx") - size[1]), F.abs(F.col("sy") - size[2]), F.abs(F.col("sy") - size[3])))).first()[0] or 0
+    full = cut(held.groupBy("cx", "cy").agg(F.count("*").alias("n")))
+    while True:  # the ring in which a square has a center; rings double, so there are few rounds
+        reach = F.sequence(F.lit(-ring), F.lit(ring))
+        asks = left.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).select("sx", "sy", (F.col("sx") + F.col("dx")).alias("cx"), (F.col("sy") + F.col("dy")).alias("cy"))
+        hit = asks.join(full, ["cx", "cy"], "left_semi").select("sx", "sy").distinct().withColumn("ring", F.lit(ring))
+        found = cut(hit if found is None else found.unionByName(hit))
+        left = cut(left.join(hit.select("sx", "sy"), ["sx", "sy"], "left_anti"))
+        if ring > widest or left.isEmpty():
+            break
+        ring *= 2
+    # A center within `ring` squares is at most (ring + 1) * square * sqrt(2) away from any cell of the square.
+    far = F.ceil((F.col("ring") + 1) * F.sqrt(F.lit(2.0))).cast("int")
+    reach = F.sequence(-far, far)
+    asks = found.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).select("sx", "sy", (F.col("sx") + F.col("dx")).alias("cx"), (F.col("sy") + F.col("dy")).alias("cy"))
+    near = asks.join(held, ["cx", "cy"]).select("sx", "sy", "pos", "ax", "ay")
+    both = cells.select("cell_id", "x", "y", sx.alias("sx"), sy.alias("sy")).join(near, ["sx", "sy"])
+    away = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
+    return both.groupBy("cell_id").agg(F.min_by("pos", F.struct(away, F.col("pos"))).alias("owner"))
 
 
 def flow_targets(cells: DataFrame, width: int) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import grid
 from tessera.operators.graph import connected_components
+from tessera.operators.order import even_positions, ranked
+from tessera.operators.stencil import box_blur, by_rows, eastward, latitude, march
 from tessera.plans.relational import edges, flow_sql, territories
+from tessera.plans.scalar import LAND_COLOR, RIVER_COLOR, RIVERS_WATER_COLOR, weight_of
 from tessera.plans.sql import ORACLE, SPARK, Dialect, cells, run, smooth, stencil4
 from tessera.session import cut
 
@@ -67,11 +70,17 @@ def land(spark, sf_dir, where="NOT is_water"):
     return sql(spark, sf_dir, f"WITH {cells(SPARK)} SELECT cell_id, x, y, height_m FROM cells WHERE {where}")
 
 
-def closure(where: str) -> str:
+def least_labels(start: str, edges: str) -> str:
+    """For the oracle: each node's least reachable node, over edges (a, b) in both directions."""
+    return f"""r(cell_id, lab) USING KEY (cell_id) AS ({start} UNION
+      SELECT e.b, min(r.lab) FROM r JOIN {edges} e ON e.a = r.cell_id JOIN recurring.r q ON q.cell_id = e.b WHERE r.lab < q.lab GROUP BY e.b),
+    comp AS (SELECT cell_id, lab AS component FROM r)"""
+
+
+def closure(where: str, source: str = "cells") -> str:
     d = ORACLE
-    return f"""{cells(d)}, s AS (SELECT cell_id, x, y FROM cells WHERE {where}), {stencil4(d, 's')}, e AS (SELECT st4.cell_id AS a, st4.nid AS b FROM st4 JOIN s ON s.cell_id = st4.nid),
-    r(cell_id, lab) AS (SELECT cell_id, cell_id FROM s UNION SELECT e.b, r.lab FROM r JOIN e ON e.a = r.cell_id WHERE r.lab < e.b),
-    comp AS (SELECT cell_id, min(lab) AS component FROM r GROUP BY cell_id)"""
+    return f"""s AS (SELECT cell_id, x, y FROM {source} WHERE {where}), {stencil4(d, 's')}, e AS (SELECT st4.cell_id AS a, st4.nid AS b FROM st4 JOIN s ON s.cell_id = st4.nid),
+    {least_labels('SELECT cell_id, cell_id FROM s', 'e')}"""
 
 
 @query
@@ -79,22 +88,28 @@ def cell_components(spark, sf_dir):
     return grid.components(land(spark, sf_dir), WIDTH)
 
 
-ORACLES["cell_components"] = lambda d: f"WITH RECURSIVE {closure('NOT is_water')} SELECT cell_id, component FROM comp"
+ORACLES["cell_components"] = lambda d: f"WITH RECURSIVE {cells(d)}, {closure('NOT is_water')} SELECT cell_id, component FROM comp"
+
+
+def water_rows(spark, sf_dir) -> int:
+    """The number of the last row."""
+    return run(spark, sf_dir, f"WITH {cells(SPARK)} SELECT max(y) FROM cells").first()[0] or 0
 
 
 @query
 def water_body_kind(spark, sf_dir):
-    """Water bodies with size, anchor and kind: ocean at the north pole row, sea from 200 cells, else lake."""
+    """Water bodies with size, anchor and kind: ocean at either pole's row, sea from 200 cells, else lake."""
     water = land(spark, sf_dir, "is_water")
+    last = water_rows(spark, sf_dir)
     return (
         water.join(grid.components(water, WIDTH), "cell_id")
         .groupBy("component")
-        .agg(F.count("*").alias("n"), F.expr("sum(x) div count(*)").alias("anchor_x"), F.expr("sum(y) div count(*)").alias("anchor_y"), F.expr("CASE WHEN bool_or(y = 0) THEN 0 WHEN count(*) >= 200 THEN 1 ELSE 2 END").alias("kind"))
+        .agg(F.count("*").alias("n"), F.expr("sum(x) div count(*)").alias("anchor_x"), F.expr("sum(y) div count(*)").alias("anchor_y"), F.expr(f"CASE WHEN bool_or(y = 0 OR y = {last}) THEN 0 WHEN count(*) >= 200 THEN 1 ELSE 2 END").alias("kind"))
     )
 
 
-ORACLES["water_body_kind"] = lambda d: f"""WITH RECURSIVE {closure('is_water')} SELECT component, count(*) AS n, CAST(sum(x) // count(*) AS BIGINT) AS anchor_x, CAST(sum(y) // count(*) AS BIGINT) AS anchor_y,
-  CASE WHEN bool_or(y = 0) THEN 0 WHEN count(*) >= 200 THEN 1 ELSE 2 END AS kind FROM comp JOIN cells USING (cell_id) GROUP BY component"""
+ORACLES["water_body_kind"] = lambda d: f"""WITH RECURSIVE {cells(d)}, {closure('is_water')} SELECT component, count(*) AS n, CAST(sum(x) // count(*) AS BIGINT) AS anchor_x, CAST(sum(y) // count(*) AS BIGINT) AS anchor_y,
+  CASE WHEN bool_or(y = 0 OR y = (SELECT max(y) FROM cells)) THEN 0 WHEN count(*) >= 200 THEN 1 ELSE 2 END AS kind FROM comp JOIN cells USING (cell_id) GROUP BY component"""
 
 
 def territory_components(spark, sf_dir) -> DataFrame:
@@ -131,20 +146,18 @@ ORACLES["regions"] = lambda d: f"""WITH RECURSIVE {TERRITORY_CLOSURE}, m AS (SEL
 
 # Growth
 
-REACH = 12
-
-
 @query
 def bfs_territories(spark, sf_dir):
-    """Land within 12 steps of seeds (every 37th cell), each to the nearest."""
+    """Land that seeds (every 37th cell) reach, each cell to the nearest."""
     surface = land(spark, sf_dir)
     seeds = surface.where("cell_id % 37 = 0").select("cell_id", F.expr("cell_id div 37").alias("seed"))
-    return grid.grow(surface, seeds, WIDTH, REACH).select("cell_id", F.col("dist").cast("long").alias("dist"), "seed")
+    return grid.grow(surface, seeds, WIDTH).select("cell_id", F.col("dist").cast("long").alias("dist"), "seed")
 
 
 ORACLES["bfs_territories"] = lambda d: f"""WITH RECURSIVE {cells(d)}, s AS (SELECT cell_id, x, y FROM cells WHERE NOT is_water), {stencil4(d, 's')}, e AS (SELECT st4.cell_id AS a, st4.nid AS b FROM st4 JOIN s ON s.cell_id = st4.nid),
-  r(cell_id, dist, seed) AS (SELECT cell_id, 0, cell_id // 37 FROM s WHERE cell_id % 37 = 0 UNION SELECT e.b, r.dist + 1, r.seed FROM r JOIN e ON e.a = r.cell_id WHERE r.dist < {REACH})
-  SELECT cell_id, CAST(min(dist) AS BIGINT) AS dist, arg_min(seed, (dist, seed)) AS seed FROM r GROUP BY cell_id"""
+  r(cell_id, dist, seed) USING KEY (cell_id) AS (SELECT cell_id, 0, cell_id // 37 FROM s WHERE cell_id % 37 = 0 UNION
+    SELECT e.b, min(r.dist) + 1, min(r.seed) FROM r JOIN e ON e.a = r.cell_id LEFT JOIN recurring.r q ON q.cell_id = e.b WHERE q.cell_id IS NULL GROUP BY e.b)
+  SELECT cell_id, CAST(dist AS BIGINT) AS dist, seed FROM r"""
 
 
 @query
@@ -165,7 +178,8 @@ def lloyd_two_pass(spark, sf_dir):
 # Flow, over heights summed in 5 x 5 windows
 
 ICE, DESERT = "cell_id % 97 = 5", "cell_id % 11 = 3"
-SHARE = 8
+#: Share of a land component's cells whose flow makes a river, and the least flow of one.
+SHARE, LEAST = "1.2E-3", "8E0"
 
 
 def smooth_cells(spark, sf_dir) -> DataFrame:
@@ -185,7 +199,8 @@ def flow_oracle(d: Dialect) -> str:
     way(src, cell_id, amount) AS (SELECT cell_id, cell_id, CASE WHEN {ICE} THEN 0E0 ELSE 1E0 END FROM smooth
       UNION ALL SELECT w.src, t.target, w.amount * CASE WHEN w.cell_id % 11 = 3 THEN 5E-1 ELSE 1E0 END FROM way w JOIN tgt t ON t.cell_id = w.cell_id),
     flow AS (SELECT cell_id, CASE WHEN {ICE} THEN 0E0 ELSE sum(amount) END AS flow FROM way GROUP BY cell_id),
-    river AS (SELECT f.cell_id, f.flow FROM flow f JOIN smooth s USING (cell_id) WHERE s.height_m > 0 AND f.flow >= {SHARE}),
+    {closure('height_m > 0', 'smooth')}, least AS (SELECT component, greatest({SHARE} * count(*), {LEAST}) AS least FROM comp GROUP BY component),
+    river AS (SELECT f.cell_id, f.flow FROM flow f JOIN comp USING (cell_id) JOIN least USING (component) WHERE f.flow >= least),
     source AS (SELECT cell_id FROM river WHERE cell_id NOT IN (SELECT t.target FROM tgt t JOIN river r ON r.cell_id = t.cell_id)),
     steps(start, ord, cell_id) AS (SELECT cell_id, 0, cell_id FROM source UNION ALL
       SELECT s.start, s.ord + 1, t.target FROM steps s JOIN tgt t ON t.cell_id = s.cell_id JOIN smooth h ON h.cell_id = s.cell_id WHERE h.height_m > 0),
@@ -204,7 +219,35 @@ ORACLES["flow_accumulation"] = lambda d: f"WITH RECURSIVE {flow_oracle(d)} SELEC
 
 def rivers(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     base, targets, flow = flowing(spark, sf_dir)
-    return base, targets, cut(flow.join(base.where("NOT is_water").select("cell_id"), "cell_id").where(F.col("flow") >= SHARE))
+    member = thresholds(base.where("NOT is_water"))
+    return base, targets, cut(flow.join(member, "cell_id").where("flow >= least").select("cell_id", "flow"))
+
+
+def thresholds(surface: DataFrame) -> DataFrame:
+    """(cell_id, least): the flow that makes a river, by the size of a cell's land component."""
+    member = cut(grid.components(surface, WIDTH))
+    return member.join(member.groupBy("component").agg(F.expr(f"greatest({SHARE} * count(*), {LEAST})").alias("least")), "component").select("cell_id", "least")
+
+
+@query
+def component_threshold(spark, sf_dir):
+    """The river threshold of each land cell."""
+    return thresholds(land(spark, sf_dir)).select("cell_id", F.expr(f"{SPARK.whole('least * 1E6')}").alias("threshold_micro"))
+
+
+ORACLES["component_threshold"] = lambda d: f"""WITH RECURSIVE {cells(d)}, {closure('NOT is_water')}
+  SELECT cell_id, {d.whole(f'greatest({SHARE} * count(*) OVER (PARTITION BY component), {LEAST}) * 1E6')} AS threshold_micro FROM comp"""
+
+
+@query
+def river_threshold(spark, sf_dir):
+    """The river threshold of each land component by its size."""
+    sizes = grid.components(land(spark, sf_dir), WIDTH).groupBy("component").agg(F.count("*").alias("land_cells"))
+    return sizes.select("component", "land_cells", F.expr(SPARK.whole(f"greatest({SHARE} * land_cells, {LEAST}) * 1E6")).alias("threshold_micro"))
+
+
+ORACLES["river_threshold"] = lambda d: f"""WITH RECURSIVE {cells(d)}, {closure('NOT is_water')}
+  SELECT component, count(*) AS land_cells, {d.whole(f'greatest({SHARE} * count(*), {LEAST}) * 1E6')} AS threshold_micro FROM comp GROUP BY component"""
 
 
 @query
@@ -264,27 +307,138 @@ def river_ids(spark, sf_dir):
 ORACLES["river_ids"] = lambda d: f"""WITH RECURSIVE {flow_oracle(d)}, p AS (SELECT *, row_number() OVER (PARTITION BY mouth ORDER BY start) - 1 AS probe FROM mouth)
   SELECT start, mouth, n, {anchored_id(d, 3, 'mouth % 100', 'mouth // 100', [], 'probe')} AS id FROM p"""
 
+@query
+def raster_rivers(spark, sf_dir):
+    """River cells over land and water."""
+    base = smooth_cells(spark, sf_dir).select("cell_id", "is_water")
+    river = paths(spark, sf_dir).select("cell_id").distinct().withColumn("river", F.lit(True))
+    return base.join(river, "cell_id", "left").selectExpr("cell_id", *river_colours("is_water", "river"))
+
+
+def river_colours(water: str, river: str) -> list[str]:
+    return [f"CASE WHEN {river} THEN {a} WHEN {water} THEN {b} ELSE {c} END AS {n}" for n, a, b, c in zip("rgb", RIVER_COLOR, RIVERS_WATER_COLOR, LAND_COLOR, strict=True)]
+
+
+ORACLES["raster_rivers"] = lambda d: f"""WITH RECURSIVE {flow_oracle(d)}, p AS (SELECT DISTINCT cell_id FROM path)
+  SELECT s.cell_id, {', '.join(river_colours('s.height_m <= 0', 'p.cell_id IS NOT NULL'))} FROM smooth s LEFT JOIN p ON p.cell_id = s.cell_id"""
+
 # A recurrence along rows
 
+HUMIDITY_OFFSET, EVAPORATION = 0.3, 0.18
+
+
+def marched(spark, sf_dir) -> DataFrame:
+    """(cell_id, humidity, rain): moisture carried along each row with its wind, over the cells."""
+    base = land(spark, sf_dir, "true").select("cell_id", "y", "height_m", (F.col("height_m") <= 0).alias("is_water"))
+    rows = water_rows(spark, sf_dir) + 1
+
+    def carried(y, height, water):
+        return march(height / 4000.0, water.astype(bool), eastward(latitude(y, rows)), EVAPORATION, HUMIDITY_OFFSET, 0.02, 8.0, 20.0)
+
+    return by_rows(base, WIDTH, ["height_m", "is_water"], "humidity double, rain double", carried)
+
 
 @query
 def moisture_march(spark, sf_dir):
-    """Moisture carried east along each row: the sea fills it, land takes rain by the rise of the ground."""
-    step = """CASE WHEN c.is_water THEN named_struct('m', least(1E0, a.m + 1.8E-1), 'h', 1E0, 'prev', c.height_m, 'out', array_append(a.out, named_struct('cell_id', c.cell_id, 'h', 1E0)))
-      ELSE named_struct('m', a.m - least(a.m * (2E-2 + 8E0 * greatest((c.height_m - coalesce(a.prev, c.height_m)) / 1.2E4, 0E0)), a.m),
-        'h', greatest(2E1 * least(a.m * (2E-2 + 8E0 * greatest((c.height_m - coalesce(a.prev, c.height_m)) / 1.2E4, 0E0)), a.m) + 3E-1, 0E0), 'prev', c.height_m,
-        'out', array_append(a.out, named_struct('cell_id', c.cell_id, 'h', greatest(2E1 * least(a.m * (2E-2 + 8E0 * greatest((c.height_m - coalesce(a.prev, c.height_m)) / 1.2E4, 0E0)), a.m) + 3E-1, 0E0)))) END"""
-    text = f"""WITH {cells(SPARK)}, rows AS (SELECT y, array_sort(collect_list(named_struct('x', x, 'cell_id', cell_id, 'height_m', height_m, 'is_water', is_water))) AS row FROM cells GROUP BY y)
-      SELECT inline(aggregate(row, named_struct('m', 0E0, 'h', 0E0, 'prev', CAST(NULL AS BIGINT), 'out', CAST(array() AS array<struct<cell_id: bigint, h: double>>)), (a, c) -> {step}, a -> a.out)) FROM rows"""
-    return run(spark, sf_dir, text).select("cell_id", F.expr(f"{SPARK.whole('h * 1E6')}").alias("humidity_micro"))
+    """Moisture carried along each row, east or west by its latitude: the sea fills it, land takes rain by the rise of the ground."""
+    return marched(spark, sf_dir).select("cell_id", F.expr(SPARK.whole("humidity * 1E6")).alias("humidity_micro"), F.expr(SPARK.whole("rain * 3E3")).alias("precipitation_mm"))
+
+
+@query
+def humidity_smoothed(spark, sf_dir):
+    """The humidity of the march, averaged over 7 cells and 7 rows at most."""
+    wet = cut(marched(spark, sf_dir)).selectExpr("cell_id", "cell_id % 100 AS x", "cell_id div 100 AS y", "humidity")
+    return box_blur(wet, WIDTH, 3, "humidity", wrap=False).select("cell_id", F.expr(SPARK.whole("least(greatest(humidity, 0E0), 1E0) * 1E3")).alias("humidity_dp"))
 
 
 def _march(d: Dialect) -> str:
-    rain = "least(r.m * (2E-2 + 8E0 * greatest((c.height_m - coalesce(r.prev, c.height_m)) / 1.2E4, 0E0)), r.m)"
-    return f"""WITH RECURSIVE {cells(d)}, r(x, y, m, h, prev) AS (SELECT -1::BIGINT, y, 0E0, 0E0, NULL::BIGINT FROM cells WHERE x = 0 UNION ALL
-      SELECT c.x, c.y, CASE WHEN c.is_water THEN least(1E0, r.m + 1.8E-1) ELSE r.m - {rain} END, CASE WHEN c.is_water THEN 1E0 ELSE greatest(2E1 * {rain} + 3E-1, 0E0) END, c.height_m
-      FROM r JOIN cells c ON c.y = r.y AND c.x = r.x + 1)
-    SELECT y * 100 + x AS cell_id, {d.whole('h * 1E6')} AS humidity_micro FROM r WHERE x >= 0"""
+    """RECURSIVE: humidity h and rain of the cells, k steps along their rows."""
+    rain = "least(r.m * (2E-2 + 8E0 * greatest((c.height_m - coalesce(r.prev, c.height_m)) / 4E3, 0E0)), r.m)"
+    lat = "(abs((y + 5E-1) / (SELECT max(y) + 1 FROM cells) - 5E-1) * 2)"
+    return f"""{cells(d)}, way AS (SELECT *, CASE WHEN {lat} > 3E-1 AND {lat} < 7E-1 THEN x ELSE 99 - x END AS k FROM cells),
+    r(k, y, cell_id, m, h, rain, prev) AS (SELECT -1::BIGINT, y, NULL::BIGINT, 0E0, 0E0, 0E0, NULL::BIGINT FROM cells WHERE x = 0 UNION ALL
+      SELECT c.k, c.y, c.cell_id, CASE WHEN c.is_water THEN least(1E0, r.m + {EVAPORATION}) ELSE r.m - {rain} END, CASE WHEN c.is_water THEN 1E0 ELSE greatest(2E1 * {rain} + {HUMIDITY_OFFSET}, 0E0) END,
+        CASE WHEN c.is_water THEN 0E0 ELSE {rain} END, c.height_m FROM r JOIN way c ON c.y = r.y AND c.k = r.k + 1),
+    wet AS (SELECT cell_id, cell_id % 100 AS x, y, h, rain FROM r WHERE k >= 0)"""
+
+
+ORACLES["moisture_march"] = lambda d: f"WITH RECURSIVE {_march(d)} SELECT cell_id, {d.whole('h * 1E6')} AS humidity_micro, {d.whole('rain * 3E3')} AS precipitation_mm FROM wet"
+ORACLES["humidity_smoothed"] = lambda d: f"""WITH RECURSIVE {_march(d)}, flat AS (SELECT cell_id, x, y, avg(h) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS v FROM wet)
+  SELECT cell_id, {d.whole('least(greatest(avg(v) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 0E0), 1E0) * 1E3')} AS humidity_dp FROM flat"""
+
+# Orders of all cells
+
+
+def ordered(spark, sf_dir, columns: str, source: str = "cells", where: str = "true") -> DataFrame:
+    return run(spark, sf_dir, f"WITH {cells(SPARK)}, {territories(SPARK)} SELECT {columns} FROM {source} WHERE {where}")
+
+
+@query
+def seed_selection(spark, sf_dir):
+    """All land cells by weight, with their place in that order."""
+    return ranked(ordered(spark, sf_dir, f"cell_id, {weight_of(SPARK)} AS weight", where="NOT is_water"), F.desc("weight"), F.col("cell_id"))
+
+
+ORACLES["seed_selection"] = lambda d: f"""WITH {cells(d)}, w AS (SELECT cell_id, {weight_of(d)} AS weight FROM cells WHERE NOT is_water)
+  SELECT cell_id, weight, CAST(row_number() OVER (ORDER BY weight DESC, cell_id) - 1 AS BIGINT) AS rank FROM w"""
+
+
+@query
+def height_order(spark, sf_dir):
+    """All cells from the highest to the lowest, with their place."""
+    return ranked(ordered(spark, sf_dir, "cell_id, height_m"), F.desc("height_m"), F.col("cell_id"))
+
+
+ORACLES["height_order"] = lambda d: f"WITH {cells(d)} SELECT cell_id, height_m, CAST(row_number() OVER (ORDER BY height_m DESC, cell_id) - 1 AS BIGINT) AS rank FROM cells"
+
+
+@query
+def canonical_rank(spark, sf_dir):
+    return ranked(ordered(spark, sf_dir, "pos, ax, ay", "terr"), F.col("ay"), F.col("ax"), F.col("pos")).select("pos", "rank")
+
+
+ORACLES["canonical_rank"] = lambda d: f"WITH {cells(d)}, {territories(d)} SELECT pos, CAST(row_number() OVER (ORDER BY ay, ax, pos) - 1 AS BIGINT) AS rank FROM terr"
+
+SAMPLE = 32
+
+
+@query
+def even_sample(spark, sf_dir):
+    """32 of all land cells by weight, at even steps; all of them where there are just 32."""
+    order = seed_selection(spark, sf_dir)
+    return order.where(even_positions(F.lit(order.count()), F.lit(SAMPLE), F.col("rank"))).select("cell_id", "rank")
+
+
+def _even(d: Dialect, ranks: str) -> str:
+    step = d.div("n - 1", str(SAMPLE))
+    return f"WITH {cells(d)}, r AS ({ranks}) SELECT cell_id, rank FROM r WHERE n = {SAMPLE} OR ({step} > 0 AND rank % greatest({step}, 1) = 0 AND {d.div('rank', f'greatest({step}, 1)')} < {SAMPLE})"
+
+
+ORACLES["even_sample"] = lambda d: _even(d, f"SELECT cell_id, CAST(row_number() OVER (ORDER BY {weight_of(d)} DESC, cell_id) - 1 AS BIGINT) AS rank, count(*) OVER () AS n FROM cells WHERE NOT is_water")
+
+
+def morton(d: Dialect) -> str:
+    bit = lambda v, i: f"{d.shl(f'({d.shr(v, str(i))} & 1)', str(2 * i))}"
+    xs, ys = (" + ".join(bit(f"CAST({v} AS BIGINT)", i) for i in range(16)) for v in "xy")
+    return f"({xs}) + 2 * ({ys})"
+
+
+@query
+def z_order_sample(spark, sf_dir):
+    """32 of all water cells at even steps along the Z-order curve."""
+    order = ranked(ordered(spark, sf_dir, f"cell_id, {morton(SPARK)} AS z", where="is_water"), F.col("z"), F.col("cell_id"))
+    return order.where(even_positions(F.lit(order.count()), F.lit(SAMPLE), F.col("rank"))).select("cell_id", "rank")
+
+
+ORACLES["z_order_sample"] = lambda d: _even(d, f"SELECT cell_id, CAST(row_number() OVER (ORDER BY {morton(d)}, cell_id) - 1 AS BIGINT) AS rank, count(*) OVER () AS n FROM cells WHERE is_water")
+
+
+@query
+def nearest_centroid(spark, sf_dir):
+    """The nearest of all territories' centroids to each land cell; ties go to the lower position."""
+    surface = land(spark, sf_dir)
+    return grid.nearest(surface, cut(ordered(spark, sf_dir, "pos, ax, ay", "terr")))
 
 
-ORACLES["moisture_march"] = _march
+ORACLES["nearest_centroid"] = lambda d: f"""WITH {cells(d)}, {territories(d)} SELECT c.cell_id, {d.min_by('f.pos', '(c.x - f.ax) * (c.x - f.ax) + (c.y - f.ay) * (c.y - f.ay)', 'f.pos')} AS owner
+  FROM cells c CROSS JOIN terr f WHERE NOT c.is_water GROUP BY c.cell_id"""

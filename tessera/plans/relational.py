@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions import biomes
-from tessera.plans.scalar import SCORE, WATER_COLORS, LAND_COLOR, temperature_of, weight_of
+from tessera.plans.scalar import LAND_COLOR, NO_TERRITORY_COLOR, SCORE, WATER_COLORS, categorical, temperature_of
 from tessera.plans.sql import Dialect, Text, cells, smooth, stencil4, stencil8
 
 QUERIES: dict[str, Text] = {}
@@ -71,10 +71,10 @@ def coastal(d):
 
 @query
 def river_mouth_kind(d):
-    """The first water body beside a mouth, W, E, N, S (mouths: every 7th land cell); none only diagonally."""
+    """The first water body beside a mouth, W, E, N, S (here every land cell beside water is one); none only diagonally."""
     return f"""WITH {cells(d)}, {water_bodies(d)}, {stencil4(d)} SELECT s.cell_id, {d.min_by('b.kind', 's.ord')} AS kind
       FROM st4 s JOIN cells c ON c.cell_id = s.cell_id JOIN wet n ON n.cell_id = s.nid JOIN bodies b ON b.pos = n.water_body
-      WHERE NOT c.is_water AND c.cell_id % 7 = 0 GROUP BY s.cell_id"""
+      WHERE NOT c.is_water GROUP BY s.cell_id"""
 
 
 def edges(d: Dialect) -> str:
@@ -90,14 +90,6 @@ def territory_edges(d):
     return f"WITH {cells(d)}, {edges(d)} SELECT a, b FROM edges"
 
 
-@query
-def nearest_centroid(d):
-    """The nearest of at most 16 fixed centroids; ties go to the lower position."""
-    return f"""WITH {cells(d)}, {territories(d)}, few AS (SELECT pos, ax, ay FROM (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM terr) AS t WHERE k <= 16)
-      SELECT c.cell_id, {d.min_by('f.pos', '(c.x - f.ax) * (c.x - f.ax) + (c.y - f.ay) * (c.y - f.ay)', 'f.pos')} AS owner
-      FROM cells c CROSS JOIN few f WHERE NOT c.is_water GROUP BY c.cell_id"""
-
-
 @query
 def biome_registry_join(d):
     return f"""WITH {cells(d)}, reg AS (SELECT * FROM (VALUES {biomes.registry_sql()}) AS r(id, name, category, r, g, b, deprecated))
@@ -138,17 +130,17 @@ def natural_potential(d):
 @query
 def territory_flags(d):
     return f"""WITH {cells(d)}, {stencil4(d)}, wetter AS (SELECT DISTINCT s.cell_id FROM st4 s JOIN cells n ON n.cell_id = s.nid WHERE n.is_water)
-      SELECT c.territory, bool_or(w.cell_id IS NOT NULL) AS is_coastal, bool_or(c.height_m > 2500) AS is_mountainous, bool_or(c.y = 0) AS touches_pole
-      FROM cells c LEFT JOIN wetter w ON w.cell_id = c.cell_id WHERE c.territory IS NOT NULL GROUP BY c.territory"""
+      SELECT c.territory, bool_or(w.cell_id IS NOT NULL) AS is_coastal, bool_or(c.height_m > 2500) AS is_mountainous, bool_or(c.y = 0 OR c.y = p.last) AS touches_pole
+      FROM cells c LEFT JOIN wetter w ON w.cell_id = c.cell_id CROSS JOIN (SELECT max(y) AS last FROM cells) AS p WHERE c.territory IS NOT NULL GROUP BY c.territory"""
 
 
 @query
 def territory_mouths(d):
-    """Mouths by territory in order (every 13th land cell beside an ocean or a sea)."""
+    """Mouths by territory in order (every land cell beside an ocean or a sea)."""
     text = "CAST(m.cell_id AS STRING)" if d.spark else "CAST(m.cell_id AS VARCHAR)"
     return f"""WITH {cells(d)}, {water_bodies(d)}, {stencil4(d)}, m AS (
       SELECT s.cell_id, {d.min_by('b.kind', 's.ord')} AS kind FROM st4 s JOIN cells c ON c.cell_id = s.cell_id JOIN wet n ON n.cell_id = s.nid JOIN bodies b ON b.pos = n.water_body
-      WHERE NOT c.is_water AND c.cell_id % 13 = 0 GROUP BY s.cell_id)
+      WHERE NOT c.is_water GROUP BY s.cell_id)
       SELECT c.territory, {d.joined(text, 'm.cell_id')} AS mouths, count(*) AS n FROM m JOIN cells c ON c.cell_id = m.cell_id WHERE m.kind IN (0, 1) GROUP BY c.territory"""
 
 
@@ -179,12 +171,6 @@ def band_mean_temperature(d):
     return f"WITH {cells(d)} SELECT {d.div('y', '10')} AS band, count(*) AS n, {d.whole('avg(temperature_dc) * 1E6')} AS mean_micro FROM cells GROUP BY {d.div('y', '10')}"
 
 
-@query
-def component_threshold(d):
-    """River threshold of each land cell by the size of its group (here its territory)."""
-    return f"WITH {cells(d)} SELECT cell_id, {d.whole('greatest(1.2E-3 * count(*) OVER (PARTITION BY territory), 8E0) * 1E6')} AS threshold_micro FROM cells WHERE territory IS NOT NULL"
-
-
 @query
 def coastline_ratio(d):
     return f"""WITH {cells(d)}, half AS (SELECT is_water, y * 100 + (x + 1) % 100 AS nid FROM cells UNION ALL SELECT is_water, (y + 1) * 100 + x FROM cells)
@@ -214,34 +200,9 @@ def windward_rise(d):
     return f"WITH {cells(d)} SELECT cell_id, greatest(height_m - lag(height_m) OVER (PARTITION BY y ORDER BY x), 0) AS rise_m FROM cells"
 
 
-@query
-def canonical_rank(d):
-    return f"WITH {cells(d)}, {territories(d)} SELECT pos, CAST(row_number() OVER (ORDER BY ay, ax, pos) - 1 AS BIGINT) AS rank FROM terr"
-
-
-@query
-def even_sample(d):
-    """32 of the land cells by weight, at even steps of the order in each row band."""
-    return f"""WITH {cells(d)}, r AS (SELECT cell_id, {d.div('y', '5')} AS band, row_number() OVER (PARTITION BY {d.div('y', '5')} ORDER BY {weight_of(d)} DESC, cell_id) - 1 AS rn,
-      count(*) OVER (PARTITION BY {d.div('y', '5')}) AS n FROM cells WHERE NOT is_water),
-    s AS (SELECT *, {d.div('n - 1', '32')} AS step FROM r WHERE n > 32)
-    SELECT band, cell_id FROM s WHERE rn % step = 0 AND {d.div('rn', 'step')} < 32"""
-
-
 # Sorts and searches
 
 
-@query
-def seed_selection(d):
-    return f"""WITH {cells(d)}, w AS (SELECT cell_id, {weight_of(d)} AS weight FROM cells WHERE NOT is_water) SELECT cell_id, weight FROM w ORDER BY weight DESC, cell_id LIMIT 100"""
-
-
-@query
-def height_order(d):
-    """The 1000 highest cells in order."""
-    return f"WITH {cells(d)} SELECT cell_id, height_m FROM cells ORDER BY height_m DESC, cell_id LIMIT 1000"
-
-
 @query
 def land_ratio_search(d):
     """Offsets to heights that give the wished land share: 100 coarse, then 41 fine ones if that misses.
@@ -278,14 +239,6 @@ def smooth_flow_target(d):
     return f"WITH {cells(d)}, {smooth(d)}, {flow_sql(d)} SELECT cell_id, target FROM target"
 
 
-@query
-def z_order_sample(d):
-    bit = lambda v, i: f"{d.shl(f'({d.shr(v, str(i))} & 1)', str(2 * i))}"
-    xs, ys = (" + ".join(bit(f"CAST({v} AS BIGINT)", i) for i in range(16)) for v in "xy")
-    return f"""WITH {cells(d)}, r AS (SELECT cell_id, y % 10 AS slice, row_number() OVER (PARTITION BY y % 10 ORDER BY ({xs}) + 2 * ({ys}), cell_id) - 1 AS rn, count(*) OVER (PARTITION BY y % 10) AS n FROM cells)
-      SELECT slice, cell_id FROM r WHERE n > 20 AND rn % {d.div('n - 1', '20')} = 0 AND {d.div('rn', d.div('n - 1', '20'))} < 20"""
-
-
 @query
 def lloyd_reseed(d):
     """The member next to the seam-aware mean of each territory, ties to the lower cell."""
@@ -370,8 +323,8 @@ def validate_member_count(d):
 @query
 def validate_paths(d):
     """Rivers are orders' line items here: those without a path, or with a cell beyond the grid."""
-    return f"""WITH {cells(d)}, rivers AS (SELECT o_orderkey AS pos FROM {d.table('orders')} WHERE o_orderkey % 10 = 0),
-    steps AS (SELECT l_orderkey AS pos, l_partkey * 9 AS cell FROM {d.table('lineitem')} WHERE l_orderkey % 10 = 0 AND l_orderkey % 70 <> 0)
+    return f"""WITH {cells(d)}, rivers AS (SELECT o_orderkey AS pos FROM {d.table('orders')}),
+    steps AS (SELECT l_orderkey AS pos, l_partkey * 9 AS cell FROM {d.table('lineitem')} WHERE l_orderkey % 70 <> 0)
     SELECT r.pos, count(s.pos) AS length, CAST(coalesce(sum(CASE WHEN s.cell >= (SELECT count(*) FROM cells) THEN 1 ELSE 0 END), 0) AS BIGINT) AS outside
       FROM rivers r LEFT JOIN steps s ON s.pos = r.pos GROUP BY r.pos HAVING count(s.pos) = 0 OR sum(CASE WHEN s.cell >= (SELECT count(*) FROM cells) THEN 1 ELSE 0 END) > 0"""
 
@@ -413,15 +366,28 @@ def polar_temperature_check(d):
 
 
 @query
-def thermal_erosion_pass(d):
-    """One pass of slumping: what a slope has over the talus moves, 3 in 10, to the lowest neighbour (E, S, W, N)."""
-    return f"""WITH {cells(d)}, off AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 0), (2, 0, -1), (3, -1, 0)) AS t(ord, dy, dx)),
-    st AS (SELECT c.cell_id, c.height_m, o.ord, (c.y + o.dy) * 100 + {d.mod('c.x + o.dx', '100')} AS nid FROM cells c CROSS JOIN off o WHERE c.y + o.dy >= 0),
-    low AS (SELECT s.cell_id, min(n.height_m) AS lowest, {d.min_by('s.nid', 'n.height_m', 's.ord')} AS nid, max(s.height_m) AS h FROM st s JOIN cells n ON n.cell_id = s.nid GROUP BY s.cell_id),
-    moves AS (SELECT cell_id, nid, (h - lowest - 120) * 3 AS tenths FROM low WHERE h - lowest > 120),
-    flux AS (SELECT cell_id, -tenths AS tenths FROM moves UNION ALL SELECT nid, tenths FROM moves),
-    net AS (SELECT cell_id, CAST(sum(tenths) AS BIGINT) AS tenths FROM flux GROUP BY cell_id)
-    SELECT c.cell_id, c.height_m * 10 + coalesce(n.tenths, 0) AS height_dm FROM cells c LEFT JOIN net n ON n.cell_id = c.cell_id"""
+def thermal_erosion(d):
+    """Three passes of slumping: what a slope has over the talus moves, 3 in 10, to the lowest neighbour (E, S, W, N).
+
+    Each pass adds a decimal place, so heights stay whole numbers: of meters, then of tenths and so on.
+    """
+    text = f"off AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 0), (2, 0, -1), (3, -1, 0)) AS t(ord, dy, dx)), h0 AS (SELECT cell_id, x, y, CAST(height_m AS BIGINT) AS h FROM cells)"
+    for k in range(3):
+        text += f""", st{k} AS (SELECT c.cell_id, c.h, o.ord, (c.y + o.dy) * 100 + {d.mod('c.x + o.dx', '100')} AS nid FROM h{k} c CROSS JOIN off o WHERE c.y + o.dy >= 0),
+    low{k} AS (SELECT s.cell_id, min(n.h) AS lowest, {d.min_by('s.nid', 'n.h', 's.ord')} AS nid, max(s.h) AS h FROM st{k} s JOIN h{k} n ON n.cell_id = s.nid GROUP BY s.cell_id),
+    moves{k} AS (SELECT cell_id, nid, (h - lowest - {120 * 10**k}) * 3 AS moved FROM low{k} WHERE h - lowest > {120 * 10**k}),
+    flux{k} AS (SELECT cell_id, -moved AS moved FROM moves{k} UNION ALL SELECT nid, moved FROM moves{k}),
+    net{k} AS (SELECT cell_id, CAST(sum(moved) AS BIGINT) AS moved FROM flux{k} GROUP BY cell_id),
+    h{k + 1} AS (SELECT c.cell_id, c.x, c.y, c.h * 10 + coalesce(n.moved, 0) AS h FROM h{k} c LEFT JOIN net{k} n ON n.cell_id = c.cell_id)"""
+    return f"WITH {cells(d)}, {text} SELECT cell_id, h AS height_mm FROM h3"
+
+
+@query
+def raster_regions(d):
+    """Cells by the position of their territory's region, others in the colour of none."""
+    none = ", ".join(f"coalesce(c.{n}, {v}) AS {n}" for n, v in zip("rgb", NO_TERRITORY_COLOR, strict=True))
+    return f"""WITH {cells(d)}, {territories(d)}, c AS (SELECT t.pos AS territory, {categorical('r.pos')} FROM terr t JOIN regions r ON r.id = t.region)
+      SELECT cells.cell_id, {none} FROM cells LEFT JOIN c ON c.territory = cells.territory"""
 
 
 #: The names under which the survey lists the two stencils.

@@ -87,7 +87,7 @@ def enum_codes(d):
 def octave_budget(d):
     wave, least, most = "(CAST(p_size AS DOUBLE) * p_partkey)", "(p_partkey % 17)", "(p_partkey % 8 + 1)"
     return f"""SELECT p_partkey, CAST(CASE WHEN {wave} <= 0 OR {least} <= 0 THEN {most}
-      ELSE greatest(1, least({most}, CAST(floor(1 + log2({wave} / {least}) + 1E-9) AS INT))) END AS INT) AS octaves FROM {d.table('part')}"""
+      ELSE greatest(1, least({most}, CAST(floor(1 + log2({wave} / {least})) AS INT))) END AS INT) AS octaves FROM {d.table('part')}"""
 
 
 @query
@@ -184,8 +184,9 @@ def biome_dither(d):
 
 
 def dithered(d: Dialect) -> str:
+    """Cells with values moved against the dither, which is added to the rules' bounds."""
     n = "((cell_id % 201) / 1E2 - 1)"
-    return f"dith AS (SELECT *, temperature_dc + {d.whole(f'{n} * 2 / 1E-1')} AS t, humidity_dp + {d.whole(f'{n} * 5 / 1E-1')} AS h FROM cells)"
+    return f"dith AS (SELECT *, temperature_dc - {d.whole(f'{n} * 2 / 1E-1')} AS t, humidity_dp - {d.whole(f'{n} * 5 / 1E-1')} AS h FROM cells)"
 
 
 @query
@@ -243,12 +244,6 @@ def cell_score(d):
     return over_cells(d, f"{d.whole(f'{SCORE} * 1E9')} AS score_nano")
 
 
-@query
-def river_threshold(d):
-    return f"""WITH {cells(d)} SELECT territory, count(*) AS land_cells, {d.whole('greatest(1.2E-3 * count(*), 8E0) * 1E6')} AS threshold_micro
-      FROM cells WHERE territory IS NOT NULL GROUP BY territory"""
-
-
 # Rendering
 
 
@@ -288,15 +283,18 @@ def raster_water(d):
     return over_cells(d, ", ".join(f"{pick(k)} AS {n}" for k, n in enumerate("rgb")))
 
 
-@query
-def categorical_color(d):
-    """Golden-ratio hues at saturation 0.55 and value 0.9."""
-    hue = "(territory * 6.180339887498949E-1 - floor(territory * 6.180339887498949E-1))"
+def categorical(index: str) -> str:
+    """Three channels for a number: golden-ratio hues at saturation 0.55 and value 0.9."""
+    hue = f"({index} * 6.180339887498949E-1 - floor({index} * 6.180339887498949E-1))"
     part = f"({hue} * 6 - floor({hue} * 6))"
     level = {"v": "9E-1", "p": "9E-1 * (1 - 5.5E-1)", "q": f"9E-1 * (1 - {part} * 5.5E-1)", "t": f"9E-1 * (1 - (1 - {part}) * 5.5E-1)"}
     channels = {"r": "vqpptv", "g": "tvvqpp", "b": "pptvvq"}
-    cases = [f"CAST(round(CASE CAST(floor({hue} * 6) AS INT) " + " ".join(f"WHEN {s} THEN {level[c]}" for s, c in enumerate(path)) + f" END * 255) AS INT) AS {n}" for n, path in channels.items()]
-    return f"WITH {cells(d)}, t AS (SELECT DISTINCT territory FROM cells WHERE territory IS NOT NULL) SELECT territory, {', '.join(cases)} FROM t"
+    return ", ".join(f"CAST(round(CASE CAST(floor({hue} * 6) AS INT) " + " ".join(f"WHEN {s} THEN {level[c]}" for s, c in enumerate(path)) + f" END * 255) AS INT) AS {n}" for n, path in channels.items())
+
+
+@query
+def categorical_color(d):
+    return f"WITH {cells(d)}, t AS (SELECT DISTINCT territory FROM cells WHERE territory IS NOT NULL) SELECT territory, {categorical('territory')} FROM t"
 
 
 @query
@@ -346,7 +344,6 @@ def raster_biome(d):
 
 @query
 def raster_territory(d):
-    """Land cells by territory (golden-ratio hue in thousandths), others in the colour of none."""
-    hue = "(territory * 6.180339887498949E-1 - floor(territory * 6.180339887498949E-1))"
-    none = NO_TERRITORY_COLOR[0] * 65536 + NO_TERRITORY_COLOR[1] * 256 + NO_TERRITORY_COLOR[2]
-    return over_cells(d, f"{d.whole(f'{hue} * 1E3')} AS hue_milli, CASE WHEN territory IS NULL THEN {none} END AS plain")
+    """Land cells by territory, others in the colour of none."""
+    none = ", ".join(f"coalesce(c.{n}, {v}) AS {n}" for n, v in zip("rgb", NO_TERRITORY_COLOR, strict=True))
+    return f"WITH {cells(d)}, t AS (SELECT DISTINCT territory FROM cells WHERE territory IS NOT NULL), c AS (SELECT territory, {categorical('territory')} FROM t) SELECT cell_id, {none} FROM cells LEFT JOIN c ON c.territory = cells.territory"
