@@ -44,7 +44,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_frames.write_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, token_frames.new_folder(spark))
-    return token_frames.digests(token_frames.read_tokens(spark, files))
+    return token_frames.digests(token_frames.read_tokens(files))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,10 @@ def ids_of(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.text(), st.sampled_from([" ", "́", "É", "Σ", "<|endoftext|>", "\x1c", "\xa0", "word's", "\n\t", "12 3", "<|", "Straße.", "ÀÉ,", "İx", "ǅ", "ŉ.", "word.,", "Ñandú"]))))
+@given(st.lists(st.one_of(st.text(), st.sampled_from([" ", "́", "É", "Σ", "<|endoftext|>", "\x1c", "\xa0", "word's", "\n\t", "12 3", "<|", "Straße.", "ÀÉ,", "İx", "ǅ", "ŉ.", "word.,", "Ñandú", "×", "ſŸ", "\x7f", "</w>", "it'LL", "²", "Ɔ"]))))
 def test_pieces_equal_whole_texts(parts):
     text = "".join(parts)
-    assert np.frombuffer(ENCODER.encode([text.encode()])[0], "<u4").tolist() == ids_of(text)
+    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == ids_of(text)
 
 
 def test_one_frame_is_read_alone():
@@ -42,18 +42,31 @@ def test_one_frame_is_read_alone():
         t.Reader(pa.BufferReader(bytes(broken))).frame(0)
 
 
-def test_documents(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(t, "FILE_TEXT_BYTES", 2000)
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x17F)))
+def test_plain_texts_equal_the_library(text):
+    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == ids_of(text)
+
+
+@pytest.mark.parametrize("ranges", [10_000, 2])
+def test_documents(spark, monkeypatch, tmp_path, ranges):
+    monkeypatch.setattr(t, "RANGES", ranges)
     texts = [None, "", " ", "Plain words, twice.", "Ümlaut ÀÉ 123 日本", "<|endoftext|> x", "word " * 3000]
     rows = [((i * 37) % 50, texts[i % 7]) for i in range(40)] + [(None, "no id"), (3, "again"), (3, "again")]
     docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA)
-    files = t.write_tokens(docs, PATH, 2, f"file://{tmp_path}/tokens")
-    assert len(files) > 3
-    got = t.digests(t.read_tokens(spark, files)).collect()
+    files = t.write_tokens(docs, PATH, 2, f"file://{tmp_path}/tokens", 2000)
+    assert files.count() > 3
+    got = t.digests(t.read_tokens(files)).collect()
     want, start = [], 0
     for d, x in sorted(((d, np.array([*ids_of(x), 2], "<u4").tobytes()) for d, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         want.append((d, start, len(x) // 4, zlib.crc32(x)))
         start += len(x) // 4
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
-    assert t.write_tokens(docs.limit(0), PATH, 2, f"file://{tmp_path}/none") == []
-    assert t.read_tokens(spark, []).count() == 0
+    none = t.write_tokens(docs.limit(0), PATH, 2, f"file://{tmp_path}/none")
+    assert none.count() == 0 and t.read_tokens(none).count() == 0
+
+
+def test_other_tokenizers_get_whole_texts():
+    other = t.Encoder(P.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert not other.fast and np.frombuffer(other.encode(["Some text, 12."])[0], "<u4").tolist() == library.encode("Some text, 12.", add_special_tokens=False).ids
