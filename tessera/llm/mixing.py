@@ -12,12 +12,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import packed, unpacked
 from tessera.llm.quality_rules import words_of
 from tessera.session import cut, fenced
 
 DOMAINS = ("high", "low", "toxic")
-#: Target shares of tokens by domain.
-TARGETS = {"high": 0.86, "low": 0.07, "toxic": 0.07}
+#: Target shares of tokens by domain: little toxic text, and one plain document in eight.
+TARGETS = {"high": 0.85, "low": 0.12, "toxic": 0.03}
 
 #: Labelled rows that the classifier is fitted on at most: those whose ids hash lowest.
 TRAIN_ROWS = 4000
@@ -56,7 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier, from documents that labels has (doc_id, quality, toxic). Without any all domains are alike."""
     named = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(domain_of(F.col("quality"), F.col("toxic"))).alias("_domain"))
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    known = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id").dropDuplicates(["doc_id"])  # TRAIN_ROWS rows at most
+    known = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id").groupBy("doc_id", "_domain").agg(F.min("text").alias("text"))  # TRAIN_ROWS rows at most
     known = cut(known.select("_domain", _features(F.col("text")).alias("_f")))
     rows, words = np.zeros(len(DOMAINS)), np.zeros((len(DOMAINS), FEATURES))
     for r in known.groupBy("_domain").count().collect():
@@ -95,17 +96,17 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def fit_rates(scored: DataFrame, targets: dict[str, float]) -> list[np.ndarray]:
+def fit_rates(scored: DataFrame, targets: dict[str, float], relative: bool = False) -> list[np.ndarray]:
     """Projected gradient steps on the squared errors of the domains' shares, all documents at once.
 
     With w the share of a document's tokens, p its posterior and r its rate, the shares are s = sum w r p.
     A step takes p . (G^-1 e) off each rate, e being s less the target and G the sum of w p p' over
     documents with a rate over 0: the gradient in the metric of the documents that can move. Rates
-    stay at 0 or above. Each step is one aggregate over a table of numbers.
+    stay at 0 or above. Each step is one aggregate over a table of numbers. Relative targets are factors
+    of the shares that the documents have as they are.
     """
     K = range(len(DOMAINS))
-    goal = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    goal = goal / goal.sum()
+    goal = np.array([targets.get(d, 1.0 if relative else 0.0) for d in DOMAINS])
     total = scored.agg(F.sum("_n")).first()[0] or 0
     steps: list[np.ndarray] = []
     if not total:
@@ -116,6 +117,9 @@ def fit_rates(scored: DataFrame, targets: dict[str, float]) -> list[np.ndarray]:
         shares = [F.sum(w * F.col("_r") * F.col(f"_p{k}")).alias(f"s{k}") for k in K]
         metric = [F.sum(F.when(F.col("_r") > 0, w * F.col(f"_p{j}") * F.col(f"_p{k}"))).alias(f"g{j}{k}") for j in K for k in K]
         row = df.agg(*shares, *metric).first()
+        if not steps:
+            goal = goal * np.array([row[f"s{k}"] for k in K]) if relative else goal
+            goal = goal / goal.sum()
         e = np.array([row[f"s{k}"] for k in K]) - goal
         if np.abs(e).max() < TOLERANCE:
             break
@@ -133,26 +137,29 @@ def _copies(rate: Column, doc_id: Column) -> Column:
 ADDED = ("n_words", *(f"p_{d}" for d in DOMAINS), "rate", "copies")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, relative: bool = False) -> DataFrame:
     """One row per row of docs: its columns but text, with ADDED (words, posteriors, rate, and copies to take).
 
     Null and empty texts have no words, the posterior of the labels alone, and a rate like any other.
     Repeated rows have the same rate and copies. An empty table gives no rows. Domains that no document
     can belong to are left short. Copies depend on doc_id alone beside the rate; null ids are one id.
     """
-    plain = docs.drop(*ADDED)
-    scored = cut(_scored(plain, fit(plain, labels)).drop("text"))
-    steps = fit_rates(scored, targets or TARGETS)
-    named = {"_n": "n_words"} | {f"_p{k}": f"p_{d}" for k, d in enumerate(DOMAINS)}
+    names = [c for c in docs.columns if c != "text" and c not in ADDED]
+    scored = cut(_scored(packed(docs, "doc_id", "text", without=("text", *ADDED)), fit(docs, labels)).drop("text"))
+    steps = fit_rates(scored, targets or TARGETS, relative)
     out = scored.withColumn("rate", F.round(_rate(steps), 6)).withColumn("copies", _copies(F.col("rate"), F.col("doc_id")))
-    return out.withColumnsRenamed(named)
+    return unpacked(out, names, F.col("_n").alias("n_words"), *[F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of docs, each as often as its copies say; columns are those of docs."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, relative: bool = False) -> DataFrame:
+    """The rows of docs, each as often as its copies say; columns are those of docs, whatever their names.
+
+    Null and empty texts are copied by the rate of the labels' shares; repeated rows have the same copies
+    each; an empty table gives no rows. Rows of one doc_id but different texts have rates of their own.
+    """
     model = fit(docs, labels)
-    scored = cut(_scored(docs, model).select("_n", *[f"_p{k}" for k in range(len(DOMAINS))]))
-    steps = fit_rates(scored, targets or TARGETS)
-    again = fenced(_scored(docs, model))
+    scored = cut(_scored(docs.select("doc_id", "text"), model).select("_n", *[f"_p{k}" for k in range(len(DOMAINS))]))
+    steps = fit_rates(scored, targets or TARGETS, relative)
+    again = fenced(_scored(packed(docs, "doc_id", "text"), model))
     many = fenced(again.withColumn("_copies", _copies(F.round(_rate(steps), 6), F.col("doc_id"))), "_fence2").where("_copies > 0 AND _fence >= 0 AND _fence2 >= 0")
-    return many.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    return unpacked(many.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))), docs.columns)

@@ -21,7 +21,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from tessera.llm.columns import ROW, packed, unpacked
 from tessera.operators.graph import connected_components
 from tessera.session import cut
 
@@ -252,14 +254,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs with one document of each component: that of the smallest doc_id.
 
-    Of rows that repeat such a doc_id one stays. Rows without a doc_id stay only if their whole
-    component has none. Columns are those of docs.
+    Of rows that repeat such a doc_id the one of the smallest text stays (null first). Rows without a doc_id stay only if their whole
+    component has none. Columns are those of docs, whatever their names. An empty table gives no rows.
     """
     comp = cut(simhash_components(docs))
     keep = comp.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_keep")).count()
     # As many ids as documents stay: never broadcast, however few they are here.
-    kept = docs.join(keep.select("_keep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    if keep.where("_keep IS NOT NULL AND count > 1").isEmpty():
-        return kept
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    rows = packed(docs, F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    kept = rows.join(keep.select("_keep").hint("merge"), F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    if not keep.where("_keep IS NOT NULL AND count > 1").isEmpty():
+        place = F.row_number().over(W.Window.partitionBy("_id").orderBy("_text", F.xxhash64(ROW)))
+        kept = kept.where("_id IS NOT NULL").withColumn("_place", place).where("_place = 1").drop("_place").unionByName(kept.where("_id IS NULL"))
+    return unpacked(kept, docs.columns)

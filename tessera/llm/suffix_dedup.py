@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.columns import packed, unpacked
 from tessera.session import text_parts
 
 #: Bytes of a string that is removed, of an anchor, and places of an anchor in a window.
@@ -418,7 +419,7 @@ def _apply(buckets: int, names: list[str], binary: bool):
             removed.append(int(g.sum()))
             spans.append(int(np.count_nonzero(g & ~gone[s - 1 : e - 1])) if e > s else 0)
         out = {n: docs.column(n) for n in docs.column_names if n in names}
-        out |= {"_bytes": pa.array(part.sizes), "_removed": pa.array(removed, pa.int64()), "_spans": pa.array(spans, pa.int64()), "_kept": pa.array(kept, pa.binary()) if binary else pa.array([k.decode(errors="ignore") for k in kept], pa.string())}
+        out |= {"_n_bytes": pa.array(part.sizes), "_n_removed": pa.array(removed, pa.int64()), "_n_spans": pa.array(spans, pa.int64()), "_kept": pa.array(kept, pa.binary()) if binary else pa.array([k.decode(errors="ignore") for k in kept], pa.string())}
         return pa.table({n: out[n] for n in names})
 
     return apply
@@ -433,33 +434,38 @@ def remove_repeats(docs: DataFrame, binary: bool = True) -> DataFrame:
 
     A text is its UTF-8 bytes, a null one is empty. Bytes are removed if a string of SPAN bytes that covers
     them also stands in a row of smaller doc_id. Rows of the same doc_id take nothing from each other; rows
-    without a doc_id count as larger than all others. Columns of docs named as the added ones are replaced.
+    without a doc_id count as larger than all others. Columns of docs named as the added ones are replaced,
+    others may have any name. An empty table gives no rows.
     """
-    plain = docs.drop(*ADDED).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    names = [c for c in docs.columns if c != "text" and c not in ADDED]
+    plain = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), without=("text", *ADDED))
+    done = _removed(plain, binary)
+    return unpacked(done, names, *[F.col(f"_{n}").alias(n) for n in ADDED])
+
+
+def _removed(plain: DataFrame, binary: bool) -> DataFrame:
+    """ROW, doc_id and text to ROW, doc_id and ADDED after an underscore."""
     parts = text_parts(plain, "text", PART_BYTES)
     own = [f for f in plain.schema.fields if f.name != "text"]
-    # Part numbers may collide with a column of docs; positions within the functions go by name.
     keyed = plain.withColumn("_part", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 100)), F.lit(parts))).repartition(parts, "_part")
     offers = keyed.groupBy("_part").applyInArrow(_offer(parts), "bucket long, part long, names binary, weights binary")
     verdict = offers.groupBy("bucket").applyInArrow(_shared, MESSAGE).repartition(parts, "part")
     sent = keyed.groupBy("_part").cogroup(verdict.groupBy("part")).applyInArrow(_contexts(parts), MESSAGE)
     answers = sent.groupBy("bucket").applyInArrow(_answer, MESSAGE)
     mail = verdict.unionByName(answers)
-    result = T.StructType([*own, *[T.StructField(n, T.LongType()) for n in ("_bytes", "_removed", "_spans")], T.StructField("_kept", T.BinaryType() if binary else T.StringType())])
-    done = keyed.groupBy("_part").cogroup(mail.groupBy("part")).applyInArrow(_apply(parts, result.fieldNames(), binary), result)
-    return done.withColumnsRenamed({"_bytes": "n_bytes", "_removed": "n_removed", "_spans": "n_spans", "_kept": "kept"})
+    result = T.StructType([*own, *[T.StructField(n, T.LongType()) for n in ("_n_bytes", "_n_removed", "_n_spans")], T.StructField("_kept", T.BinaryType() if binary else T.StringType())])
+    return keyed.groupBy("_part").cogroup(mail.groupBy("part")).applyInArrow(_apply(parts, result.fieldNames(), binary), result)
 
 
 def digests(removed: DataFrame) -> DataFrame:
+    """The numbers of remove_repeats() with the SHA-256 of the kept bytes; nothing kept is the hash of no bytes."""
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs, with the kept bytes as text (pieces of cut characters are left out; null texts are empty).
 
-    Columns named as those that remove_repeats() adds stay as they are.
+    Columns may have any names; an empty table gives no rows.
     """
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
-    done = remove_repeats(docs.withColumnsRenamed(clash), binary=False)
-    done = done.drop("n_bytes", "n_removed", "n_spans").withColumnRenamed("kept", "text")
-    return done.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    plain = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), without=("text",))
+    return unpacked(_removed(plain, binary=False), docs.columns, instead={"text": F.col("_kept")})

@@ -68,3 +68,32 @@ def test_empty(tables):
     docs, labels, _ = tables
     assert m.mixing_rates(docs.limit(0), labels).count() == 0
     assert m.mixing_rates(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_relative_targets_and_rates_of_zero(tables):
+    docs, labels, _ = tables
+    out = m.mixing_rates(docs, labels, {"toxic": 0.1}, relative=True).toPandas()
+    p, w = out[[f"p_{d}" for d in m.DOMAINS]].to_numpy(), out.n_words.to_numpy() / out.n_words.sum()
+    goal = (w @ p) * [1, 1, 0.1]
+    assert np.abs((w * out.rate.to_numpy()) @ p - goal / goal.sum()).max() < 2e-4
+    assert (out.rate == 0).any() and (out.copies[out.rate == 0] == 0).all()
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word other " * 100000), (2, "word")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.n_words for r in m.mixing_rates(docs, labels).collect()} == {1: 200000, 2: 1}
+
+
+def test_posteriors_against_plain_counts(tables):
+    """Naive Bayes over distinct hashed words, softened by the fourth root of their number, in plain Python."""
+    docs, labels, rows = tables
+    model = m.fit(docs, labels)
+    hashed = docs.select("doc_id", m._features(docs.text).alias("f")).collect()
+    out = {(r.doc_id, r.n_words): r for r in m.mixing_rates(docs, labels).collect()}
+    texts = {r[0]: r[1] for r in rows[:600]}
+    for r in hashed[:100]:
+        e = [0.0] + [(model.prior[k] + sum(model.weights[k][i] for i in r.f) / max(1, len(r.f) ** 0.25)) / m.STEPS for k in range(2)]
+        e = np.exp(np.clip(e, -50, 50))
+        got = out[r.doc_id, len(texts[r.doc_id].split())]
+        assert np.allclose([got[f"p_{d}"] for d in m.DOMAINS], e / e.sum(), atol=1e-9)
