@@ -10,35 +10,35 @@ from tessera.session import cut, ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts go, an empty table gives none."""
     ship(spark)
     return quality_rules.quality_rules(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the smallest doc_id; rows without one give way to any that has."""
     ship(spark)
     return simhash.simhash_dedup(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without long strings that an earlier one has."""
+    """All documents, without long strings that an earlier one has; null texts become empty."""
     ship(spark)
     return suffix_dedup.suffix_dedup(docs)
 
 
-#: Shares of tokens by domain: documents that the quality rules keep, with a sixth less of what reads toxic.
-TARGETS = {"high": 0.92, "low": 0.01, "toxic": 0.07}
+#: Factors of the shares of tokens that the stage's own input has: half of what reads toxic, the rest in proportion.
+SCALE = {"toxic": 0.5}
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights ask."""
+    """Documents as often as the target weights ask. Without labels all documents stay as they are."""
     ship(spark)
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SCALE, relative=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids) of every document."""
+    """(doc_id, ids) of every row, repeated ones too; null and empty texts have no ids."""
     ship(spark)
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 

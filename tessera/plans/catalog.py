@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graphs, relational, scalar
+from tessera.plans import graphs, relational, scalar, worlds
 from tessera.plans.sql import ORACLE, SPARK, Text, run
 
 _TEXTS = scalar.QUERIES | relational.QUERIES
@@ -17,7 +17,7 @@ def _runner(text: Text) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _runner(text) for name, text in _TEXTS.items()} | graphs.QUERIES
+    return {name: _runner(text) for name, text in _TEXTS.items()} | graphs.QUERIES | worlds.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

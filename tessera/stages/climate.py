@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions.lattice import quantized
 from tessera.functions.noise import Noise, on_cylinder
 from tessera.functions.params import Parameters, parameters
 from tessera.operators.stencil import box_blur, by_rows, clamped, eastward, latitude, march
@@ -40,7 +41,7 @@ def climate(world: GridWorld, params: Parameters | None = None) -> GridWorld:
     value = value - F.when(F.col("is_water"), F.lit(SEA_COOLING_C) * F.least(F.greatest(-h, F.lit(0.0)) / F.lit(SEA_DEPTH_M), F.lit(1.0))).otherwise(F.lit(LAPSE) * F.greatest(h, F.lit(0.0)))
     value = F.least(F.greatest(value, F.lit(COLDEST_C)), F.lit(HOTTEST_C))
     base = world.cells.drop("temperature", "humidity", "precipitation")
-    warm = base.withColumn("temperature", F.rint(value / F.lit(0.1)).cast("int"))
+    warm = base.withColumn("temperature", quantized(value, "temperature_dc"))
     evaporation = max(EVAPORATION + EVAPORATION_BY_OFFSET * humid, LEAST_EVAPORATION)
 
     def carried(y: np.ndarray, height_m: np.ndarray, water: np.ndarray):
@@ -51,7 +52,7 @@ def climate(world: GridWorld, params: Parameters | None = None) -> GridWorld:
     smooth = box_blur(wet, width, RADIUS, "humidity", wrap=False)
     moist = smooth.select(
         "cell_id",
-        F.rint(clamped(F.col("humidity")) * F.lit(100.0) / F.lit(0.1)).cast("int").alias("humidity"),
-        F.rint(F.greatest(F.col("rain") * F.lit(RAIN_MM), F.lit(0.0))).cast("int").alias("precipitation"),
+        quantized(clamped(F.col("humidity")) * F.lit(100.0), "humidity_dp").alias("humidity"),
+        quantized(F.greatest(F.col("rain") * F.lit(RAIN_MM), F.lit(0.0)), "precipitation_mm").alias("precipitation"),
     )
     return world.with_cells(warm.join(moist, "cell_id"), climate=p)

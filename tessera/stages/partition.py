@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.lattice import quantized
 from tessera.operators import grid
 from tessera.operators.graph import connected_components
 from tessera.operators.order import even_positions, ranked
@@ -69,7 +70,7 @@ def attractiveness():
     warm = clamped((F.col("temperature") * F.lit(0.1) + F.lit(25.0)) / F.lit(52.0))
     wet = clamped(F.col("humidity") * F.lit(0.1) / F.lit(100.0))
     low = clamped(F.lit(1.0) - F.abs(F.col("height_m").cast("double")) / F.lit(6000.0))
-    return F.rint(warm * wet * low / F.lit(0.001)).cast("int")
+    return quantized(warm * wet * low, "weight")
 
 
 def land_territories(world: GridWorld, count: int) -> DataFrame:

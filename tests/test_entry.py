@@ -33,12 +33,20 @@ def test_without_llm(bare):
     assert done.returncode == 0 and done.stdout.split()[1] == "False"
 
 
-def test_errors_inside_llm_are_raised(bare):
+def test_a_missing_library_of_llm_is_warned_of(bare):
     (bare / "tessera/llm").mkdir()
     (bare / "tessera/llm/__init__.py").write_text("")
     (bare / "tessera/llm/queries.py").write_text("import no_such_module_at_all")
     done = names(bare)
-    assert done.returncode and "no_such_module_at_all" in done.stderr
+    assert done.returncode == 0 and done.stdout.split()[1] == "False" and "no_such_module_at_all" in done.stderr
+
+
+def test_errors_inside_llm_are_raised(bare):
+    (bare / "tessera/llm").mkdir()
+    (bare / "tessera/llm/__init__.py").write_text("")
+    (bare / "tessera/llm/queries.py").write_text("1 / 0")
+    done = names(bare)
+    assert done.returncode and "ZeroDivisionError" in done.stderr
 
 
 def test_nothing_else_imports_llm():

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import cli
+from tessera.functions.lattice import quantized, valued
 from tessera.functions.noise import Noise, octave_budget, on_cylinder
 from tessera.functions.params import parameters
 from tessera.operators.order import even_positions, ranked
 from tessera.operators.stencil import box_blur, march, slump
+from tessera.plans import catalog
 from tessera.sources.world_file import stored_hash, synthetic_world, to_bytes
 from tessera.stages import pipeline
 from tessera.stages.biomes import biomes
@@ -185,3 +187,22 @@ def test_march_goes_with_the_wind():
 
 def test_default_sizes():
     assert (pipeline.WIDTH, pipeline.HEIGHT, pipeline.LAND, pipeline.WATER) == (48, 32, 12, 8)
+
+
+def test_stage_queries(spark):
+    known, data = catalog.queries(), "/root/testdata/sf0.001"
+    cells = spark.read.parquet(f"{data}/orders.parquet").count()
+    for name in ("noise_field", "relief_stage", "climate_stage", "biome_stage"):
+        df = known[name](spark, data)
+        assert df.select("cell_id").distinct().count() == cells and not df.where(" OR ".join(f"{c} IS NULL" for c in df.columns)).count()
+    found = known["territory_stage"](spark, data).collect()
+    assert sum(r.cell_count for r in found) == cells and len({r.id for r in found}) == len(found) and all(r.region for r in found)
+
+
+def test_lattices_refuse_what_does_not_fit(spark):
+    value = lambda v, lattice="temperature_dc": spark.range(1).select(quantized(F.lit(v).cast("double"), lattice).alias("q")).first().q
+    assert [value(v) for v in (0.25, 0.35, -1.0, 3276.7, None)] == [2, 3, -10, 32767, None]
+    assert value(2.5, "height_m") == 2 and spark.range(1).select(valued(F.lit(7), "weight").alias("v")).first().v == 0.007
+    for wrong in (float("nan"), float("inf"), -float("inf"), 3277.0, -3277.0):
+        with pytest.raises(Exception, match="no whole steps"):
+            value(wrong)
