@@ -15,11 +15,12 @@ of blocks, so that no task gathers all weights.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +30,15 @@ from tessera.session import cut
 VOCABULARY, GROUP = 4096, 64
 GROUPS = VOCABULARY // GROUP
 WINDOW, WIDTH = 2, 16
-#: Steps: tokens in one, Adagrad's rate; tokens scored at once.
-BATCH, RATE, AT_ONCE = 2048, 0.15, 16384
+#: Steps: tokens in the first one, which doubles with every GROWTH steps up to the last; Adagrad's rate; tokens scored at once.
+BATCH, GROWTH, LAST_BATCH, RATE, AT_ONCE = 1024, 32, 16384, 0.15, 16384
 #: Blocks of weights that are averaged apart, and tasks whose weights are added first.
 BLOCKS, FAN = 16, 32
 SEED = 7
-#: Words whose numbers are remembered, or that a task counts before it hands them on.
-REMEMBERED = 300_000
+#: Logits are held to this on either side.
+FAR = np.float32(40)
+#: Bytes of text whose words are counted, learned from or scored together.
+COUNT_BYTES, LEARN_BYTES, SCORE_BYTES = 16_000_000, 2_000_000, 2_000_000
 #: Words with counts of their own at most, and the bytes that such a word has at most; the others are spelled.
 WORDS, LONGEST = 65536, 64
 
@@ -67,80 +70,125 @@ class Network:
             h += self.embed[k][context[:, k]]
         return np.tanh(h)
 
+    def _inner(self, h: np.ndarray, cuts: list[int]) -> np.ndarray:
+        """Logits of places within groups, for rows sorted by group."""
+        z = np.empty((len(h), GROUP), np.float32)
+        for k in range(GROUPS):
+            if cuts[k] < cuts[k + 1]:
+                at = slice(cuts[k], cuts[k + 1])
+                np.matmul(h[at], self.inner[k].T, out=z[at])
+                z[at] += self.inner_bias[k]
+        return z
+
+    @staticmethod
+    def _by_group(token: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        g = (token // GROUP).astype(np.int16)  # short numbers sort by radix
+        return np.argsort(g, kind="stable"), np.append(0, np.cumsum(np.bincount(g, minlength=GROUPS))).tolist()
+
     @staticmethod
-    def _soft(z: np.ndarray) -> np.ndarray:
-        """Log-probabilities."""
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+    def _exp(z: np.ndarray) -> np.ndarray:
+        """Exponentials in place; logits beyond FAR count as FAR, which keeps sums finite."""
+        return np.exp(np.clip(z, -FAR, FAR, out=z), out=z)
+
+    @classmethod
+    def _log(cls, z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probabilities of a column of each row; z is used up."""
+        e = cls._exp(z)
+        return np.log(e[np.arange(len(e)), at] / (e @ np.ones(e.shape[1], np.float32)))
+
+    @classmethod
+    def _slope(cls, z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Probabilities less 1 at a column of each row; z is used up."""
+        e = cls._exp(z)
+        e /= (e @ np.ones(e.shape[1], np.float32))[:, None]
+        e[np.arange(len(e)), at] -= 1
+        return e
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        g, w = token // GROUP, token % GROUP
-        out = self._soft(h @ self.group.T + self.group_bias)[np.arange(len(g)), g]
-        order = np.argsort(g, kind="stable")
-        cuts = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            at = order[cuts[k] : cuts[k + 1]]
-            out[at] += self._soft(h[at] @ self.inner[k].T + self.inner_bias[k])[np.arange(len(at)), w[at]]
+        order, cuts = self._by_group(token)
+        token = token[order]
+        h = self.hidden(context[order])
+        out = np.empty(len(token), np.float32)
+        out[order] = self._log(h @ self.group.T + self.group_bias, token // GROUP) + self._log(self._inner(h, cuts), token % GROUP)
         return out
 
     def learn(self, context: np.ndarray, token: np.ndarray, squares: Network) -> None:
         """One Adagrad step down the mean loss of a batch."""
-        grad = Network(np.zeros(SIZE, np.float32))
-        n, h = len(token), self.hidden(context)
-        g, w = token // GROUP, token % GROUP
-        d = np.exp(self._soft(h @ self.group.T + self.group_bias))
-        d[np.arange(n), g] -= 1
-        grad.group[:], grad.group_bias[:] = d.T @ h, d.sum(0)
-        dh = d @ self.group
-        order = np.argsort(g, kind="stable")
-        cuts = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            at = order[cuts[k] : cuts[k + 1]]
-            d = np.exp(self._soft(h[at] @ self.inner[k].T + self.inner_bias[k]))
-            d[np.arange(len(at)), w[at]] -= 1
-            grad.inner[k], grad.inner_bias[k] = d.T @ h[at], d.sum(0)
-            dh[at] += d @ self.inner[k]
-        dh *= 1 - h * h
-        grad.bias[:] = dh.sum(0)
+        grad, dh, by, first, context = self.gradient(context, token)
+        n = len(token)
         for k in range(2 * WINDOW):
-            by = np.argsort(context[:, k], kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(context[by, k]) != 0))
-            grad.embed[k][context[by[first], k]] = np.add.reduceat(dh[by], first)
-            self._step(self.embed[k], grad.embed[k], squares.embed[k], n, context[by[first], k])
+            at = by[k][first[k]]
+            self._step(self.embed[k], np.add.reduceat(dh[by[k]], first[k]), squares.embed[k], n, context[at, k])
         rest = slice(self.embed.size, None)
-        self._step(self.flat, grad.flat, squares.flat, n, rest)
+        self._step(self.flat[rest], grad, squares.flat[rest], n, slice(None))
+
+    def gradient(self, context: np.ndarray, token: np.ndarray) -> tuple:
+        """Sums over a batch: the gradient of all but the embeddings; of the hidden sums; and per place, rows by token and where each token begins."""
+        order, cuts = self._by_group(token)
+        token, context = token[order], context[order]
+        h = self.hidden(context)
+        grad = np.zeros(SIZE - self.embed.size, np.float32)
+        at, own = 0, {}
+        for name, shape in list(SHAPES.items())[1:]:
+            size = int(np.prod(shape))
+            own[name] = grad[at : at + size].reshape(shape)
+            at += size
+        d = self._slope(h @ self.group.T + self.group_bias, token // GROUP)
+        own["group"][:], own["group_bias"][:] = d.T @ h, np.ones(len(d), np.float32) @ d
+        dh = d @ self.group
+        d = self._slope(self._inner(h, cuts), token % GROUP)
+        for k in range(GROUPS):
+            if cuts[k] < cuts[k + 1]:
+                at = slice(cuts[k], cuts[k + 1])
+                own["inner"][k], own["inner_bias"][k] = d[at].T @ h[at], np.ones(cuts[k + 1] - cuts[k], np.float32) @ d[at]
+                dh[at] += d[at] @ self.inner[k]
+        dh *= 1 - h * h
+        own["bias"][:] = dh.sum(0)
+        by = [np.argsort(context[:, k].astype(np.int16), kind="stable") for k in range(2 * WINDOW)]
+        first = [np.flatnonzero(np.append(True, np.diff(context[b, k]) != 0)) for k, b in enumerate(by)]
+        return grad, dh, by, first, context
 
     @staticmethod
     def _step(weights: np.ndarray, grad: np.ndarray, squares: np.ndarray, n: int, at: np.ndarray | slice) -> None:
         """Adagrad where the gradient may differ from 0; elsewhere a step changes nothing."""
-        step = grad[at] / np.float32(n)
+        step = grad / np.float32(n)
         total = squares[at] + step * step
         squares[at] = total
         weights[at] -= np.float32(RATE) * step / (np.sqrt(total) + np.float32(1e-6))
 
 
-class Numbers(dict):
-    """Numbers of words, worked out once each."""
+class Words:
+    """The words of texts: how many each text has, the distinct ones, and which of them stands at each place."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = n = zlib.crc32(word) % VOCABULARY
-        return n
+    def __init__(self, texts: pa.Array) -> None:
+        lists = pa.compute.ascii_split_whitespace(pa.compute.utf8_lower(pa.compute.fill_null(texts.cast(pa.large_string()), "")))
+        every = pa.compute.list_flatten(lists)
+        full = pa.compute.not_equal(every, "")  # there is one beside white space at either end
+        own = np.repeat(np.arange(len(texts)), pa.compute.list_value_length(lists).to_numpy())[full.to_numpy(zero_copy_only=False)]
+        self.length = np.bincount(own, minlength=len(texts))
+        coded = every.filter(full).dictionary_encode()
+        self.distinct = coded.dictionary.cast(pa.large_binary())
+        self.at = coded.indices.to_numpy()
 
+    def numbers(self) -> np.ndarray:
+        """The hashed number of the word at each place."""
+        known = np.fromiter(map(zlib.crc32, self.distinct.to_pylist()), np.int64, len(self.distinct)) % VOCABULARY
+        return known.astype(np.int32)[self.at]
 
-def tokens(text: str | None, numbers: Numbers) -> np.ndarray:
-    """The numbers of a text's words."""
-    return _numbered(words_of(text), numbers)
 
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().split()
+def tokens(text: str | None) -> np.ndarray:
+    """The numbers of a text's words."""
+    return Words(pa.array([text], pa.string())).numbers()
 
 
-def _numbered(words: list[bytes], numbers: Numbers) -> np.ndarray:
-    return np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+def _slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Runs of texts of about `most` bytes each, one text at least."""
+    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy())
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, "right")))
+        yield texts.slice(start, end - start)
+        start = end
 
 
 def _pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +211,7 @@ class Counts:
         self.spelled = np.log(pairs / pairs.sum(1, keepdims=True)).ravel()
 
     def log_probabilities(self, words: list[bytes], token: np.ndarray) -> np.ndarray:
-        get = self.words.get
-        out = np.fromiter((get(w, 1.0) for w in words), np.float64, len(words))
+        out = np.fromiter(map(self.words.get, words, repeat(1.0)), np.float64, len(words))
         rare = np.flatnonzero(out > 0)
         if len(rare):
             pair, size = _pairs([words[k] for k in rare.tolist()])
@@ -174,20 +221,12 @@ class Counts:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to (word, n), a word once or more."""
-    seen: Counter[bytes] = Counter()
     for b in batches:
-        for text in b.column(0):
-            seen.update(words_of(text.as_py()))
-            if len(seen) > REMEMBERED:
-                yield from _counted(seen)
-                seen.clear()
-    yield from _counted(seen)
-
-
-def _counted(seen: Counter[bytes]) -> Iterator[pa.RecordBatch]:
-    words, n = list(seen), list(seen.values())
-    for k in range(0, len(words), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 10_000], pa.binary()), pa.array(n[k : k + 10_000], pa.int64())], ["word", "n"])
+        for part in _slices(b.column(0), COUNT_BYTES):
+            words = Words(part)
+            n = np.bincount(words.at, minlength=len(words.distinct))
+            for k in range(0, len(n), 10_000):
+                yield pa.RecordBatch.from_arrays([words.distinct.slice(k, 10_000).cast(pa.binary()), pa.array(n[k : k + 10_000], pa.int64())], ["word", "n"])
 
 
 def _tally(known: set[bytes]):
@@ -228,35 +267,43 @@ def count(docs: DataFrame) -> Counts:
     return Counts(words, *sums)
 
 
-def contexts(token: np.ndarray) -> np.ndarray:
-    """The WINDOW tokens before and after each; VOCABULARY stands for none."""
-    pad = np.full(WINDOW, VOCABULARY, np.int32)
-    every = np.concatenate([pad, token, pad])
-    return np.stack([every[k : k + len(token)] for k in range(2 * WINDOW + 1) if k != WINDOW], 1)
+def contexts(token: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The WINDOW tokens before and after each, within its text (by lengths; else all are one text); VOCABULARY stands for none."""
+    n = len(token)
+    lengths = np.array([n]) if lengths is None else lengths
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    starts, at = ends - np.repeat(lengths, lengths), np.arange(n)
+    out = []
+    for k in (k for k in range(-WINDOW, WINDOW + 1) if k):
+        to = at + k
+        out.append(np.where((to >= starts) & (to < ends), token[np.clip(to, 0, max(0, n - 1))] if n else token, VOCABULARY))
+    return np.stack(out, 1).astype(np.int32)
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    net, squares, numbers = Network.start(), Network(np.full(SIZE, 1e-8, np.float32)), Numbers()
-    have, size, learned = [], 0, 0
+    net, squares = Network.start(), Network(np.full(SIZE, 1e-8, np.float32))
+    have, size, learned, steps = [], 0, 0, 0
     rng = np.random.default_rng(SEED)
 
     def flush() -> None:
-        nonlocal have, size, learned
+        nonlocal have, size, learned, steps
         context, token = (np.concatenate(x) for x in zip(*have, strict=True))
-        order = rng.permutation(len(token))  # neighbours in a text go to different steps
-        for k in range(0, len(order), BATCH):
-            at = order[k : k + BATCH]
+        order, k = rng.permutation(len(token)), 0  # neighbours in a text go to different steps
+        while k < len(order):
+            at = order[k : k + min(BATCH << min(20, steps // GROWTH), LAST_BATCH)]
             net.learn(context[at], token[at], squares)
+            k, steps = k + len(at), steps + 1
         learned += len(token)
         have, size = [], 0
 
     for b in batches:
-        for text in b.column(0):
-            t = tokens(text.as_py(), numbers)
-            if len(t):
-                have.append((contexts(t), t))
-                size += len(t)
-                if size >= 32 * BATCH:
+        for part in _slices(b.column(0), LEARN_BYTES):
+            words = Words(part)
+            if len(words.at):
+                token = words.numbers()
+                have.append((contexts(token, words.length), token))
+                size += len(words.at)
+                if size >= 4 * LAST_BATCH:
                     flush()
     if size:
         flush()
@@ -295,24 +342,21 @@ def train(docs: DataFrame) -> Network:
 
 def _scorer(flat: np.ndarray, counts: Counts):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, numbers = Network(flat), Numbers()
+        net = Network(flat)
         for b in batches:
-            texts, at = b.column(1), 0
-            while at < len(texts):
-                own, words, start = [], [], at
-                while at < len(texts) and len(words) < 8 * AT_ONCE:
-                    plain = words_of(texts[at].as_py())
-                    own.append(_numbered(plain, numbers))
-                    words += plain
-                    at += 1
-                token = np.concatenate(own)
-                context = np.concatenate([contexts(t) for t in own])
+            done = 0
+            for part in _slices(b.column(1), SCORE_BYTES):
+                words = Words(part)
+                plain = words.distinct.to_pylist()
+                known = (np.fromiter(map(zlib.crc32, plain), np.int64, len(plain)) % VOCABULARY).astype(np.int32)
+                token = known[words.at]
+                context = contexts(token, words.length)
                 p = np.concatenate([net.log_probabilities(context[k : k + AT_ONCE], token[k : k + AT_ONCE]) for k in range(0, len(token), AT_ONCE)] or [np.zeros(0, np.float32)]).astype(np.float64)
-                p += counts.log_probabilities(words, token)
-                n = np.array([len(t) for t in own], np.int64)
-                ends = np.cumsum(n)
+                p += counts.log_probabilities(plain, known)[words.at]
+                ends = np.cumsum(words.length)
                 total = np.append(0.0, np.cumsum(p))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, at - start), pa.array(n), pa.array(total[ends] - total[ends - n])], ["doc_id", "n_tokens", "log_likelihood"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(part)), pa.array(words.length), pa.array(total[ends] - total[ends - words.length])], ["doc_id", "n_tokens", "log_likelihood"])
+                done += len(part)
 
     return score
 

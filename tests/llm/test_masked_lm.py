@@ -34,6 +34,28 @@ def test_gradient_goes_down():
     assert net.log_probabilities(c, token).mean() > before + 3
 
 
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    net = m.Network.start()
+    token = rng.integers(0, m.VOCABULARY, 40).astype(np.int32)
+    c = m.contexts(token)
+    grad, dh, by, first, sorted_ = net.gradient(c, token)
+    whole = np.zeros(m.SIZE)
+    whole[net.embed.size :] = grad
+    embed = whole[: net.embed.size].reshape(net.embed.shape)
+    for k in range(2 * m.WINDOW):
+        np.add.at(embed[k], sorted_[:, k], dh)
+        assert np.allclose(np.add.reduceat(dh[by[k]], first[k]), embed[k][sorted_[by[k][first[k]], k]], atol=1e-5)
+    step = 1e-2
+    for i in rng.choice(np.flatnonzero(np.abs(whole) > 0.05), 40, replace=False):
+        old, ends = net.flat[i], []
+        for x in (step, -step):
+            net.flat[i] = old + x
+            ends.append(net.log_probabilities(c, token).astype(float).sum())
+        net.flat[i] = old
+        assert abs((ends[1] - ends[0]) / (2 * step) - whole[i]) < 2e-2
+
+
 def test_probabilities_sum_to_one():
     net = m.Network.start()
     c = np.tile(np.array([[1, 2, 3, m.VOCABULARY]]), (m.VOCABULARY, 1))
@@ -48,7 +70,7 @@ def test_scores_equal_plain_sums_and_prefer_real_order(spark, docs):
     rng = random.Random(2)
     better = 0
     for r in out:
-        token = m.tokens(rows[r.doc_id], m.Numbers())
+        token = m.tokens(rows[r.doc_id])
         assert r.n_tokens == len(token)
         if not len(token):
             assert r.log_likelihood == 0 and r.mean_log_likelihood is None
@@ -72,7 +94,7 @@ def test_every_position_is_learned_from():
 
 
 def test_words_of_one_number_have_their_own_probabilities(spark, monkeypatch):
-    same = [w for w in (f"w{k}" for k in range(40000)) if m.Numbers()[w.encode()] == 7][:3]
+    same = [w for w in (f"w{k}" for k in range(40000)) if m.tokens(w)[0] == 7][:3]
     rows = [(k, f"red {same[0]} runs") for k in range(90)] + [(100 + k, f"red {same[1]} runs") for k in range(10)] + [(200, f"red {same[2]} runs")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = {r.doc_id: r.log_likelihood for r in m.score_documents(docs).collect()}
@@ -80,3 +102,15 @@ def test_words_of_one_number_have_their_own_probabilities(spark, monkeypatch):
     monkeypatch.setattr(m, "WORDS", 4)  # the third word is spelled
     fewer = {r.doc_id: r.log_likelihood for r in m.score_documents(docs).collect()}
     assert abs(fewer[0] - fewer[100] - np.log(9)) < 1e-4 and fewer[200] < fewer[0] - np.log(90)
+
+
+def test_words_and_contexts():
+    texts = ["One  two\n", None, "", " \t ", "two ÉTÉ", "x"]
+    words = m.Words(pa.array(texts))
+    plain = [(t or "").lower().encode().split() for t in texts]
+    assert words.length.tolist() == [len(p) for p in plain]
+    assert [words.distinct[k].as_py() for k in words.at.tolist()] == [w for p in plain for w in p]
+    token = words.numbers()
+    apart = [m.contexts(np.concatenate([m.tokens(t)])) for t in texts]
+    assert np.array_equal(m.contexts(token, words.length), np.concatenate(apart))
+    assert [len(x) for x in m._slices(pa.array(["ab", "c" * 9, None, "d", "e" * 30]), 10)] == [1, 3, 1]
