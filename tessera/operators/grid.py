@@ -164,9 +164,33 @@ def nearest(cells: DataFrame, centers: DataFrame, square: int = 10) -> DataFrame
 
 
 def flow_targets(cells: DataFrame, width: int) -> DataFrame:
-    """(cell_id, target): the lowest of the lower neighbours (of eight), ties to the first in order."""
-    beside = neighbours(cells, width, EIGHT, "height_m").join(cells.select(F.col("cell_id").alias("nid"), F.col("height_m").alias("nh")), "nid")
-    return beside.where("nh < height_m").groupBy("cell_id").agg(F.min_by("nid", F.struct("nh", "ord")).alias("target"))
+    """(cell_id, target): the lowest of the lower neighbours (of eight), ties to the first in order.
+
+    cells has cell_id and height_m. Bands of rows with one more on either side hold all neighbours, so
+    cells are dealt once.
+    """
+
+    def lowest(band: pd.DataFrame) -> pd.DataFrame:
+        low, ids, own = int(band["y"].min()), band["cell_id"].to_numpy(), band["own"].to_numpy()
+        at = ids - low * width
+        h = np.full((int(band["y"].max()) - low + 3) * width, np.iinfo(np.int64).max)
+        h[at + width] = band["height_m"].to_numpy()  # a row of none before and after
+        h = h.reshape(-1, width)
+        here = h[1:-1]
+        best, target = here.copy(), np.full(here.shape, -1)
+        number = low * width + np.arange(here.size).reshape(here.shape)
+        x = number % width
+        for dy, dx in EIGHT:
+            near = np.roll(h[1 + dy : h.shape[0] - 1 + dy], -dx, 1)
+            lower = near < best
+            best = np.where(lower, near, best)
+            target = np.where(lower, number - x + dy * width + (x + dx) % width, target)
+        found = target.ravel()[at]
+        keep = own & (found >= 0)
+        return pd.DataFrame({"cell_id": ids[keep], "target": found[keep]})
+
+    rows = cells.select("cell_id", F.expr(f"cell_id div {width}").alias("y"), F.col("height_m").cast("long").alias("height_m"))
+    return banded(rows, 1).groupBy("band").applyInPandas(lowest, "cell_id long, target long")
 
 
 def accumulate(cells: DataFrame, targets: DataFrame) -> DataFrame:

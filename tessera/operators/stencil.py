@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.operators.grid import BAND, banded, neighbours
+from tessera.operators.grid import BAND, banded
 
 #: Offsets (dy, dx) of slumping, in the order that decides ties: E, S, W, N.
 SLUMP = ((0, 1), (1, 0), (0, -1), (-1, 0))
@@ -36,18 +36,52 @@ def box_blur(cells: DataFrame, width: int, radius: int, value: str, wrap: bool)
     return banded(flat, radius).withColumn(value, F.avg(value).over(frame)).where("own").select(*rest, value)
 
 
-def slump(cells: DataFrame, width: int, value: str, talus: float, share: float) -> DataFrame:
-    """cells after one pass of slumping: a share of what the steepest slope down has over the talus moves to that neighbour.
-
-    All slopes are those before the pass; a cell's changes are added in the order of the cells they come from.
+def steepest(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far each cell of rows stands over its lowest neighbour (0 if over none), and which one that is (its place in SLUMP, the first of equal ones)."""
+    above, way = np.zeros(h.shape, h.dtype), np.full(h.shape, -1, np.int8)
+    for k, (dy, dx) in enumerate(SLUMP):
+        near = np.roll(h, -dx, 1) if dx else None
+        here = h if dx else h[max(0, -dy) : len(h) - max(0, dy)]
+        diff = here - (near if dx else h[max(0, dy) : len(h) - max(0, -dy)])
+        at = slice(None) if dx else slice(max(0, -dy), len(h) - max(0, dy))
+        more = diff > above[at]
+        above[at][more], way[at][more] = diff[more], k
+    return above, way
+
+
+def settled(h: np.ndarray, moved: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """Rows after what each cell moves to the neighbour its way leads to; a cell's changes are added in the order of the cells they come from."""
+    east, south, west, north = (np.where(way == k, moved, 0) for k in range(4))
+    none = np.zeros((1, h.shape[1]), moved.dtype)
+    from_north, from_south = np.concatenate([none, south[:-1]]), np.concatenate([north[1:], none])
+    from_west, from_east = np.roll(east, 1, 1), np.roll(west, -1, 1)
+    out = h + from_north
+    mid = np.ones(h.shape[1], bool)
+    mid[[0, -1]] = h.shape[1] == 1
+    # Around the seam the neighbour in the west or the east comes later or earlier.
+    orders = [(mid, (from_west, -moved, from_east)), (np.arange(h.shape[1]) == h.shape[1] - 1, (from_east, from_west, -moved)), (np.arange(h.shape[1]) == 0, (-moved, from_east, from_west))]
+    for columns, parts in orders[: 3 if h.shape[1] > 1 else 1]:
+        for part in parts:
+            out[:, columns] = out[:, columns] + part[:, columns]
+    return out + from_south
+
+
+def slump(cells: DataFrame, width: int, value: str, passes: int, step: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """cells (cell_id, value) after passes of step(rows, pass), which looks two rows far at most.
+
+    A band of rows with two more a pass on either side goes through all passes inside a task.
     """
-    beside = neighbours(cells, width, SLUMP, value).join(cells.select(F.col("cell_id").alias("nid"), F.col(value).alias("_n")), "nid")
-    steep = beside.withColumn("_d", F.col(value) - F.col("_n")).where(F.col("_d") > max(talus, 0.0))
-    move = steep.groupBy("cell_id").agg(F.max_by("nid", F.struct("_d", -F.col("ord"))).alias("nid"), ((F.max("_d") - F.lit(talus)) * F.lit(share)).alias("_m"))
-    both = move.select(F.inline(F.array(F.struct("cell_id", F.col("cell_id").alias("source"), (-F.col("_m")).alias("m")), F.struct(F.col("nid").alias("cell_id"), F.col("cell_id").alias("source"), F.col("_m").alias("m")))))
-    change = both.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("source", "m"))).alias("_moves"))  # five at most
-    moved = F.aggregate("_moves", F.col(value), lambda a, s: a + s["m"])
-    return cells.join(change, "cell_id", "left").withColumn(value, F.coalesce(moved, F.col(value))).drop("_moves")
+
+    def apply(band: pd.DataFrame) -> pd.DataFrame:
+        band = band.sort_values("cell_id")
+        h = band[value].to_numpy().reshape(-1, width)
+        for k in range(passes):
+            h = step(h, k)
+        return pd.DataFrame({"cell_id": band["cell_id"], value: h.ravel()})[band["own"].to_numpy()]
+
+    kind = cells.schema[value].dataType.simpleString()
+    rows = cells.select("cell_id", F.expr(f"cell_id div {width}").alias("y"), value)
+    return banded(rows, 2 * passes).groupBy("band").applyInPandas(apply, f"cell_id long, {value} {kind}")
 
 
 def by_rows(cells: DataFrame, width: int, values: list[str], schema: str, f: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import grid
 from tessera.operators.graph import connected_components
 from tessera.operators.order import even_positions, ranked
-from tessera.operators.stencil import box_blur, by_rows, eastward, latitude, march
-from tessera.plans.relational import edges, flow_sql, territories
+from tessera.operators.stencil import box_blur, by_rows, eastward, latitude, march, settled, slump, steepest
+from tessera.plans.relational import ORACLE_ONLY, edges, flow_sql, territories
 from tessera.plans.scalar import LAND_COLOR, RIVER_COLOR, RIVERS_WATER_COLOR, weight_of
 from tessera.plans.sql import ORACLE, SPARK, Dialect, cells, run, smooth, stencil4
 from tessera.session import cut
@@ -209,6 +210,49 @@ def flow_oracle(d: Dialect) -> str:
     mouth AS (SELECT start, arg_max(cell_id, ord) AS mouth, count(*) AS n FROM path GROUP BY start)"""
 
 
+@query
+def flow_target(spark, sf_dir):
+    """The lowest of the neighbours that are lower; ties go to the first in order."""
+    return grid.flow_targets(land(spark, sf_dir, "true"), WIDTH)
+
+
+@query
+def smooth_flow_target(spark, sf_dir):
+    return grid.flow_targets(smooth_cells(spark, sf_dir), WIDTH)
+
+
+def blurred(spark, sf_dir, value: str, radius: int, wrap: bool, name: str) -> DataFrame:
+    base = run(spark, sf_dir, f"WITH {cells(SPARK)} SELECT cell_id, x, y, CAST({value} AS DOUBLE) AS v FROM cells")
+    return box_blur(base, WIDTH, radius, "v", wrap).select("cell_id", F.expr(SPARK.whole("v * 1E3")).alias(name))
+
+
+@query
+def box_blur_wrap(spark, sf_dir):
+    """Means over 5 cells that wrap in x, then over at most 5 rows."""
+    return blurred(spark, sf_dir, "height_m", 2, True, "blur_mm")
+
+
+@query
+def box_blur_clamp(spark, sf_dir):
+    """Means over at most 7 cells, then over at most 7 rows."""
+    return blurred(spark, sf_dir, "humidity_dp", 3, False, "blur_milli")
+
+
+@query
+def thermal_erosion(spark, sf_dir):
+    """Three passes of slumping: what a slope has over the talus moves, 3 in 10, to the lowest neighbour; each pass adds a decimal place."""
+
+    def slide(h, k):
+        above, way = steepest(h)
+        return settled(h * 10, np.where(above > 120 * 10**k, (above - 120 * 10**k) * 3, 0), way)
+
+    base = run(spark, sf_dir, f"WITH {cells(SPARK)} SELECT cell_id, CAST(height_m AS BIGINT) AS height_mm FROM cells")
+    return slump(base, WIDTH, "height_mm", 3, slide)
+
+
+ORACLES |= ORACLE_ONLY
+
+
 @query
 def flow_accumulation(spark, sf_dir):
     return flowing(spark, sf_dir)[2]

@@ -390,6 +390,9 @@ def raster_regions(d):
       SELECT cells.cell_id, {none} FROM cells LEFT JOIN c ON c.territory = cells.territory"""
 
 
+#: Texts of the oracle only: Spark runs these over bands of rows (graphs.py).
+ORACLE_ONLY = {name: QUERIES.pop(name) for name in ("thermal_erosion", "flow_target", "smooth_flow_target", "box_blur_wrap", "box_blur_clamp")}
+
 #: The names under which the survey lists the two stencils.
 QUERIES["stencil4"] = QUERIES.pop("stencil_4")
 QUERIES["stencil8"] = QUERIES.pop("stencil_8")
