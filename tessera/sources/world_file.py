@@ -277,6 +277,45 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(decode, "world string, " + CELLS)
 
 
+#: Tables of entities in a file, by their positions.
+TABLES = {
+    "territories": "pos long, id long, is_water boolean, anchor_x long, anchor_y long, cell_count long, natural_potential int, region long",
+    "regions": "pos long, id long",
+    "water_bodies": "pos long, id long, kind int, anchor_x long, anchor_y long",
+    "rivers": "pos long, id long, mouth_x long, mouth_y long, path array<long>",
+}
+SECTIONS = "cell_id long, temperature int, humidity int, precipitation int, biome int"
+
+
+def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of entities (of TABLES) of all world files under path, or their sections by cell; each file is decoded by one task."""
+    schema = SECTIONS if table == "sections" else TABLES[table]
+
+    def rows(w: World) -> list[tuple]:
+        if table == "sections":
+            n = w.width * w.height
+            columns = [v if v is not None else [None] * n for v in (w.temperature, w.humidity, w.precipitation, w.biomes)]
+            return list(zip(range(n), *columns, strict=True))
+        return [(k, *(i if isinstance(i, tuple) else (i,))) for k, i in enumerate(getattr(w, table))]
+
+    def decode(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = [(name, *r) for r in rows(from_bytes(content))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    whole = to_arrow_schema(_parse_datatype_string("world string, " + schema))
+    kinds, names = whole.types, whole.names
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(decode, "world string, " + schema)
+
+
 # The synthetic world
 
 WIDTH, HEIGHT, CENTER = 48, 32, (24, 16)
@@ -323,3 +362,8 @@ def synthetic_world(spark: SparkSession, seed: int) -> World:
         [(ids.assign("water_body", by[2].ax, by[2].ay), 0, by[2].ax, by[2].ay)],
         [(ids.assign("river", mouth % WIDTH, mouth // WIDTH), mouth % WIDTH, mouth // WIDTH, path)],
     )
+
+
+def minimal_world(spark: SparkSession) -> World:
+    """The synthetic world of seed 0."""
+    return synthetic_world(spark, 0)

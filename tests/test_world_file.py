@@ -89,3 +89,17 @@ def test_files_are_read_as_cells(spark, world, tmp_path):
     df = f.read_cells(spark, f"file://{tmp_path}/*.vgw")
     assert df.count() == 1536 and df.where("is_water").count() == sum(c[1] for c in world.cells)
     assert {r.territory for r in df.select("territory").distinct().collect()} == {0, 1, None}
+
+
+def test_tables_of_files(spark, tmp_path):
+    w = f.minimal_world(spark)
+    assert w.seed == 0
+    w.temperature = list(range(48 * 32))
+    (tmp_path / "a.gwb").write_bytes(f.to_bytes(w))
+    (tmp_path / "b.gwb").write_bytes(f.to_bytes(w))
+    for table in f.TABLES:
+        rows = [tuple(r)[2:] for r in f.read_table(spark, str(tmp_path), table).orderBy("world", "pos").collect()]
+        want = [i if isinstance(i, tuple) else (i,) for i in getattr(w, table)]
+        assert [tuple(r) for r in rows] == want * 2, table
+    sections = f.read_table(spark, str(tmp_path), "sections")
+    assert sections.count() == 2 * 48 * 32 and sections.where("temperature = cell_id AND humidity IS NULL").count() == 2 * 48 * 32
