@@ -314,13 +314,13 @@ def oracle_sql() -> str:
     ctes.append(("dev", "SELECT key, " + ", ".join(f"any_value(_m{i}) AS _m{i}, quantile_disc(abs({f} - _m{i}), 0.5) AS _d{i}" for i, f in enumerate(FEATURES)) + " FROM keyed JOIN med USING (key) GROUP BY key"))
     robust = [(f"m{i}", f"CAST(_m{i} AS DOUBLE)") for i in P] + [(f"c{i}{j}", f"({MAD}E0 * _d{i}) * ({MAD}E0 * _d{i})" if i == j else "0.0E0") for i, j in PAIRS]
     done = steps("start1", "dev", robust + factor_columns())
-    ctes.append(("both", "SELECT *, unnest([0, 1]) AS start FROM keyed"))
+    ctes.append(("started", "SELECT *, unnest([0, 1]) AS start FROM keyed"))
     moments = ", ".join(f"{v} AS {k}" for k, v in moment_aggregates().items())
     ctes.append(("start0_s", f"SELECT key, {moments} FROM keyed GROUP BY key"))
     plain = steps("start0", "start0_s", scatter_columns() + factor_columns())
     ctes.append(("e0_e", f"SELECT 0 AS start, key, {names} FROM {plain} UNION ALL SELECT 1, key, {names} FROM {done}"))
     for r in range(ROUNDS):
-        far = steps(f"d{r}", f"(SELECT both.*, {names} FROM both JOIN e{r}_e USING (start, key)) AS j", distance_columns())
+        far = steps(f"d{r}", f"(SELECT started.*, {names} FROM started JOIN e{r}_e USING (start, key)) AS j", distance_columns())
         ctes.append((f"n{r}_b", f"SELECT start, key, {', '.join(FEATURES)}, {BUCKET} AS bucket FROM {far}"))
         ctes.append((f"n{r}_c", f"SELECT start, key, bucket, sum(count(*)) OVER (PARTITION BY start, key ORDER BY bucket) AS below, sum(count(*)) OVER (PARTITION BY start, key) AS total FROM n{r}_b GROUP BY start, key, bucket"))
         ctes.append((f"n{r}_l", f"SELECT start, key, min(bucket) AS most FROM n{r}_c WHERE below >= {SUPPORT} * total GROUP BY start, key"))
@@ -334,7 +334,7 @@ def oracle_sql() -> str:
     ctes.append(("own", "SELECT sized._lang, sized._source, " + ", ".join(f"{CONSISTENCY if k[0] == 'c' else 1.0!r}E0 * ({v}) AS {k}" for k, v in blended("c", "e2", "w")) + " FROM sized LEFT JOIN best AS e2 ON e2.key.level = 2 AND e2.key.lang = sized._lang AND e2.key.source = sized._source LEFT JOIN wide AS w ON w._lang = sized._lang"))
     done = steps("pick", "own", factor_columns())
     end = steps("f", f"(SELECT t5.*, {names.replace(', det', '')} FROM t5 LEFT JOIN {done} USING (_lang, _source)) AS j", distance_columns())
-    body = ", ".join(f"{k} AS MATERIALIZED ({v})" if k in ("t3", "keyed", "both", "best") or k.endswith(("_e", "_b")) else f"{k} AS ({v})" for k, v in ctes)
+    body = ", ".join(f"{k} AS MATERIALIZED ({v})" if k in ("t3", "keyed", "started", "best") or k.endswith(("_e", "_b")) else f"{k} AS ({v})" for k, v in ctes)
     return (
         f"WITH {body} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, "
         f"NOT base_failed AND coalesce(d2, 0) <= {CUTOFF} AS kept FROM {end}"
