@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bm25, byte_bpe, licenses, masked_lm, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity
+from tessera.llm import bm25, byte_bpe, licenses, masked_lm, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity, warc
 from tessera.session import ship
 
 
@@ -61,9 +61,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record a page in a content-addressed archive, read back, rebuilt by joins and parsed."""
+    ship(spark)
+    archive = warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), warc.new_folder(spark))
+    return warc.digests(warc.resolved(warc.parsed(warc.records(archive))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op5_bm25_top_k, op6_license_scan, op7_token_frames, op8_byte_bpe, op9_masked_lm, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op5_bm25_top_k, op6_license_scan, op7_token_frames, op8_byte_bpe, op9_masked_lm, op10_simhash_near_dedup, op11_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.oracle_sql(), "op6_license_scan": licenses.oracle_sql()}
+    return {"op4_quality_rules": quality_rules.oracle_sql(), "op6_license_scan": licenses.oracle_sql(), "op11_warc": warc.oracle_sql()}
