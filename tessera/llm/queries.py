@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bm25, byte_bpe, licenses, masked_lm, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity, warc
+from tessera.llm import alignment, bm25, byte_bpe, licenses, masked_lm, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity, warc
 from tessera.session import ship
 
 
@@ -68,8 +68,14 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.resolved(warc.parsed(warc.records(archive))))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenizers over every text, cut where tokens of both end, with counts of linked ids."""
+    found = alignment.link_statistics(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op5_bm25_top_k, op6_license_scan, op7_token_frames, op8_byte_bpe, op9_masked_lm, op10_simhash_near_dedup, op11_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op5_bm25_top_k, op6_license_scan, op7_token_frames, op8_byte_bpe, op9_masked_lm, op10_simhash_near_dedup, op11_warc, op12_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
