@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import alignment, bm25, byte_bpe, licenses, masked_lm, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity, warc
+from tessera.llm import alignment, bm25, byte_bpe, collocations, licenses, masked_lm, mixing, quality_rules, simhash, suffix_dedup, token_frames, toxicity, warc
 from tessera.session import ship
 
 
@@ -74,9 +74,14 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op5_bm25_top_k, op6_license_scan, op7_token_frames, op8_byte_bpe, op9_masked_lm, op10_simhash_near_dedup, op11_warc, op12_alignment)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_suffix_dedup, op4_quality_rules, op5_bm25_top_k, op6_license_scan, op7_token_frames, op8_byte_bpe, op9_masked_lm, op10_simhash_near_dedup, op11_warc, op12_alignment, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.oracle_sql(), "op6_license_scan": licenses.oracle_sql(), "op11_warc": warc.oracle_sql()}
+    return {"op4_quality_rules": quality_rules.oracle_sql(), "op6_license_scan": licenses.oracle_sql(), "op11_warc": warc.oracle_sql(), "op13_collocations": collocations.oracle_sql()}
