@@ -1,5 +1,6 @@
 """Collocations of two to four words, counted exactly by automata over candidates from sketches.
 
+0. Texts are spelt once: chunks of one language with their words as numbers.
 1. Words are counted exactly; those that are too rare can't stand in a phrase.
 2. Count-min sketches of phrases bound their counts from above, first of two words, then of three and four
    whose shorter phrases all pass. A sketch is two rows of cells that lie with Spark, in buckets of cells;
@@ -37,9 +38,9 @@ LONGEST, LEAST, ABSORBS_PERCENT, TOP = 4, 30, 80, 2000
 #: Bytes of text of one language taken together, words and phrases that a task holds before it sends them on.
 CHUNK_BYTES, HELD = 4_000_000, 400_000
 #: Cells that a task counts before it sends them on, cells of a bucket, and the bits of a row's cells at least and at most.
-CELLS, BUCKET_BITS, ROW_BITS = 3_000_000, 20, (16, 30)
+CELLS, BUCKET_BITS, ROW_BITS = 3_000_000, 20, (16, 28)
 ROWS = 2
-#: Bytes of the phrases that one file of candidates has, about: their automata are in a task's memory together.
+#: Bytes of the phrases whose automata are in a task's memory together, about.
 FILE_BYTES = 2_000_000
 
 _CAPITALS, _ENDS = bytes(range(65, 91)), b".,;:!?\n\x0b\x0c\r"
@@ -67,46 +68,62 @@ def _blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     yield from ((lang, b"\n".join(t)) for lang, t in held.items())
 
 
-class Numbers:
-    """Words as numbers from 1; 0 is the end of a piece."""
+def _batch(columns: Iterable, types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
-    def __init__(self) -> None:
-        self.of = defaultdict(counter().__next__)
-        self.of[b"\n"]
 
-    def ids(self, texts: bytes) -> np.ndarray:
-        found = [w for w in spelt(texts) if w]
-        return np.fromiter(map(self.of.__getitem__, found), np.int64, len(found))
+#: A chunk: its words, each once, with b"\n" between them, and the numbers (32 bits) of all words in order: from 1, 0 for the end of a piece.
+CHUNK = {"lang": pa.string(), "words": pa.binary(), "ids": pa.binary()}
+CHUNK_SCHEMA = "lang string, words binary, ids binary"
 
 
-def _batch(columns: Iterable, types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
+def chunks(docs: DataFrame) -> DataFrame:
+    """docs (lang, text, both without nulls) as chunks of many texts of one language."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _blobs(batches):
+            numbers = defaultdict(counter().__next__)
+            numbers[b"\n"]
+            found = list(filter(None, spelt(texts)))
+            ids = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+            words = list(numbers)[1:]
+            if words:
+                yield _batch([[lang], [b"\n".join(words)], [ids.tobytes()]], CHUNK)
 
+    return docs.select("lang", "text").mapInArrow(spell, CHUNK_SCHEMA)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) of docs (lang, text, both without nulls)."""
+
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """(lang, words from number 0 on, numbers in order) of each chunk."""
+    for b in batches:
+        for k in range(len(b)):
+            lang, words, ids = (c[k] for c in b.columns)
+            yield lang.as_py(), [b"\n", *words.as_py().split(b"\n")], np.frombuffer(ids.as_buffer(), np.int32)
+
+
+def word_counts(spelling: DataFrame) -> DataFrame:
+    """(lang, word, n) of chunks()."""
     kinds = {"lang": pa.string(), "word": pa.string(), "n": pa.int64()}
 
-    def flush(held: dict[str, tuple[Numbers, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for lang, (numbers, n) in held.items():
-            words = list(numbers.of)
-            for k in range(1, len(words), 50_000):
-                some = [w.decode() for w in words[k : k + 50_000]]
-                yield _batch([[lang] * len(some), some, n[k : k + 50_000]], kinds)
+    def flush(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            words = list(counts)
+            for k in range(0, len(words), 50_000):
+                some = words[k : k + 50_000]
+                yield _batch([[lang] * len(some), [w.decode() for w in some], list(map(counts.__getitem__, some))], kinds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Numbers, np.ndarray]] = {}
-        for lang, texts in _blobs(batches):
-            numbers, n = held.get(lang) or (Numbers(), np.zeros(0, np.int64))
-            more = np.bincount(numbers.ids(texts), minlength=len(numbers.of))
-            more[: len(n)] += n
-            held[lang] = numbers, more
-            if sum(len(x) for _, x in held.values()) > HELD:
+        held: dict[str, dict[bytes, int]] = {}
+        for lang, words, ids in _opened(batches):
+            counts = held.setdefault(lang, {})
+            n, known = np.bincount(ids, minlength=len(words))[1:].tolist(), counts.get
+            counts.update((w, known(w, 0) + k) for w, k in zip(words[1:], n, strict=True))
+            if sum(map(len, held.values())) > HELD:
                 yield from flush(held)
                 held = {}
         yield from flush(held)
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return spelling.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -159,14 +176,11 @@ def _sieve(paths: tuple[str, ...], bits: int) -> Sieve:
     return Sieve(paths, bits)
 
 
-def phrases_of(lang: str, texts: bytes, sieve: Sieve, known: int) -> tuple[np.ndarray, list[bytes], dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Numbers of the words in order, the words, and for each length up to LONGEST the places where phrases begin and their hashes.
+def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, sieve: Sieve, known: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length up to LONGEST the places in ids where phrases begin, and their hashes.
 
     A phrase is there if all shorter ones in it pass the sieve, which knows phrases of up to `known` words.
     """
-    numbers = Numbers()
-    ids = numbers.ids(texts)
-    words = list(numbers.of)
     each = word_hashes(lang, words)
     good = sieve.passing(each, 1)
     good[0] = False
@@ -182,7 +196,7 @@ def phrases_of(lang: str, texts: bytes, sieve: Sieve, known: int) -> tuple[np.nd
             alive = np.zeros(n, bool)
             alive[at] = True
         out[k] = at, whole[at]
-    return ids, words, out
+    return out
 
 
 SKETCH = {"words": pa.int32(), "row": pa.int32(), "bucket": pa.int32(), "cells": pa.binary(), "counts": pa.binary()}
@@ -217,7 +231,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _passing_cells(docs: DataFrame, lengths: tuple[int, ...], sieve: tuple[tuple[str, ...], int]) -> DataFrame:
+def _passing_cells(spelling: DataFrame, lengths: tuple[int, ...], sieve: tuple[tuple[str, ...], int]) -> DataFrame:
     """The cells of phrases of some lengths that reach LEAST, in a sketch of all documents."""
     paths, bits = sieve
 
@@ -228,8 +242,8 @@ def _passing_cells(docs: DataFrame, lengths: tuple[int, ...], sieve: tuple[tuple
             for (k, row), cells in held.items():
                 yield _batch(zip(*_packed(k, row, np.concatenate(cells)), strict=True), SKETCH)
 
-        for lang, texts in _blobs(batches):
-            _, _, found = phrases_of(lang, texts, _sieve(paths, bits), min(lengths) - 1)
+        for lang, words, ids in _opened(batches):
+            found = phrases_of(lang, words, ids, _sieve(paths, bits), min(lengths) - 1)
             for k in lengths:
                 hashes = found[k][1]
                 for row in range(ROWS if len(hashes) else 0):
@@ -241,7 +255,7 @@ def _passing_cells(docs: DataFrame, lengths: tuple[int, ...], sieve: tuple[tuple
                 size = 0
         yield from flush()
 
-    sent = docs.select("lang", "text").mapInArrow(sketch, SKETCH_SCHEMA)
+    sent = spelling.mapInArrow(sketch, SKETCH_SCHEMA)
     dealt = sent.repartition("words", "row", "bucket").sortWithinPartitions("words", "row", "bucket")
     return cut(dealt.mapInArrow(_combined, SKETCH_SCHEMA))
 
@@ -262,65 +276,94 @@ def _word_cells(words: DataFrame, bits: int) -> DataFrame:
     return cut(words.select("lang", "word").mapInArrow(mark, SKETCH_SCHEMA))
 
 
-def candidates(docs: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
+def candidates(spelling: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
     """(lang, phrase): all phrases of 2 to LONGEST words that occur LEAST times, and those that no sketch rules out.
 
-    words has (lang, word) that occur LEAST times. Rows of sketches have about as many cells as there are
-    words in the corpus, and 2^30 (128 MB of bits) at most.
+    words has (lang, word) that occur LEAST times. Rows of sketches have a cell for about every three words
+    of the corpus, and 2^28 (32 MB of bits) at most. Tasks send phrases in packs by their hash, each once,
+    and the packs of a hash's bucket are brought together.
     """
-    bits = min(max(n_words.bit_length(), ROW_BITS[0]), ROW_BITS[1])
+    bits = min(max(n_words.bit_length() - 2, ROW_BITS[0]), ROW_BITS[1])
     paths = tuple(files(_word_cells(words, bits)))
     for lengths in ((2,), tuple(range(3, LONGEST + 1))):
-        paths += tuple(files(_passing_cells(docs, lengths, (paths, bits))))
+        paths += tuple(files(_passing_cells(spelling, lengths, (paths, bits))))
+    buckets = np.uint64(1 << max(4, bits - BUCKET_BITS + 4))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for lang, texts in _blobs(batches):
-            ids, spelling, found = phrases_of(lang, texts, _sieve(paths, bits), LONGEST)
-            out = []
-            for k, (at, hashes) in found.items():
-                hashes, first = np.unique(hashes, return_index=True)
-                new = [j for j, h in enumerate(hashes.tolist()) if h not in seen]
-                seen.update(hashes[new].tolist())
-                starts = at[first[new]]
-                out += [b" ".join([spelling[i] for i in row]).decode() for row in ids[starts[:, None] + np.arange(k)].tolist()]
-            if out:
-                yield _batch([[lang] * len(out), out], {"lang": pa.string(), "phrase": pa.string()})
-            if len(seen) > HELD:
-                seen.clear()
+        seen, held = np.zeros(0, np.uint64), defaultdict(list)
 
-    return docs.select("lang", "text").mapInArrow(name, "lang string, phrase string").distinct()
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield _batch([*zip(*held, strict=True), [b"\n".join(p) for p in held.values()]], {"bucket": pa.int32(), "lang": pa.string(), "phrases": pa.binary()})
 
+        for lang, words, ids in _opened(batches):
+            for k, (at, hashes) in phrases_of(lang, words, ids, _sieve(paths, bits), LONGEST).items():
+                hashes, first = np.unique(hashes, return_index=True)
+                new = ~np.isin(hashes, seen, assume_unique=True)
+                hashes, starts = hashes[new], at[first[new]]
+                seen = np.concatenate([seen, hashes])
+                for row, bucket in zip(ids[starts[:, None] + np.arange(k)].tolist(), (hashes % buckets).tolist(), strict=True):
+                    held[bucket, lang].append(b" ".join([words[i] for i in row]))
+            if len(seen) > HELD:
+                yield from flush()
+                seen = np.zeros(0, np.uint64)
+                held.clear()
+        yield from flush()
 
-def guarded(texts: bytes) -> str:
-    """Texts with a blank on either side of each word and each end of a piece."""
-    return f" {b' '.join([w for w in spelt(texts) if w]).decode()} "
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, known = None, defaultdict(set)
+        for b in batches:
+            for bucket, lang, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != of:
+                    of = bucket
+                    known.clear()
+                fresh = set(packed.split(b"\n")) - known[lang]
+                known[lang] |= fresh
+                if fresh:
+                    yield _batch([[lang] * len(fresh), [p.decode() for p in fresh]], {"lang": pa.string(), "phrase": pa.string()})
+
+    sent = spelling.mapInArrow(name, "bucket int, lang string, phrases binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "lang string, phrase string")
+
+
+def guarded(words: list[bytes], ids: np.ndarray, wanted: set[bytes]) -> str:
+    """The wanted words with a blank on either side; where others or ends of pieces stand, one b"\n" for all that follow each other."""
+    here = np.array([w in wanted for w in words])[ids]
+    beside = np.zeros(len(ids), bool)  # a word on its own is in no phrase
+    beside[1:] |= here[:-1]
+    beside[:-1] |= here[1:]
+    here &= beside
+    keep = here.copy()
+    keep[1:] |= here[:-1]
+    text = b" ".join([words[i] for i in np.where(here, ids, 0)[keep].tolist()])
+    return f" {text.decode()} "
 
 
 @functools.lru_cache(1)
-def _automata(path: str) -> dict[str, tuple[ahocorasick.Automaton, np.ndarray]]:
-    """For each language of a file of candidates, their automaton and their numbers."""
+def _automata(paths: tuple[str, ...]) -> dict[str, tuple[ahocorasick.Automaton, np.ndarray, set[bytes]]]:
+    """For each language of some files of candidates: their automaton, their numbers, and their words."""
     by_lang = defaultdict(list)
-    table = load(path)
-    for lang, phrase, number in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "number")), strict=True):
-        by_lang[lang].append((phrase, number))
+    for path in paths:
+        table = load(path)
+        for lang, phrase, number in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "number")), strict=True):
+            by_lang[lang].append((phrase, number))
     out = {}
     for lang, rows in by_lang.items():
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, (phrase, _) in enumerate(rows):
             automaton.add_word(f" {phrase} ", k)
         automaton.make_automaton()
-        out[lang] = automaton, np.array([n for _, n in rows], np.int64)
+        out[lang] = automaton, np.array([n for _, n in rows], np.int64), {w for p, _ in rows for w in p.encode().split(b" ")}
     return out
 
 
-def _scan(path: str):
+def _scan(paths: tuple[str, ...]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(path)
-        totals = {lang: np.zeros(len(numbers), np.int64) for lang, (_, numbers) in automata.items()}
-        for lang, texts in _blobs(batches):
-            automaton = automata[lang][0]
-            found = np.fromiter(map(operator.itemgetter(1), automaton.iter(guarded(texts))), np.int64)
+        automata = _automata(paths)
+        totals = {lang: np.zeros(len(numbers), np.int64) for lang, (_, numbers, _) in automata.items()}
+        for lang, words, ids in _opened(batches):
+            automaton, _, wanted = automata[lang]
+            found = np.fromiter(map(operator.itemgetter(1), automaton.iter(guarded(words, ids, wanted))), np.int64)
             totals[lang] += np.bincount(found, minlength=len(totals[lang]))
         for lang, n in totals.items():
             some = np.flatnonzero(n)
@@ -330,22 +373,33 @@ def _scan(path: str):
     return scan
 
 
-def phrase_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lang, phrase, a): how often each of wanted (lang, phrase) occurs in docs, overlaps included; those that don't occur are left out.
+def phrase_counts(spelling: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lang, phrase, a): how often each of wanted (lang, phrase) occurs in chunks(), overlaps included; those that don't occur are left out.
 
-    A file of phrases at a time becomes automata in a task's memory, so every text is scanned once for each
-    file with phrases of its language.
+    Files of about FILE_BYTES of phrases at a time become automata in a task's memory, so every chunk is
+    scanned once for each such set that has phrases of its language.
     """
     wanted = cut(wanted)
     size = wanted.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
     dealt = wanted.repartitionByRange(max(1, -(-size // FILE_BYTES)), "lang", "phrase").sortWithinPartitions("lang", "phrase")
     numbered = cut(dealt.withColumn("number", F.monotonically_increasing_id()))
-    langs = defaultdict(list)
-    for r in numbered.select(F.col("_metadata.file_name").alias("f"), "lang").distinct().collect():  # a row a file, and a language more
-        langs[r.f].append(r.lang)
-    scans = [docs.where(F.col("lang").isin(langs[name])).select("lang", "text").mapInArrow(_scan(path), "number long, a long") for path in files(numbered) if (name := path.rpartition("/")[2]) in langs]
-    if not scans:
+    held = defaultdict(dict)
+    for r in numbered.groupBy(F.col("_metadata.file_name").alias("f"), "lang").agg(F.sum(F.octet_length("phrase") + 2).alias("n")).collect():  # a row a file, and a language more
+        held[r.f][r.lang] = r.n
+    sets, room = [], 0
+    for path in files(numbered):
+        own = held.get(path.rpartition("/")[2])
+        if not own:
+            continue
+        if (n := sum(own.values())) > room:
+            sets.append(([], set()))
+            room = FILE_BYTES
+        sets[-1][0].append(path)
+        sets[-1][1].update(own)
+        room -= n
+    if not sets:
         return numbered.select("lang", "phrase", F.lit(0).cast("long").alias("a")).limit(0)
+    scans = [spelling.where(F.col("lang").isin(sorted(langs))).mapInArrow(_scan(tuple(paths)), "number long, a long") for paths, langs in sets]
     counted = functools.reduce(DataFrame.unionByName, scans).groupBy("number").agg(F.sum("a").alias("a"))
     return numbered.join(counted, "number").select("lang", "phrase", "a")
 
@@ -384,11 +438,12 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     then by the phrase's bytes; an empty table, or one without frequent phrases, gives no rows.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = cut(word_counts(docs))
+    spelling = cut(chunks(docs))
+    counts = cut(word_counts(spelling))
     per_lang = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = cut(counts.where(F.col("n") >= LEAST))
     n_words = counts.agg(F.sum("n")).first()[0] or 0
-    found = cut(phrase_counts(docs, candidates(docs, frequent, n_words)).where(F.col("a") >= LEAST))
+    found = cut(phrase_counts(spelling, candidates(spelling, frequent, n_words)).where(F.col("a") >= LEAST))
     rest = scored(found, frequent.select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))).join(absorbed(found), ["lang", "phrase"], "left_anti")
     order = W.Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = rest.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)  # Spark keeps `top` rows a language before it shuffles
@@ -405,11 +460,11 @@ words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'),
 f AS (SELECT lang, k, phrase, count(*) AS a FROM ({grams}) GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= {LEAST}),
-cuts AS (SELECT *, unnest(range(1, k)) AS at FROM c),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM c),
 parts AS (
   SELECT cuts.*, x.a AS l, y.a AS r, 2000000 * CAST(cuts.a AS HUGEINT) // (x.a + y.a) AS score
-  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(list_slice(cuts.w, 1, at), ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(list_slice(cuts.w, at + 1, k), ' ')),
-low AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(list_slice(cuts.w, 1, cuts.c), ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(list_slice(cuts.w, cuts.c + 1, cuts.k), ' ')),
+low AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
 sizes AS (SELECT lang, a, w, k, unnest(range(2, k)) AS s FROM c WHERE k > 2),
 inner_ AS (SELECT lang, a, unnest([array_to_string(w[i:i + s - 1], ' ') FOR i IN range(1, k - s + 2)]) AS phrase FROM sizes),
 longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL),
