@@ -53,11 +53,11 @@ def rules_sql() -> str:
     return ", ".join(f"({k}, {', '.join(map(str, r))})" for k, r in enumerate(RULES))
 
 
-def case_sql(height: str, temperature: str, dithered_t: str, dithered_h: str) -> str:
-    """The rules as one CASE over a height, a temperature, and dithered temperature and humidity (in lattice steps)."""
+def case_sql(water: str, height: str, temperature: str, dithered_t: str, dithered_h: str) -> str:
+    """The rules as one CASE over whether a cell is water (land may lie at height 0), a height, a temperature, and dithered temperature and humidity (in lattice steps)."""
     arms = []
     for tier, over, t, h, biome in RULES:
-        tests = [(f"{height} <= 0", f"{height} > 2500", f"{height} > 0 AND {height} <= 2500")[tier]]
+        tests = [(water, f"NOT {water} AND {height} > 2500", f"NOT {water} AND {height} <= 2500")[tier]]
         if tier == 0 and over >= 0:
             tests.append(f"-({height}) > {over}")
         if tier == 1:

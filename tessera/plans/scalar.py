@@ -191,7 +191,7 @@ def dithered(d: Dialect) -> str:
 
 @query
 def biome_classify(d):
-    return f"WITH {cells(d)}, {dithered(d)} SELECT cell_id, CAST({biomes.case_sql('height_m', 'temperature_dc', 't', 'h')} AS INT) AS biome FROM dith"
+    return f"WITH {cells(d)}, {dithered(d)} SELECT cell_id, CAST({biomes.case_sql('is_water', 'height_m', 'temperature_dc', 't', 'h')} AS INT) AS biome FROM dith"
 
 
 @query
@@ -337,7 +337,7 @@ def raster_height(d):
 @query
 def raster_biome(d):
     """The registry's colour of each cell's biome."""
-    return f"""WITH {cells(d)}, {dithered(d)}, b AS (SELECT cell_id, {biomes.case_sql('height_m', 'temperature_dc', 't', 'h')} AS biome FROM dith),
+    return f"""WITH {cells(d)}, {dithered(d)}, b AS (SELECT cell_id, {biomes.case_sql('is_water', 'height_m', 'temperature_dc', 't', 'h')} AS biome FROM dith),
     reg AS (SELECT * FROM (VALUES {biomes.registry_sql()}) AS r(id, name, category, r, g, b, deprecated))
     SELECT b.cell_id, reg.r, reg.g, reg.b FROM b JOIN reg ON reg.id = b.biome"""
 

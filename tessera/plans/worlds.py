@@ -26,7 +26,7 @@ def query(f):
 def orders_world(spark: SparkSession, sf_dir: str) -> GridWorld:
     """Heights, temperatures and humidities of the orders' grid, with biomes by the plain rules."""
     text = f"""WITH {cells(SPARK)} SELECT cell_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(height_m AS INT) AS height_m, is_water,
-      CAST(temperature_dc AS INT) AS temperature, CAST(humidity_dp AS INT) AS humidity, CAST({case_sql('height_m', 'temperature_dc', 'temperature_dc', 'humidity_dp')} AS INT) AS biome FROM cells"""
+      CAST(temperature_dc AS INT) AS temperature, CAST(humidity_dp AS INT) AS humidity, CAST({case_sql('is_water', 'height_m', 'temperature_dc', 'temperature_dc', 'humidity_dp')} AS INT) AS biome FROM cells"""
     grid = cut(run(spark, sf_dir, text))
     rows = (grid.agg(F.max("y")).first()[0] or 0) + 1
     flat = skeleton(spark, WIDTH, rows, SEED)

@@ -20,4 +20,4 @@ def biomes(world: GridWorld) -> GridWorld:
     cells = world.cells.drop("biome").withColumn("_n", noise)
     # A bound that moves up by an offset is a value that moves down by it.
     cells = cells.withColumn("_t", F.col("temperature") - waver(WAVER_C)).withColumn("_h", F.col("humidity") - waver(WAVER_PERCENT))
-    return world.with_cells(cells.withColumn("biome", F.expr(case_sql("height_m", "temperature", "_t", "_h")).cast("int")).drop("_n", "_t", "_h"))
+    return world.with_cells(cells.withColumn("biome", F.expr(case_sql("is_water", "height_m", "temperature", "_t", "_h")).cast("int")).drop("_n", "_t", "_h"))

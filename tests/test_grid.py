@@ -95,11 +95,11 @@ def test_equal_neighbours_go_by_order(spark):
     [(-100, -10, 4), (-51, -10, 4), (-49, -10, 3), (49, -10, 3), (51, -2000, 2), (51, -10, 1), (100, 4000, 15), (30, 4000, 16), (-10, 3000, 16), (100, 3000, 15)],
 )
 def test_biome_cases(spark, t, h, biome):
-    assert spark.range(1).selectExpr(f"{biomes.case_sql(str(h), str(t), str(t), '500')} AS b").first().b == biome
+    assert spark.range(1).selectExpr(f"{biomes.case_sql(str(h < 0), str(h), str(t), str(t), '500')} AS b").first().b == biome
 
 
 def test_dithered_biomes(spark):
-    case = lambda t, h: spark.range(1).selectExpr(f"{biomes.case_sql('100', '0', str(t), str(h))} AS b").first().b
+    case = lambda t, h: spark.range(1).selectExpr(f"{biomes.case_sql('false', '100', '0', str(t), str(h))} AS b").first().b
     assert [case(-1, 500), case(19, 500), case(-1, 410), case(-1, 390)] == [7, 8, 7, 6]
 
 
