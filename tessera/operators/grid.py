@@ -193,29 +193,134 @@ def flow_targets(cells: DataFrame, width: int) -> DataFrame:
     return banded(rows, 1).groupBy("band").applyInPandas(lowest, "cell_id long, target long")
 
 
-def accumulate(cells: DataFrame, targets: DataFrame) -> DataFrame:
+class Forest:
+    """The flow of a band's cells: ways end where a cell has no target, or one outside the band."""
+
+    def __init__(self, ids: np.ndarray, target: np.ndarray) -> None:
+        """ids ascend; a target below 0 is none."""
+        at = np.minimum(np.searchsorted(ids, target), len(ids) - 1)
+        inside = (target >= 0) & (ids[at] == target)
+        self.target, self.inside = target, inside
+        self.next = np.where(inside, at, np.arange(len(ids)))
+
+    def ends(self, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each cell where its way ends, in how many steps, and what is left of a unit on the way, by jumps that double."""
+        to, steps, left = self.next, self.inside.astype(np.int64), np.where(self.inside, share, 1.0)
+        while True:
+            jump = to[to]
+            if np.array_equal(jump, to):
+                return to, steps, left
+            steps, left, to = steps + steps[to], left * left[to], jump
+
+    def gathered(self, flow: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """What comes to each cell, itself included, the furthest first."""
+        _, steps, _ = self.ends(share)
+        order = np.argsort(-steps, kind="stable")
+        flow = flow.copy()
+        cuts = np.flatnonzero(np.diff(steps[order])) + 1
+        for some in np.split(order, cuts):
+            if len(some) and self.inside[some[0]]:
+                np.add.at(flow, self.next[some], flow[some] * share[some])
+        return flow
+
+
+#: What a band tells of its border: ways from cells (kind 0) to a cell of another band, and what its own cells send there (kind 1).
+BORDER = "kind int, cell_id long, target long, steps long, amount double"
+
+
+def _border(width: int):
+    def tell(band: pd.DataFrame) -> pd.DataFrame:
+        """band has cell_id, target, share, flow and marked (cells that are asked for besides those of border rows)."""
+        band = band.sort_values("cell_id")
+        ids, share = band["cell_id"].to_numpy(), band["share"].to_numpy()
+        target = band["target"].to_numpy()
+        forest = Forest(ids, target)
+        end, steps, left = forest.ends(share)
+        out = (target >= 0) & (target // (width * BAND) != ids // (width * BAND))
+        row = ids // width % BAND
+        asked = ((row == 0) | (row == BAND - 1) | band["marked"].to_numpy()) & out[end]
+        ways = pd.DataFrame({"kind": 0, "cell_id": ids[asked], "target": target[end[asked]], "steps": steps[asked] + 1, "amount": (left * share[end])[asked]})
+        sums = pd.Series(forest.gathered(band["flow"].to_numpy(), share)[out] * share[out]).groupby(target[out]).sum()
+        sent = pd.DataFrame({"kind": 1, "cell_id": sums.index.to_numpy(np.int64), "target": -1, "steps": 0, "amount": sums.to_numpy()})
+        return pd.concat([ways, sent], ignore_index=True)
+
+    return tell
+
+
+def accumulate(cells: DataFrame, targets: DataFrame, width: int) -> DataFrame:
     """(cell_id, flow): cells (cell_id, ice, desert) shed 1 each down their targets.
 
-    Ice keeps nothing and passes nothing on, deserts pass half. By pointer doubling: after k rounds a cell
-    has what comes over up to 2^k - 1 steps, so rounds grow with the logarithm of the longest way.
+    Ice keeps nothing and passes nothing on, deserts pass half. A band of rows is solved inside a task: what
+    its cells send to others, and where ways from its border rows leave it again and with how much. Only
+    those few border cells go into rounds, which double their reach; then each band is solved once more
+    with what comes in.
     """
-    t = cells.join(targets, "cell_id", "left").selectExpr("cell_id", "CASE WHEN NOT ice THEN target END AS jump", "CASE WHEN desert THEN 5E-1 ELSE 1E0 END AS pass", "CASE WHEN ice THEN 0E0 ELSE 1E0 END AS flow", "ice")
+    t = cells.join(targets, "cell_id", "left").selectExpr("cell_id", f"cell_id div {width * BAND} AS band", "CASE WHEN NOT ice AND target IS NOT NULL THEN target ELSE -1 END AS target", "CASE WHEN desert THEN 5E-1 ELSE 1E0 END AS share", "CASE WHEN ice THEN 0E0 ELSE 1E0 END AS flow", "ice", "false AS marked")
     t = cut(t)
-    while not t.where("jump IS NOT NULL").isEmpty():
-        come = t.where("jump IS NOT NULL").groupBy(F.col("jump").alias("cell_id")).agg(F.sum(F.col("flow") * F.col("pass")).alias("more"))
-        up = t.select(F.col("cell_id").alias("jump"), F.col("jump").alias("next"), F.col("pass").alias("then"))
-        t = cut(t.join(come, "cell_id", "left").join(up, "jump", "left").selectExpr("cell_id", "next AS jump", "pass * coalesce(then, 1E0) AS pass", "flow + coalesce(more, 0E0) AS flow", "ice"))
-    return t.selectExpr("cell_id", "CASE WHEN ice THEN 0E0 ELSE flow END AS flow")
-
-
-def walks(starts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(start, ord, cell_id): the cells from each start down its targets, doubling the length of the ways known in each round."""
-    way = cut(starts.select(F.col("cell_id").alias("start"), F.lit(0).alias("ord"), "cell_id"))
-    jump, length = cut(targets.select("cell_id", "target")), 1
+    border = cut(t.drop("ice").groupBy("band").applyInPandas(_border(width), BORDER))
+    ways = border.where("kind = 0").selectExpr("cell_id", "target AS jump", "amount AS pass")
+    sent = border.where("kind = 1").groupBy("cell_id").agg(F.sum("amount").alias("flow"))
+    known = cut(sent.join(ways, "cell_id", "left").selectExpr("cell_id", "jump", "coalesce(pass, 0E0) AS pass", "flow"))
+    while not known.where("jump IS NOT NULL").isEmpty():
+        come = known.where("jump IS NOT NULL").groupBy(F.col("jump").alias("cell_id")).agg(F.sum(F.col("flow") * F.col("pass")).alias("more"))
+        up = known.select(F.col("cell_id").alias("jump"), F.col("jump").alias("next"), F.col("pass").alias("then"))
+        old, known = known, cut(known.join(come, "cell_id", "left").join(up, "jump", "left").selectExpr("cell_id", "next AS jump", "pass * coalesce(then, 1E0) AS pass", "flow + coalesce(more, 0E0) AS flow"))
+        drop_cut(old)
+    full = t.join(known.select("cell_id", F.col("flow").alias("more")), "cell_id", "left").withColumn("flow", F.col("flow") + F.coalesce("more", F.lit(0.0)))
+
+    def solve(band: pd.DataFrame) -> pd.DataFrame:
+        band = band.sort_values("cell_id")
+        forest = Forest(band["cell_id"].to_numpy(), band["target"].to_numpy())
+        flow = forest.gathered(band["flow"].to_numpy(), band["share"].to_numpy())
+        return pd.DataFrame({"cell_id": band["cell_id"], "flow": np.where(band["ice"].to_numpy(), 0.0, flow)})
+
+    return full.select("cell_id", "band", "target", "share", "flow", "ice").groupBy("band").applyInPandas(solve, "cell_id long, flow double")
+
+
+def walks(starts: DataFrame, targets: DataFrame, width: int) -> DataFrame:
+    """(start, ord, cell_id): the cells from each start (cell_id) down its targets.
+
+    Bands of rows tell where ways leave them, and in how many steps. Rounds over those few cells, which
+    double their reach, find the cells at which each way comes into a band; then each band writes the parts
+    of ways that lie in it, once.
+    """
+    marks = starts.select("cell_id").distinct().withColumn("mark", F.lit(True))
+    t = targets.select("cell_id", "target").join(marks, "cell_id", "left").selectExpr("cell_id", f"cell_id div {width * BAND} AS band", "target", "1E0 AS share", "0E0 AS flow", "coalesce(mark, false) AS marked")
+    t = cut(t)
+    jump = cut(t.groupBy("band").applyInPandas(_border(width), BORDER).where("kind = 0").select("cell_id", "target", "steps"))
+    part = cut(starts.select(F.col("cell_id").alias("start"), F.lit(0).cast("long").alias("ord"), "cell_id"))
     while True:
-        more = cut(way.join(jump, "cell_id").select("start", (F.col("ord") + length).alias("ord"), F.col("target").alias("cell_id")))
+        more = cut(part.join(jump, "cell_id").select("start", (F.col("ord") + F.col("steps")).alias("ord"), F.col("target").alias("cell_id")))
         if more.isEmpty():
-            return way
-        way = cut(way.unionByName(more))
-        jump = cut(jump.join(jump.select(F.col("cell_id").alias("target"), F.col("target").alias("t2")), "target").select("cell_id", F.col("t2").alias("target")))
-        length *= 2
+            break
+        part = cut(part.unionByName(more))
+        then = jump.select(F.col("cell_id").alias("target"), F.col("target").alias("t2"), F.col("steps").alias("s2"))
+        jump = cut(jump.join(then, "target").select("cell_id", F.col("t2").alias("target"), (F.col("steps") + F.col("s2")).alias("steps")))
+
+    def write(ways: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        ways = ways.sort_values("cell_id")
+        ids, start, ord_ = ways["cell_id"].to_numpy(), asked["start"].to_numpy(), asked["ord"].to_numpy()
+        own = asked["cell_id"].to_numpy()
+        rows = [(start, ord_, own)]
+        if len(ids):
+            forest = Forest(ids, ways["target"].to_numpy())
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            go = ids[at] == own  # others have no target
+            at, start, ord_ = at[go], start[go], ord_[go]
+            while True:
+                # A way goes on through the band, to a last cell that has no target itself.
+                to = forest.target[at]
+                inside = to // (width * BAND) == own[0] // (width * BAND) if len(own) else np.zeros(0, bool)
+                start, ord_, to = start[inside], ord_[inside] + 1, to[inside]
+                if not len(to):
+                    break
+                rows.append((start, ord_, to))
+                at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+                go = ids[at] == to
+                at, start, ord_ = at[go], start[go], ord_[go]
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+        return pd.DataFrame(dict(zip(("start", "ord", "cell_id"), columns, strict=True)))
+
+    asked = part.withColumn("band", F.expr(f"cell_id div {width * BAND}"))
+    found = t.select("cell_id", "target", "band").groupBy("band").cogroup(asked.groupBy("band")).applyInPandas(write, "start long, ord long, cell_id long")
+    return cut(found.withColumn("ord", F.col("ord").cast("int")))

@@ -191,7 +191,7 @@ def flowing(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cells, targets (ice has none) and flow."""
     base = smooth_cells(spark, sf_dir)
     targets = cut(grid.flow_targets(base, WIDTH).join(base.where("NOT ice").select("cell_id"), "cell_id"))
-    return base, targets, grid.accumulate(base, targets)
+    return base, targets, grid.accumulate(base, targets, WIDTH)
 
 
 def flow_oracle(d: Dialect) -> str:
@@ -319,7 +319,7 @@ ORACLES["river_sources"] = lambda d: f"WITH RECURSIVE {flow_oracle(d)} SELECT ce
 def paths(spark, sf_dir) -> DataFrame:
     """(start, ord, cell_id) of land cells of rivers that reach water."""
     base, targets, river = rivers(spark, sf_dir)
-    way = grid.walks(sources(targets, river), targets).join(base.select("cell_id", "is_water"), "cell_id")
+    way = grid.walks(sources(targets, river), targets, WIDTH).join(base.select("cell_id", "is_water"), "cell_id")
     end = way.where("is_water").groupBy("start").agg(F.min("ord").alias("end"))
     return cut(way.join(end, "start").where("ord < end").select("start", "ord", "cell_id"))
 

@@ -48,13 +48,13 @@ def river_paths(world: GridWorld, share: float) -> DataFrame:
     """(start, ord, cell_id): land cells from each source down to its mouth; ways that end in a pit are left out."""
     base = cut(world.cells.select("cell_id", "height_m", "is_water", (F.col("biome") == ICE).alias("ice"), (F.col("biome") == DESERT).alias("desert")))
     targets = cut(grid.flow_targets(base, world.width).join(base.where("NOT ice").select("cell_id"), "cell_id"))
-    flow = grid.accumulate(base, targets)
+    flow = grid.accumulate(base, targets, world.width)
     land = base.where("NOT is_water").select("cell_id")
     member = cut(grid.components(land, world.width))
     least = member.groupBy("component").agg(F.greatest(F.lit(share) * F.count("*"), F.lit(LEAST_FLOW)).alias("least"))
     river = cut(member.join(least, "component").join(flow, "cell_id").where("flow >= least").select("cell_id"))
     fed = targets.join(river, "cell_id").select(F.col("target").alias("cell_id"))
-    way = grid.walks(river.join(fed, "cell_id", "left_anti"), targets).join(base.select("cell_id", "is_water"), "cell_id")
+    way = grid.walks(river.join(fed, "cell_id", "left_anti"), targets, world.width).join(base.select("cell_id", "is_water"), "cell_id")
     end = way.where("is_water").groupBy("start").agg(F.min("ord").alias("end"))
     return cut(way.join(end, "start").where("ord < end").select("start", "ord", "cell_id"))
 

@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 
 from tessera.functions import biomes
@@ -64,6 +65,32 @@ def test_growth_equals_a_queue(spark):
     assert {r.cell_id: r.seed for r in got.collect()} == owner
 
 
+@pytest.mark.parametrize("band", [1, 3, 64])
+def test_flow_and_walks_over_many_bands(spark, monkeypatch, band):
+    monkeypatch.setattr(grid, "BAND", band)
+    rng, width, height = np.random.default_rng(band), 7, 20
+    tall = rng.permutation(width * height) // 2 + 40 * (np.arange(width * height) // width % 9)
+    rows = [(c, int(h), bool(rng.random() < 0.05), bool(rng.random() < 0.3)) for c, h in enumerate(tall)]
+    df = spark.createDataFrame(rows, "cell_id long, height_m int, ice boolean, desert boolean")
+    targets = grid.flow_targets(df, width).cache()
+    t = {r.cell_id: r.target for r in targets.collect()}
+    flow = {c: 1.0 for c, *_ in rows}
+    for c, _, ice, desert in sorted(rows, key=lambda r: (-r[1], r[0])):
+        if ice:
+            flow[c] = 0.0
+        elif c in t:
+            flow[t[c]] += flow[c] * (0.5 if desert else 1.0)
+    assert {r.cell_id: r.flow for r in grid.accumulate(df, targets, width).collect()} == flow
+    want = []
+    for start in range(0, width * height, 3):
+        c, k = start, 0
+        want.append((start, k, c))
+        while c in t:
+            c, k = t[c], k + 1
+            want.append((start, k, c))
+    assert sorted(map(tuple, grid.walks(df.where("cell_id % 3 = 0").select("cell_id"), targets, width).collect())) == want
+
+
 def test_flow_and_walks(spark):
     heights = [[9, 8, 7, 9], [9, 9, 6, 9], [9, 9, 5, 9], [9, 9, 9, 9]]
     rows = [(y * 4 + x, h, x == 1 and y == 0, False) for y, r in enumerate(heights) for x, h in enumerate(r)]
@@ -76,8 +103,8 @@ def test_flow_and_walks(spark):
             flow[c] = 0.0
         elif c in t:
             flow[t[c]] += flow[c]
-    assert {r.cell_id: r.flow for r in grid.accumulate(df, targets).collect()} == flow
-    way = {r.ord: r.cell_id for r in grid.walks(df.where("cell_id = 0").select("cell_id"), targets).collect()}
+    assert {r.cell_id: r.flow for r in grid.accumulate(df, targets, 4).collect()} == flow
+    way = {r.ord: r.cell_id for r in grid.walks(df.where("cell_id = 0").select("cell_id"), targets, 4).collect()}
     want, c = [0], 0
     while c in t:
         c = t[c]
