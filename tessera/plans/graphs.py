@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.anchors import anchored_id
 from tessera.operators import grid
 from tessera.operators.graph import connected_components
-from tessera.operators.order import even_positions, ranked
+from tessera.operators.order import apportioned, even_positions, ranked
 from tessera.operators.stencil import box_blur, by_rows, eastward, latitude, march, settled, slump, steepest
-from tessera.plans.relational import ORACLE_ONLY, edges, flow_sql, territories
+from tessera.plans.relational import ORACLE_ONLY, edges, flow_sql, territories, water_bodies
 from tessera.plans.scalar import LAND_COLOR, RIVER_COLOR, RIVERS_WATER_COLOR, weight_of
 from tessera.plans.sql import ORACLE, SPARK, Dialect, cells, run, smooth, stencil4
 from tessera.session import cut
@@ -34,24 +35,6 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return cut(run(spark, sf_dir, text))
 
 
-def fnv_bytes(d: Dialect, items: list[str]) -> str:
-    """FNV-1a 64 of a list of byte expressions, top bit cleared."""
-    if d.spark:
-        low = "CAST(a % 256 AS INT)"
-        step = f"CAST(((a - {low} + ({low} ^ b)) * CAST(1099511628211 AS DECIMAL(13, 0))) % CAST(18446744073709551616 AS DECIMAL(20, 0)) AS DECIMAL(20, 0))"
-        h = f"aggregate(array({', '.join(f'CAST({i} AS INT)' for i in items)}), CAST(14695981039346656037 AS DECIMAL(20, 0)), (a, b) -> {step})"
-        return f"CAST({h} % CAST(9223372036854775808 AS DECIMAL(20, 0)) AS BIGINT)"
-    step = "((a - a % 256 + xor(CAST(a % 256 AS INT), CAST(b AS INT))) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT"
-    h = f"list_reduce([14695981039346656037::HUGEINT, {', '.join(f'CAST({i} AS HUGEINT)' for i in items)}], lambda a, b: {step})"
-    return f"CAST({h} % 9223372036854775808::HUGEINT AS BIGINT)"
-
-
-def anchored_id(d: Dialect, kind: int, x: str, y: str, attributes: list[str], probe: str) -> str:
-    """Identifier of an entity: its kind, anchor, attributes and probe, little-endian, hashed."""
-    whole = lambda v, n: [f"({d.shr(f'CAST({v} AS BIGINT)', str(8 * k))} & 255)" for k in range(n)]
-    return fnv_bytes(d, ["1", str(kind), *whole(x, 8), *whole(y, 8), *attributes, *whole(probe, 4)])
-
-
 def stable_ids_text(d: Dialect) -> str:
     probe = "(row_number() OVER (PARTITION BY ax, ay ORDER BY pos) - 1)"
     return f"WITH {cells(d)}, {territories(d)}, p AS (SELECT pos, ax, ay, {probe} AS probe FROM terr) SELECT pos, {anchored_id(d, 1, 'ax', 'ay', ['0'], 'probe')} AS id FROM p"
@@ -250,6 +233,27 @@ def thermal_erosion(spark, sf_dir):
     return slump(base, WIDTH, "height_mm", 3, slide)
 
 
+@query
+def apportion(spark, sf_dir):
+    """A fifth of all land cells as seats for the square territories, by their areas."""
+    areas = sql(spark, sf_dir, f"WITH {cells(SPARK)} SELECT territory AS pos, count(*) AS area FROM cells WHERE territory IS NOT NULL GROUP BY territory")
+    whole = areas.agg(F.sum("area")).first()[0] or 0
+    return apportioned(areas, whole // 5).select("pos", "area", "seats")
+
+
+@query
+def territory_union(spark, sf_dir):
+    """Land territories first, then water ones, whose positions follow."""
+    parts = [("false", f"{territories(SPARK)} SELECT pos, ax, ay, n FROM terr"), ("true", f"{water_bodies(SPARK)} SELECT pos, ax, ay, n FROM bodies")]
+    out, before = None, 0
+    for wet, text in parts:
+        rows = sql(spark, sf_dir, f"WITH {cells(SPARK)}, {text}").withColumnRenamed("pos", "_pos")
+        placed = ranked(rows, F.col("ay"), F.col("ax"), F.col("_pos"), name="pos").select((F.col("pos") + before).alias("pos"), F.expr(wet).alias("is_water"), "ax", "ay", "n")
+        before = rows.count()
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
 ORACLES |= ORACLE_ONLY
 
 

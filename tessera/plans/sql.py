@@ -7,59 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
-
-
-class Dialect:
-    def __init__(self, spark: bool) -> None:
-        self.spark = spark
-
-    def table(self, name: str) -> str:
-        return "{" + name + "}" if self.spark else name
-
-    def div(self, a: str, b: str) -> str:
-        """Integer division that truncates."""
-        return f"(({a}) {'div' if self.spark else '//'} ({b}))"
-
-    def mod(self, a: str, b: str) -> str:
-        """Remainder of 0 or more."""
-        return f"(((({a}) % ({b})) + ({b})) % ({b}))"
-
-    def rint(self, a: str) -> str:
-        """Half to even."""
-        return f"rint({a})" if self.spark else f"round_even({a}, 0)"
-
-    def whole(self, a: str, kind: str = "BIGINT") -> str:
-        return f"CAST({self.rint(a)} AS {kind})"
+from tessera.functions.dialect import ORACLE, SPARK, Dialect
 
-    def min_by(self, value: str, *keys: str) -> str:
-        return f"min_by({value}, struct({', '.join(keys)}))" if self.spark else f"arg_min({value}, ({', '.join(keys)}))"
-
-    def max_by(self, value: str, *keys: str) -> str:
-        return f"max_by({value}, struct({', '.join(keys)}))" if self.spark else f"arg_max({value}, ({', '.join(keys)}))"
-
-    def xor(self, a: str, b: str) -> str:
-        return f"(({a}) ^ ({b}))" if self.spark else f"xor({a}, {b})"
-
-    def shr(self, a: str, b: str) -> str:
-        return f"shiftright({a}, {b})" if self.spark else f"(({a}) >> ({b}))"
-
-    def shl(self, a: str, b: str) -> str:
-        return f"shiftleft({a}, {b})" if self.spark else f"(({a}) << ({b}))"
-
-    def joined(self, value: str, order: str) -> str:
-        """Texts of a group in one, by commas, in an order."""
-        return f"listagg({value}, ',') WITHIN GROUP (ORDER BY {order})" if self.spark else f"string_agg({value}, ',' ORDER BY {order})"
-
-    def numbers(self, first: str, last: str) -> str:
-        """A list of whole numbers, both ends included."""
-        return f"sequence({first}, {last})" if self.spark else f"range({first}, {last} + 1)"
-
-    def explode(self, values: str) -> str:
-        return f"explode({values})" if self.spark else f"unnest({values})"
+__all__ = ["ORACLE", "SPARK", "Dialect", "Text", "cells", "run", "smooth", "stencil4", "stencil8"]
 
+TABLES = "region nation customer supplier part orders lineitem events".split()
 
-SPARK, ORACLE = Dialect(True), Dialect(False)
 
 Text = Callable[[Dialect], str]
 

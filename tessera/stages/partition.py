@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.lattice import quantized
 from tessera.operators import grid
 from tessera.operators.graph import connected_components
-from tessera.operators.order import even_positions, ranked
+from tessera.operators.order import apportioned, even_positions, ranked, running
 from tessera.operators.stencil import clamped
 from tessera.session import cut
 from tessera.stages.ids import identified
@@ -115,26 +115,11 @@ def fill(own: DataFrame, rest: DataFrame, width: int) -> DataFrame:
     return sums.withColumn("one", one).groupBy("one").cogroup(rest.withColumn("one", one).groupBy("one")).applyInPandas(choose, "cell_id long, pos long")
 
 
-def apportioned(areas: list[int], total: int) -> list[int]:
-    """Seats for areas: floors of at least one; what is missing goes to the largest remainder until its area is full, what is too much comes from the smallest until one is left."""
-    whole = sum(areas)
-    seats, rest = [max(a * total // whole, 1) for a in areas], [a * total % whole for a in areas]
-    missing = total - sum(seats)
-    most = sorted(range(len(areas)), key=lambda k: (-rest[k], -areas[k], k))
-    least = sorted(range(len(areas)), key=lambda k: (rest[k], -areas[k], k))
-    for k in most if missing > 0 else least:
-        change = min(areas[k] - seats[k], missing) if missing > 0 else -min(seats[k] - 1, -missing)
-        seats[k] += change
-        missing -= change
-    return seats
-
-
 def water_territories(world: GridWorld, split: WaterSplit) -> DataFrame | None:
     """(cell_id, pos): each connected water by its share of the territories, seeds at even steps of its cells.
 
     A split by count takes cells in their order; one by size takes them along a curve that keeps
-    neighbours together, and moves the seeds twice to the middles of what they grew. The driver gets one
-    row for each connected water.
+    neighbours together, and moves the seeds twice to the middles of what they grew.
     """
     if split.cells is not None and split.cells < 1:
         raise StageError("a water territory has at least one cell")
@@ -143,22 +128,17 @@ def water_territories(world: GridWorld, split: WaterSplit) -> DataFrame | None:
     width = world.width
     water = world.cells.where("is_water").select("cell_id", "x", "y")
     member = cut(water.join(grid.components(water, width), "cell_id"))
-    areas = [(r.component, r["count"]) for r in sorted(member.groupBy("component").count().collect(), key=lambda r: r.component)]
-    n = sum(a for _, a in areas)
-    count = split.count if split.cells is None else min(max((n + split.cells // 2) // split.cells, len(areas)), n)
+    areas = member.groupBy("component").agg(F.count("*").alias("area")).withColumnRenamed("component", "pos")
+    bodies, n = areas.agg(F.count("*"), F.coalesce(F.sum("area"), F.lit(0))).first()
+    count = split.count if split.cells is None else min(max((n + split.cells // 2) // split.cells, bodies), n)
     if count == 0:
         return None
-    if not len(areas) <= count <= n:
-        raise StageError(f"{count} water territories asked for, {len(areas)} to {n} can be")
-    seats = apportioned([a for _, a in areas], count)
-    first, table = 0, []
-    for (c, a), s in zip(areas, seats, strict=True):
-        table.append((c, a, s, first))
-        first += s
-    shares = world.spark.createDataFrame(table, "_component long, area long, seats long, first long")
+    if not bodies <= count <= n:
+        raise StageError(f"{count} water territories asked for, {bodies} to {n} can be")
+    shares = running(apportioned(areas, count), F.col("seats"), F.col("pos"), name="first").withColumnRenamed("pos", "_component")
     morton = " | ".join(f"shiftleft(shiftright(CAST({v} AS BIGINT), {b}) & 1, {2 * b + k})" for b in range(31) for k, v in enumerate("xy"))
     listed = member.withColumn("z", F.expr(morton) if split.cells is not None else F.lit(0))
-    order = ranked(listed, F.col("component"), F.col("z"), F.col("cell_id"), within="component").join(F.broadcast(shares), F.col("component") == F.col("_component"))
+    order = ranked(listed, F.col("component"), F.col("z"), F.col("cell_id"), within="component").join(shares, F.col("component") == F.col("_component"))
     picked = order.where(even_positions(F.col("area"), F.col("seats"), F.col("rank")))
     step = F.when(F.col("area") == F.col("seats"), F.lit(1)).otherwise(F.floor((F.col("area") - 1) / F.col("seats")))
     seeds = cut(picked.select("cell_id", (F.col("first") + F.floor(F.col("rank") / step)).cast("long").alias("seed")))
@@ -180,7 +160,7 @@ def middles(own: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
     return cut(own.join(mean, "seed").groupBy("seed").agg(near.alias("cell_id")).select("cell_id", "seed"))
 
 
-def touching(world: GridWorld, same_surface: bool = True) -> DataFrame:
+def touching(world: GridWorld) -> DataFrame:
     """(a, b): pairs of territories of one surface with cells that touch by an edge."""
     cells = world.cells.where("territory IS NOT NULL").select("cell_id", "is_water", "territory")
     beside = grid.neighbours(cells, world.width, grid.HALF, "is_water", "territory")

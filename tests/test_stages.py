@@ -8,7 +8,7 @@ from tessera import cli
 from tessera.functions.lattice import quantized, valued
 from tessera.functions.noise import Noise, octave_budget, on_cylinder, sine_cosine
 from tessera.functions.params import parameters
-from tessera.operators.order import even_positions, ranked
+from tessera.operators.order import apportioned, even_positions, ranked, running
 from tessera.operators.stencil import box_blur, march, settled, slump, steepest
 from tessera.plans import catalog
 from tessera.sources.world_file import stored_hash, synthetic_world, to_bytes
@@ -17,7 +17,7 @@ from tessera.stages.biomes import biomes
 from tessera.stages.climate import climate
 from tessera.stages.facts import enrich, facts
 from tessera.stages.hydrology import hydrology
-from tessera.stages.partition import WaterSplit, apportioned, fill, land_components, regions, territories
+from tessera.stages.partition import WaterSplit, fill, land_components, regions, territories
 from tessera.stages.relief import relief
 from tessera.stages.render import LAYERS, layer
 from tessera.stages.world import StageError, from_world, skeleton, to_world
@@ -151,9 +151,32 @@ def test_noise_has_no_seam_and_stays_in_range():
     assert [octave_budget(8, w, 8) for w in (1024.0, 50.0, 24.0)] == [8, 3, 2] and octave_budget(5, 0.0, 8) == 5
 
 
-def test_apportionment():
-    assert apportioned([10, 10, 10], 5) == [3, 1, 1]
-    assert sum(apportioned([100, 1, 1, 1], 6)) == 6 and min(apportioned([100, 1, 1, 1], 4)) == 1
+def one_by_one(areas, total):
+    """Seats by a loop over the rows in the order of their remainders."""
+    whole = sum(areas)
+    seats = [max(a * total // whole, 1) for a in areas]
+    missing = total - sum(seats)
+    for _, _, k in sorted(((-1 if missing > 0 else 1) * (a * total % whole), -a, k) for k, a in enumerate(areas)):
+        change = min(areas[k] - seats[k], missing) if missing > 0 else -min(seats[k] - 1, -missing)
+        seats[k] += change
+        missing -= change
+    return seats
+
+
+@pytest.mark.parametrize(("areas", "total"), [([76, 9, 4], 4), ([10, 10, 10], 6), ([1, 1, 9], 5), ([10, 10, 10], 5), ([100, 1, 1, 1], 6), ([100, 1, 1, 1], 4), ([3, 1, 4, 1, 5, 9, 2, 6] * 9, 150), ([2] * 40, 41), ([1] * 7, 7), ([10**12, 10**11], 9 * 10**5)])
+def test_apportionment(spark, areas, total):
+    rows = spark.createDataFrame(list(enumerate(areas)), "pos long, area long").repartition(3)
+    got = [r.seats for r in apportioned(rows, total).orderBy("pos").collect()]
+    assert got == one_by_one(areas, total) and sum(got) == total
+    assert total != 4 or areas != [76, 9, 4] or got == [2, 1, 1]
+
+
+def test_running_sums(spark):
+    rows = [(k, (k * 37) % 11 - 3) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    got = {r.k: r.before for r in running(df, F.col("v"), F.desc("k"), name="before").collect()}
+    assert got == {k: sum(v for j, v in rows if j > k) for k, _ in rows}
+    assert running(df.limit(0), F.col("v"), F.col("k"), name="before").count() == 0
 
 
 def test_fill_moves_the_means(spark):
