@@ -21,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text(ORACLE) for name, text in _TEXTS.items()} | {name: text(ORACLE) for name, text in graphs.ORACLES.items()}
+    return {name: text(ORACLE) for name, text in _TEXTS.items()} | {name: text(ORACLE) for name, text in (graphs.ORACLES | worlds.ORACLES).items()}

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions.biomes import case_sql
 from tessera.functions.noise import Noise, on_cylinder
-from tessera.plans.sql import SPARK, cells, run
+from tessera.plans.relational import broken
+from tessera.plans.sql import SPARK, Dialect, cells, run
 from tessera.session import cut
-from tessera.stages import biomes, climate, facts, hydrology, partition, pipeline, relief
+from tessera.stages import biomes, climate, facts, hydrology, partition, pipeline, relief, validate
 from tessera.stages.world import GridWorld, field, skeleton
 
 WIDTH, SEED = 100, 42
 #: Land territories for so many cells, and cells of a water territory.
 LAND_CELLS, WATER_CELLS = 500, 400
 QUERIES = {}
+ORACLES = {}
 
 
 def query(f):
@@ -89,3 +91,49 @@ def territory_facts(spark, sf_dir) -> DataFrame:
 def fixture_world(spark, sf_dir) -> DataFrame:
     """The cells of the small default world of seed 42; it reads no table."""
     return pipeline.build_world(spark, SEED).cells
+
+
+def faulty(d: Dialect) -> str:
+    """Tables of a world over the orders' grid with faults put in by row number: ents, bad (cells), and a river a cell."""
+    path = "CASE WHEN cell_id % 211 = 7 THEN {none} WHEN cell_id % 223 = 9 THEN {far} ELSE {one} END"
+    forms = {"none": "CAST(array() AS ARRAY<BIGINT>)", "far": "array(cell_id, 1000000000L)", "one": "array(cell_id)"} if d.spark else {"none": "CAST([] AS BIGINT[])", "far": "[cell_id, 1000000000]", "one": "[cell_id]"}
+    return f"""{cells(d)}, {broken(d)}, flows AS (SELECT cell_id AS pos, CASE WHEN cell_id % 307 = 4 THEN 17 ELSE cell_id + 100 END AS id,
+      CASE WHEN cell_id % 401 = 8 THEN x - 100 ELSE x END AS mx, y AS my, {path.format(**forms)} AS path FROM cells)"""
+
+
+@query
+def world_violations(spark, sf_dir) -> DataFrame:
+    """What breaks the rules of worlds in one with faults, by rule: how many rows, and the first."""
+    part = lambda text: cut(run(spark, sf_dir, f"WITH {faulty(SPARK)} {text}"))
+    grid = part("SELECT b.cell_id, CAST(c.x AS INT) AS x, CAST(c.y AS INT) AS y, CAST(c.height_m AS INT) AS height_m, b.is_water, CAST(b.territory AS INT) AS territory, CAST(b.water_body AS INT) AS water_body FROM bad b JOIN cells c ON c.cell_id = b.cell_id")
+    territories = part("SELECT pos, CAST(id AS BIGINT) AS id, false AS is_water, ax AS anchor_x, ay AS anchor_y, declared AS cell_count, 0 AS natural_potential, CAST(region AS BIGINT) AS region FROM ents")
+    regions = part("SELECT CAST(region AS BIGINT) AS pos, CAST(region AS BIGINT) AS id FROM (SELECT DISTINCT region FROM terr) AS r").withColumn("id", F.col("id") + 0)
+    bodies = spark.range(10).selectExpr("id AS pos", "id + 1 AS id", "0 AS kind", "id * 10 AS anchor_x", "CAST(0 AS BIGINT) AS anchor_y")
+    rivers = part("SELECT pos, CAST(id AS BIGINT) AS id, mx AS mouth_x, my AS mouth_y, path FROM flows")
+    rows = (grid.agg(F.max("y")).first()[0] or 0) + 1
+    world = GridWorld(SEED, WIDTH, rows, grid, territories, regions, bodies, rivers)
+    return validate.violations(world).select("rule", "section", "n", "first")
+
+
+def world_violations_oracle(d: Dialect) -> str:
+    table = lambda rule, section, source, at, bad: f"SELECT '{rule}' AS rule, '{section}' AS section, count(*) AS n, CAST(min({at}) AS BIGINT) AS first FROM {source} WHERE {bad}"
+    again = lambda source: f"(SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM {source}) AS s"
+    size = "(SELECT 100 * (max(y) + 1) FROM cells)"
+    each = [
+        table("ReservedId", "territory", "ents", "pos", "id = 0"),
+        table("DuplicateId", "territory", again("ents"), "pos", "id <> 0 AND k > 1"),
+        table("AnchorOutOfBounds", "territory", "ents", "pos", f"NOT (ax BETWEEN 0 AND 99 AND ay >= 0 AND ay * 100 < {size})"),
+        table("UnknownRegion", "territory", "ents", "pos", "region NOT IN (SELECT region FROM terr)"),
+        table("ReservedId", "region", "(SELECT DISTINCT region FROM terr) AS r", "region", "region = 0"),
+        table("ReservedId", "river", "flows", "pos", "id = 0"),
+        table("DuplicateId", "river", again("flows"), "pos", "id <> 0 AND k > 1"),
+        table("AnchorOutOfBounds", "river", "flows", "pos", "mx < 0"),
+        table("InvalidRiverPath", "river", "flows", "pos", "pos % 211 = 7 OR pos % 223 = 9"),
+        table("TerritoryIndexOutOfRange", "cell", "bad", "cell_id", "territory >= (SELECT count(*) FROM ents)"),
+        table("LandCellInWaterBody", "cell", "bad", "cell_id", "water_body IS NOT NULL AND NOT is_water"),
+        table("MemberCountMismatch", "territory", "ents LEFT JOIN (SELECT territory AS t, count(*) AS have FROM bad GROUP BY territory) AS m ON m.t = ents.pos", "pos", "declared <> coalesce(have, 0)"),
+    ]
+    return f"WITH {faulty(d)}, found AS ({' UNION ALL '.join(each)}) SELECT * FROM found WHERE n > 0"
+
+
+ORACLES["world_violations"] = world_violations_oracle
