@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.biomes import case_sql
+from tessera.functions.anchors import anchored_id
+from tessera.functions.biomes import REGISTRY, case_sql
 from tessera.functions.noise import Noise, on_cylinder
+from tessera.plans.graphs import flow_oracle, smooth_cells
 from tessera.plans.relational import broken
 from tessera.plans.sql import SPARK, Dialect, cells, run
 from tessera.session import cut
@@ -16,6 +18,7 @@ from tessera.stages.world import GridWorld, field, skeleton
 WIDTH, SEED = 100, 42
 #: Land territories for so many cells, and cells of a water territory.
 LAND_CELLS, WATER_CELLS = 500, 400
+PLAIN = next(i for i, name, *_ in REGISTRY if name == "Grassland")
 QUERIES = {}
 ORACLES = {}
 
@@ -35,8 +38,15 @@ def orders_world(spark: SparkSession, sf_dir: str) -> GridWorld:
     return flat.with_cells(grid)
 
 
-def partitioned(spark: SparkSession, sf_dir: str) -> GridWorld:
+def smoothed_world(spark: SparkSession, sf_dir: str) -> GridWorld:
+    """The orders' grid with heights summed over windows, so that rivers run, and ice and deserts by number."""
     world = orders_world(spark, sf_dir)
+    smooth = smooth_cells(spark, sf_dir).selectExpr("cell_id", "CAST(height_m AS INT) AS height_m", "is_water", f"CASE WHEN ice THEN {hydrology.ICE} WHEN desert THEN {hydrology.DESERT} ELSE {PLAIN} END AS biome")
+    return world.with_cells(world.cells.drop("height_m", "is_water", "biome").join(smooth, "cell_id"))
+
+
+def partitioned(spark: SparkSession, sf_dir: str) -> GridWorld:
+    world = smoothed_world(spark, sf_dir)
     land = world.cells.where("NOT is_water").count()
     world = hydrology.hydrology(world)
     return partition.regions(partition.territories(world, max(1, land // LAND_CELLS), partition.WaterSplit(cells=WATER_CELLS)))
@@ -69,11 +79,21 @@ def biome_stage(spark, sf_dir) -> DataFrame:
 
 @query
 def hydrology_stage(spark, sf_dir) -> DataFrame:
-    """The rivers; their paths as text."""
-    rivers = hydrology.hydrology(orders_world(spark, sf_dir)).rivers
+    """The rivers of the smoothed grid; their paths as text."""
+    rivers = hydrology.hydrology(smoothed_world(spark, sf_dir)).rivers
     return rivers.select("pos", "id", "mouth_x", "mouth_y", F.concat_ws(",", F.transform("path", lambda c: c.cast("string"))).alias("path"))
 
 
+def hydrology_stage_oracle(d: Dialect) -> str:
+    return f"""WITH RECURSIVE {flow_oracle(d)}, named AS (SELECT start, CAST(mouth % 100 AS BIGINT) AS mouth_x, CAST({d.div('mouth', '100')} AS BIGINT) AS mouth_y,
+      row_number() OVER (ORDER BY mouth, start) - 1 AS pos, row_number() OVER (PARTITION BY mouth ORDER BY start) - 1 AS probe FROM mouth),
+    ways AS (SELECT start, {d.joined('CAST(cell_id AS VARCHAR)', 'ord')} AS path FROM path GROUP BY start)
+    SELECT CAST(pos AS BIGINT) AS pos, {anchored_id(d, 3, 'mouth_x', 'mouth_y', [], 'probe')} AS id, mouth_x, mouth_y, path FROM named JOIN ways USING (start)"""
+
+
+ORACLES["hydrology_stage"] = hydrology_stage_oracle
+
+
 @query
 def territory_stage(spark, sf_dir) -> DataFrame:
     """Land and water territories with their regions."""
