@@ -146,13 +146,8 @@ def stored_hash(data: bytes) -> int:
     return struct.unpack("<Q", data[-8:])[0]
 
 
-def from_bytes(data: bytes) -> World:
-    """Decode and validate; the first broken rule is raised."""
-    if len(data) < 8:
-        raise WorldError("UnexpectedEnd")
-    if fnv1a64(data[:-8]) != stored_hash(data):
-        raise WorldError("HashMismatch")
-    r = _Reader(data[:-8])
+def read_header(r: _Reader) -> tuple[World, int]:
+    """What stands before the cells: a world without any, and the number of the format."""
     if r.take("4s")[0] != MAGIC:
         raise WorldError("InvalidMagic")
     schema = r.one("I")
@@ -181,6 +176,17 @@ def from_bytes(data: bytes) -> World:
     w.width, w.height, w.connectivity = r.take("IIB")
     if w.connectivity > 1:
         raise WorldError("InvalidConnectivity", str(w.connectivity))
+    return w, schema
+
+
+def from_bytes(data: bytes) -> World:
+    """Decode and validate; the first broken rule is raised."""
+    if len(data) < 8:
+        raise WorldError("UnexpectedEnd")
+    if fnv1a64(data[:-8]) != stored_hash(data):
+        raise WorldError("HashMismatch")
+    r = _Reader(data[:-8])
+    w, schema = read_header(r)
     none = lambda v: None if v == NONE else v
     if w.width * w.height * 13 > len(r.data) - r.at:
         raise WorldError("UnexpectedEnd", "cells")
