@@ -11,11 +11,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.params import ParameterError, from_toml
-from tessera.sources.world_file import WorldError, from_bytes, to_bytes
+from tessera.sources.world_file import WorldError, from_bytes
 from tessera.stages import pipeline
+from tessera.stages.export import write_world
 from tessera.stages.partition import WaterSplit, land_components
 from tessera.stages.render import LAYERS, render
-from tessera.stages.world import GridWorld, StageError, from_world, to_world
+from tessera.stages.world import GridWorld, StageError, from_world
 
 SHOWN = 12
 
@@ -85,9 +86,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(summary(spark, a.input))
         elif a.command == "dump":
             began = time.time()
-            w = to_world(made(spark, a))
-            a.out.write_bytes(to_bytes(w))
-            print(f"world written to {a.out} ({len(w.cells)} cells, {len(w.territories)} territories, pipeline {time.time() - began:.2f} s)")
+            world = made(spark, a)
+            write_world(world, str(a.out.resolve()))
+            print(f"world written to {a.out} ({world.width * world.height} cells, {world.territories.count()} territories, pipeline {time.time() - began:.2f} s)")
         else:
             if a.no_climate and a.config:
                 raise ParameterError("--no-climate doesn't go with --config")

@@ -13,8 +13,8 @@ SPREAD, STEP = 6364136223846793005, 11634580027462260723
 SIGMA = b"expand 32-byte k"
 
 
-def fnv1a64(data: bytes) -> int:
-    h = BASIS
+def fnv1a64(data: bytes, h: int = BASIS) -> int:
+    """The hash of data, or of what h is the hash of with data after it."""
     for b in data:
         h = (h ^ b) * PRIME & U64
     return h

@@ -53,7 +53,8 @@ class World:
     hydrology: int | None = None
 
 
-def to_bytes(w: World) -> bytes:
+def before_cells(w: World) -> bytes:
+    """What stands before the cells: the format, the parameters, the size of the grid."""
     out = bytearray(MAGIC + struct.pack("<I", SCHEMA))
 
     def put(form: str, *values) -> None:
@@ -81,8 +82,16 @@ def to_bytes(w: World) -> bytes:
     if w.params_version >= 2 and w.hydrology is not None:
         put("h", w.hydrology)
     put("IIB", w.width, w.height, w.connectivity)
-    for h, water, territory, body in w.cells:
-        put("iBII", h, water, NONE if territory is None else territory, NONE if body is None else body)
+    return bytes(out)
+
+
+def after_cells(w: World) -> bytes:
+    """The tables of entities, which stand between the cells and the sections."""
+    out = bytearray()
+
+    def put(form: str, *values) -> None:
+        out.extend(struct.pack("<" + form, *values))
+
     put("I", len(w.territories))
     for i, water, x, y, n, potential, region in w.territories:
         put("QBqqIhB", i, water, x, y, n, potential, region is not None)
@@ -98,6 +107,18 @@ def to_bytes(w: World) -> bytes:
     for i, x, y, path in w.rivers:
         put("QqqI", i, x, y, len(path))
         put(f"{len(path)}Q", *path)
+    return bytes(out)
+
+
+def to_bytes(w: World) -> bytes:
+    out = bytearray(before_cells(w))
+
+    def put(form: str, *values) -> None:
+        out.extend(struct.pack("<" + form, *values))
+
+    for h, water, territory, body in w.cells:
+        put("iBII", h, water, NONE if territory is None else territory, NONE if body is None else body)
+    out += after_cells(w)
     for values, form in ((w.temperature, "h"), (w.humidity, "h"), (w.precipitation, "i"), (w.biomes, "H")):
         put("B", values is not None)
         if values is not None:

@@ -104,7 +104,7 @@ def _from_steps(stage: str, steps: tuple, **extra) -> Parameters:
 
 
 def to_world(g: GridWorld) -> World:
-    """The world in the form of a file, which is one sequence: the cells come to the driver in order."""
+    """The world as whole lists on the driver, cells in order: for small ones (tessera.stages.export writes any)."""
     frame = g.cells.orderBy("cell_id").toPandas()
 
     def column(name: str) -> list[int | None]:
@@ -112,6 +112,14 @@ def to_world(g: GridWorld) -> World:
             return [None] * len(frame)
         return [None if pd.isna(v) else int(v) for v in frame[name]]
 
+    sections = {n: [int(v) for v in frame[n]] if n in frame else None for n in SECTIONS}
+    sections["biomes"] = sections.pop("biome")
+    cells = list(zip(column("height_m"), [bool(v) for v in frame["is_water"]], column("territory"), column("water_body"), strict=True))
+    return replace(without_cells(g), cells=cells, **sections)
+
+
+def without_cells(g: GridWorld) -> World:
+    """The world's parameters and tables of entities in the form of a file."""
     entities = {n: [tuple(r)[1:] for r in getattr(g, n).orderBy("pos").collect()] for n in ("territories", "regions", "water_bodies", "rivers")}
     terrain = None
     if g.terrain is not None:
@@ -119,18 +127,15 @@ def to_world(g: GridWorld) -> World:
         erosion = (s["droplets_per_hundred_cells"], s["power"], s["talus_m"]) if g.terrain.values["erosion_enabled"] else None
         others = ("land_ratio", "island_density", "land_hypsometry", "warp_strength", "warp_features", "ridge_strength", "ridge_features")
         terrain = (erosion, s["features_across"], g.terrain.values["min_feature_cells"], *(s[n] for n in others))
-    sections = {n: [int(v) for v in frame[n]] if n in frame else None for n in SECTIONS}
-    sections["biomes"] = sections.pop("biome")
     return World(
         g.seed,
         g.width,
         g.height,
-        list(zip(column("height_m"), [bool(v) for v in frame["is_water"]], column("territory"), column("water_body"), strict=True)),
+        [],
         entities["territories"],
         [i for (i,) in entities["regions"]],
         entities["water_bodies"],
         [(i, x, y, list(p)) for i, x, y, p in entities["rivers"]],
-        **sections,
         params_version=params_version(g.terrain is not None, g.hydrology is not None, g.climate is not None),
         climate=tuple(g.climate.steps().values()) if g.climate else None,
         terrain=terrain,

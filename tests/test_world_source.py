@@ -1,8 +1,10 @@
 """Cells of world files by ranges of bytes, against whole files decoded at once."""
 
+from dataclasses import replace
+
 import pytest
 
-from tessera.sources.world_file import World, from_bytes, to_bytes
+from tessera.sources.world_file import World, from_bytes, stored_hash, to_bytes
 from tessera.sources.world_source import WorldSource
 
 
@@ -47,3 +49,17 @@ def test_folders_and_damage(spark, tmp_path):
         (tmp_path / "bad").write_bytes(bad)
         with pytest.raises(Exception, match="UnexpectedEnd|InvalidMagic"):
             spark.read.format("world").load(str(tmp_path / "bad")).count()
+
+
+def test_writing_in_packs(spark, tmp_path):
+    from tessera.stages.export import write_world
+    from tessera.stages.world import from_world
+
+    for k, w in enumerate((world(50, 41), world(7, 9, False, 0))):
+        g = from_world(spark, w)
+        at = tmp_path / f"{k}.gwb"
+        check = write_world(g, str(at))
+        assert at.read_bytes() == to_bytes(w) and stored_hash(at.read_bytes()) == check
+    with pytest.raises(Exception, match="CellCountMismatch"):
+        write_world(replace(g, cells=g.cells.where("cell_id <> 5")), str(tmp_path / "x.gwb"))
+    assert not (tmp_path / "x.gwb").exists()
