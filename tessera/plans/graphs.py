@@ -241,6 +241,46 @@ def apportion(spark, sf_dir):
     return apportioned(areas, whole // 5).select("pos", "area", "seats")
 
 
+def surfaces(spark, sf_dir) -> tuple[int, int, int]:
+    """Land cells, water cells, and connected waters."""
+    whole = land(spark, sf_dir, "is_water")
+    n, wet = run(spark, sf_dir, f"WITH {cells(SPARK)} SELECT count(*) AS n FROM cells").first().n, whole.count()
+    return n - wet, wet, grid.components(whole, WIDTH).select("component").distinct().count()
+
+
+def surfaces_oracle(d: Dialect) -> str:
+    return f"{cells(d)}, {closure('is_water')}, n AS (SELECT (SELECT count(*) FROM cells) - count(*) AS land, count(*) AS water, count(DISTINCT component) AS bodies FROM comp)"
+
+
+AREAS, ASKED = (1, 8, 10, 40, 1000, 1000000), (0, 1, 300, 100000000)
+
+
+def listed(values: tuple[int, ...], name: str) -> str:
+    return f"(SELECT * FROM (VALUES {', '.join(f'({v})' for v in values)}) AS t({name})) AS t"
+
+
+@query
+def water_count_from_area(spark, sf_dir):
+    """How many water territories of about an area there are: one for each connected water at least, one a cell at most."""
+    _, wet, bodies = surfaces(spark, sf_dir)
+    return spark.sql(f"SELECT CAST(area AS BIGINT) AS area, CAST(greatest(least(({wet} + area div 2) div area, {wet}), {bodies}) AS BIGINT) AS territories FROM {listed(AREAS, 'area')}")
+
+
+ORACLES["water_count_from_area"] = lambda d: f"""WITH RECURSIVE {surfaces_oracle(d)}
+  SELECT CAST(area AS BIGINT) AS area, CAST(greatest(least((water + area // 2) // area, water), bodies) AS BIGINT) AS territories FROM {listed(AREAS, 'area')} CROSS JOIN n"""
+
+
+@query
+def validate_preconditions(spark, sf_dir):
+    """Which numbers of land and water territories, and areas of them, can be asked for."""
+    dry, wet, bodies = surfaces(spark, sf_dir)
+    return spark.sql(f"SELECT CAST(want AS BIGINT) AS want, want BETWEEN 1 AND {dry} AS land_ok, want BETWEEN {bodies} AND {wet} AS water_ok, want >= 1 AS area_ok FROM {listed(ASKED, 'want')}")
+
+
+ORACLES["validate_preconditions"] = lambda d: f"""WITH RECURSIVE {surfaces_oracle(d)}
+  SELECT CAST(want AS BIGINT) AS want, want BETWEEN 1 AND land AS land_ok, want BETWEEN bodies AND water AS water_ok, want >= 1 AS area_ok FROM {listed(ASKED, 'want')} CROSS JOIN n"""
+
+
 @query
 def territory_union(spark, sf_dir):
     """Land territories first, then water ones, whose positions follow."""

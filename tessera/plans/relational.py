@@ -262,12 +262,6 @@ def apportion(d):
     SELECT pos, area, CAST(quota + greatest(0, least(area - quota, missing - up)) - greatest(0, least(quota - 1, -missing - down)) AS BIGINT) AS seats FROM b"""
 
 
-@query
-def water_count_from_area(d):
-    return f"""WITH {cells(d)}, w AS (SELECT CAST(sum(CASE WHEN is_water THEN 1 ELSE 0 END) AS BIGINT) AS w FROM cells), areas AS (SELECT * FROM (VALUES (1), (8), (10), (40), (1000), (1000000)) AS t(area))
-      SELECT CAST(area AS BIGINT) AS area, CAST(greatest(least({d.div(f"w + {d.div('area', '2')}", 'area')}, w), 3) AS BIGINT) AS territories FROM areas CROSS JOIN w"""
-
-
 @query
 def top_components(d):
     return f"WITH {cells(d)}, {territories(d)} SELECT pos, n FROM terr ORDER BY n DESC, pos LIMIT 12"
@@ -335,13 +329,6 @@ def validate_sections(d):
       UNION ALL SELECT 'territory', count(territory) FROM cells) SELECT section, n, n = (SELECT count(*) FROM cells) OR n = 0 AS ok FROM s"""
 
 
-@query
-def validate_preconditions(d):
-    return f"""WITH {cells(d)}, n AS (SELECT CAST(sum(CASE WHEN is_water THEN 0 ELSE 1 END) AS BIGINT) AS land, CAST(sum(CASE WHEN is_water THEN 1 ELSE 0 END) AS BIGINT) AS water FROM cells),
-      ask AS (SELECT * FROM (VALUES (0), (1), (300), (100000000)) AS t(want))
-      SELECT CAST(want AS BIGINT) AS want, want BETWEEN 1 AND land AS land_ok, want BETWEEN 3 AND water AS water_ok, want >= 1 AS area_ok FROM ask CROSS JOIN n"""
-
-
 @query
 def territory_union(d):
     """Land territories first, then water ones, whose positions follow."""
