@@ -16,24 +16,24 @@ from tessera.operators.grid import BAND, banded
 SLUMP = ((0, 1), (1, 0), (0, -1), (-1, 0))
 
 
-def box_blur(cells: DataFrame, width: int, radius: int, value: str, wrap: bool) -> DataFrame:
+def box_blur(cells: DataFrame, width: int, radius: int, value: str, wrap: bool, of: Callable[[str], Column] = F.avg) -> DataFrame:
     """cells with value averaged over 2 radius + 1 cells of its row, then over as many rows; rows end at the poles.
 
     In x the window wraps (a row not wider than it is averaged whole) or ends at the edges. Sums go from
-    the west and from the north.
+    the west and from the north. With of=F.sum whole numbers are summed instead.
     """
     rest = [c for c in cells.columns if c != value]
     if wrap and 2 * radius + 1 >= width:
-        flat = cells.withColumn(value, F.avg(value).over(W.Window.partitionBy("y").orderBy("x").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))
+        flat = cells.withColumn(value, of(value).over(W.Window.partitionBy("y").orderBy("x").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))
     else:
         frame = W.Window.partitionBy("y").orderBy("_x").rowsBetween(-radius, radius)
         copies = [F.col("x").cast("int")]
         if wrap:
             copies += [F.when(F.col("x") < radius, F.col("x").cast("int") + width), F.when(F.col("x") >= width - radius, F.col("x").cast("int") - width)]
         padded = cells.withColumn("_x", F.explode(F.array_compact(F.array(*copies))))
-        flat = padded.withColumn(value, F.avg(value).over(frame)).where(F.col("_x") == F.col("x")).drop("_x")
+        flat = padded.withColumn(value, of(value).over(frame)).where(F.col("_x") == F.col("x")).drop("_x")
     frame = W.Window.partitionBy("x", "band").orderBy("y").rowsBetween(-radius, radius)
-    return banded(flat, radius).withColumn(value, F.avg(value).over(frame)).where("own").select(*rest, value)
+    return banded(flat, radius).withColumn(value, of(value).over(frame)).where("own").select(*rest, value)
 
 
 def steepest(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
