@@ -25,6 +25,10 @@ class Dialect:
     def whole(self, a: str, kind: str = "BIGINT") -> str:
         return f"CAST({self.rint(a)} AS {kind})"
 
+    def exact_mean(self, a: str) -> str:
+        """The mean of numbers of at most a million, in whole 1E-12 steps: it doesn't depend on the order of rows, as a sum of doubles does."""
+        return f"(CAST(sum(CAST({self.whole(f'({a}) * 1E12')} AS DECIMAL(20, 0))) AS DOUBLE) / count({a}) / 1E12)"
+
     def min_by(self, value: str, *keys: str) -> str:
         return f"min_by({value}, struct({', '.join(keys)}))" if self.spark else f"arg_min({value}, ({', '.join(keys)}))"
 

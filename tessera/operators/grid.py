@@ -11,11 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
+from tessera.operators.tiles import Laid, across, edge_sql, tile_of, tile_sql, tiled
 from tessera.session import cut, drop_cut
 
-#: Rows of a grid that a task takes together.
-BAND = 64
-
 #: Offsets (dy, dx) in the order that decides ties.
 FOUR = ((0, -1), (0, 1), (-1, 0), (1, 0))
 EIGHT = ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
@@ -29,15 +27,6 @@ def neighbours(cells: DataFrame, width: int, offsets: tuple[tuple[int, int], ...
     return cells.select("cell_id", *keep, F.inline(F.array(*each))).where("nid IS NOT NULL")
 
 
-def banded(cells: DataFrame, halo: int, band: int = BAND) -> DataFrame:
-    """Each row of cells (with y) in its band of rows, and in those on either side that need it within halo rows (own is false there)."""
-    b = F.expr(f"y div {band}")
-    up = F.when((F.col("y") % band < halo) & (F.col("y") >= band), b - 1)
-    down = F.when(F.col("y") % band >= band - halo, b + 1)
-    every = cells.withColumn("band", F.explode(F.array_compact(F.array(up, b, down))))
-    return every.withColumn("own", F.col("band") == b)
-
-
 def _linked(ids: np.ndarray, width: int) -> np.ndarray:
     """The least cell reachable from each of ids (ascending) over edges of the grid, by hooking and jumping whole arrays."""
     x = ids % width
@@ -64,24 +53,26 @@ def _linked(ids: np.ndarray, width: int) -> np.ndarray:
 def components(cells: DataFrame, width: int) -> DataFrame:
     """(cell_id, component) of cells that touch by an edge; the label is the smallest cell of a component.
 
-    Each band of rows is labelled inside one task; only labels that touch across the borders of bands go
-    into the iteration over edges.
+    Each tile is labelled inside one task; only labels that touch across the borders of tiles go into the
+    iteration over edges.
     """
 
-    def label(band: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(band["cell_id"].to_numpy())
+    def label(tile: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(tile["cell_id"].to_numpy())
         return pd.DataFrame({"cell_id": ids, "label": _linked(ids, width)})
 
-    within = cells.select("cell_id", F.expr(f"cell_id div {width * BAND}").alias("band"))
-    labels = cut(within.groupBy("band").applyInPandas(label, "cell_id long, label long"))
-    last = labels.where(F.expr(f"cell_id div {width} % {BAND} = {BAND - 1}")).select((F.col("cell_id") + width).alias("cell_id"), F.col("label").alias("a"))
-    border = labels.where(F.expr(f"cell_id div {width} % {BAND} = 0")).join(last, "cell_id").select("a", F.col("label").alias("b")).distinct()
+    within = cells.select("cell_id", F.expr(tile_sql(width)).alias("tile"))
+    labels = cut(within.groupBy("tile").applyInPandas(label, "cell_id long, label long"))
+    edge = labels.where(edge_sql(width)).select("cell_id", "label")
+    ways = [f"cell_id + {width}"] + ([f"CASE WHEN cell_id % {width} = {width - 1} THEN cell_id - {width - 1} ELSE cell_id + 1 END"] if across(width) > 1 else [])
+    beside = edge.select(F.expr(f"explode(array({', '.join(ways)}))").alias("cell_id"), F.col("label").alias("a"))
+    border = edge.join(beside, "cell_id").where("a <> label").select("a", F.col("label").alias("b")).distinct()
     joined = connected_components(border).select(F.col("node").alias("label"), "component")
     return labels.join(joined, "label", "left").select("cell_id", F.coalesce("component", "label").alias("component"))
 
 
-def _flood(key: np.ndarray, width: int) -> np.ndarray:
-    """Keys (steps * STEP + seed, FREE where no seed has come yet, WALL off the surface) after all growth within rows."""
+def _flood(key: np.ndarray) -> np.ndarray:
+    """Keys (steps * STEP + seed, FREE where no seed has come yet, WALL off the surface) after all growth within a tile."""
     wall = key == WALL
     while True:
         near = np.minimum(np.roll(key, 1, 1), np.roll(key, -1, 1))
@@ -102,29 +93,25 @@ def grow(cells: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
     """(cell_id, dist, seed): each cell of the surface that seeds reach goes to the nearest over edges, ties to the lower seed.
 
     seeds has (cell_id, seed), seeds from 0 to 2^36. A queue that starts in seed order claims cells in
-    just this order of (distance, seed), so growth is a least fixed point: each band of rows is grown to
-    its end inside one task, then bands take over their neighbours' border rows, until no border changes.
+    just this order of (distance, seed), so growth is a least fixed point: each tile is grown to its end
+    inside one task, then tiles take over their neighbours' border cells, until no border changes.
     """
     start = seeds.select("cell_id", F.col("seed").cast("long").alias("key"))
-    state = cells.select("cell_id").join(start, "cell_id", "left").select("cell_id", F.expr(f"cell_id div {width}").alias("y"), F.coalesce("key", F.lit(FREE)).alias("key"))
+    state = cells.select("cell_id").join(start, "cell_id", "left").select("cell_id", F.coalesce("key", F.lit(FREE)).alias("key"))
 
-    def spread(band: pd.DataFrame) -> pd.DataFrame:
-        low, ids = int(band["y"].min()), band["cell_id"].to_numpy()
-        at = ids - low * width
-        key = np.full((int(band["y"].max()) - low + 1) * width, WALL)
-        key[at] = band["key"].to_numpy()
-        grown = _flood(key.reshape(-1, width), width).ravel()[at]
-        own = band["own"].to_numpy()
-        return pd.DataFrame({"cell_id": ids, "y": band["y"].to_numpy(), "key": grown, "old": band["key"].to_numpy()})[own]
+    def spread(tile: pd.DataFrame) -> pd.DataFrame:
+        ids, old, own = tile["cell_id"].to_numpy(), tile["key"].to_numpy(), tile["own"].to_numpy()
+        laid = Laid(ids, width)
+        grown = laid.back(_flood(laid.matrix(old, WALL)))
+        return pd.DataFrame({"cell_id": ids[own], "key": grown[own], "old": old[own]})
 
     done = None
     while True:
-        state = cut(banded(state, 1).groupBy("band").applyInPandas(spread, "cell_id long, y long, key long, old long"))
+        state = cut(tiled(state, width, 1).groupBy("tile").applyInPandas(spread, "cell_id long, key long, old long"))
         if done is not None:
             drop_cut(done)
         done = state
-        edge = F.expr(f"key < old AND y % {BAND} IN (0, {BAND - 1})")
-        if state.where(edge).isEmpty():
+        if state.where(f"key < old AND {edge_sql(width)}").isEmpty():
             return state.where(F.col("key") < FREE).select("cell_id", F.shiftright("key", 36).cast("int").alias("dist"), F.col("key").bitwiseAND(F.lit(STEP - 1)).alias("seed"))
         state = state.drop("old")
 
@@ -166,35 +153,32 @@ def nearest(cells: DataFrame, centers: DataFrame, square: int = 10) -> DataFrame
 def flow_targets(cells: DataFrame, width: int) -> DataFrame:
     """(cell_id, target): the lowest of the lower neighbours (of eight), ties to the first in order.
 
-    cells has cell_id and height_m. Bands of rows with one more on either side hold all neighbours, so
-    cells are dealt once.
+    cells has cell_id and height_m. Tiles with one more row and column on every side hold all neighbours,
+    so cells are dealt once.
     """
 
-    def lowest(band: pd.DataFrame) -> pd.DataFrame:
-        low, ids, own = int(band["y"].min()), band["cell_id"].to_numpy(), band["own"].to_numpy()
-        at = ids - low * width
-        h = np.full((int(band["y"].max()) - low + 3) * width, np.iinfo(np.int64).max)
-        h[at + width] = band["height_m"].to_numpy()  # a row of none before and after
-        h = h.reshape(-1, width)
-        here = h[1:-1]
-        best, target = here.copy(), np.full(here.shape, -1)
-        number = low * width + np.arange(here.size).reshape(here.shape)
-        x = number % width
-        for dy, dx in EIGHT:
+    def lowest(tile: pd.DataFrame) -> pd.DataFrame:
+        ids, own = tile["cell_id"].to_numpy(), tile["own"].to_numpy()
+        laid = Laid(ids, width)
+        here = laid.matrix(tile["height_m"].to_numpy(), np.iinfo(np.int64).max)
+        h = np.pad(here, ((1, 1), (0, 0)), constant_values=np.iinfo(np.int64).max)  # a row of none before and after
+        best, way = here.copy(), np.full(here.shape, -1)
+        for k, (dy, dx) in enumerate(EIGHT):
             near = np.roll(h[1 + dy : h.shape[0] - 1 + dy], -dx, 1)
             lower = near < best
-            best = np.where(lower, near, best)
-            target = np.where(lower, number - x + dy * width + (x + dx) % width, target)
-        found = target.ravel()[at]
-        keep = own & (found >= 0)
-        return pd.DataFrame({"cell_id": ids[keep], "target": found[keep]})
+            best, way = np.where(lower, near, best), np.where(lower, k, way)
+        way = laid.back(way)
+        dy, dx = np.array(EIGHT)[way].T
+        target = (laid.y + dy) * width + (laid.x + dx) % width
+        keep = own & (way >= 0)
+        return pd.DataFrame({"cell_id": ids[keep], "target": target[keep]})
 
-    rows = cells.select("cell_id", F.expr(f"cell_id div {width}").alias("y"), F.col("height_m").cast("long").alias("height_m"))
-    return banded(rows, 1).groupBy("band").applyInPandas(lowest, "cell_id long, target long")
+    rows = cells.select("cell_id", F.col("height_m").cast("long").alias("height_m"))
+    return tiled(rows, width, 1).groupBy("tile").applyInPandas(lowest, "cell_id long, target long")
 
 
 class Forest:
-    """The flow of a band's cells: ways end where a cell has no target, or one outside the band."""
+    """The flow of a tile's cells: ways end where a cell has no target, or one outside the tile."""
 
     def __init__(self, ids: np.ndarray, target: np.ndarray) -> None:
         """ids ascend; a target below 0 is none."""
@@ -224,23 +208,24 @@ class Forest:
         return flow
 
 
-#: What a band tells of its border: ways from cells (kind 0) to a cell of another band, and what its own cells send there (kind 1).
+#: What a tile tells of its border: ways from cells (kind 0) to a cell of another tile, and what its own cells send there (kind 1).
 BORDER = "kind int, cell_id long, target long, steps long, amount double"
 
 
 def _border(width: int):
-    def tell(band: pd.DataFrame) -> pd.DataFrame:
-        """band has cell_id, target, share, flow and marked (cells that are asked for besides those of border rows)."""
-        band = band.sort_values("cell_id")
-        ids, share = band["cell_id"].to_numpy(), band["share"].to_numpy()
-        target = band["target"].to_numpy()
+    number = tile_of(width)
+
+    def tell(tile: pd.DataFrame) -> pd.DataFrame:
+        """tile has cell_id, target, share, flow and marked (the cells whose ways are asked for)."""
+        tile = tile.sort_values("cell_id")
+        ids, share = tile["cell_id"].to_numpy(), tile["share"].to_numpy()
+        target = tile["target"].to_numpy()
         forest = Forest(ids, target)
         end, steps, left = forest.ends(share)
-        out = (target >= 0) & (target // (width * BAND) != ids // (width * BAND))
-        row = ids // width % BAND
-        asked = ((row == 0) | (row == BAND - 1) | band["marked"].to_numpy()) & out[end]
+        out = (target >= 0) & (number(target) != number(ids))
+        asked = tile["marked"].to_numpy() & out[end]
         ways = pd.DataFrame({"kind": 0, "cell_id": ids[asked], "target": target[end[asked]], "steps": steps[asked] + 1, "amount": (left * share[end])[asked]})
-        sums = pd.Series(forest.gathered(band["flow"].to_numpy(), share)[out] * share[out]).groupby(target[out]).sum()
+        sums = pd.Series(forest.gathered(tile["flow"].to_numpy(), share)[out] * share[out]).groupby(target[out]).sum()
         sent = pd.DataFrame({"kind": 1, "cell_id": sums.index.to_numpy(np.int64), "target": -1, "steps": 0, "amount": sums.to_numpy()})
         return pd.concat([ways, sent], ignore_index=True)
 
@@ -250,14 +235,14 @@ def _border(width: int):
 def accumulate(cells: DataFrame, targets: DataFrame, width: int) -> DataFrame:
     """(cell_id, flow): cells (cell_id, ice, desert) shed 1 each down their targets.
 
-    Ice keeps nothing and passes nothing on, deserts pass half. A band of rows is solved inside a task: what
-    its cells send to others, and where ways from its border rows leave it again and with how much. Only
-    those few border cells go into rounds, which double their reach; then each band is solved once more
-    with what comes in.
+    Ice keeps nothing and passes nothing on, deserts pass half. A tile is solved inside a task: what its cells
+    send to others, and where ways from its border cells leave it again and with how much. Only those few
+    border cells go into rounds, which double their reach; then each tile is solved once more with what
+    comes in.
     """
-    t = cells.join(targets, "cell_id", "left").selectExpr("cell_id", f"cell_id div {width * BAND} AS band", "CASE WHEN NOT ice AND target IS NOT NULL THEN target ELSE -1 END AS target", "CASE WHEN desert THEN 5E-1 ELSE 1E0 END AS share", "CASE WHEN ice THEN 0E0 ELSE 1E0 END AS flow", "ice", "false AS marked")
+    t = cells.join(targets, "cell_id", "left").selectExpr("cell_id", f"{tile_sql(width)} AS tile", "CASE WHEN NOT ice AND target IS NOT NULL THEN target ELSE -1 END AS target", "CASE WHEN desert THEN 5E-1 ELSE 1E0 END AS share", "CASE WHEN ice THEN 0E0 ELSE 1E0 END AS flow", "ice", f"{edge_sql(width)} AS marked")
     t = cut(t)
-    border = cut(t.drop("ice").groupBy("band").applyInPandas(_border(width), BORDER))
+    border = cut(t.drop("ice").groupBy("tile").applyInPandas(_border(width), BORDER))
     ways = border.where("kind = 0").selectExpr("cell_id", "target AS jump", "amount AS pass")
     sent = border.where("kind = 1").groupBy("cell_id").agg(F.sum("amount").alias("flow"))
     known = cut(sent.join(ways, "cell_id", "left").selectExpr("cell_id", "jump", "coalesce(pass, 0E0) AS pass", "flow"))
@@ -268,26 +253,26 @@ def accumulate(cells: DataFrame, targets: DataFrame, width: int) -> DataFrame:
         drop_cut(old)
     full = t.join(known.select("cell_id", F.col("flow").alias("more")), "cell_id", "left").withColumn("flow", F.col("flow") + F.coalesce("more", F.lit(0.0)))
 
-    def solve(band: pd.DataFrame) -> pd.DataFrame:
-        band = band.sort_values("cell_id")
-        forest = Forest(band["cell_id"].to_numpy(), band["target"].to_numpy())
-        flow = forest.gathered(band["flow"].to_numpy(), band["share"].to_numpy())
-        return pd.DataFrame({"cell_id": band["cell_id"], "flow": np.where(band["ice"].to_numpy(), 0.0, flow)})
+    def solve(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("cell_id")
+        forest = Forest(tile["cell_id"].to_numpy(), tile["target"].to_numpy())
+        flow = forest.gathered(tile["flow"].to_numpy(), tile["share"].to_numpy())
+        return pd.DataFrame({"cell_id": tile["cell_id"], "flow": np.where(tile["ice"].to_numpy(), 0.0, flow)})
 
-    return full.select("cell_id", "band", "target", "share", "flow", "ice").groupBy("band").applyInPandas(solve, "cell_id long, flow double")
+    return full.select("cell_id", "tile", "target", "share", "flow", "ice").groupBy("tile").applyInPandas(solve, "cell_id long, flow double")
 
 
 def walks(starts: DataFrame, targets: DataFrame, width: int) -> DataFrame:
     """(start, ord, cell_id): the cells from each start (cell_id) down its targets.
 
-    Bands of rows tell where ways leave them, and in how many steps. Rounds over those few cells, which
-    double their reach, find the cells at which each way comes into a band; then each band writes the parts
-    of ways that lie in it, once.
+    Tiles tell where ways leave them, and in how many steps. Rounds over those few cells, which double their
+    reach, find the cells at which each way comes into a tile; then each tile writes the parts of ways that
+    lie in it, once.
     """
     marks = starts.select("cell_id").distinct().withColumn("mark", F.lit(True))
-    t = targets.select("cell_id", "target").join(marks, "cell_id", "left").selectExpr("cell_id", f"cell_id div {width * BAND} AS band", "target", "1E0 AS share", "0E0 AS flow", "coalesce(mark, false) AS marked")
+    t = targets.select("cell_id", "target").join(marks, "cell_id", "left").selectExpr("cell_id", f"{tile_sql(width)} AS tile", "target", "1E0 AS share", "0E0 AS flow", f"coalesce(mark, false) OR {edge_sql(width)} AS marked")
     t = cut(t)
-    jump = cut(t.groupBy("band").applyInPandas(_border(width), BORDER).where("kind = 0").select("cell_id", "target", "steps"))
+    jump = cut(t.groupBy("tile").applyInPandas(_border(width), BORDER).where("kind = 0").select("cell_id", "target", "steps"))
     part = cut(starts.select(F.col("cell_id").alias("start"), F.lit(0).cast("long").alias("ord"), "cell_id"))
     while True:
         more = cut(part.join(jump, "cell_id").select("start", (F.col("ord") + F.col("steps")).alias("ord"), F.col("target").alias("cell_id")))
@@ -297,6 +282,8 @@ def walks(starts: DataFrame, targets: DataFrame, width: int) -> DataFrame:
         then = jump.select(F.col("cell_id").alias("target"), F.col("target").alias("t2"), F.col("steps").alias("s2"))
         jump = cut(jump.join(then, "target").select("cell_id", F.col("t2").alias("target"), (F.col("steps") + F.col("s2")).alias("steps")))
 
+    number = tile_of(width)
+
     def write(ways: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         ways = ways.sort_values("cell_id")
         ids, start, ord_ = ways["cell_id"].to_numpy(), asked["start"].to_numpy(), asked["ord"].to_numpy()
@@ -308,9 +295,9 @@ def walks(starts: DataFrame, targets: DataFrame, width: int) -> DataFrame:
             go = ids[at] == own  # others have no target
             at, start, ord_ = at[go], start[go], ord_[go]
             while True:
-                # A way goes on through the band, to a last cell that has no target itself.
+                # A way goes on through the tile, to a last cell that has no target itself.
                 to = forest.target[at]
-                inside = to // (width * BAND) == own[0] // (width * BAND) if len(own) else np.zeros(0, bool)
+                inside = number(to) == number(own[0]) if len(own) else np.zeros(0, bool)
                 start, ord_, to = start[inside], ord_[inside] + 1, to[inside]
                 if not len(to):
                     break
@@ -321,6 +308,6 @@ def walks(starts: DataFrame, targets: DataFrame, width: int) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
         return pd.DataFrame(dict(zip(("start", "ord", "cell_id"), columns, strict=True)))
 
-    asked = part.withColumn("band", F.expr(f"cell_id div {width * BAND}"))
-    found = t.select("cell_id", "target", "band").groupBy("band").cogroup(asked.groupBy("band")).applyInPandas(write, "start long, ord long, cell_id long")
+    asked = part.withColumn("tile", F.expr(tile_sql(width)))
+    found = t.select("cell_id", "target", "tile").groupBy("tile").cogroup(asked.groupBy("tile")).applyInPandas(write, "start long, ord long, cell_id long")
     return cut(found.withColumn("ord", F.col("ord").cast("int")))

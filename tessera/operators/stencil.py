@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.operators.grid import BAND, banded
+from tessera.operators import tiles
+from tessera.operators.tiles import Laid, across, tiled
+from tessera.session import cut
 
 #: Offsets (dy, dx) of slumping, in the order that decides ties: E, S, W, N.
 SLUMP = ((0, 1), (1, 0), (0, -1), (-1, 0))
@@ -20,20 +23,26 @@ def box_blur(cells: DataFrame, width: int, radius: int, value: str, wrap: bool,
     """cells with value averaged over 2 radius + 1 cells of its row, then over as many rows; rows end at the poles.
 
     In x the window wraps (a row not wider than it is averaged whole) or ends at the edges. Sums go from
-    the west and from the north. With of=F.sum whole numbers are summed instead.
+    the west and from the north. With of=F.sum whole numbers are summed instead. Windows are over the parts
+    of rows and columns that lie in a tile, with the halo that they need.
     """
     rest = [c for c in cells.columns if c != value]
     if wrap and 2 * radius + 1 >= width:
         flat = cells.withColumn(value, of(value).over(W.Window.partitionBy("y").orderBy("x").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))
     else:
-        frame = W.Window.partitionBy("y").orderBy("_x").rowsBetween(-radius, radius)
+        breadth = max(tiles.BREADTH, radius)
+        part = lambda x: F.expr(f"least(greatest({x}, 0) div {breadth}, {max(1, width // breadth) - 1})")
+        frame = W.Window.partitionBy("y", "_part").orderBy("_x").rowsBetween(-radius, radius)
         copies = [F.col("x").cast("int")]
         if wrap:
             copies += [F.when(F.col("x") < radius, F.col("x").cast("int") + width), F.when(F.col("x") >= width - radius, F.col("x").cast("int") - width)]
         padded = cells.withColumn("_x", F.explode(F.array_compact(F.array(*copies))))
-        flat = padded.withColumn(value, of(value).over(frame)).where(F.col("_x") == F.col("x")).drop("_x")
-    frame = W.Window.partitionBy("x", "band").orderBy("y").rowsBetween(-radius, radius)
-    return banded(flat, radius).withColumn(value, of(value).over(frame)).where("own").select(*rest, value)
+        padded = padded.withColumn("_part", F.explode(F.array_distinct(F.array(*(part(f"_x + {k}") for k in (-radius, 0, radius))))))
+        flat = padded.withColumn(value, of(value).over(frame)).where((F.col("_x") == F.col("x")) & (F.col("_part") == part("x"))).drop("_x", "_part")
+    band = max(tiles.BAND, radius)
+    frame = W.Window.partitionBy("x", "_band").orderBy("y").rowsBetween(-radius, radius)
+    bands = flat.withColumn("_band", F.explode(F.array_distinct(F.array(*(F.expr(f"greatest(y + {k}, 0) div {band}") for k in (-radius, 0, radius))))))
+    return bands.withColumn(value, of(value).over(frame)).where(f"_band = y div {band}").select(*rest, value)
 
 
 def steepest(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,34 +76,21 @@ def settled(h: np.ndarray, moved: np.ndarray, way: np.ndarray) -> np.ndarray:
 
 
 def slump(cells: DataFrame, width: int, value: str, passes: int, step: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
-    """cells (cell_id, value) after passes of step(rows, pass), which looks two rows far at most.
+    """cells (cell_id, value) of whole rows after passes of step(rows, pass), which looks two cells far at most.
 
-    A band of rows with two more a pass on either side goes through all passes inside a task.
+    A tile with two more cells a pass on every side goes through all passes inside a task. step may take
+    the first and last column for neighbours: they are, around the seam, or else belong to the halo.
     """
 
-    def apply(band: pd.DataFrame) -> pd.DataFrame:
-        band = band.sort_values("cell_id")
-        h = band[value].to_numpy().reshape(-1, width)
+    def apply(tile: pd.DataFrame) -> pd.DataFrame:
+        own, laid = tile["own"].to_numpy(), Laid(tile["cell_id"].to_numpy(), width)
+        h = laid.matrix(tile[value].to_numpy(), 0)
         for k in range(passes):
             h = step(h, k)
-        return pd.DataFrame({"cell_id": band["cell_id"], value: h.ravel()})[band["own"].to_numpy()]
+        return pd.DataFrame({"cell_id": tile["cell_id"], value: laid.back(h)})[own]
 
     kind = cells.schema[value].dataType.simpleString()
-    rows = cells.select("cell_id", F.expr(f"cell_id div {width}").alias("y"), value)
-    return banded(rows, 2 * passes).groupBy("band").applyInPandas(apply, f"cell_id long, {value} {kind}")
-
-
-def by_rows(cells: DataFrame, width: int, values: list[str], schema: str, f: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
-    """f on whole rows: it gets the rows' y and a matrix (rows by width) of each value, and gives a matrix for each column of schema after cell_id."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def apply(band: pd.DataFrame) -> pd.DataFrame:
-        band = band.sort_values("cell_id")
-        y = band["y"].to_numpy().reshape(-1, width)[:, 0]
-        out = f(y, *(band[v].to_numpy().reshape(-1, width) for v in values))
-        return pd.DataFrame({"cell_id": band["cell_id"].to_numpy()} | {n: m.ravel() for n, m in zip(names, out, strict=True)})
-
-    return cells.select("cell_id", "y", F.expr(f"y div {BAND}").alias("band"), *values).groupBy("band").applyInPandas(apply, f"cell_id long, {schema}")
+    return tiled(cells.select("cell_id", value), width, 2 * passes).groupBy("tile").applyInPandas(apply, f"cell_id long, {value} {kind}")
 
 
 #: The latitudes between which wind blows east.
@@ -111,16 +107,34 @@ def eastward(lat):
     return (lat > WIND_FROM) & (lat < WIND_TO)
 
 
-def march(height_norm: np.ndarray, water: np.ndarray, east: np.ndarray, evaporation: float, offset: float, drizzle: float, slope: float, gain: float) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Air:
+    """How moisture fills over the sea and falls over land, and how humidity follows from the rain; heights are divided by rise."""
+
+    evaporation: float
+    offset: float
+    drizzle: float = 0.02
+    slope: float = 8.0
+    gain: float = 20.0
+    rise: float = 4000.0
+
+
+def with_wind(east: np.ndarray):
+    """Turns rows (matrices) so that their wind blows from the first column on, and back."""
+    return lambda m: np.where(east[:, None], m, m[:, ::-1])
+
+
+def march(height_norm: np.ndarray, water: np.ndarray, east: np.ndarray, evaporation: float, offset: float, drizzle: float, slope: float, gain: float, moisture: np.ndarray | None = None, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Humidity and rain of rows (matrices), as moisture is carried along each row, east or west.
 
     The sea fills the moisture and is saturated; land takes rain by drizzle and by the rise of the ground,
-    and its humidity is that rain's times gain, plus offset.
+    and its humidity is that rain's times gain, plus offset. moisture and before (the ground that the wind
+    comes from) are what a row starts with: none, and the ground of its own first cell.
     """
-    turn = lambda m: np.where(east[:, None], m, m[:, ::-1])
+    turn = with_wind(east)
     h, sea = turn(height_norm), turn(water)
     humidity, rain = np.zeros(h.shape), np.zeros(h.shape)
-    moisture, before = np.zeros(len(h)), h[:, 0]
+    moisture, before = np.zeros(len(h)) if moisture is None else moisture, h[:, 0] if before is None else before
     for x in range(h.shape[1]):
         rise = np.maximum(h[:, x] - before, 0.0)
         fall = np.minimum(moisture * (drizzle + slope * rise), moisture)
@@ -132,6 +146,83 @@ def march(height_norm: np.ndarray, water: np.ndarray, east: np.ndarray, evaporat
     return turn(humidity), turn(rain)
 
 
+def passage(height_norm: np.ndarray, water: np.ndarray, east: np.ndarray, air: Air, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a stretch of rows does to the moisture m that comes in: it leaves as min(top, share m + more).
+
+    The sea takes min(1, m + evaporation), land leaves a share of m; such maps, one after another, are one map of the kind.
+    """
+    turn = with_wind(east)
+    h, sea = turn(height_norm), turn(water)
+    share, more, top = np.ones(len(h)), np.zeros(len(h)), np.full(len(h), np.inf)
+    for x in range(h.shape[1]):
+        keep = 1.0 - np.minimum(air.drizzle + air.slope * np.maximum(h[:, x] - before, 0.0), 1.0)
+        wet = sea[:, x]
+        top = np.where(wet, np.minimum(top + air.evaporation, 1.0), np.where(keep > 0, top, 0.0) * keep)
+        share, more = np.where(wet, share, share * keep), np.where(wet, more + air.evaporation, more * keep)
+        before = h[:, x]
+    return share, more, top
+
+
+def moisture_along_rows(cells: DataFrame, width: int, height: int, air: Air) -> DataFrame:
+    """(cell_id, humidity, rain) of whole rows of cells (cell_id, height_m, is_water), as moisture is carried along each, east or west by its latitude.
+
+    A tile tells what it does to the moisture that comes in, three numbers a row; the tiles of a row are strung
+    together by those, and then each is marched with what comes in. Rows that lie in one tile are marched at
+    once; in wider ones moisture may differ from a march in one go by its last bits.
+    """
+    n, schema = across(width), "cell_id long, humidity double, rain double"
+    rates = air.evaporation, air.offset, air.drizzle, air.slope, air.gain
+
+    def laid_out(tile: pd.DataFrame):
+        """Rows, whether their wind blows east, their ground with the ground beside them, their sea, and the places of own cells."""
+        y, x = np.divmod(tile["cell_id"].to_numpy(), width)
+        own, low = tile["own"].to_numpy(), y.min()
+        first, last = x[own].min(), x[own].max()
+        ground, sea = np.zeros((y.max() - low + 1, last - first + 3)), np.zeros((y.max() - low + 1, last - first + 3), bool)
+        at = x - first + 1
+        here = (at >= 0) & (at < ground.shape[1])  # what lies around the seam isn't where a row's wind comes from
+        ground[(y - low)[here], at[here]] = tile["height_m"].to_numpy()[here] / air.rise
+        sea[(y - low)[here], at[here]] = tile["is_water"].to_numpy()[here]
+        if first == 0:
+            ground[:, 0] = ground[:, 1]
+        if last == width - 1:
+            ground[:, -1] = ground[:, -2]
+        rows = np.arange(low, y.max() + 1)
+        east = eastward(latitude(rows, height))
+        return rows, east, ground[:, 1:-1], sea[:, 1:-1], np.where(east, ground[:, 0], ground[:, -1]), (own, (y - low)[own], (at - 1)[own])
+
+    def tell(tile: pd.DataFrame) -> pd.DataFrame:
+        rows, east, ground, sea, before, _ = laid_out(tile)
+        share, more, top = passage(ground, sea, east, air, before)
+        number = int(tile["tile"].iloc[0])
+        return pd.DataFrame({"y": rows, "tile": number, "place": np.where(east, number % n, n - 1 - number % n), "share": share, "more": more, "top": top})
+
+    def string(told: pd.DataFrame) -> pd.DataFrame:
+        told = told.sort_values(["y", "place"])
+        share, more, top = (told[c].to_numpy().reshape(-1, n) for c in ("share", "more", "top"))
+        moisture = np.zeros(share.shape)
+        for k in range(1, n):
+            moisture[:, k] = np.minimum(top[:, k - 1], share[:, k - 1] * moisture[:, k - 1] + more[:, k - 1])
+        return pd.DataFrame({"tile": told["tile"], "y": told["y"], "moisture": moisture.ravel()})
+
+    def went(tile: pd.DataFrame, come: pd.DataFrame | None = None) -> pd.DataFrame:
+        _, east, ground, sea, before, (own, row, column) = laid_out(tile)
+        moisture = None if come is None else come.sort_values("y")["moisture"].to_numpy()
+        humidity, rain = march(ground, sea, east, *rates, moisture, before)
+        return pd.DataFrame({"cell_id": tile["cell_id"].to_numpy()[own], "humidity": humidity[row, column], "rain": rain[row, column]})
+
+    def at_once(tile: pd.DataFrame) -> pd.DataFrame:
+        return went(tile)
+
+    dealt = tiled(cells.select("cell_id", "height_m", "is_water"), width, 1, rows=False)
+    if n == 1:
+        return dealt.groupBy("tile").applyInPandas(at_once, schema)
+    dealt = cut(dealt)
+    told = dealt.groupBy("tile").applyInPandas(tell, "y long, tile long, place long, share double, more double, top double")
+    come = told.groupBy(F.expr(f"tile div {n}").alias("band")).applyInPandas(string, "tile long, y long, moisture double")
+    return dealt.groupBy("tile").cogroup(come.groupBy("tile")).applyInPandas(went, schema)
+
+
 def count_over(cells: DataFrame, value: str, offsets: list[float], level: float) -> list[int]:
     """How many cells are over a level after each offset is added: one pass, one sum an offset."""
     over = [F.count_if(F.col(value) + F.lit(o) > F.lit(level)).alias(f"c{k}") for k, o in enumerate(offsets)]

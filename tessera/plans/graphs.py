@@ -10,7 +10,7 @@ from tessera.functions.anchors import anchored_id
 from tessera.operators import grid
 from tessera.operators.graph import connected_components
 from tessera.operators.order import apportioned, even_positions, ranked
-from tessera.operators.stencil import box_blur, by_rows, eastward, latitude, march, settled, slump, steepest
+from tessera.operators.stencil import Air, box_blur, moisture_along_rows, settled, slump, steepest
 from tessera.plans.relational import ORACLE_ONLY, edges, flow_sql, territories, water_bodies
 from tessera.plans.scalar import LAND_COLOR, RIVER_COLOR, RIVERS_WATER_COLOR, weight_of
 from tessera.plans.sql import ORACLE, SPARK, Dialect, cells, run, smooth, stencil4
@@ -420,13 +420,10 @@ HUMIDITY_OFFSET, EVAPORATION = 0.3, 0.18
 
 def marched(spark, sf_dir) -> DataFrame:
     """(cell_id, humidity, rain): moisture carried along each row with its wind, over the cells."""
-    base = land(spark, sf_dir, "true").select("cell_id", "y", "height_m", (F.col("height_m") <= 0).alias("is_water"))
+    base = land(spark, sf_dir, "true").select("cell_id", "height_m", (F.col("height_m") <= 0).alias("is_water"))
     rows = water_rows(spark, sf_dir) + 1
 
-    def carried(y, height, water):
-        return march(height / 4000.0, water.astype(bool), eastward(latitude(y, rows)), EVAPORATION, HUMIDITY_OFFSET, 0.02, 8.0, 20.0)
-
-    return by_rows(base, WIDTH, ["height_m", "is_water"], "humidity double, rain double", carried)
+    return moisture_along_rows(base, WIDTH, rows, Air(EVAPORATION, HUMIDITY_OFFSET))
 
 
 @query

@@ -98,7 +98,7 @@ def biome_registry_join(d):
 
 @query
 def enrich_potential(d):
-    return f"""WITH {cells(d)}, {territories(d)}, p AS (SELECT territory AS pos, {d.whole(f'avg({SCORE}) / 1E-3', 'INT')} AS natural_potential FROM cells WHERE territory IS NOT NULL GROUP BY territory)
+    return f"""WITH {cells(d)}, {territories(d)}, p AS (SELECT territory AS pos, {d.whole(f'{d.exact_mean(SCORE)} / 1E-3', 'INT')} AS natural_potential FROM cells WHERE territory IS NOT NULL GROUP BY territory)
       SELECT t.pos, t.n AS cell_count, coalesce(p.natural_potential, 0) AS natural_potential FROM terr t LEFT JOIN p ON p.pos = t.pos"""
 
 
@@ -123,7 +123,7 @@ def territory_cell_counts(d):
 
 @query
 def natural_potential(d):
-    return f"""WITH {cells(d)} SELECT territory, count(*) AS land_cells, {d.whole(f'avg({SCORE}) / 1E-3', 'INT')} AS natural_potential
+    return f"""WITH {cells(d)} SELECT territory, count(*) AS land_cells, {d.whole(f'{d.exact_mean(SCORE)} / 1E-3', 'INT')} AS natural_potential
       FROM cells WHERE territory IS NOT NULL GROUP BY territory"""
 
 

@@ -323,7 +323,7 @@ def raster_precipitation(d):
 
 @query
 def raster_potential(d):
-    return f"""WITH {cells(d)}, p AS (SELECT territory, {d.whole(f'avg({SCORE}) / 1E-3')} AS potential FROM cells WHERE territory IS NOT NULL GROUP BY territory)
+    return f"""WITH {cells(d)}, p AS (SELECT territory, {d.whole(f'{d.exact_mean(SCORE)} / 1E-3')} AS potential FROM cells WHERE territory IS NOT NULL GROUP BY territory)
       SELECT territory, {gradient('(potential * 1E0)', POTENTIAL_STOPS)} FROM p"""
 
 

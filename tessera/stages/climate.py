@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.lattice import quantized
 from tessera.functions.noise import Noise, on_cylinder
 from tessera.functions.params import Parameters, parameters
-from tessera.operators.stencil import box_blur, by_rows, clamped, eastward, latitude, march
+from tessera.operators.stencil import Air, box_blur, clamped, moisture_along_rows
 from tessera.session import ship
 from tessera.stages.world import GridWorld, field, setting
 
@@ -44,10 +44,7 @@ def climate(world: GridWorld, params: Parameters | None = None) -> GridWorld:
     warm = base.withColumn("temperature", quantized(value, "temperature_dc"))
     evaporation = max(EVAPORATION + EVAPORATION_BY_OFFSET * humid, LEAST_EVAPORATION)
 
-    def carried(y: np.ndarray, height_m: np.ndarray, water: np.ndarray):
-        return march(height_m / RISE_M, water.astype(bool), eastward(latitude(y, height)), evaporation, humid, DRIZZLE, SLOPE, GAIN)
-
-    wet = by_rows(world.cells, width, ["height_m", "is_water"], "humidity double, rain double", carried)
+    wet = moisture_along_rows(world.cells, width, height, Air(evaporation, humid, DRIZZLE, SLOPE, GAIN, RISE_M))
     wet = wet.selectExpr("cell_id", f"CAST(cell_id % {width} AS INT) AS x", f"CAST(cell_id div {width} AS INT) AS y", "rain", "humidity")
     smooth = box_blur(wet, width, RADIUS, "humidity", wrap=False)
     moist = smooth.select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.biomes import REGISTRY
+from tessera.functions.dialect import SPARK
 from tessera.functions.lattice import quantized
 from tessera.operators import grid
 from tessera.plans.scalar import SCORE
@@ -30,7 +31,7 @@ def facts(world: GridWorld) -> DataFrame:
     beside = grid.neighbours(land, world.width, grid.FOUR).join(wet, "nid", "left_semi").select("cell_id").distinct()
     score = SCORE.replace("temperature_dc", "temperature").replace("humidity_dp", "humidity")
     own = land.join(beside.withColumn("coast", F.lit(True)), "cell_id", "left").groupBy(F.col("territory").cast("long").alias("pos"))
-    flags = own.agg(quantized(F.avg(F.expr(score)), "potential").alias("potential"), F.bool_or(F.coalesce("coast", F.lit(False))).alias("coast"), F.bool_or(F.col("biome").isin(MOUNTAINS)).alias("high"))
+    flags = own.agg(quantized(F.expr(SPARK.exact_mean(score)), "potential").alias("potential"), F.bool_or(F.coalesce("coast", F.lit(False))).alias("coast"), F.bool_or(F.col("biome").isin(MOUNTAINS)).alias("high"))
     mouths = world.rivers.select(F.col("pos").alias("river"), (F.col("mouth_y") * world.width + F.col("mouth_x")).alias("cell_id"), "mouth_x", "mouth_y")
     bodies = cells.where("water_body IS NOT NULL").select(F.col("cell_id").alias("nid"), F.col("water_body").cast("long").alias("body"))
     found = grid.neighbours(mouths, world.width, grid.FOUR, "river", "mouth_x", "mouth_y").join(bodies, "nid")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import biomes
-from tessera.operators import grid
+from tessera.operators import grid, tiles
 from tessera.operators.graph import connected_components
 from tessera.plans import graphs
 
@@ -65,9 +65,10 @@ def test_growth_equals_a_queue(spark):
     assert {r.cell_id: r.seed for r in got.collect()} == owner
 
 
-@pytest.mark.parametrize("band", [1, 3, 64])
-def test_flow_and_walks_over_many_bands(spark, monkeypatch, band):
-    monkeypatch.setattr(grid, "BAND", band)
+@pytest.mark.parametrize(("band", "breadth"), [(1, 64), (3, 64), (64, 64), (3, 2), (64, 3)])
+def test_flow_and_walks_over_many_tiles(spark, monkeypatch, band, breadth):
+    monkeypatch.setattr(tiles, "BAND", band)
+    monkeypatch.setattr(tiles, "BREADTH", breadth)
     rng, width, height = np.random.default_rng(band), 7, 20
     tall = rng.permutation(width * height) // 2 + 40 * (np.arange(width * height) // width % 9)
     rows = [(c, int(h), bool(rng.random() < 0.05), bool(rng.random() < 0.3)) for c, h in enumerate(tall)]
