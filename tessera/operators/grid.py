@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from tessera.operators.graph import connected_components
 from tessera.operators.tiles import Laid, across, edge_sql, tile_of, tile_sql, tiled
@@ -116,36 +117,40 @@ def grow(cells: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
         state = state.drop("old")
 
 
-def nearest(cells: DataFrame, centers: DataFrame, square: int = 10) -> DataFrame:
+def nearest(cells: DataFrame, centers: DataFrame, square: int = 10, fan: int = 4) -> DataFrame:
     """(cell_id, owner): the center next to each cell (cell_id, x, y), without regard to the seam; ties to the lower position.
 
-    centers has (pos, ax, ay). Each square of cells asks only the squares within reach of a bound: the
-    distance from its furthest corner to the center next to its own middle, found by widening rings.
+    centers has (pos, ax, ay), whole numbers from 0 on. Squares of cells and of centers are halved together, from one
+    that holds all: a square of cells keeps those of centers that are no further at best than another one is
+    at worst. So work goes with what is near, however far apart centers lie; squares without cells or centers don't occur.
     """
-    sx, sy = F.expr(f"x div {square}"), F.expr(f"y div {square}")
-    squares = cells.select(sx.alias("sx"), sy.alias("sy")).distinct()
-    held = centers.select("pos", "ax", "ay", F.expr(f"ax div {square}").alias("cx"), F.expr(f"ay div {square}").alias("cy"))
-    size = held.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
-    if size[0] is None:
-        return cells.select("cell_id", F.lit(None).cast("long").alias("owner")).limit(0)
-    left, found, ring = cut(squares), None, 1
-    widest = squares.agg(F.max(F.greatest(F.abs(F.col("sx") - size[0]), F.abs(F.col("sx") - size[1]), F.abs(F.col("sy") - size[2]), F.abs(F.col("sy") - size[3])))).first()[0] or 0
-    full = cut(held.groupBy("cx", "cy").agg(F.count("*").alias("n")))
-    while True:  # the ring in which a square has a center; rings double, so there are few rounds
-        reach = F.sequence(F.lit(-ring), F.lit(ring))
-        asks = left.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).select("sx", "sy", (F.col("sx") + F.col("dx")).alias("cx"), (F.col("sy") + F.col("dy")).alias("cy"))
-        hit = asks.join(full, ["cx", "cy"], "left_semi").select("sx", "sy").distinct().withColumn("ring", F.lit(ring))
-        found = cut(hit if found is None else found.unionByName(hit))
-        left = cut(left.join(hit.select("sx", "sy"), ["sx", "sy"], "left_anti"))
-        if ring > widest or left.isEmpty():
-            break
-        ring *= 2
-    # A center within `ring` squares is at most (ring + 1) * square * sqrt(2) away from any cell of the square.
-    far = F.ceil((F.col("ring") + 1) * F.sqrt(F.lit(2.0))).cast("int")
-    reach = F.sequence(-far, far)
-    asks = found.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).select("sx", "sy", (F.col("sx") + F.col("dx")).alias("cx"), (F.col("sy") + F.col("dy")).alias("cy"))
-    near = asks.join(held, ["cx", "cy"]).select("sx", "sy", "pos", "ax", "ay")
-    both = cells.select("cell_id", "x", "y", sx.alias("sx"), sy.alias("sy")).join(near, ["sx", "sy"])
+    least = lambda s: [F.min(c).alias(c) for c in s]
+    most = lambda s: [F.max(c).alias(c) for c in s]
+    own = cells.select(F.expr(f"x div {square}").alias("sx"), F.expr(f"y div {square}").alias("sy"), F.col("x").cast("long").alias("x0"), F.col("y").cast("long").alias("y0"), F.col("x").cast("long").alias("x1"), F.col("y").cast("long").alias("y1"))
+    own = cut(own.groupBy("sx", "sy").agg(*least(["x0", "y0"]), *most(["x1", "y1"])))
+    places = cut(centers.groupBy("ax", "ay").agg(F.min("pos").alias("pos")).select("pos", "ax", "ay", F.expr(f"ax div {square}").alias("cx"), F.expr(f"ay div {square}").alias("cy")))
+    held = places.select("cx", "cy", *(F.col(a).cast("long").alias(b) for a, b in zip(("ax", "ay", "ax", "ay"), ("ax0", "ay0", "ax1", "ay1"), strict=True)))
+    held = cut(held.groupBy("cx", "cy").agg(*least(["ax0", "ay0"]), *most(["ax1", "ay1"])))
+    top = max(own.agg(F.max(F.greatest("sx", "sy"))).first()[0] or 0, held.agg(F.max(F.greatest("cx", "cy"))).first()[0] or 0)
+    size = 1
+    while size <= top:
+        size *= fan
+    gap = lambda a: F.greatest(F.lit(0), F.col(f"a{a}0") - F.col(f"{a}1"), F.col(f"{a}0") - F.col(f"a{a}1"))
+    span = lambda a: F.greatest(F.col(f"{a}1") - F.col(f"a{a}0"), F.col(f"a{a}1") - F.col(f"{a}0"))
+    best, worst = gap("x") * gap("x") + gap("y") * gap("y"), span("x") * span("x") + span("y") * span("y")
+    pairs = own.sparkSession.sql("SELECT 0L AS ux, 0L AS uy, 0L AS vx, 0L AS vy")
+    while size > 1:
+        size //= fan
+        a = own.groupBy(F.expr(f"sx div {size}").alias("sx"), F.expr(f"sy div {size}").alias("sy")).agg(*least(["x0", "y0"]), *most(["x1", "y1"]))
+        b = held.groupBy(F.expr(f"cx div {size}").alias("cx"), F.expr(f"cy div {size}").alias("cy")).agg(*least(["ax0", "ay0"]), *most(["ax1", "ay1"]))
+        a = a.withColumns({"ux": F.expr(f"sx div {fan}"), "uy": F.expr(f"sy div {fan}")})
+        b = b.withColumns({"vx": F.expr(f"cx div {fan}"), "vy": F.expr(f"cy div {fan}")})
+        asks = pairs.join(a, ["ux", "uy"]).join(b, ["vx", "vy"]).select("sx", "sy", "cx", "cy", best.alias("best"), worst.alias("worst"))
+        bound = F.min("worst").over(W.Window.partitionBy("sx", "sy"))
+        old, pairs = pairs, cut(asks.withColumn("bound", bound).where("best <= bound").selectExpr("sx AS ux", "sy AS uy", "cx AS vx", "cy AS vy"))
+        drop_cut(old)
+    near = pairs.selectExpr("ux AS sx", "uy AS sy", "vx AS cx", "vy AS cy").join(places, ["cx", "cy"]).select("sx", "sy", "pos", "ax", "ay")
+    both = cells.select("cell_id", "x", "y", F.expr(f"x div {square}").alias("sx"), F.expr(f"y div {square}").alias("sy")).join(near, ["sx", "sy"])
     away = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
     return both.groupBy("cell_id").agg(F.min_by("pos", F.struct(away, F.col("pos"))).alias("owner"))
 
