@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tessera.llm.blockmax import BlockMax
+from tessera.llm.blockmax import ManyQueries
 from tessera.session import cut, drop_cut, open_folder
 
 K1, B = 1.2, 0.75
@@ -115,12 +115,12 @@ def _block(path: str, block: int, columns: list[str]) -> pa.Table:
     return pa.dataset.dataset(folder, filesystem=fs, format="parquet").to_table(columns=columns)
 
 
-def _open(shard: dict, mean: float) -> tuple[BlockMax, dict[str, int]]:
+def _open(shard: dict, mean: float) -> tuple[ManyQueries, dict[str, int]]:
     """The index of a shard, with impacts by the mean length of all documents, and its terms' numbers."""
     size, rows, tf = np.frombuffer(shard["sizes"], "<i8"), np.frombuffer(shard["rows"], "<i4"), np.frombuffer(shard["tfs"], "<i4")
     norm = K1 * (1 - B + B * size / max(mean, 1e-9))
     begin = np.append(0, np.cumsum(np.array(shard["dfs"], np.int64)))
-    return BlockMax(len(size), begin, rows, tf * (K1 + 1) / (tf + norm[rows])), {t: k for k, t in enumerate(shard["terms"])}
+    return ManyQueries(len(size), begin, rows, tf * (K1 + 1) / (tf + norm[rows])), {t: k for k, t in enumerate(shard["terms"])}
 
 
 def _search(queries: str, best: str | None, blocks: int, mean: float, low: float, high: float):
@@ -149,10 +149,13 @@ def _search(queries: str, best: str | None, blocks: int, mean: float, low: float
                     terms, weights = known[terms.indices.to_numpy()], pa.compute.list_flatten(asked.column("weights")).to_numpy()
                     ends = np.cumsum(pa.compute.list_value_length(asked.column("terms")).to_numpy())
                     out: list[tuple[int, int | None, float]] = []
-                    for q, i, j in zip(asked.column("query_id").to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                    ids = asked.column("query_id").to_pylist()
+                    bounds = [least.get(q, (0.0, LAST)) for q in ids]
+                    wanted = []
+                    for (bound, _), i, j in zip(bounds, [0, *ends.tolist()], ends.tolist(), strict=False):
                         have = terms[i:j] >= 0
-                        bound, last = least.get(q, (0.0, LAST))
-                        rows, scores = index.search(terms[i:j][have], weights[i:j][have], TOP, bound)
+                        wanted.append((terms[i:j][have], weights[i:j][have], bound))
+                    for q, (bound, last), (rows, scores) in zip(ids, bounds, index.search_many(wanted, TOP), strict=True):
                         if len(rows):  # of equal scores the smaller ids stay
                             own = order[rows]
                             first = np.lexsort((own, -scores))[:TOP]

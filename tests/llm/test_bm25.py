@@ -74,6 +74,28 @@ def test_block_max_against_all_rows(monkeypatch):
                 assert found.tolist() == want.tolist() and np.allclose(score, every[want], atol=1e-7)
 
 
+def test_many_queries_are_searched_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(blockmax, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    for n, together, wide in ((200, 7, 8), (203, 128, 1), (1, 3, 8)):
+        monkeypatch.setattr(blockmax, "TOGETHER", together)
+        monkeypatch.setattr(blockmax, "WIDE", wide)
+        dense = np.round(rng.random((60, n)), 2) * (rng.random((60, n)) < 1 / (1 + np.arange(60)[:, None]))
+        dense[:, -1] += dense.sum(1) == 0
+        term, rows = np.nonzero(dense)
+        many = blockmax.ManyQueries(n, np.searchsorted(term, np.arange(61)), rows, dense[term, rows])
+        asked, want = [(np.zeros(0, np.int64), np.zeros(0), 0.0)], [blockmax.NOTHING]
+        for size in (1, 5, 40) * 4:
+            terms, weights = rng.choice(60, size, replace=False), np.round(rng.random(size), 1)  # with ties
+            every = np.round(weights @ dense[terms], blockmax.DECIMALS)
+            for least in (0.0, float(np.sort(every)[-3:][0]), 1e9):
+                asked.append((terms, weights, least - 1e-9))
+                at = np.flatnonzero((every > 0) & (every >= least - 1e-9) & (every >= np.sort(every)[-4:][0] - 1e-9))
+                want.append((at, every[at]))
+        for (found, score), (at, every) in zip(many.search_many(asked, 4), want, strict=True):
+            assert found.tolist() == at.tolist() and np.allclose(score, every, atol=1e-7)
+
+
 def test_empty(spark):
     assert m.search_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     assert m.search_documents(spark.createDataFrame([(1, "no query", "x", 1)], SCHEMA)).count() == 0
