@@ -6,8 +6,8 @@
    whose shorter phrases all pass. A sketch is two rows of cells that lie with Spark, in buckets of cells;
    tasks send the cells that they met, and only which cells reach the least count comes back, as bits.
 3. Phrases whose words, shorter phrases and cells all pass are the candidates.
-4. Files of candidates become automata over texts whose words stand between single blanks; each file's
-   automata run over all texts of its languages, and matches, overlapping ones included, are summed.
+4. A task's own candidates become automata over texts whose words stand between single blanks; each runs over
+   the task's chunks in which they were met, and matches, overlapping ones included, are summed.
 5. Thresholds, scores and the rest are joins and aggregates over the exact counts.
 
 Sketches only choose what is counted: too small ones make more candidates, never other results.
@@ -40,8 +40,8 @@ CHUNK_BYTES, HELD = 4_000_000, 400_000
 #: Cells that a task counts before it sends them on, cells of a bucket, and the bits of a row's cells at least and at most.
 CELLS, BUCKET_BITS, ROW_BITS = 3_000_000, 20, (16, 28)
 ROWS = 2
-#: Bytes of the phrases whose automata are in a task's memory together, about.
-FILE_BYTES = 2_000_000
+#: Bytes of the phrases whose automaton is in a task's memory, and of the chunks that a task holds for it, about.
+FILE_BYTES, SCANNED_BYTES = 2_000_000, 48_000_000
 
 _CAPITALS, _ENDS = bytes(range(65, 91)), b".,;:!?\n\x0b\x0c\r"
 _SPELL = bytes.maketrans(_CAPITALS + b"\t" + _ENDS, _CAPITALS.lower() + b" " + b"\n" * len(_ENDS))
@@ -276,56 +276,6 @@ def _word_cells(words: DataFrame, bits: int) -> DataFrame:
     return cut(words.select("lang", "word").mapInArrow(mark, SKETCH_SCHEMA))
 
 
-def candidates(spelling: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
-    """(lang, phrase): all phrases of 2 to LONGEST words that occur LEAST times, and those that no sketch rules out.
-
-    words has (lang, word) that occur LEAST times. Rows of sketches have a cell for about every three words
-    of the corpus, and 2^28 (32 MB of bits) at most. Tasks send phrases in packs by their hash, each once,
-    and the packs of a hash's bucket are brought together.
-    """
-    bits = min(max(n_words.bit_length() - 2, ROW_BITS[0]), ROW_BITS[1])
-    paths = tuple(files(_word_cells(words, bits)))
-    for lengths in ((2,), tuple(range(3, LONGEST + 1))):
-        paths += tuple(files(_passing_cells(spelling, lengths, (paths, bits))))
-    buckets = np.uint64(1 << max(4, bits - BUCKET_BITS + 4))
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held = np.zeros(0, np.uint64), defaultdict(list)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield _batch([*zip(*held, strict=True), [b"\n".join(p) for p in held.values()]], {"bucket": pa.int32(), "lang": pa.string(), "phrases": pa.binary()})
-
-        for lang, words, ids in _opened(batches):
-            for k, (at, hashes) in phrases_of(lang, words, ids, _sieve(paths, bits), LONGEST).items():
-                hashes, first = np.unique(hashes, return_index=True)
-                new = ~np.isin(hashes, seen, assume_unique=True)
-                hashes, starts = hashes[new], at[first[new]]
-                seen = np.concatenate([seen, hashes])
-                for row, bucket in zip(ids[starts[:, None] + np.arange(k)].tolist(), (hashes % buckets).tolist(), strict=True):
-                    held[bucket, lang].append(b" ".join([words[i] for i in row]))
-            if len(seen) > HELD:
-                yield from flush()
-                seen = np.zeros(0, np.uint64)
-                held.clear()
-        yield from flush()
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, known = None, defaultdict(set)
-        for b in batches:
-            for bucket, lang, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != of:
-                    of = bucket
-                    known.clear()
-                fresh = set(packed.split(b"\n")) - known[lang]
-                known[lang] |= fresh
-                if fresh:
-                    yield _batch([[lang] * len(fresh), [p.decode() for p in fresh]], {"lang": pa.string(), "phrase": pa.string()})
-
-    sent = spelling.mapInArrow(name, "bucket int, lang string, phrases binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "lang string, phrase string")
-
-
 def guarded(words: list[bytes], ids: np.ndarray, wanted: set[bytes]) -> str:
     """The wanted words with a blank on either side; where others or ends of pieces stand, one b"\n" for all that follow each other."""
     here = np.array([w in wanted for w in words])[ids]
@@ -339,69 +289,105 @@ def guarded(words: list[bytes], ids: np.ndarray, wanted: set[bytes]) -> str:
     return f" {text.decode()} "
 
 
-@functools.lru_cache(1)
-def _automata(paths: tuple[str, ...]) -> dict[str, tuple[ahocorasick.Automaton, np.ndarray, set[bytes]]]:
-    """For each language of some files of candidates: their automaton, their numbers, and their words."""
-    by_lang = defaultdict(list)
-    for path in paths:
-        table = load(path)
-        for lang, phrase, number in zip(*(table[c].to_pylist() for c in ("lang", "phrase", "number")), strict=True):
-            by_lang[lang].append((phrase, number))
-    out = {}
-    for lang, rows in by_lang.items():
+PACK = {"bucket": pa.int32(), "lang": pa.string(), "phrases": pa.binary(), "counts": pa.binary()}
+PACK_SCHEMA = "bucket int, lang string, phrases binary, counts binary"
+
+
+class Candidates:
+    """The candidates that occur in some chunks of a language, and those chunks, for one automaton."""
+
+    def __init__(self, lang: str, sieve: Sieve) -> None:
+        self.lang, self.sieve = lang, sieve
+        self.seen, self.phrases, self.hashes, self.chunks, self.bytes = np.zeros(0, np.uint64), [], [], [], 0
+
+    def add(self, words: list[bytes], ids: np.ndarray) -> None:
+        for k, (at, hashes) in phrases_of(self.lang, words, ids, self.sieve, LONGEST).items():
+            hashes, first = np.unique(hashes, return_index=True)
+            new = ~np.isin(hashes, self.seen, assume_unique=True)
+            hashes, starts = hashes[new], at[first[new]]
+            self.seen = np.concatenate([self.seen, hashes])
+            self.hashes.append(hashes)
+            fresh = [b" ".join([words[i] for i in row]) for row in ids[starts[:, None] + np.arange(k)].tolist()]
+            self.bytes += sum(map(len, fresh)) + 2 * len(fresh)
+            self.phrases += fresh
+        self.chunks.append((words, ids))
+
+    def counted(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Rows of PACK: how often each candidate occurs in the chunks, overlaps included."""
+        if not self.phrases:
+            return
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, (phrase, _) in enumerate(rows):
-            automaton.add_word(f" {phrase} ", k)
+        for k, phrase in enumerate(self.phrases):
+            automaton.add_word(f" {phrase.decode()} ", k)
         automaton.make_automaton()
-        out[lang] = automaton, np.array([n for _, n in rows], np.int64), {w for p, _ in rows for w in p.encode().split(b" ")}
-    return out
+        wanted = {w for p in self.phrases for w in p.split(b" ")}
+        total = np.zeros(len(self.phrases), np.int64)
+        for words, ids in self.chunks:
+            found = np.fromiter(map(operator.itemgetter(1), automaton.iter(guarded(words, ids, wanted))), np.int64)
+            total += np.bincount(found, minlength=len(total))
+        bucket = (np.concatenate(self.hashes) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, first = np.unique(bucket[order], return_index=True)
+        packs = np.split(order, first[1:])
+        yield _batch([own.tolist(), [self.lang] * len(own), [b"\n".join([self.phrases[i] for i in p.tolist()]) for p in packs], [total[p].astype("<i8").tobytes() for p in packs]], PACK)
+
 
+def phrase_counts(spelling: DataFrame, words: DataFrame, n_words: int) -> DataFrame:
+    """(lang, phrase, a): how often phrases of 2 to LONGEST words occur, overlaps included, of all that occur LEAST times.
+
+    words has (lang, word) that occur LEAST times. Rows of sketches have a cell for about every three words
+    of the corpus, and 2^28 (32 MB of bits) at most. A task makes automata of the candidates that occur in its
+    own chunks, FILE_BYTES of them at a time, and runs each over just those chunks, so all text is scanned once,
+    however many candidates the corpus has. Counts go out in packs by the phrase's hash, and a bucket's packs are added up.
+    """
+    bits = min(max(n_words.bit_length() - 2, ROW_BITS[0]), ROW_BITS[1])
+    paths = tuple(files(_word_cells(words, bits)))
+    for lengths in ((2,), tuple(range(3, LONGEST + 1))):
+        paths += tuple(files(_passing_cells(spelling, lengths, (paths, bits))))
+    buckets = 1 << max(4, bits - BUCKET_BITS + 4)
 
-def _scan(paths: tuple[str, ...]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(paths)
-        totals = {lang: np.zeros(len(numbers), np.int64) for lang, (_, numbers, _) in automata.items()}
-        for lang, words, ids in _opened(batches):
-            automaton, _, wanted = automata[lang]
-            found = np.fromiter(map(operator.itemgetter(1), automaton.iter(guarded(words, ids, wanted))), np.int64)
-            totals[lang] += np.bincount(found, minlength=len(totals[lang]))
-        for lang, n in totals.items():
-            some = np.flatnonzero(n)
-            for k in range(0, len(some), 50_000):
-                yield _batch([automata[lang][1][some[k : k + 50_000]], n[some[k : k + 50_000]]], {"number": pa.int64(), "a": pa.int64()})
+        held, size = defaultdict(list), 0
 
-    return scan
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, rows in held.items():
+                some = Candidates(lang, _sieve(paths, bits))
+                for _, words, ids in _opened(rows):
+                    some.add(words, ids)
+                    if some.bytes >= FILE_BYTES:
+                        yield from some.counted(buckets)
+                        some = Candidates(lang, some.sieve)
+                yield from some.counted(buckets)
 
+        for b in batches:
+            for k in range(len(b)):
+                held[b.column(0)[k].as_py()].append(b.slice(k, 1))
+                size += sum(len(b.column(c)[k].as_buffer()) for c in (1, 2))
+                if size >= SCANNED_BYTES:
+                    yield from flush()
+                    held, size = defaultdict(list), 0
+        yield from flush()
 
-def phrase_counts(spelling: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lang, phrase, a): how often each of wanted (lang, phrase) occurs in chunks(), overlaps included; those that don't occur are left out.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = None, {}
 
-    Files of about FILE_BYTES of phrases at a time become automata in a task's memory, so every chunk is
-    scanned once for each such set that has phrases of its language.
-    """
-    wanted = cut(wanted)
-    size = wanted.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
-    dealt = wanted.repartitionByRange(max(1, -(-size // FILE_BYTES)), "lang", "phrase").sortWithinPartitions("lang", "phrase")
-    numbered = cut(dealt.withColumn("number", F.monotonically_increasing_id()))
-    held = defaultdict(dict)
-    for r in numbered.groupBy(F.col("_metadata.file_name").alias("f"), "lang").agg(F.sum(F.octet_length("phrase") + 2).alias("n")).collect():  # a row a file, and a language more
-        held[r.f][r.lang] = r.n
-    sets, room = [], 0
-    for path in files(numbered):
-        own = held.get(path.rpartition("/")[2])
-        if not own:
-            continue
-        if (n := sum(own.values())) > room:
-            sets.append(([], set()))
-            room = FILE_BYTES
-        sets[-1][0].append(path)
-        sets[-1][1].update(own)
-        room -= n
-    if not sets:
-        return numbered.select("lang", "phrase", F.lit(0).cast("long").alias("a")).limit(0)
-    scans = [spelling.where(F.col("lang").isin(sorted(langs))).mapInArrow(_scan(tuple(paths)), "number long, a long") for paths, langs in sets]
-    counted = functools.reduce(DataFrame.unionByName, scans).groupBy("number").agg(F.sum("a").alias("a"))
-    return numbered.join(counted, "number").select("lang", "phrase", "a")
+        def done() -> Iterator[pa.RecordBatch]:
+            some = [(p.decode(), n) for p, n in total.items() if n >= LEAST]
+            if some:
+                phrases, n = zip(*some, strict=True)
+                yield _batch([[of[1]] * len(some), phrases, n], {"lang": pa.string(), "phrase": pa.string(), "a": pa.int64()})
+
+        for b in batches:
+            for *key, packed, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != of:
+                    yield from done()
+                    of, total = key, {}
+                known = total.get
+                total.update([(p, known(p, 0) + n) for p, n in zip(packed.split(b"\n"), np.frombuffer(counts, "<i8").tolist(), strict=True)])
+        yield from done()
+
+    sent = spelling.mapInArrow(scan, PACK_SCHEMA)
+    return sent.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(add, "lang string, phrase string, a long")
 
 
 def _part(words: Column, start: Column, length: Column) -> Column:
@@ -443,7 +429,7 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     per_lang = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = cut(counts.where(F.col("n") >= LEAST))
     n_words = counts.agg(F.sum("n")).first()[0] or 0
-    found = cut(phrase_counts(spelling, candidates(spelling, frequent, n_words)).where(F.col("a") >= LEAST))
+    found = cut(phrase_counts(spelling, frequent, n_words))
     rest = scored(found, frequent.select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))).join(absorbed(found), ["lang", "phrase"], "left_anti")
     order = W.Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = rest.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)  # Spark keeps `top` rows a language before it shuffles

@@ -96,3 +96,13 @@ def test_oracle(spark):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     got = queries.op13_collocations(spark, folder)
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(m.oracle_sql()).fetchall())
+
+
+def test_more_candidates_are_no_more_scans(spark, monkeypatch):
+    spelling = m.chunks(frame(spark, texts(9)).select("lang", "text"))
+    words = m.word_counts(spelling).where(f"n >= {m.LEAST}")
+    plans = []
+    for size in (2_000_000, 200):
+        monkeypatch.setattr(m, "FILE_BYTES", size)
+        plans.append(m.phrase_counts(spelling, words, 5000)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+    assert plans[0] == plans[1]
