@@ -99,7 +99,7 @@ def test_oracle(spark):
 
 
 def test_more_candidates_are_no_more_scans(spark, monkeypatch):
-    spelling = m.chunks(frame(spark, texts(9)).select("lang", "text"))
+    spelling = m.chunks(frame(spark, texts(9)).select("lang", "text").dropna())
     words = m.word_counts(spelling).where(f"n >= {m.LEAST}")
     plans = []
     for size in (2_000_000, 200):

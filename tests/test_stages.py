@@ -1,5 +1,7 @@
 """Stages against published hashes of whole worlds, and against plain loops."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +10,13 @@ from tessera import cli
 from tessera.functions.lattice import quantized, valued
 from tessera.functions.noise import Noise, octave_budget, on_cylinder, sine_cosine
 from tessera.functions.params import parameters
+from tessera.functions.rng import stream_bytes
 from tessera.operators.order import apportioned, even_positions, ranked, running
 from tessera.operators.stencil import box_blur, march, settled, slump, steepest
 from tessera.plans import catalog
 from tessera.sources.world_file import stored_hash, synthetic_world, to_bytes
 from tessera.stages import pipeline
+from tessera.stages import relief as relief_stage
 from tessera.stages.biomes import biomes
 from tessera.stages.climate import climate
 from tessera.stages.facts import enrich, facts
@@ -268,3 +272,17 @@ def test_lattices_refuse_what_does_not_fit(spark):
     for wrong in (float("nan"), float("inf"), -float("inf"), 3277.0, -3277.0):
         with pytest.raises(Exception, match="no whole steps"):
             value(wrong)
+
+
+def test_rain_by_bands(spark, monkeypatch):
+    monkeypatch.setattr(relief_stage, "RAIN_CELLS", 1)  # bands of 124 rows
+    monkeypatch.setattr(relief_stage, "STREAM_BLOCKS", 7)
+    width, height, seed = 9, 700, 5
+    p = parameters("terrain", {"droplets_per_hundred_cells": 300.0})
+    h = np.random.default_rng(1).random(width * height).tolist()
+    cells = spark.createDataFrame(list(enumerate(h)), "cell_id long, h double").repartition(3)
+    got = relief_stage.droplets(cells, p, seed, width, height).orderBy("cell_id").collect()
+    drops = width * height * 3 // 100
+    for first, second in struct.iter_unpack("<QQ", stream_bytes(seed, "terrain.erosion", 16 * drops)):
+        relief_stage.rain(h, first % width, second % height, width, height, relief_stage.setting(p, "power"))
+    assert [r.cell_id for r in got] == list(range(width * height)) and [r.h for r in got] == h
