@@ -196,6 +196,12 @@ def flow_oracle(d: Dialect) -> str:
     mouth AS (SELECT start, arg_max(cell_id, ord) AS mouth, count(*) AS n FROM path GROUP BY start)"""
 
 
+@query
+def stencil8(spark, sf_dir):
+    """Of the eight neighbours: how many there are, heights weighted by their order, the lowest."""
+    return grid.around(run(spark, sf_dir, f"WITH {cells(SPARK)} SELECT cell_id, height_m FROM cells"), WIDTH)
+
+
 @query
 def flow_target(spark, sf_dir):
     """The lowest of the neighbours that are lower; ties go to the first in order."""

@@ -136,3 +136,19 @@ def test_lloyd_passes_reach_all_land_from_a_seed(spark, monkeypatch):
     monkeypatch.setattr(graphs, "land", lambda *_: surface)  # one seed, at 0
     got = {r.cell_id: (r.dist, r.seed) for r in graphs.lloyd_two_pass(spark, "").collect()}
     assert got == {k: (abs(k - 18), 0) for k in range(37)}
+
+
+@pytest.mark.parametrize("breadth", [1024, 4])
+def test_around(spark, monkeypatch, breadth):
+    monkeypatch.setattr(tiles, "BREADTH", breadth)
+    monkeypatch.setattr(tiles, "BAND", 3)
+    rng, width = random.Random(6), 9
+    h = {k: rng.randint(-50, 50) for k in range(9 * 11 - 4) if k not in (20, 21, 40)}
+    want = []
+    for k in h:
+        y, x = divmod(k, width)
+        near = [(place, h[n]) for place, (dy, dx) in enumerate(grid.EIGHT, 1) if y + dy >= 0 and (n := (y + dy) * width + (x + dx) % width) in h]
+        want.append((k, len(near), sum(place * v for place, v in near), min(v for _, v in near)))
+    df = grid.around(spark.createDataFrame(list(h.items()), "cell_id long, height_m int"), width)
+    assert sorted(map(tuple, df.collect())) == want
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
