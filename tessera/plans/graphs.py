@@ -168,9 +168,13 @@ SHARE, LEAST = "1.2E-3", "8E0"
 
 def smooth_cells(spark, sf_dir) -> DataFrame:
     """Heights summed over 5 x 5 windows, by bands of rows."""
-    base = run(spark, sf_dir, f"WITH {cells(SPARK)} SELECT cell_id, x, y, height_m FROM cells")
-    summed = box_blur(base, WIDTH, 2, "height_m", True, F.sum)
-    return cut(summed.selectExpr("cell_id", "height_m", "height_m <= 0 AS is_water", f"{ICE} AS ice", f"{DESERT} AS desert"))
+    return cut(summed_cells(spark, sf_dir, f"WITH {cells(SPARK)} SELECT cell_id, x, y, height_m FROM cells").drop("x", "y"))
+
+
+def summed_cells(spark, sf_dir, text: str) -> DataFrame:
+    """The same with the other columns of a text that has cell_id, x, y and height_m; not written yet."""
+    summed = box_blur(run(spark, sf_dir, text), WIDTH, 2, "height_m", True, F.sum)
+    return summed.selectExpr("*", "height_m <= 0 AS is_water", f"{ICE} AS ice", f"{DESERT} AS desert")
 
 
 def flowing(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -23,9 +23,15 @@ def hydrology(world: GridWorld, params: Parameters | None = None) -> GridWorld:
     p = params or parameters("hydrology")
     world.need("height_m", "is_water", "biome")
     bodies, body_of = water_bodies(world)
-    paths = river_paths(world, setting(p, "river_land_share_percent") / 100.0)
     cells = world.cells.drop("water_body").join(body_of, "cell_id", "left")
-    return world.with_cells(cells, water_bodies=bodies, rivers=named_rivers(paths, world.width), hydrology=p)
+    return world.with_cells(cells, water_bodies=bodies, rivers=rivers(world, p), hydrology=p)
+
+
+def rivers(world: GridWorld, params: Parameters | None = None) -> DataFrame:
+    """The rivers alone: they come from heights, water and biomes, not from the water bodies."""
+    p = params or parameters("hydrology")
+    world.need("height_m", "is_water", "biome")
+    return named_rivers(river_paths(world, setting(p, "river_land_share_percent") / 100.0), world.width)
 
 
 def kind_of(cells: str, touches_pole: str) -> str:
@@ -35,8 +41,8 @@ def kind_of(cells: str, touches_pole: str) -> str:
 
 def water_bodies(world: GridWorld) -> tuple[DataFrame, DataFrame]:
     """The bodies by (anchor's y, x), and (cell_id, water_body)."""
-    water = world.cells.where("is_water").select("cell_id", "x", "y")
-    member = cut(water.join(grid.components(water, world.width), "cell_id"))
+    x, y = f"cell_id % {world.width}", f"cell_id div {world.width}"
+    member = cut(grid.components(world.cells.where("is_water").select("cell_id"), world.width).selectExpr("cell_id", "component", f"{x} AS x", f"{y} AS y"))
     pole = f"bool_or(y = 0 OR y = {world.height - 1})"
     body = member.groupBy("component").agg(F.expr("sum(x) div count(*)").alias("anchor_x"), F.expr("sum(y) div count(*)").alias("anchor_y"), F.expr(f"CAST({kind_of('count(*)', pole)} AS INT)").alias("kind"))
     body = cut(identified(ranked(body, F.col("anchor_y"), F.col("anchor_x"), F.col("component"), name="pos"), "water_body"))
@@ -46,13 +52,14 @@ def water_bodies(world: GridWorld) -> tuple[DataFrame, DataFrame]:
 
 def river_paths(world: GridWorld, share: float) -> DataFrame:
     """(start, ord, cell_id): land cells from each source down to its mouth; ways that end in a pit are left out."""
-    base = cut(world.cells.select("cell_id", "height_m", "is_water", (F.col("biome") == ICE).alias("ice"), (F.col("biome") == DESERT).alias("desert")))
-    targets = cut(grid.flow_targets(base, world.width).join(base.where("NOT ice").select("cell_id"), "cell_id"))
-    flow = grid.accumulate(base, targets, world.width)
+    base = world.cells.select("cell_id", "height_m", "is_water", (F.col("biome") == ICE).alias("ice"), (F.col("biome") == DESERT).alias("desert"))
+    drained = cut(grid.drained(base, world.width, "ice", "desert"))
+    targets = drained.where("target >= 0 AND NOT ice").select("cell_id", "target")
+    strong = cut(grid.accumulated(drained, world.width).where(F.col("flow") >= LEAST_FLOW))  # no river has less
     land = base.where("NOT is_water").select("cell_id")
     member = cut(grid.components(land, world.width))
     least = member.groupBy("component").agg(F.greatest(F.lit(share) * F.count("*"), F.lit(LEAST_FLOW)).alias("least"))
-    river = cut(member.join(least, "component").join(flow, "cell_id").where("flow >= least").select("cell_id"))
+    river = cut(member.join(strong, "cell_id").join(least, "component").where("flow >= least").select("cell_id"))
     fed = targets.join(river, "cell_id").select(F.col("target").alias("cell_id"))
     way = grid.walks(river.join(fed, "cell_id", "left_anti"), targets, world.width).join(base.select("cell_id", "is_water"), "cell_id")
     end = way.where("is_water").groupBy("start").agg(F.min("ord").alias("end"))

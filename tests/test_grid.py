@@ -152,3 +152,29 @@ def test_around(spark, monkeypatch, breadth):
     df = grid.around(spark.createDataFrame(list(h.items()), "cell_id long, height_m int"), width)
     assert sorted(map(tuple, df.collect())) == want
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rivers_come_without_the_water_bodies(spark, monkeypatch):
+    """The query of rivers writes the smoothed grid once and labels land alone."""
+    from tessera.plans import worlds
+    from tessera.stages import hydrology
+
+    world = worlds.smoothed_world(spark, "/root/testdata/sf0.001")
+    whole = sorted(map(tuple, hydrology.hydrology(world).rivers.collect()))
+    labelled = []
+    label = grid.components
+    monkeypatch.setattr(grid, "components", lambda cells, width: labelled.append(cells.count()) or label(cells, width))
+    assert sorted(map(tuple, hydrology.rivers(world).collect())) == whole
+    assert labelled == [world.cells.where("NOT is_water").count()]
+
+
+def test_targets_with_columns_kept_are_those_by_a_join(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, int(h), bool(i), bool(d)) for c, (h, i, d) in enumerate(zip(rng.integers(0, 9, 1500), rng.random(1500) < 0.1, rng.random(1500) < 0.2, strict=True)) if c % 13]
+    df = spark.createDataFrame(rows, "cell_id long, height_m int, ice boolean, desert boolean")
+    got = grid.drained(df, 20, "ice", "desert")
+    assert sorted(r.cell_id for r in got.collect()) == [r[0] for r in rows]
+    targets = grid.flow_targets(df, 20)
+    assert sorted(map(tuple, got.where("target >= 0").select("cell_id", "target").collect())) == sorted(map(tuple, targets.collect()))
+    flow = sorted(map(tuple, grid.accumulate(df, targets, 20).collect()))
+    assert sorted(map(tuple, grid.accumulated(got, 20).collect())) == flow
