@@ -8,18 +8,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from tessera.functions.lattice import quantized
-from tessera.operators import grid
+from tessera.operators import grid, tiles
 from tessera.operators.graph import connected_components
 from tessera.operators.order import apportioned, even_positions, ranked, running
 from tessera.operators.stencil import clamped
-from tessera.session import cut
+from tessera.session import cut, drop_cut
 from tessera.stages.ids import identified
 from tessera.stages.world import REGIONS, TERRITORIES, GridWorld, StageError
 
 LLOYD = 2
 
+#: Rows around a band in which its cells first look for means.
+REACH = 64
+
 
 @dataclass(frozen=True)
 class WaterSplit:
@@ -93,26 +97,59 @@ def land_territories(world: GridWorld, count: int) -> DataFrame:
 def fill(own: DataFrame, rest: DataFrame, width: int) -> DataFrame:
     """(cell_id, pos) for cells that no seed reached, in their order: each goes to the nearest mean, which then takes it in.
 
-    Every choice moves a mean that the next one sees, so one task makes them all; it gets a row a
-    territory and the cells of islands without a seed, never the grid.
+    Every choice moves a mean that the next ones see. A task makes the choices of a band of rows over the means that lie within
+    some rows of it, from what the bands before left them with; all bands run at once, in rounds, until what the bands before
+    leave doesn't change any choice: then each band has chosen as in the sequence, by induction from the first. A band with a
+    cell that a mean further off could win looks twice as far in the next round.
     """
-    sums = own.groupBy("pos").agg(F.sum(F.expr(f"cell_id % {width}")).alias("sx"), F.sum(F.expr(f"cell_id div {width}")).alias("sy"), F.count("*").alias("n"))
-
-    def choose(means: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    high = tiles.band(width)
+    band = F.expr(f"cell_id div {high * width}")
+    rest = cut(rest.select("cell_id", band.alias("band")))
+    sums = cut(own.groupBy("pos").agg(F.sum(F.expr(f"cell_id % {width}")).alias("sx"), F.sum(F.expr(f"cell_id div {width}")).alias("sy"), F.count("*").alias("n")))
+    sums = sums.select("pos", F.lit(-1).cast("long").alias("band"), "sx", "sy", "n")
+
+    def choose(key, cells: pd.DataFrame, means: pd.DataFrame) -> pd.DataFrame:
+        reach = wide.get(int(key[0]), REACH)
         means = means.sort_values("pos")
         sx, sy, n = (means[c].to_numpy().astype(np.int64) for c in ("sx", "sy", "n"))
         pos, ids = means["pos"].to_numpy(), np.sort(cells["cell_id"].to_numpy())
-        owner = np.zeros(len(ids), np.int64)
+        owner, far = np.full(len(ids), -1, np.int64), not len(pos) and len(ids) > 0
         cx, cy = sx // n, sy // n
-        for k, (y, x) in enumerate(zip(*np.divmod(ids, width), strict=True)):
-            at = int(((x - cx) ** 2 + (y - cy) ** 2).argmin())
+        for k, (y, x) in enumerate(zip(*np.divmod(ids, width), strict=True) if len(pos) else ()):
+            away = (x - cx) ** 2 + (y - cy) ** 2
+            at = int(away.argmin())
+            far = far or away[at] > reach * reach
             owner[k] = pos[at]
             sx[at], sy[at], n[at] = sx[at] + x, sy[at] + y, n[at] + 1
             cx[at], cy[at] = sx[at] // n[at], sy[at] // n[at]
-        return pd.DataFrame({"cell_id": ids, "pos": owner})
-
-    one = F.lit(0).alias("one")
-    return sums.withColumn("one", one).groupBy("one").cogroup(rest.withColumn("one", one).groupBy("one")).applyInPandas(choose, "cell_id long, pos long")
+        return pd.DataFrame({"cell_id": ids, "pos": owner, "band": int(key[0]), "far": far})
+
+    wide: dict[int, int] = {}  # bands that look further than REACH, and how far
+    before = W.Window.partitionBy("pos").orderBy("band")
+    made = None
+    while True:
+        steps = sums
+        if made is not None:
+            moved = made.where("pos >= 0").groupBy("pos", "band").agg(F.sum(F.expr(f"cell_id % {width}")).alias("sx"), F.sum(F.expr(f"cell_id div {width}")).alias("sy"), F.count("*").alias("n"))
+            steps = sums.unionByName(moved)
+        # What a mean is from one band that moves it to the next; band is the last one that has moved it.
+        states = steps.select("pos", "band", *(F.sum(c).over(before).alias(c) for c in ("sx", "sy", "n")), F.lead("band").over(before).alias("until"))
+        states = states.withColumns({"low": F.greatest(F.col("band") + 1, F.lit(0)), "high": F.coalesce("until", F.lit(1 << 40)), "cy": F.expr("sy div n")})
+        seen = states.withColumn("key", F.explode(F.expr(f"sequence(greatest(cy - {REACH}, 0) div {high}, (cy + {REACH}) div {high})"))).where("key BETWEEN low AND high")
+        if wide:
+            asks = sums.sparkSession.createDataFrame(sorted(wide.items()), "key long, reach long")
+            more = states.join(F.broadcast(asks), F.expr(f"key BETWEEN low AND high AND cy >= key * {high} - reach AND cy < (key + 1) * {high} + reach"))
+            seen = seen.join(F.broadcast(asks), "key", "left_anti").unionByName(more.drop("reach"))
+        old, made = made, cut(rest.groupBy("band").cogroup(seen.select("key", "pos", "sx", "sy", "n").groupBy("key")).applyInPandas(choose, "cell_id long, pos long, band long, far boolean"))
+        far = [r.band for r in made.where("far").select("band").distinct().collect()]  # a row a band
+        if far and sums.isEmpty():
+            raise StageError("no territory has a cell")
+        wide.update({b: 2 * wide.get(b, REACH) for b in far})
+        same = old is not None and not far and made.join(old, ["cell_id", "pos"], "left_anti").isEmpty()
+        if old is not None:
+            drop_cut(old)
+        if same:
+            return made.select("cell_id", "pos")
 
 
 def water_territories(world: GridWorld, split: WaterSplit) -> DataFrame | None:
@@ -126,8 +163,8 @@ def water_territories(world: GridWorld, split: WaterSplit) -> DataFrame | None:
     if split.cells is None and not split.count:
         return None
     width = world.width
-    water = world.cells.where("is_water").select("cell_id", "x", "y")
-    member = cut(water.join(grid.components(water, width), "cell_id"))
+    water = world.cells.where("is_water").select("cell_id")
+    member = cut(grid.components(water, width).selectExpr("cell_id", "component", f"cell_id % {width} AS x", f"cell_id div {width} AS y"))
     areas = member.groupBy("component").agg(F.count("*").alias("area")).withColumnRenamed("component", "pos")
     bodies, n = areas.agg(F.count("*"), F.coalesce(F.sum("area"), F.lit(0))).first()
     count = split.count if split.cells is None else min(max((n + split.cells // 2) // split.cells, bodies), n)
@@ -162,10 +199,7 @@ def middles(own: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
 
 def touching(world: GridWorld) -> DataFrame:
     """(a, b): pairs of territories of one surface with cells that touch by an edge."""
-    cells = world.cells.where("territory IS NOT NULL").select("cell_id", "is_water", "territory")
-    beside = grid.neighbours(cells, world.width, grid.HALF, "is_water", "territory")
-    other = cells.selectExpr("cell_id AS nid", "is_water AS wet", "territory AS t")
-    return beside.join(other, "nid").where("territory <> t AND is_water = wet").selectExpr("CAST(least(territory, t) AS BIGINT) AS a", "CAST(greatest(territory, t) AS BIGINT) AS b").distinct()
+    return grid.touching(world.cells.where("territory IS NOT NULL").selectExpr("cell_id", "is_water AS surface", "territory AS owner"), world.width)
 
 
 def regions(world: GridWorld) -> GridWorld:

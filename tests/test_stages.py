@@ -11,11 +11,12 @@ from tessera.functions.lattice import quantized, valued
 from tessera.functions.noise import Noise, octave_budget, on_cylinder, sine_cosine
 from tessera.functions.params import parameters
 from tessera.functions.rng import stream_bytes
+from tessera.operators import tiles
 from tessera.operators.order import apportioned, even_positions, ranked, running
 from tessera.operators.stencil import box_blur, march, settled, slump, steepest
 from tessera.plans import catalog
 from tessera.sources.world_file import stored_hash, synthetic_world, to_bytes
-from tessera.stages import pipeline
+from tessera.stages import partition, pipeline
 from tessera.stages import relief as relief_stage
 from tessera.stages.biomes import biomes
 from tessera.stages.climate import climate
@@ -183,6 +184,36 @@ def test_running_sums(spark):
     assert running(df.limit(0), F.col("v"), F.col("k"), name="before").count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fill_by_bands_is_the_sequence(spark, monkeypatch, seed):
+    """Against a loop, over many bands: means that move across them, ties, and a stretch of rows without any mean."""
+    monkeypatch.setattr(tiles, "BAND", 3)
+    monkeypatch.setattr(tiles, "BREADTH", 4)
+    monkeypatch.setattr(partition, "REACH", 2)
+    rng = np.random.default_rng(seed)
+    width = 6
+    ids = np.concatenate([np.arange(60 * width), np.arange(100 * width, 110 * width)])
+    own = {int(c): int(p) for c, p in zip(rng.choice(60 * width, 40, replace=False), rng.integers(0, 12, 40), strict=True)}
+    rest = [int(c) for c in ids if int(c) not in own and rng.random() < 0.5]
+    sums = {}
+    for c, p in own.items():
+        s = sums.setdefault(p, [0, 0, 0])
+        s[0], s[1], s[2] = s[0] + c % width, s[1] + c // width, s[2] + 1
+    want = {}
+    for c in sorted(rest):
+        x, y = c % width, c // width
+        p = min(sums, key=lambda p: ((x - sums[p][0] // sums[p][2]) ** 2 + (y - sums[p][1] // sums[p][2]) ** 2, p))
+        want[c] = p
+        sums[p] = [sums[p][0] + x, sums[p][1] + y, sums[p][2] + 1]
+    seen = []
+    write = partition.cut
+    monkeypatch.setattr(partition, "cut", lambda d: (lambda t: seen.append(t) or t)(write(d)))
+    monkeypatch.setattr(partition, "drop_cut", lambda d: None)
+    found = fill(spark.createDataFrame(list(own.items()), "cell_id long, pos long"), spark.createDataFrame([(c,) for c in rest], "cell_id long"), width)
+    assert {r.cell_id: r.pos for r in found.collect()} == want
+    assert seen[-1].select("band").distinct().count() > 10
+
+
 def test_fill_moves_the_means(spark):
     own = spark.createDataFrame([(0, 0), (1, 0), (9, 1)], "cell_id long, pos long")
     rest = spark.createDataFrame([(k,) for k in (4, 5, 6, 7)], "cell_id long")

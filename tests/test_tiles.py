@@ -125,3 +125,45 @@ def test_moisture_by_tiles_gives_the_same_whole_steps(spark, monkeypatch, sf_dir
     one = sorted(map(tuple, graphs.moisture_march(spark, sf_dir).collect()))
     small(monkeypatch, 16, 7)
     assert sorted(map(tuple, graphs.moisture_march(spark, sf_dir).collect())) == one
+
+
+def test_growth_grows_only_tiles_with_offers_again(spark, monkeypatch):
+    """A flood down one of many tiles' columns: the other tiles are grown once."""
+    small(monkeypatch, 3, 6)
+    df = spark.range(600).toDF("cell_id").where("cell_id % 6 <> 5 OR cell_id < 30")
+    seeds = spark.createDataFrame([(0, 1), (300, 0)] + [(c * 6, c) for c in range(60, 100)], "cell_id long, seed long")
+    sizes, write = [], grid.cut
+    monkeypatch.setattr(grid, "cut", lambda d: (lambda t: sizes.append(t.count()) or t)(write(d)))
+    got = {r.cell_id: (r.dist, r.seed) for r in grid.grow(df, seeds, 6).collect()}
+    held = {c for c in range(600) if c % 6 != 5 or c < 30}
+    want, front = {}, sorted((s, c) for c, s in ((r.cell_id, r.seed) for r in seeds.collect()))
+    dist = 0
+    while front:
+        nxt = {}
+        for s, c in front:
+            if c not in want:
+                want[c] = (dist, s)
+        for s, c in front:
+            if want[c] == (dist, s):
+                y, x = divmod(c, 6)
+                for n in ((y - 1) * 6 + x, (y + 1) * 6 + x, y * 6 + (x - 1) % 6, y * 6 + (x + 1) % 6):
+                    if n in held and n not in want:
+                        nxt[n] = min(s, nxt.get(n, s))
+        front, dist = sorted((s, c) for c, s in nxt.items()), dist + 1
+    assert got == want
+    assert len(sizes) > 12 and sum(n == len(held) for n in sizes) == 2  # many rounds, but all cells are written at the start and at the end
+
+
+def sides(cell):
+    y, x = divmod(cell, WIDTH)
+    return [n for n in ((y - 1) * WIDTH + x, (y + 1) * WIDTH + x, y * WIDTH + (x - 1) % WIDTH, y * WIDTH + (x + 1) % WIDTH) if 0 <= n < WIDTH * HEIGHT]
+
+
+@pytest.mark.parametrize(("band", "breadth"), SIZES)
+def test_touching_owners_by_tiles(spark, monkeypatch, rows, band, breadth):
+    small(monkeypatch, band, breadth)
+    own = {c: (w, h % 17) for c, h, w in rows if c % 7}
+    df = spark.createDataFrame([(c, w, o) for c, (w, o) in own.items()], "cell_id long, surface boolean, owner int")
+    want = {(own[c][1], own[n][1]) for c in own for n in sides(c) if n in own and own[n][0] == own[c][0] and own[c][1] < own[n][1]}
+    got = [tuple(r) for r in grid.touching(df, WIDTH).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
