@@ -27,18 +27,17 @@ def facts(world: GridWorld) -> DataFrame:
     world.need("temperature", "humidity", "biome", "territory", "water_body")
     cells = world.cells
     land = cells.where("NOT is_water AND territory IS NOT NULL")
-    wet = cells.where("is_water").select(F.col("cell_id").alias("nid"))
-    beside = grid.neighbours(land, world.width, grid.FOUR).join(wet, "nid", "left_semi").select("cell_id").distinct()
+    coast = grid.shores(cells.selectExpr("cell_id", "is_water AS wet", "coalesce(territory, -1) AS owner"), world.width).select(F.col("owner").alias("pos"), F.lit(True).alias("coast"))
     score = SCORE.replace("temperature_dc", "temperature").replace("humidity_dp", "humidity")
-    own = land.join(beside.withColumn("coast", F.lit(True)), "cell_id", "left").groupBy(F.col("territory").cast("long").alias("pos"))
-    flags = own.agg(quantized(F.expr(SPARK.exact_mean(score)), "potential").alias("potential"), F.bool_or(F.coalesce("coast", F.lit(False))).alias("coast"), F.bool_or(F.col("biome").isin(MOUNTAINS)).alias("high"))
+    own = land.groupBy(F.col("territory").cast("long").alias("pos"))
+    flags = own.agg(quantized(F.expr(SPARK.exact_mean(score)), "potential").alias("potential"), F.bool_or(F.col("biome").isin(MOUNTAINS)).alias("high"))
     mouths = world.rivers.select(F.col("pos").alias("river"), (F.col("mouth_y") * world.width + F.col("mouth_x")).alias("cell_id"), "mouth_x", "mouth_y")
     bodies = cells.where("water_body IS NOT NULL").select(F.col("cell_id").alias("nid"), F.col("water_body").cast("long").alias("body"))
     found = grid.neighbours(mouths, world.width, grid.FOUR, "river", "mouth_x", "mouth_y").join(bodies, "nid")
     first = found.groupBy("river", "cell_id", "mouth_x", "mouth_y").agg(F.min_by("body", "ord").alias("pos"))
     open_ = first.join(world.water_bodies.where("kind IN (0, 1)").select("pos"), "pos", "left_semi").join(cells.select("cell_id", F.col("territory").cast("long").alias("t")), "cell_id")
     listed = open_.groupBy(F.col("t").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("river", F.col("mouth_x").alias("x"), F.col("mouth_y").alias("y")))).alias("mouths"))
-    every = world.territories.select("pos", "is_water").join(flags, "pos", "left").join(listed, "pos", "left")
+    every = world.territories.select("pos", "is_water").join(flags, "pos", "left").join(coast, "pos", "left").join(listed, "pos", "left")
     none = F.lit(False)
     return every.select(
         F.col("pos").alias("territory"),

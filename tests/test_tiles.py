@@ -167,3 +167,13 @@ def test_touching_owners_by_tiles(spark, monkeypatch, rows, band, breadth):
     want = {(own[c][1], own[n][1]) for c in own for n in sides(c) if n in own and own[n][0] == own[c][0] and own[c][1] < own[n][1]}
     got = [tuple(r) for r in grid.touching(df, WIDTH).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+@pytest.mark.parametrize(("band", "breadth"), SIZES)
+def test_shores_by_tiles(spark, monkeypatch, rows, band, breadth):
+    small(monkeypatch, band, breadth)
+    own = {c: (w, h % 97 if h % 3 else -1) for c, h, w in rows if c % 7}
+    df = spark.createDataFrame([(c, w, o) for c, (w, o) in own.items()], "cell_id long, wet boolean, owner int")
+    want = {o for c, (w, o) in own.items() if not w and o >= 0 and any(own.get(n, (False, 0))[0] for n in sides(c))}
+    got = [r.owner for r in grid.shores(df, WIDTH).collect()]
+    assert sorted(got) == sorted(want) and 5 < len(want)
