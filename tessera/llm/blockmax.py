@@ -9,6 +9,8 @@ which starts at any bound that the caller already has.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 BLOCK = 64
@@ -44,7 +46,7 @@ class BlockMax:
         self.most = self.lines.reshape(len(common), self.blocks, BLOCK).max(2) if len(common) and self.blocks else np.zeros((len(common), self.blocks))
         self.largest = np.maximum.reduceat(impact, begin[:-1]) if len(df) else np.zeros(0)  # every term has a posting
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Rows of score over 0, at least `least` and no less than the k-th best, and their scores; ties of the k-th are all there."""
         if not len(terms) or (least > 0 and weights @ self.largest[terms] < least - SLACK):
             return NOTHING
@@ -53,8 +55,6 @@ class BlockMax:
         rare = self._rare(terms[few], weights[few])
         at, w = place[~few], weights[~few]
         bound = (rare.reshape(-1, BLOCK) + (w @ self.most[at])[:, None]).ravel() if len(at) else rare
-        if without >= 0:
-            bound[without] = 0
         floor = max(least - SLACK, 1e-300)
         open_ = np.flatnonzero(bound >= floor)
         if len(open_) > 4 * FIRST * k:
@@ -70,6 +70,38 @@ class BlockMax:
             good &= score >= np.partition(kept, len(kept) - k)[len(kept) - k]
         return open_[good], score[good]
 
+    def search_together(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: Sequence[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) what search() finds without a bound to start from, query q never row without[q].
+
+        For few rows and no bound, one product of the frequent terms of all queries takes less time than choosing
+        rows by block maxima for one query after another. Callers bound the number of queries.
+        """
+        weights = np.zeros((len(queries), len(self.lines)))
+        rare = []
+        for q, (terms, w) in enumerate(queries):
+            place = self.place[terms]
+            few = place < 0
+            weights[q, place[~few]] = w[~few]
+            rare.append((terms[few], w[few]))
+        out = []
+        for q, (own, (terms, w)) in enumerate(zip(weights @ self.lines, rare, strict=True)):
+            if not len(queries[q][0]):
+                out.append(NOTHING)
+                continue
+            if len(terms):
+                own += self._rare(terms, w)
+            if without is not None:
+                own[without[q]] = 0
+            floor = np.partition(own, len(own) - k)[len(own) - k] - SLACK if len(own) > k else 0.0
+            some = np.flatnonzero(own >= max(floor, 1e-300))
+            score = np.round(own[some], DECIMALS)
+            good = score > 0
+            if good.sum() > k:
+                kept = score[good]
+                good &= score >= np.partition(kept, len(kept) - k)[len(kept) - k]
+            out.append((some[good], score[good]))
+        return out
+
     def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The sums of rare terms' weighted postings, a row each."""
         if not len(terms):

@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled rows gives the examples. Each text is compared with them by exact TF-IDF
-cosine over all their terms, with document counts from the whole corpus, through an inverted index with
-block maxima (blockmax.py): only examples whose bound can reach the nearest ones found are opened. The
-neighbours are the evidence. The terms whose presence tells the classes apart (chi-square) have a second
+cosine over all their terms, with document counts from the whole corpus, through an inverted index
+(blockmax.py): a run of texts is searched together, rare terms by their postings and frequent ones by one
+product. The neighbours are the evidence. The terms whose presence tells the classes apart (chi-square) have a second
 index of the same kind. Both indexes' votes, weighted by similarity, are turned into a probability by a
 logistic curve that is fitted on the examples themselves, each left out of its own neighbours.
 """
@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blockmax import BlockMax
+from tessera.llm.blockmax import TOGETHER, BlockMax
 from tessera.session import cut
 
 #: Labelled rows of each class that become examples at most: those whose ids hash lowest.
@@ -32,6 +32,17 @@ NEIGHBOURS = 15
 THRESHOLD = 0.7
 
 _words = re.compile(r"\w+").findall
+#: The bytes of Latin-1, spaces where they are no part of a word.
+_SPACED = bytes(c if re.match(r"\w", chr(c)) else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words (\\w+) of the lower-cased text; Latin-1 is split at spaces, which is the same and faster."""
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(_SPACED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _words(low)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,7 +54,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, toxic, text) to a row for each distinct term."""
     for b in batches:
         for d, x, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            count = Counter(_words((t or "").lower()))
+            count = Counter(words_of(t))
             if count:
                 n = len(count)
                 yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array([x] * n, pa.int32()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["doc_id", "toxic", "term", "tf"])
@@ -55,10 +66,10 @@ def _frequencies(terms: dict[str, int]):
         df = np.zeros(len(terms), np.int64)
         get = terms.get
         for b in batches:
-            for t in b.column(0).to_pylist():
-                words = set(_words((t or "").lower()))
-                found = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                df[found[found >= 0]] += 1
+            for k in range(0, len(b), TOGETHER):
+                words = (set(words_of(t)) for t in b.column(0).slice(k, TOGETHER).to_pylist())
+                found = np.concatenate([np.fromiter(map(get, w, repeat(-1)), np.int64, len(w)) for w in words])
+                df += np.bincount(found[found >= 0], minlength=len(df))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
 
@@ -83,25 +94,50 @@ class Index:
     def weights(self) -> list[np.ndarray]:
         return np.split(self.postings.impact, self.postings.begin[1:-1]) if self.term else []
 
-    def weigh(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        """Terms' weights: 1 + ln(tf) times idf, to length 1."""
+    def weigh(self, at: np.ndarray, tf: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+        """Terms' weights: 1 + ln(tf) times idf, to length 1 within each text (None: all are of one)."""
+        text = np.zeros(len(at), np.int64) if text is None else text
         w = (1 + np.log(tf)) * self.idf[at]
-        return w / np.sqrt((w * w).sum()) if len(at) else w
+        return w / np.sqrt(np.bincount(text, w * w))[text] if len(at) else w
 
     def count(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the known terms among words, and how often they stand there."""
-        found = np.fromiter(map(self.term.get, words, repeat(-1)), np.int64, len(words))
-        return np.unique(found[found >= 0], return_counts=True)
-
-    def nearest(self, at: np.ndarray, tf: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return self.count_together([words])[1:]
+
+    def count_together(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, tf) of the known terms of each text's words, in that order."""
+        found = [np.fromiter(map(self.term.get, words, repeat(-1)), np.int64, len(words)) for words in texts]
+        every = np.concatenate(found)
+        key = np.repeat(np.arange(len(found)), [len(f) for f in found]) * len(self.term) + every
+        key = np.sort(key[every >= 0])
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        text, at = np.divmod(key[first], max(1, len(self.term)))
+        return text, at, np.diff(first, append=len(key))
+
+    def nearest(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The NEIGHBOURS examples of largest cosine over 0, and the cosines; ties go to the lower number."""
-        found, near = self.postings.search(at, self.weigh(at, tf), NEIGHBOURS, without=without)
-        best = np.lexsort((found, -near))[:NEIGHBOURS]
-        return found[best], near[best]
-
-
-def words_of(text: str | None) -> list[str]:
-    return _words((text or "").lower())
+        return self.nearest_together(1, np.zeros(len(at), np.int64), at, tf)[0]
+
+    def nearest_together(self, n: int, text: np.ndarray, at: np.ndarray, tf: np.ndarray, without: Sequence[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest() for each of n texts, whose terms are in order, each without one example."""
+        w = self.weigh(at, tf, text)
+        queries = [(at[i:j], w[i:j]) for i, j in pairwise(np.searchsorted(text, np.arange(n + 1)).tolist())]
+        out = []
+        for found, near in self.postings.search_together(queries, NEIGHBOURS, without):
+            best = np.lexsort((found, -near))[:NEIGHBOURS]
+            out.append((found[best], near[best]))
+        return out
+
+    def nearest_others(self, example: np.ndarray, at: np.ndarray, tf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nearest of each example but itself, from the examples' terms."""
+        order = np.lexsort((at, example))
+        example, at, tf = example[order], at[order], tf[order]
+        out = []
+        for k in range(0, self.n, TOGETHER):
+            these = range(k, min(k + TOGETHER, self.n))
+            i, j = np.searchsorted(example, (these.start, these.stop))
+            out += self.nearest_together(len(these), example[i:j] - k, at[i:j], tf[i:j], these)
+        return out
 
 
 class Model(Index):
@@ -110,6 +146,8 @@ class Model(Index):
     def __init__(self, index: tuple, markers: tuple, ids: list[int], toxic: np.ndarray, share: float) -> None:
         super().__init__(*index)
         self.markers = Index(*markers)
+        self.marker = np.full(len(self.term), -1)
+        self.marker[[self.term[t] for t in self.markers.term]] = np.arange(len(self.markers.term))
         self.ids, self.toxic = np.array(ids, np.int64), toxic
         self.curve = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0, 0.0, 0.0])
         if self.n and 0 < toxic.sum() < self.n:
@@ -128,7 +166,7 @@ class Model(Index):
 
     def _calibrate(self, index: tuple, markers: tuple, share: float) -> None:
         """Logistic regression by Newton steps; classes count as they do among all labelled rows."""
-        x = np.array([self.features(self.nearest(*v, e), self.markers.nearest(*m, e)) for e, (v, m) in enumerate(zip(_vectors(index, self.n), _vectors(markers, self.n), strict=True))])
+        x = np.array([*map(self.features, self.nearest_others(*index[1:4]), self.markers.nearest_others(*markers[1:4]))])
         y = self.toxic.astype(float)
         weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         beta = np.zeros(5)
@@ -139,18 +177,15 @@ class Model(Index):
             beta = beta - np.linalg.solve(curve, slope)
         self.curve = beta
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        words = words_of(text)
-        found, near = self.nearest(*self.count(words))
-        x = self.features((found, near), self.markers.nearest(*self.markers.count(words)))
-        return float(1 / (1 + np.exp(-x @ self.curve))), found, near
-
-
-def _vectors(index: tuple, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(terms, tf) of each example."""
-    order = np.lexsort((index[2], index[1]))
-    cuts = np.searchsorted(index[1][order], np.arange(1, n))
-    return list(zip(np.split(index[2][order], cuts), np.split(index[3][order], cuts), strict=True)) if n else []
+    def score(self, texts: list[str | None]) -> tuple[list[float], list[np.ndarray], list[np.ndarray]]:
+        """The score of each text, its neighbours and their cosines."""
+        text, at, tf = self.count_together(map(words_of, texts))
+        near = self.nearest_together(len(texts), text, at, tf)
+        marker = self.marker[at]
+        own = marker >= 0
+        marked = self.markers.nearest_together(len(texts), text[own], marker[own], tf[own])
+        scores = [float(1 / (1 + np.exp(-self.features(v, m) @ self.curve))) for v, m in zip(near, marked, strict=True)]
+        return scores, [f for f, _ in near], [c for _, c in near]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -199,9 +234,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), 2000):
-                part = b.slice(k, 2000)
-                scores, found, near = zip(*map(model.score, part.column(1).to_pylist()), strict=True)
+            for k in range(0, len(b), TOGETHER):
+                part = b.slice(k, TOGETHER)
+                scores, found, near = model.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(scores), pa.array([model.ids[f].tolist() for f in found], pa.list_(pa.int64())), pa.array([x.tolist() for x in near], pa.list_(pa.float64()))],
                     ["doc_id", "score", "neighbours", "similarities"],

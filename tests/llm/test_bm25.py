@@ -96,6 +96,25 @@ def test_many_queries_are_searched_as_one_by_one(monkeypatch):
             assert found.tolist() == at.tolist() and np.allclose(score, every, atol=1e-7)
 
 
+def test_queries_together_against_all_rows(monkeypatch):
+    monkeypatch.setattr(blockmax, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    for n, most in ((200, 12_000_000), (203, 1000), (3, 100)):
+        monkeypatch.setattr(blockmax, "MOST_NUMBERS", most)
+        dense = np.round(rng.random((60, n)), 1) * (rng.random((60, n)) < 1 / (1 + np.arange(60)[:, None]))  # with ties
+        dense[:, -1] += dense.sum(1) == 0
+        term, rows = np.nonzero(dense)
+        index = blockmax.BlockMax(n, np.searchsorted(term, np.arange(61)), rows, dense[term, rows])
+        queries = [(np.zeros(0, np.int64), np.zeros(0))] + [(rng.choice(60, size, replace=False), np.round(rng.random(size), 1)) for size in (1, 5, 40) * 4]
+        for without in (None, [int(x) for x in rng.integers(0, n, len(queries))]):
+            for q, (found, score) in enumerate(index.search_together(queries, 4, without)):
+                every = np.round(queries[q][1] @ dense[queries[q][0]], blockmax.DECIMALS) if len(queries[q][0]) else np.zeros(n)
+                if without:
+                    every[without[q]] = 0
+                want = np.flatnonzero((every > 0) & (every >= np.sort(every)[-4:][0]))
+                assert found.tolist() == want.tolist() and np.array_equal(score, every[want])
+
+
 def test_empty(spark):
     assert m.search_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     assert m.search_documents(spark.createDataFrame([(1, "no query", "x", 1)], SCHEMA)).count() == 0

@@ -72,3 +72,32 @@ def test_every_term_of_the_examples_counts(tables):
     assert abs(model.idf[model.term["word1"]] - np.log((1 + len(rows)) / (1 + df)) - 1) < 1e-12
     found, _ = model.nearest(*model.count(["word17", "word18"]))
     assert len(found) and all(words(texts[model.ids[f]]) & {"word17", "word18"} for f in found.tolist())
+
+
+def test_runs_of_texts_are_searched_together(tables, monkeypatch):
+    docs, labels, rows = tables
+    model = t.fit(docs, labels)
+    texts = [text for _, text, *_ in rows[:300]] + [None, "", "?!", "none of these"]
+    searched = []
+    together = blockmax.BlockMax.search_together
+    monkeypatch.setattr(blockmax.BlockMax, "search_together", lambda index, queries, *more: searched.append(len(queries)) or together(index, queries, *more))
+    monkeypatch.setattr(blockmax.BlockMax, "search", None)  # no search of a text by itself
+    scores, found, near = model.score(texts)
+    assert searched == [len(texts)] * 2  # all terms, then the markers
+    for text, s, f, c in zip(texts, scores, found, near, strict=True):
+        one = model.score([text])
+        assert s == one[0][0] and f.tolist() == one[1][0].tolist() and c.tolist() == one[2][0].tolist()
+        dense = np.zeros(model.n)
+        at, tf = model.count(t.words_of(text))
+        for k, w in zip(at.tolist(), model.weigh(at, tf).tolist(), strict=True):
+            dense[model.examples[k]] += w * model.weights[k]
+        dense = np.round(dense, blockmax.DECIMALS)
+        want = [i for i in np.lexsort((np.arange(model.n), -dense))[: t.NEIGHBOURS] if dense[i] > 0]
+        assert f.tolist() == want and np.allclose(c, dense[want], atol=2e-8)
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(8)
+    alphabet = [chr(c) for c in range(256)] + list("aZ09_ ") * 20
+    texts = ["".join(rng.choices(alphabet, k=60)) for _ in range(300)] + ["".join(map(chr, range(256))), "", "İstanbul K—x", "да 中文 café", "a\ud800b"]
+    assert [t.words_of(x) for x in texts] == [t._words(x.lower()) for x in texts] and t.words_of(None) == []
